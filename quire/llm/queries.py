@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from quire.llm import exact_dedup, mixing, packing, token_files
+from quire.llm import chat, exact_dedup, mixing, packing, secrets, surrogates, token_files
 
 QUERIES = {
+    "op1_tool_calls": chat.op1_tool_calls,
     "op2_poisson_mixing": mixing.op2_poisson_mixing,
+    "op4_secret_scan": secrets.op4_secret_scan,
     "op5_token_files": token_files.op5_token_files,
     "op6_packing": packing.op6_packing,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op10_surrogates": surrogates.op10_surrogates,
 }
 
 SQL = {
+    "op1_tool_calls": chat.OP1_SQL,
     "op2_poisson_mixing": mixing.OP2_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
 }
