@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from quire.llm import chat, exact_dedup, mixing, packing, secrets, surrogates, token_files
+from quire.llm import chat, exact_dedup, mixing, multi_index, packing, secrets, shingle_join, surrogates, token_files, toxicity
 
 QUERIES = {
     "op1_tool_calls": chat.op1_tool_calls,
     "op2_poisson_mixing": mixing.op2_poisson_mixing,
+    "op3_multi_index": multi_index.op3_multi_index,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op5_token_files": token_files.op5_token_files,
     "op6_packing": packing.op6_packing,
+    "op7_shingle_join": shingle_join.op7_shingle_join,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_surrogates": surrogates.op10_surrogates,
 }
 
