@@ -20,7 +20,7 @@ _TITLES = {
     "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra"],
     "n": ["Dr", "Prof"],
 }
-_TITLE = "(?:" + "|".join(t for ts in _TITLES.values() for t in ts) + r")\.?"
+_TITLE = "(?:" + "|".join(x for ts in _TITLES.values() for t in ts for x in (t, t.upper())) + r")\.?"
 #: Types in the order in which they are tried at a place of the text (Java's regular expressions).
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}_][\p{L}\p{N}._%+-]*+@[\p{L}\p{N}](?:[\p{L}\p{N}.-]*[\p{L}\p{N}])?\.\p{L}{2,}",
@@ -42,6 +42,11 @@ _ENDINGS = {"m": ["ric", "don", "ter", "vin"], "f": ["ina", "ella", "ara", "issa
 MAX_ROUNDS = 40
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with the value computed once however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def kind_of(value: Column) -> Column:
     out = F.lit("name")
     for kind, pattern in reversed(list(PATTERNS.items())[:-1]):
@@ -51,50 +56,72 @@ def kind_of(value: Column) -> Column:
 
 def normal(value: Column, kind: Column) -> Column:
     """What all mentions of an entity have in common. A name's holds its gender: 'f|anna weber'."""
-    title = F.regexp_extract(value, f"^{_TITLE}", 0)
-    title = F.regexp_replace(title, r"\.$", "")
-    gender = reduce(lambda o, g: F.when(title.isin(*_TITLES[g]), g).otherwise(o), ("f", "m"), F.lit("n"))
-    name = F.concat(gender, F.lit("|"), F.lower(F.regexp_replace(value, f"^{_TITLE} ", "")))
+
+    def name(title):
+        gender = reduce(lambda o, g: F.when(F.initcap(title).isin(*_TITLES[g]), g).otherwise(o), ("f", "m"), F.lit("n"))
+        return F.concat(gender, F.lit("|"), F.lower(F.regexp_replace(value, f"^{_TITLE} ", "")))
+
+    title = F.regexp_replace(F.regexp_extract(value, f"^{_TITLE}", 0), r"\.$", "")
     return (F.when(kind.isin("phone", "card", "ssn"), F.regexp_replace(value, r"\D", ""))
-            .when(kind == "iban", F.replace(value, F.lit(" "))).when(kind == "name", name).otherwise(F.lower(value)))
+            .when(kind == "iban", F.replace(value, F.lit(" "))).when(kind == "name", _let(title, name)).otherwise(F.lower(value)))
 
 
 def _fill(form: Column, hexes: Column, keep: Column | int = 0) -> Column:
     """Letters and digits of the form, but for its first ``keep`` characters, by the hash, the same class for each."""
 
     def one(c, i):
-        h = F.substring(hexes, (i % 128) + 1, F.lit(1))
-        out = F.when(c.rlike(r"\d"), F.translate(h, "abcdef", "012345"))
-        for script, letters in _LETTERS.items():
-            out = out.when(c.rlike(script), F.when(c == F.upper(c), F.upper(F.translate(h, _HEX, letters))).otherwise(F.translate(h, _HEX, letters)))
-        return F.when(i < keep, c).otherwise(out.otherwise(c))
+        def by(h):
+            out = F.when(c.rlike(r"\d"), F.translate(h, "abcdef", "012345"))
+            for script, letters in _LETTERS.items():
+                letter = F.translate(h, _HEX, letters)
+                out = out.when(c.rlike(script), F.when(c == F.upper(c), F.upper(letter)).otherwise(letter))
+            return out.otherwise(c)
+
+        return F.when(i < keep, c).otherwise(_let(F.substring(hexes, (i % 128) + 1, F.lit(1)), by))
 
     return F.array_join(F.transform(F.split(form, ""), one), "")
 
 
+def _number(hexes: Column, at: int, n: int) -> Column:
+    return F.conv(F.substring(hexes, at, n), 16, 10).cast("int")
+
+
+def _name(norm: Column, of, attempt: Column) -> Column:
+    """Given name by gender, surname by itself, each token by its own hash."""
+
+    def tokens_of(t):
+        tokens, gender = t["tokens"], t["gender"]
+
+        def token(word, i):
+            last = i == F.size(tokens) - 1
+
+            def by(h):
+                at = lambda k: F.element_at(F.array(*[F.lit(s) for s in _SYLLABLES]), _number(h, k, 1) + 1)
+                ending = F.when(last, F.lit("s")).otherwise(gender)
+                lists = F.create_map(*[x for g, e in _ENDINGS.items() for x in (F.lit(g), F.array(*[F.lit(s) for s in e]))])
+                latin = F.concat(at(1), at(2), F.when(last, at(3)).otherwise(F.lit("")), F.element_at(F.element_at(lists, ending), _number(h, 9, 1) % 4 + 1))
+                return F.when(word.rlike(r"^[\p{IsLatin}'-]+$"), latin).otherwise(_fill(word, h))
+
+            return _let(of(F.when(last, F.lit("surname")).otherwise(gender), word, attempt.cast("string")), by)
+
+        return F.concat(gender, F.lit("|"), F.array_join(F.transform(tokens, token), " "))
+
+    parts = F.struct(F.substring(norm, 1, 1).alias("gender"), F.split(F.substring(norm, F.lit(3), F.length(norm)), " ").alias("tokens"))
+    return _let(parts, tokens_of)
+
+
 def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     """The surrogate of a normal form, itself one. Country codes, first card digits and top-level domains stay."""
     of = lambda *what: F.sha2(F.concat_ws("|", F.lit(key), *what), 512)  # noqa: E731  128 hex digits
-    hexes = of(kind, norm, attempt.cast("string"))
-    number = lambda h, i, n: (F.conv(F.substring(h, i, n), 16, 10)).cast("int")
-    octets = F.concat_ws(".", *[(number(hexes, 4 * i + 1, 4) % 254 + 1).cast("string") for i in range(4)])
-    tld = F.element_at(F.split(norm, r"\."), -1)
-    email = F.concat(_fill(F.substring(norm, F.lit(1), F.length(norm) - F.length(tld)), hexes), tld)
-    gender, tokens = F.substring(norm, 1, 1), F.split(F.substring(norm, F.lit(3), F.length(norm)), " ")
-
-    def token(t, i):
-        last = i == F.size(tokens) - 1
-        h = of(F.when(last, F.lit("surname")).otherwise(gender), t, attempt.cast("string"))
-        at = lambda k: F.element_at(F.array(*[F.lit(s) for s in _SYLLABLES]), number(h, k, 1) + 1)
-        end = lambda g: F.element_at(F.array(*[F.lit(s) for s in _ENDINGS[g]]), number(h, 9, 1) % 4 + 1)
-        ending = F.when(last, end("s")).when(gender == "f", end("f")).when(gender == "m", end("m")).otherwise(end("n"))
-        latin = F.concat(at(1), at(2), F.when(last, at(3)).otherwise(F.lit("")), ending)
-        return F.when(t.rlike(r"^[\p{IsLatin}'-]+$"), latin).otherwise(_fill(t, h))
-
-    name = F.concat(gender, F.lit("|"), F.array_join(F.transform(tokens, token), " "))
-    phone = _fill(norm, hexes, F.greatest(F.length(norm) - 10, F.lit(0)))
-    return (F.when(kind == "email", email).when(kind == "ip", octets).when(kind == "name", name).when(kind == "phone", phone)
-            .when(kind == "iban", _fill(norm, hexes, 2)).when(kind == "card", _fill(norm, hexes, 1)).otherwise(_fill(norm, hexes)))
+
+    def by(hexes):
+        octets = F.concat_ws(".", *[(_number(hexes, 4 * i + 1, 4) % 254 + 1).cast("string") for i in range(4)])
+        email = F.concat(_fill(F.regexp_replace(norm, r"[^.]*$", ""), hexes), F.regexp_extract(norm, r"[^.]*$", 0))
+        keep = (F.when(kind == "phone", F.greatest(F.length(norm) - 10, F.lit(0))).when(kind == "iban", 2).when(kind == "card", 1).otherwise(0))
+        return (F.when(kind == "email", email).when(kind == "ip", octets).when(kind == "name", _name(norm, of, attempt))
+                .otherwise(_let(keep, lambda k: _fill(norm, hexes, k))))
+
+    return _let(of(kind, norm, attempt.cast("string")), by)
 
 
 def restore(value: Column, kind: Column, found: Column) -> Column:
@@ -113,6 +140,14 @@ def restore(value: Column, kind: Column, found: Column) -> Column:
     return F.when(kind.isin("phone", "card", "ssn", "iban"), walked).when(kind == "name", titled).when(kind == "email", F.array_join(cased, "")).otherwise(found)
 
 
+def _replaced(values: Column, tries, key: str) -> Column:
+    """The surrogates of mentions; tries(i) is the attempt of the i-th. Step by step, so that no step computes another's part again."""
+    out = F.transform(values, lambda v: F.struct(v.alias("v"), kind_of(v).alias("kind")))
+    out = F.transform(out, lambda e, i: F.struct(e["v"].alias("v"), e["kind"].alias("kind"), normal(e["v"], e["kind"]).alias("norm"), tries(i).alias("n")))
+    out = F.transform(out, lambda e: F.struct(e["v"].alias("v"), e["kind"].alias("kind"), surrogate(e["kind"], e["norm"], e["n"], key).alias("new")))
+    return F.transform(out, lambda e: restore(e["v"], e["kind"], e["new"]))
+
+
 def mentions(text: Column) -> Column:
     """The mentions in order, an empty array if there are none."""
     return F.when(text.rlike(_GUARD), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
@@ -153,23 +188,18 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text") -> DataF
     body = F.col("_body")
     rows = docs.drop("n_entities").withColumn("_body", whole_text(text_col))
     rows = rows.withColumn("_values", mentions(body))
-    own = lambda v: kind_of(v)
-    each = docs.select(F.explode(mentions(whole_text(text_col))).alias("v")).withColumn("kind", own(F.col("v")))
+    each = docs.select(F.explode(mentions(whole_text(text_col))).alias("v")).distinct().withColumn("kind", kind_of(F.col("v")))
     entities = written(each.select("kind", normal(F.col("v"), F.col("kind")).alias("norm")).distinct())
-    exceptions = written(attempts(entities, key))
-    first = lambda v, n: restore(v, own(v), surrogate(own(v), normal(v, own(v)), n, key))
-    plain = F.transform("_values", lambda v: first(v, F.lit(0)))
-    if exceptions.isEmpty():
-        rows = rows.withColumn("_new", plain)
-    else:
+    exceptions = attempts(entities, key)
+    tries = lambda i: F.lit(0)
+    if not exceptions.isEmpty():
         # Only texts that hold an exception need the join; they are known by their hash, and repeated texts are joined once.
         held = rows.filter(F.size("_values") > 0).select(F.xxhash64(body).alias("_h"), F.posexplode("_values").alias("at", "v")).distinct()
-        held = held.withColumn("kind", own(F.col("v"))).withColumn("norm", normal(F.col("v"), F.col("kind")))
+        held = held.withColumn("kind", kind_of(F.col("v"))).withColumn("norm", normal(F.col("v"), F.col("kind")))
         hit = held.join(exceptions, ["kind", "norm"]).groupBy("_h").agg(F.map_from_entries(F.collect_list(F.struct("at", "attempt"))).alias("_tries"))
         rows = rows.withColumn("_h", F.when(F.size("_values") > 0, F.xxhash64(body))).join(hit, "_h", "left").drop("_h")
-        tries = F.col("_tries")
-        with_tries = F.transform("_values", lambda v, i: first(v, F.coalesce(F.element_at(tries, i), F.lit(0))))
-        rows = rows.withColumn("_new", F.when(tries.isNull(), plain).otherwise(with_tries)).drop("_tries")
+        tries = lambda i: F.coalesce(F.element_at("_tries", i), F.lit(0))
+    rows = rows.withColumn("_new", _replaced(F.col("_values"), tries, key))
     text = F.when(F.size("_values") > 0, _inserted(body, F.col("_new"))).otherwise(F.col(text_col))
     columns = [c for c in docs.columns if c != "n_entities"]
     return rows.withColumn(text_col, text).withColumn("n_entities", F.size("_values").cast("long")).select(*columns, "n_entities")
