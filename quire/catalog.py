@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from quire.queries import composition, curation, segmentation  # noqa: F401  they register their queries
+from quire.queries.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]

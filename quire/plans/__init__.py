@@ -1 +1 @@
-"""quire.plans"""
+"""Plans of work as tables: job matrices, sweeps, leaderboards."""
