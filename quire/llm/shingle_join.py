@@ -8,8 +8,9 @@ Exact, without a cap. A document's set are its distinct word shingles, as 64-bit
 2. Documents with equal sets become one. The rest are held against each other again, by their whole sets.
 3. *Trees.* Sets that agree in their least hash (then the second, the third) meet in a signature tree; a bucket that is
    too large for one task is split into chunks, whose classes meet again by representatives.
-4. *The rest.* Only a set most of whose hashes occur in several classes may still have a link to another class. Those meet once more, by
-   every hash that such links must share (the prefix filter), all chunks of a bucket against each other.
+4. *The rest.* Only a set most of whose hashes occur in several classes may still have a link to another class. Classes of
+   such sets that share one of the hashes that a link must share (the prefix filter, rarest hashes first) meet in one more tree; of a
+   cluster too large for one task all pairs of chunks meet that share such a hash.
 
 So hot passages don't gather documents (few documents consist of them), copies are one row, and near copies are one class after step 3.
 Blocks are fixed parts of the hash range, every one with as many hashes as any other; a hash goes there once a batch.
@@ -17,10 +18,10 @@ Blocks are fixed parts of the hash range, every one with as many hashes as any o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import fits, partitions, table, whole_text, written
+from quire.llm.common import fits, in_parts, partitions, table, whole_text, worker_cache, written
 
 WORDS, PERCENT = 5, 80
 #: Share of a set's hashes that linked sets must share in step 1.
@@ -46,9 +47,6 @@ class _WordHashes(dict):
         return value
 
 
-_hashes = _WordHashes()
-
-
 def shingles(text: str, words: int = WORDS):
     """Sorted distinct 64-bit hashes of the word shingles of a text.
 
@@ -63,7 +61,8 @@ def shingles(text: str, words: int = WORDS):
         return np.zeros(0, np.uint64)
     if len(found) < words:
         return np.array([xxhash.xxh64_intdigest(b" ".join(found), seed=len(found))], np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, found), np.uint64, len(found))
+    hashes = worker_cache("words", _WordHashes)
+    h = np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found))
     n = len(h) - words + 1
     mixed = np.zeros(n, np.uint64)
     for k in range(words):
@@ -242,7 +241,7 @@ def _print(h) -> int:
 
 def _from_texts(words: int):
     def of(batches):
-        for b in batches:
+        for b in in_parts(batches):
             for i, text in zip(b.column("id").to_pylist(), b.column("body").to_pylist()):
                 h = shingles(text, words)
                 yield i, _print(h), h, 0
@@ -306,62 +305,89 @@ def _trees(buckets: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _key(at: int) -> Column:
-    """The hash at a place of the set (from 0), null beyond its end or its prefix."""
-    return F.when(F.col("prefix") > at, F.substring("hashes", 8 * at + 1, 8))
+def _named(df: DataFrame, ids: DataFrame, n: int, bytes_per_row: int, how: str = "inner") -> DataFrame:
+    """``df`` joined with ``ids`` on print; the ids go to all executors while they are few."""
+    return df.join(F.broadcast(ids) if fits(n, bytes_per_row) else ids, "print", how)
 
 
-def _classes(sets: DataFrame, edges: DataFrame) -> DataFrame:
+def _classes(names: DataFrame, edges: DataFrame) -> DataFrame:
     roots = components(edges).withColumnRenamed("id", "class")
-    return sets.join(roots, "class", "left").withColumn("class", F.coalesce("root", "class")).drop("root").select(*sets.columns)
+    return names.join(roots, "class", "left").withColumn("class", F.coalesce("root", "class")).drop("root").select(*names.columns)
 
 
-def _round(sets: DataFrame, at: int, chunk: int, percent: int) -> DataFrame:
-    """``sets`` with the classes joined that meet in the buckets of the hash at this place."""
-    keyed = sets.select("print", "class", "hashes", "n", "prefix").withColumn("key", _key(at)).filter("key is not null")
+def _round(sets: DataFrame, names: DataFrame, key: str, chunk: int, percent: int) -> DataFrame:
+    """``names`` with the classes joined whose sets meet in the buckets of a hash (column ``key``) and are alike."""
     while True:
         # One set stands for its class in a bucket. At first every set is a class of its own.
-        heads = keyed.groupBy("key", "class").agg(F.min("print").alias("print"))
+        heads = names.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("key"), "class").agg(F.min("print").alias("print"))
         sizes = heads.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
         heads = written(heads.join(sizes, "key"))
         rows, most = heads.agg(F.count(F.lit(1)), F.max("size")).first()
         if not rows:
-            return sets
+            return names
         parts = F.ceil(F.col("size") / F.lit(chunk)).cast("int")
-        heads = heads.withColumn("bucket", F.xxhash64("key", F.pmod(F.xxhash64("print"), parts)))
-        buckets = heads.select("bucket", "print").join(sets.select("print", "class", "hashes"), "print")
-        edges = written(_trees(buckets, percent))
+        bucket = F.xxhash64("key", F.pmod(F.xxhash64("print"), parts))
+        edges = written(_trees(_named(sets, heads.select("print", "class", bucket.alias("bucket")), rows, 48), percent))
         if edges.isEmpty():
-            return sets
-        sets = written(_classes(sets, edges))
+            return names
+        names = written(_classes(names, edges))
         if most <= chunk:
-            return sets
-        keyed = sets.select("print", "class", "hashes", "n", "prefix").withColumn("key", _key(at)).filter("key is not null")
-        left = keyed.select("key", "class").distinct().groupBy("key").count().agg(F.max("count")).first()[0]
+            return names
+        left = names.select(key, "class").distinct().groupBy(key).count().agg(F.max("count")).first()[0]
         if left * 2 > most:  # the chunks' classes don't come together: step 4 has them
-            return sets
+            return names
+
+
+def _rare_first(sets: DataFrame, percent: int) -> DataFrame:
+    """print, class, token of the hashes that linked sets must share one of: a set's rarest hashes, as many as it may miss and one more; of these those that several classes have.
 
+    The order (documents that hold a hash, then the hash) is the same for all sets, which is all that the prefix filter asks for.
+    """
+    places = F.posexplode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("_", "at")
+    tokens = sets.select("print", "class", "prefix", places, "hashes").select("print", "class", "prefix", F.substring(F.col("hashes"), F.col("at") * 8 + 1, F.lit(8)).alias("token"))
+    held = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("class").alias("lo"), F.max("class").alias("hi")).filter("df > 1")
+    # What one set alone holds comes first in its order and meets nobody: only its number counts.
+    known = tokens.join(held, "token").groupBy("print", "class", "prefix").agg(F.array_sort(F.collect_list(F.struct("df", "token", (F.col("lo") < F.col("hi")).alias("mixed")))).alias("t"))
+    known = known.join(sets.select("print", "n"), "print")
+    shared = F.slice("t", F.lit(1), F.greatest(F.lit(0), F.col("prefix") - (F.col("n") - F.size("t"))).cast("int"))
+    return known.select("print", "class", F.explode(shared).alias("x")).filter("x.mixed").select("print", "class", "x.token")
+
+
+def _rest(sets: DataFrame, names: DataFrame, chunk: int, percent: int) -> DataFrame:
+    """``names`` with the classes joined that still have alike members: exact.
 
-def _rest(sets: DataFrame, chunk: int, percent: int) -> DataFrame:
-    """``sets`` with the classes joined that still have alike members: exact."""
-    spread = written(_shared(sets.select("print", "hashes", "class"), _from_sets, None, percent, labelled=True))
-    open_ = spread.filter("open").select("print")
+    Classes that share a rare hash make up a cluster, and every set of a cluster meets the others in one place; a cluster of
+    several chunks is met by those pairs of chunks that share such a hash. Chunks of one large class needn't meet.
+    """
+    n = names.count()
+    classed = _named(sets, names.select("print", "class"), n, 40)
+    open_ = written(_shared(classed.select("print", "hashes", "class"), _from_sets, None, percent, labelled=True).filter("open").select("print"))
     n = open_.count()
     if not n:
-        return sets
-    some = written(sets.join(F.broadcast(open_) if fits(n, 32) else open_, "print", "left_semi"))
-    places = some.select("print", "class", F.posexplode(F.sequence(F.lit(0), F.col("prefix") - 1)).alias("_", "at"), "hashes")
-    keys = places.select("print", "class", F.substring(F.col("hashes"), F.col("at") * 8 + 1, F.lit(8)).alias("key"))
-    mixed = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi")
-    met = keys.select("print", "key").join(mixed.select("key", "size"), "key")
-    # A bucket of several chunks is met by every pair of them.
-    parts = F.ceil(F.col("size") / F.lit(chunk)).cast("int")
-    met = met.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("print"), F.col("parts")))
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    bucket = F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other"))
-    buckets = met.select(bucket.alias("bucket"), "print").distinct().join(some.select("print", "class", "hashes"), "print")
-    edges = written(_trees(buckets, percent))
-    return sets if edges.isEmpty() else written(_classes(sets, edges))
+        return names
+    some = written(_named(classed, open_, n, 24, "left_semi"))
+    keys = written(_rare_first(some, percent))
+    low = keys.groupBy("token").agg(F.min("class").alias("a"))
+    links = written(keys.join(low, "token").select("a", F.col("class").alias("b")).filter("a <> b").distinct())
+    if links.isEmpty():
+        return names
+    cluster = written(components(links).select(F.col("id").alias("class"), F.col("root").alias("cluster")))
+    member = some.select("print", "class").join(cluster, "class")
+    size = member.groupBy("cluster", "class").agg(F.count(F.lit(1)).alias("k"))
+    small = size.groupBy("cluster").agg(F.sum(F.when(F.col("k") <= chunk, F.col("k")).otherwise(0)).alias("small"))
+    large = F.col("k") > chunk
+    part = F.when(large, F.pmod(F.xxhash64("print"), F.ceil(F.col("k") / F.lit(chunk)))).otherwise(F.pmod(F.xxhash64("class"), F.greatest(F.lit(1), F.ceil(F.col("small") / F.lit(chunk)))))
+    owner = F.when(large, F.col("class"))  # only chunks of large classes have one
+    placed = member.join(size, ["cluster", "class"]).join(small, "cluster").select("print", "class", "cluster", F.xxhash64("cluster", owner, part).alias("chunk"), owner.alias("owner"))
+    placed = written(placed)
+    at = keys.select("print", "token").join(placed, "print").select("cluster", "token", "chunk", "owner").distinct()
+    pairs = at.join(at.select("cluster", "token", F.col("chunk").alias("other"), F.col("owner").alias("_o")), ["cluster", "token"]).filter("chunk <= other")
+    pairs = pairs.filter("owner is null or _o is null or owner <> _o").select("chunk", "other").distinct()
+    pairs = written(pairs.withColumn("bucket", F.xxhash64("chunk", "other")))
+    ends = pairs.select("bucket", F.explode(F.array_distinct(F.array("chunk", "other"))).alias("chunk"))
+    met = written(placed.select("print", "class", "chunk").join(ends, "chunk").select("print", "class", "bucket"))
+    edges = written(_trees(_named(some.drop("class"), met, met.count(), 48), percent))
+    return names if edges.isEmpty() else written(_classes(names, edges))
 
 
 def join_shingles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT,
@@ -379,16 +405,18 @@ def join_shingles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     n = heads.count()
     linked = None
     if n:
-        sets = written(_sets_of(rows, heads, n, words, percent))
-        again = written(_shared(sets, _from_sets, None, percent))
-        left = again.filter("open").select("print")
+        once = every.groupBy("id").count().filter("count > 1").isEmpty()
+        sets = written(_sets_of(rows, heads, n, words, percent, once))
+        left = written(_shared(sets.select("print", "hashes", F.lit(0).cast("long").alias("class")), _from_sets, None, percent).filter("open").select("print"))
         m = left.count()
         if m:
-            sets = written(sets.join(F.broadcast(left) if fits(m, 32) else left, "print", "left_semi"))
-            for at in range(rounds):
-                sets = _round(sets, at, chunk, percent)
-            sets = _rest(sets, chunk, percent)
-            linked = sets.select("print", "class")
+            sets = _named(sets, left, m, 24, "left_semi")
+            at = lambda k: F.when(F.col("prefix") > k, F.substring("hashes", 8 * k + 1, 8)).alias(f"key{k}")
+            names = written(sets.select("print", F.col("print").alias("class"), *[at(k) for k in range(rounds)]))
+            for k in range(rounds):
+                names = _round(sets, names, f"key{k}", chunk, percent)
+            names = _rest(sets, names, chunk, percent)
+            linked = names.select("print", "class")
     own = F.when(F.col("n") > 0, F.col("print"))
     out = every.select("id", "n", own.alias("print"))
     if linked is not None:
@@ -402,24 +430,24 @@ def join_shingles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
 
 
-def _sets_of(rows: DataFrame, heads: DataFrame, n: int, words: int, percent: int) -> DataFrame:
-    """print, class (at first the same), n, prefix, hashes of the sets that ``heads`` names."""
+def _sets_of(rows: DataFrame, heads: DataFrame, n: int, words: int, percent: int, once: bool) -> DataFrame:
+    """print, n, prefix, hashes of the sets that ``heads`` names. ``once``: no id is repeated."""
 
     def read(batches):
         import numpy as np
         import pyarrow as pa
 
-        for b in batches:
+        for b in in_parts(batches):
             out = []
             for wanted, text in zip(b.column("print").to_pylist(), b.column("body").to_pylist()):
                 h = shingles(text, words)
                 if _print(h) == wanted:  # rows that repeat an id may hold another text
-                    out.append((wanted, wanted, len(h), len(h) - _up(len(h), percent) + 1, h.astype(np.uint64).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 5, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["print", "class", "n", "prefix", "hashes"])
+                    out.append((wanted, len(h), len(h) - _up(len(h), percent) + 1, h.astype(np.uint64).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 4, (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["print", "n", "prefix", "hashes"])
 
     texts = rows.join(F.broadcast(heads) if fits(n, 48) else heads, "id")
-    found = texts.select("print", "body").mapInArrow(read, "print long, class long, n long, prefix int, hashes binary")
-    return found.dropDuplicates(["print"])
+    found = texts.select("print", "body").mapInArrow(read, "print long, n long, prefix int, hashes binary")
+    return found if once else found.dropDuplicates(["print"])
 
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
