@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,3 +51,39 @@ BROADCAST_BYTES = 16 << 20
 
 def fits(rows: int, bytes_per_row: int, limit: int = BROADCAST_BYTES) -> bool:
     return rows * bytes_per_row <= limit
+
+
+_kept: dict = {}
+
+
+def worker_cache(name: str, make: Callable):
+    """What a Python worker keeps between tasks, made once. It keeps one thing: a later operator's cache takes the place of an earlier one's."""
+    if name not in _kept:
+        _kept.clear()
+        trim()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def trim() -> None:
+    """Gives freed memory back to the system; a worker lives on after its task, and its peak would stay with it."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def in_parts(batches: Iterable, rows: int = 512) -> Iterator:
+    """Arrow batches in slices of so many rows, so that few texts at a time are Python objects; trims at the end."""
+    for b in batches:
+        for a in range(0, len(b), rows):
+            yield b.slice(a, rows)
+        del b
+    trim()

@@ -14,7 +14,7 @@ import heapq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import partitions, table, whole_text, written
+from quire.llm.common import in_parts, table, whole_text, written
 from quire.llm.tokens import encoder, public_path
 
 CAPACITY = 4096
@@ -100,10 +100,10 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID,
         enc, end = encoder(vocabulary, "word"), struct.pack("<I", end_id)
         row = TaskContext.get().partitionId() << 33
         names = ["row", "doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-        for b in batches:
+        for b in in_parts(batches):
             out = []
-            for i, text in zip(b.column("id").to_pylist(), b.column("body").to_pylist()):
-                ids = memoryview(enc.encode(text) + end)
+            for i, found in zip(b.column("id").to_pylist(), enc.encode_all(b.column("body").to_pylist())):
+                ids = memoryview(found + end)
                 n, start = len(ids) // 4, 0
                 for length in cut(n, capacity):
                     out.append((row, i, start, length, zlib.crc32(ids[start * 4 : (start + length) * 4]), n))

@@ -13,7 +13,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import table, whole_text, written
+from quire.llm.common import in_parts, table, whole_text, written
 
 # The patterns of the base spans, and what they need at least.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -56,7 +56,7 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo
 
         row = TaskContext.get().partitionId() << 33
         kind = pa.list_(pa.struct([("hash", pa.string()), ("start", pa.int64()), ("kind", pa.int32()), ("stop", pa.int64())]))
-        for b in batches:
+        for b in in_parts(batches):
             found = [
                 [{"hash": hashlib.sha256(v.encode("utf-8", "surrogatepass")).hexdigest(), "start": s, "kind": k, "stop": e} for s, k, e, v in find(t)]
                 for t in b.column("body").to_pylist()

@@ -14,7 +14,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import partitions, shared_dir, table, whole_text, written
+from quire.llm.common import in_parts, partitions, shared_dir, table, whole_text, written
 from quire.llm.tokens import encoder, public_path
 
 SEQUENCE = 2048
@@ -164,7 +164,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, en
 
         enc, end = encoder(vocabulary, "byte"), struct.pack("<I", end_id)
         path = f"{folder}/part-{TaskContext.get().partitionId():06d}.arrow"
-        rows = ((i, enc.encode(t) + end) for b in batches for i, t in zip(b.column("id").to_pylist(), b.column("body").to_pylist()))
+        rows = ((i, ids + end) for b in in_parts(batches) for i, ids in zip(b.column("id").to_pylist(), enc.encode_all(b.column("body").to_pylist())))
         first = next(rows, None)
         if first is not None:
             from itertools import chain
@@ -175,7 +175,13 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, en
             yield pa.RecordBatch.from_pandas(pd.DataFrame([[TaskContext.get().partitionId(), path, *got]], columns=["file", "path", "n_docs", "n_ids", "n_sequences"]).astype({"file": "int64"}), preserve_index=False)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("body"))
-    dealt = rows.repartitionByRange(partitions(spark), "id").sortWithinPartitions("id", "body")
+    n = partitions(spark)
+    # Bounds from the ids alone: range partitioning itself would sample by reading all texts once more.
+    places = [k / n for k in range(1, n)]
+    bounds = rows.select("id").approxQuantile("id", places, 0.1 / n) if n > 1 else []
+    above = F.array(*[F.lit(int(b)) for b in sorted(set(bounds))]).cast("array<bigint>")
+    slot = F.coalesce(F.size(F.filter(above, lambda b: b <= F.col("id"))), F.lit(0))
+    dealt = rows.withColumn("slot", F.when(F.col("id").isNull(), 0).otherwise(slot)).repartitionById(n, "slot").drop("slot").sortWithinPartitions("id", "body")
     files = written(dealt.mapInArrow(write, "file long, path string, n_docs long, n_ids long, n_sequences long"))
     start, found = 0, []
     for r in sorted(files.collect(), key=lambda r: r["file"]):  # a row for each partition

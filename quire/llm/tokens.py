@@ -1,7 +1,7 @@
 """Token ids of whole texts by the tokenizers library, with a bounded cache of pieces.
 
-Both vocabularies pre-tokenise at white space, so a text may be cut at certain spaces and its pieces
-encoded on their own: the ids, joined, are those of the whole text. Most pieces recur; the cache holds
+Both vocabularies split a text into words and signs before they merge, so a text may be cut at certain
+places and its pieces encoded on their own: the ids, joined, are those of the whole text. Most pieces recur; the cache holds
 the ids of recent ones in two generations: when the young one is full it becomes the old one.
 """
 
@@ -11,11 +11,22 @@ import os
 import re
 import sys
 from array import array
-
-#: Cuts that never change the ids. Byte-level BPE keeps a single space with the word behind it; a
-#: space beside other white space isn't a cut. Where white space is dropped, each space or newline is one.
-CUTS = {"byte": re.compile(r"(?<=\S)(?= \S)"), "word": re.compile(r"[ \n]")}
+from collections.abc import Iterable, Iterator
+
+from quire.llm.common import worker_cache
+
+#: A word (with the space before it), or what else there is up to the next word. Between two such pieces the
+#: vocabularies' own patterns have a border too. No border: beside an apostrophe (contractions), beside
+#: other signs beyond ASCII (a combining mark may be composed with the letter before it), and between a run of white space and a
+#: word (its last character is a token of its own there).
+PIECES = re.compile(
+    r" ?[^\W_]+(?![^\W_]|'|[^\x00-\x7f])"
+    r"|(?: (?=[^\W_]))?.(?:(?! [^\W_]|(?<![^\W_])(?<!')(?<!\s\s)(?<![^\x00-\x7f])[^\W_]).)*",
+    re.S,
+)
 _LONGEST_KEPT = 64
+#: Pieces looked up together, about.
+_AT_ONCE = 4_000
 
 
 def _little(ids: list[int]) -> bytes:
@@ -28,48 +39,87 @@ def _little(ids: list[int]) -> bytes:
 class PieceEncoder:
     """encode(text) -> little-endian unsigned 32-bit ids as bytes, without special tokens added."""
 
-    def __init__(self, path: str, kind: str, max_pieces: int = 400_000):
+    def __init__(self, path: str, kind: str, max_pieces: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._cut, self._max = CUTS[kind], max_pieces
+        self._folds, self._max = kind == "word", max_pieces
         self._kept: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
+        self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+        if kind == "word":
+            self._special.append("\u0130")  # its small form ends in a sign of its own
         self.vocab_size = self._tokenizer.get_vocab_size()
 
     def encode(self, text: str) -> bytes:
-        pieces = self._cut.split(text)
-        kept = self._kept
-        try:
-            return b"".join(map(kept.__getitem__, pieces))
-        except KeyError:
-            pass
-        fresh, old, missing = {}, self._old, []
-        for p in dict.fromkeys(pieces):
-            if p not in kept:
-                if p in old:
-                    fresh[p] = old[p]
-                else:
-                    missing.append(p)
-        if missing:
-            for p, e in zip(missing, self._tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
-                fresh[p] = _little(e.ids)
-        out = b"".join([fresh[p] if p in fresh else kept[p] for p in pieces])
-        kept.update((p, v) for p, v in fresh.items() if len(p) <= _LONGEST_KEPT)
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """The ids of each text, in order. Some texts at a time share the look at what the cache lacks."""
+        held: list = []
+        size = 0
+        for text in texts:
+            whole = any(s in text for s in self._special)
+            held.append(_little(self._tokenizer.encode(text, add_special_tokens=False).ids) if whole else PIECES.findall(text))
+            size += len(held[-1])
+            if size >= _AT_ONCE:
+                yield from self._encoded(held)
+                held, size = [], 0
+        yield from self._encoded(held)
+
+    def _encoded(self, held: list) -> Iterator[bytes]:
+        """Of lists of pieces their ids; what is bytes already passes."""
+        kept, old = self._kept, self._old
+        missing = set().union(*[x for x in held if type(x) is list]).difference(kept)
+        long = [p for p in missing if len(p) > _LONGEST_KEPT]
+        if old:
+            found = [p for p in missing if p in old]
+            kept.update((p, old[p]) for p in found)
+            missing.difference_update(found)
+        if self._folds:  # small and capital letters have the same ids
+            missing = [p for p in missing if not self._folded(p)]
+        self._add(missing)
+        get = kept.__getitem__
+        out = [b"".join(map(get, x)) if type(x) is list else x for x in held]
+        for p in long:
+            kept.pop(p, None)
         if len(kept) > self._max:
             self._old, self._kept = kept, {}
-        return out
+        yield from out
 
-
-_encoders: dict[tuple[str, str], PieceEncoder] = {}
+    def _add(self, missing) -> None:
+        """Keeps the ids of pieces. A space and letters are one unit for the vocabularies, so such pieces go in one call, joined."""
+        kept = self._kept
+        words = [p for p in missing if p[0] == " " and p[1:].isalpha()]
+        done = words
+        if words:
+            e = self._tokenizer.encode("".join(words), add_special_tokens=False)
+            data, unit = _little(e.ids), e.word_ids
+            cuts = [0, *[i for i in range(1, len(unit)) if unit[i] != unit[i - 1]], len(unit)]
+            if len(cuts) == len(words) + 1:
+                for p, a, b in zip(words, cuts, cuts[1:]):
+                    kept[p] = data[4 * a : 4 * b]
+            else:
+                done = []
+        done = set(done)
+        rest = [p for p in missing if p not in done]
+        if rest:
+            for p, e in zip(rest, self._tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+                kept[p] = _little(e.ids)
+
+    def _folded(self, piece: str) -> bool:
+        """Takes the ids of an ASCII piece from the same one in small letters, if that is kept."""
+        small = piece.lower() if piece.isascii() else piece
+        ids = self._kept.get(small) if small != piece else None
+        if ids is not None:
+            self._kept[piece] = ids
+        return ids is not None
 
 
 def encoder(path: str, kind: str) -> PieceEncoder:
     """One encoder a Python worker; workers are reused, and so is the cache."""
-    if (path, kind) not in _encoders:
-        _encoders[path, kind] = PieceEncoder(path, kind)
-    return _encoders[path, kind]
+    return worker_cache(f"{kind}:{path}", lambda: PieceEncoder(path, kind))
 
 
 def public_path(name: str) -> str:

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import table, whole_text
+from quire.llm.common import in_parts, table, whole_text
 
 #: Bytes of a window at most; short ones keep zstandard from coding literals, so that every saved match counts.
 WINDOW = 24
@@ -172,7 +172,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
         import pyarrow as pa
 
         of = model.measure() if model else None
-        for b in batches:
+        for b in in_parts(batches):
             texts = b.column("_body").to_pylist()
             x = [1 / (1 + math.exp(-max(-700.0, min(700.0, model.slope * (of(t) - model.threshold))))) for t in texts] if of else [0.0] * len(texts)
             cols = [b.column(k) for k in range(b.num_columns - 1)]
