@@ -29,6 +29,20 @@ _LONGEST_KEPT = 64
 _AT_ONCE = 4_000
 
 
+#: Letters up to here are composed, and have small forms of one letter (but for U+0130, see below).
+_PLAIN = "\u017f"
+
+
+def _byte_signs() -> dict[int, str]:
+    """The signs by which byte-level vocabularies write bytes: printable ones themselves, the others from U+0100 on in order."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(0x100 + i) for i, b in enumerate(others)}
+
+
+_BYTE_SIGNS = _byte_signs()
+
+
 def _little(ids: list[int]) -> bytes:
     out = array("I", ids)
     if sys.byteorder == "big":
@@ -39,7 +53,7 @@ def _little(ids: list[int]) -> bytes:
 class PieceEncoder:
     """encode(text) -> little-endian unsigned 32-bit ids as bytes, without special tokens added."""
 
-    def __init__(self, path: str, kind: str, max_pieces: int = 600_000):
+    def __init__(self, path: str, kind: str, max_pieces: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -89,21 +103,15 @@ class PieceEncoder:
         yield from out
 
     def _add(self, missing) -> None:
-        """Keeps the ids of pieces. A space and letters are one unit for the vocabularies, so such pieces go in one call, joined."""
-        kept = self._kept
-        words = [p for p in missing if p[0] == " " and p[1:].isalpha()]
-        done = words
-        if words:
-            e = self._tokenizer.encode("".join(words), add_special_tokens=False)
-            data, unit = _little(e.ids), e.word_ids
-            cuts = [0, *[i for i in range(1, len(unit)) if unit[i] != unit[i - 1]], len(unit)]
-            if len(cuts) == len(words) + 1:
-                for p, a, b in zip(words, cuts, cuts[1:]):
-                    kept[p] = data[4 * a : 4 * b]
-            else:
-                done = []
-        done = set(done)
-        rest = [p for p in missing if p not in done]
+        """Keeps the ids of pieces. A space and letters are one unit for the vocabularies: such pieces go to the model straight away."""
+        kept, tokenize, folds = self._kept, self._tokenizer.model.tokenize, self._folds
+        rest = []
+        for p in missing:
+            if p[0] != " " or not p[1:].isalpha() or folds and max(p) > _PLAIN:
+                rest.append(p)
+                continue
+            unit = p[1:].lower() if folds else p
+            kept[p] = _little([t.id for t in tokenize(unit.encode().decode("latin-1").translate(_BYTE_SIGNS))])
         if rest:
             for p, e in zip(rest, self._tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
                 kept[p] = _little(e.ids)
