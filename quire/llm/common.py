@@ -45,6 +45,12 @@ def whole_text(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+def guarded(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The rows with columns named c0, c1, ... and their names by the old ones, so that no column of a caller clashes with an operator's own."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), dict(zip(df.columns, names))
+
+
 #: A broadcast side may be so large; beyond it, operators take a shuffle instead.
 BROADCAST_BYTES = 16 << 20
 
@@ -56,6 +62,14 @@ def fits(rows: int, bytes_per_row: int, limit: int = BROADCAST_BYTES) -> bool:
 _kept: dict = {}
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Fewer rows in an Arrow batch than the default 10,000, which with whole texts would be tens of MB outside the heap; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
+
+
 def worker_cache(name: str, make: Callable):
     """What a Python worker keeps between tasks, made once. It keeps one thing: a later operator's cache takes the place of an earlier one's."""
     if name not in _kept:

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import fits, partitions, table, whole_text, written
+from quire.llm.common import fits, guarded, partitions, table, whole_text, written
 
 QUOTIENT_BITS = 16
 _REMAINDER_BYTES = 8 - QUOTIENT_BITS // 8
@@ -149,8 +149,9 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     arbitrarily: they hold the same id and text, and exactly one of them has kept = true. An empty table gives an empty one.
     """
     added = ["keep_id", "group_size", "kept", "text_sha256"]
-    base = docs.drop(*added)
-    groups = written(copies(docs, id_col, text_col))
+    base, at = guarded(docs.drop(*added))
+    names, id_col, text_col = list(at), at[id_col], at[text_col]
+    groups = written(copies(base, id_col, text_col))
     rows = base.withColumn("text_sha256", F.sha2(whole_text(text_col), 256))
     n = groups.count()
     right = F.broadcast(groups) if fits(n, 160) else groups
@@ -171,15 +172,13 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         tied = tied.withColumn("kept", F.row_number().over(one) == 1)
         rest = kept.join(ties.withColumn("_tie", F.lit(True)), "text_sha256", "left").filter("_tie is null or not _best").drop("_tie")
         kept = rest.unionByName(tied)
-    return kept.select(*base.columns, "keep_id", "group_size", "kept", "text_sha256")
+    return kept.select(*base.columns, *added).toDF(*names, *added)
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with the columns of ``docs``."""
-    taken = [c for c in ("keep_id", "group_size", "kept", "text_sha256") if c in docs.columns]
-    renamed = docs.withColumnsRenamed({c: f"_own_{c}" for c in taken})
-    own = {f"_own_{c}": c for c in taken}
-    return mark_copies(renamed, id_col, text_col).filter("kept").select(*renamed.columns).withColumnsRenamed(own)
+    base, at = guarded(docs)
+    return mark_copies(base, at[id_col], at[text_col]).filter("kept").select(*base.columns).toDF(*docs.columns)
 
 
 def op8_exact_dedup(spark, sf_dir: str) -> DataFrame:

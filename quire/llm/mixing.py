@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import fits, partitions, table, whole_text
+from quire.llm.common import fits, guarded, partitions, table, whole_text
 
 #: Share of a source: its size to this power (1: as it is, 0: all sources alike).
 TEMPERATURE = 0.7
@@ -93,8 +93,9 @@ def replicate(docs: DataFrame, source_rates: DataFrame, seed: str = "mix", id_co
 def mix(docs: DataFrame, targets: DataFrame | None = None, budget: float = 1.0, seed: str = "mix", id_col: str = "doc_id",
         source_col: str = "source", text_col: str = "text", temperature: float = TEMPERATURE) -> DataFrame:
     """The mixed corpus in its new order, with the columns of ``docs``. Empty tables give empty ones."""
-    r = rates(docs, targets, budget, source_col, text_col, temperature)
-    return replicate(docs, r, seed, id_col, source_col).select(*docs.columns)
+    base, at = guarded(docs)
+    r = rates(base, targets, budget, at[source_col], at[text_col], temperature)
+    return replicate(base, r, seed, at[id_col], at[source_col]).select(*base.columns).toDF(*docs.columns)
 
 
 def op2_poisson_mixing(spark, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import heapq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import in_parts, table, whole_text, written
+from quire.llm.common import in_parts, table, text_batches, whole_text, written
 from quire.llm.tokens import encoder, public_path
 
 CAPACITY = 4096
@@ -88,6 +88,7 @@ def cut(n: int, capacity: int = CAPACITY) -> list[int]:
 
 def pieces(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each piece of each row: row (which row of ``docs``), doc_id, start, length, ids_crc32, doc_tokens."""
+    text_batches(docs.sparkSession)
     vocabulary = vocabulary or public_path(VOCABULARY)
 
     def tokenise(batches):

@@ -13,7 +13,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import in_parts, table, whole_text, written
+from quire.llm.common import in_parts, table, text_batches, whole_text, written
 
 # The patterns of the base spans, and what they need at least.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -65,6 +65,7 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo
             row += len(b)
             yield pa.RecordBatch.from_arrays([rows, b.column("id"), b.column("owner"), b.column("repo"), pa.array(found, kind)], names=["row", "doc_id", "owner", "repo", "found"])
 
+    text_batches(docs.sparkSession)
     owner = F.coalesce(F.col(owner_col).cast("string"), F.lit(""))
     repo = F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in repo_cols])
     rows = docs.select(F.col(id_col).cast("long").alias("id"), owner.alias("owner"), repo.alias("repo"), whole_text(text_col).alias("body"))

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import fits, in_parts, partitions, table, whole_text, worker_cache, written
+from quire.llm.common import fits, guarded, in_parts, partitions, table, text_batches, whole_text, worker_cache, written
 
 WORDS, PERCENT = 5, 80
 #: Share of a set's hashes that linked sets must share in step 1.
@@ -30,8 +30,8 @@ SHARE = 15
 CHUNK = 1000
 #: Rounds of step 3.
 ROUNDS = 3
-_MAX_WORDS = 400_000
-_FLUSH_DOCS, _FLUSH_HASHES = 60_000, 3_000_000
+_MAX_WORDS = 300_000
+_FLUSH_DOCS, _FLUSH_HASHES = 60_000, 1_000_000
 _NOBODY = 0xFFFF
 
 
@@ -93,12 +93,13 @@ class _Batch:
     def __init__(self, number: int):
         self.number, self.hashes, self.owners, self.classes, self.rows, self.size = number, [], [], [], [], 0
 
-    def add(self, row: tuple, dealt, need: int, cls: int) -> None:
+    def add(self, row: tuple, dealt, need: int, cls: int | None) -> None:
         import numpy as np
 
         self.hashes.append(dealt)
         self.owners.append(np.full(len(dealt), len(self.rows), np.uint16))
-        self.classes.append(np.full(len(dealt), cls, np.int64))
+        if cls is not None:
+            self.classes.append(np.full(len(dealt), cls, np.int64))
         self.rows.append((*row, need))
         self.size += len(dealt)
 
@@ -110,9 +111,10 @@ class _Batch:
         import numpy as np
 
         h = np.concatenate(self.hashes)
-        owner, cls = np.concatenate(self.owners), np.concatenate(self.classes)
+        owner = np.concatenate(self.owners)
         order = np.argsort(h, kind="stable")
-        h, owner, cls = h[order], owner[order], cls[order]
+        h, owner = h[order], owner[order]
+        cls = np.concatenate(self.classes)[order] if labelled else None
         first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
         run = np.diff(np.append(first, len(h)))
         if labelled:  # in common if the run has two classes
@@ -124,14 +126,17 @@ class _Batch:
         out = np.repeat(~several, run)
         out[first] = True
         known = np.repeat(several, run)[out]
-        h, owner, cls = h[out], np.where(known, np.uint16(_NOBODY), owner[out]), cls[out]
+        h, owner = h[out], np.where(known, np.uint16(_NOBODY), owner[out])
+        cls = cls[out] if labelled else None
         block = ((h >> np.uint64(32)).astype(np.int64) * blocks) >> 32
         cuts = np.flatnonzero(np.diff(block)) + 1
         for a, b in zip([0, *cuts], [*cuts, len(h)]):
             if b > a:
                 yield int(block[a]), self.number, 0, h[a:b].astype(np.uint32).tobytes(), owner[a:b].tobytes(), cls[a:b].tobytes() if labelled else b""
-        ids, sizes, prints, need = (np.array(x, np.int64) for x in zip(*self.rows))
-        yield self.number % blocks, self.number, 1, np.stack([ids, sizes, prints]).tobytes(), (need - credit).tobytes(), b""
+        ids, sizes, prints, need = zip(*self.rows)
+        known = np.array([i is not None for i in ids], np.int64)
+        ids = np.array([i or 0 for i in ids], np.int64)
+        yield self.number % blocks, self.number, 1, np.stack([ids, known, np.array(sizes, np.int64), np.array(prints, np.int64)]).tobytes(), (np.array(need, np.int64) - credit).tobytes(), b""
 
 
 def _shared(dealt: DataFrame, batches_of, share: int | None, percent: int, labelled: bool = False) -> DataFrame:
@@ -210,7 +215,7 @@ def _shared(dealt: DataFrame, batches_of, share: int | None, percent: int, label
         for b in batches:
             for number, kind, x, y in zip(*(b.column(k).to_pylist() for k in range(4))):
                 if kind:
-                    sets[number] = np.frombuffer(x, np.int64).reshape(3, -1), np.frombuffer(y, np.int64)
+                    sets[number] = np.frombuffer(x, np.int64).reshape(4, -1), np.frombuffer(y, np.int64)
                 else:
                     got = np.bincount(np.frombuffer(x, np.uint16))
                     have = counts.get(number)
@@ -220,11 +225,11 @@ def _shared(dealt: DataFrame, batches_of, share: int | None, percent: int, label
                         counts[number] = got
                     else:
                         have[: len(got)] += got
-        for number, ((ids, sizes, prints), need) in sets.items():
+        for number, ((ids, known, sizes, prints), need) in sets.items():
             count = np.zeros(len(ids), np.int64)
             got = counts.get(number, count[:0])
             count[: len(got)] = got
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sizes), pa.array(prints), pa.array((count >= need) & (sizes > 0))], names=["id", "n", "print", "open"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, mask=known == 0), pa.array(sizes), pa.array(prints), pa.array((count >= need) & (sizes > 0))], names=["id", "n", "print", "open"])
 
     sent = dealt.mapInArrow(deal, "block int, batch long, kind int, a binary, b binary, c binary").repartitionById(blocks, "block")
     back = sent.mapInArrow(compare, "batch long, kind int, a binary, b binary").repartition(blocks, "batch")
@@ -244,7 +249,7 @@ def _from_texts(words: int):
         for b in in_parts(batches):
             for i, text in zip(b.column("id").to_pylist(), b.column("body").to_pylist()):
                 h = shingles(text, words)
-                yield i, _print(h), h, 0
+                yield i, _print(h), h, None
 
     return of
 
@@ -395,8 +400,9 @@ def join_shingles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """A row for each row of ``docs``: doc_id, n_shingles, component_id.
 
     A null or empty text has no shingles and no links; its component is its own id. Rows that repeat each other are linked
-    (to themselves). Rows with a null id count as the least id of none: they link others, and are a component only by themselves.
+    (to themselves). A row with a null id belongs to the component of a row with an equal set; it links no others.
     """
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("body"))
     every = written(_shared(rows, _from_texts(words), share, percent))
     # Documents with equal sets are one from here on, known by the set's fingerprint; the first holds its text.
@@ -407,7 +413,7 @@ def join_shingles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if n:
         once = every.groupBy("id").count().filter("count > 1").isEmpty()
         sets = written(_sets_of(rows, heads, n, words, percent, once))
-        left = written(_shared(sets.select("print", "hashes", F.lit(0).cast("long").alias("class")), _from_sets, None, percent).filter("open").select("print"))
+        left = written(_shared(sets.select("print", "hashes", F.lit(None).cast("long").alias("class")), _from_sets, None, percent).filter("open").select("print"))
         m = left.count()
         if m:
             sets = _named(sets, left, m, 24, "left_semi")
@@ -455,17 +461,19 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Of rows that repeat that id and share its component one stays; rows without shingles all stay.
     """
-    found = join_shingles(docs, id_col, text_col, **options)
-    other = found.filter("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("_other")).distinct()
-    other = written(other)
+    base, at = guarded(docs)
+    own = at[id_col]
+    found = written(join_shingles(base, own, at[text_col], **options))
+    other = written(found.filter("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("_other")).distinct())
     k = other.count()
-    kept = docs.join(F.broadcast(other) if fits(k, 24) else other, docs[id_col] == other["_other"], "left_anti")
+    kept = base.join(F.broadcast(other) if fits(k, 24) else other, base[own] == other["_other"], "left_anti")
     repeated = written(found.filter("n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
-    if repeated.isEmpty():
-        return kept
-    tied = kept.join(F.broadcast(repeated) if fits(repeated.count(), 24) else repeated, kept[id_col] == repeated["doc_id"], "left_semi")
-    plain = kept.join(repeated.select(F.col("doc_id").alias("_r")), kept[id_col] == F.col("_r"), "left_anti")
-    return plain.unionByName(tied.dropDuplicates([id_col]))
+    k = repeated.count()
+    if k:
+        side = F.broadcast(repeated) if fits(k, 24) else repeated
+        tied = kept.join(side, kept[own] == repeated["doc_id"], "left_semi").dropDuplicates([own])
+        kept = kept.join(side, kept[own] == repeated["doc_id"], "left_anti").unionByName(tied)
+    return kept.toDF(*docs.columns)
 
 
 def op7_shingle_join(spark, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import table, whole_text, written
+from quire.llm.common import guarded, table, whole_text, written
 
 _TITLES = {
     "m": ["Mr", "Herr", "Monsieur", "Señor", "Sr"],
@@ -185,10 +185,12 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text") -> DataF
 
     Texts without entities stay as they are, null ones null. Rows that repeat each other get the same text.
     """
+    base, at = guarded(docs.drop("n_entities"))
+    names, text_col = list(at), at[text_col]
     body = F.col("_body")
-    rows = docs.drop("n_entities").withColumn("_body", whole_text(text_col))
+    rows = base.withColumn("_body", whole_text(text_col))
     rows = rows.withColumn("_values", mentions(body))
-    each = docs.select(F.explode(mentions(whole_text(text_col))).alias("v")).distinct().withColumn("kind", kind_of(F.col("v")))
+    each = base.select(F.explode(mentions(whole_text(text_col))).alias("v")).distinct().withColumn("kind", kind_of(F.col("v")))
     entities = written(each.select("kind", normal(F.col("v"), F.col("kind")).alias("norm")).distinct())
     exceptions = attempts(entities, key)
     tries = lambda i: F.lit(0)
@@ -201,8 +203,8 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text") -> DataF
         tries = lambda i: F.coalesce(F.element_at("_tries", i), F.lit(0))
     rows = rows.withColumn("_new", _replaced(F.col("_values"), tries, key))
     text = F.when(F.size("_values") > 0, _inserted(body, F.col("_new"))).otherwise(F.col(text_col))
-    columns = [c for c in docs.columns if c != "n_entities"]
-    return rows.withColumn(text_col, text).withColumn("n_entities", F.size("_values").cast("long")).select(*columns, "n_entities")
+    out = rows.withColumn(text_col, text).withColumn("n_entities", F.size("_values").cast("long"))
+    return out.select(*base.columns, "n_entities").toDF(*names, "n_entities")
 
 
 #: The query's key. A caller passes one of its own and keeps it secret.

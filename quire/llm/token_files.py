@@ -14,7 +14,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import in_parts, partitions, shared_dir, table, whole_text, written
+from quire.llm.common import in_parts, partitions, shared_dir, table, text_batches, whole_text, written
 from quire.llm.tokens import encoder, public_path
 
 SEQUENCE = 2048
@@ -153,6 +153,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, en
 
     Every document, an empty or null text too, ends in ``end_id``. Rows that repeat an id follow each other by their text; null ids come first.
     """
+    text_batches(docs.sparkSession)
     spark = docs.sparkSession
     vocabulary = vocabulary or public_path(VOCABULARY)
 

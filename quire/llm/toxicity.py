@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import in_parts, table, whole_text
+from quire.llm.common import guarded, in_parts, table, text_batches, whole_text, worker_cache
 
 #: Bytes of a window at most; short ones keep zstandard from coding literals, so that every saved match counts.
 WINDOW = 24
@@ -171,6 +171,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
 
         import pyarrow as pa
 
+        worker_cache("toxicity", dict)  # in place of what earlier operators kept
         of = model.measure() if model else None
         for b in in_parts(batches):
             texts = b.column("_body").to_pylist()
@@ -178,6 +179,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
             cols = [b.column(k) for k in range(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(x, pa.float64()), pa.array([int(v >= 0.5) for v in x], pa.int32())], schema=None, names=[*b.schema.names[:-1], "score", "predicted"])
 
+    text_batches(docs.sparkSession)
     kept = docs.select(*(keep or [id_col]), whole_text(text_col).alias("_body"))
     fields = [f for f in kept.schema.fields if f.name != "_body"]
     from pyspark.sql import types as T
@@ -187,9 +189,8 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that aren't predicted toxic, with the columns of ``docs``."""
-    renamed = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    at = dict(zip(docs.columns, renamed.columns))
-    model = train(docs, labels, id_col, text_col)
+    renamed, at = guarded(docs)
+    model = train(docs.select(id_col, text_col), labels, id_col, text_col)
     scored = score(renamed, model, at[id_col], at[text_col], renamed.columns)
     return scored.filter("predicted = 0").drop("score", "predicted").toDF(*docs.columns)
 
