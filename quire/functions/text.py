@@ -25,9 +25,9 @@ def markdown_text(text: Column) -> Column:
     """Plain text of Markdown with tables: marks of headings, lists, quotes, emphasis, links, code and table rules go. Null gives ''."""
     t = F.coalesce(text, F.lit(""))
     for pattern, by in (
-        (r"(?m)^\s*```.*$", ""), (r"!\[([^\]]*)\]\([^)]*\)", ""), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"(?m)^\s*\|?(?:\s*:?-{3,}:?\s*\|)+\s*:?-*:?\s*$", ""),
-        (r"(?m)^\s{0,3}#{1,6}\s+", ""), (r"(?m)\s+#+\s*$", ""), (r"(?m)^\s*>\s?", ""), (r"(?m)^\s*(?:[-*+]|\d+[.)])\s+", ""), (r"(?m)^\s*(?:[-*_]\s*){3,}$", ""),
-        (r"(\*\*|__)(?=\S)(.+?)(?<=\S)\1", "$2"), (r"(?<![\w*])\*(?=\S)(.+?)(?<=\S)\*(?!\w)", "$1"), (r"`([^`]*)`", "$1"), (r"(?m)^\s*\||\|\s*$", ""), (r"\s*\|\s*", "\n"),
+        (r"(?m)^[ \t]*```.*$", ""), (r"!\[([^\]]*)\]\([^)]*\)", ""), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"(?m)^[ \t]*\|?(?:[ \t]*:?-+:?[ \t]*\|)+[ \t]*:?-*:?[ \t]*$", ""),
+        (r"(?m)^[ \t]{0,3}#{1,6}[ \t]+", ""), (r"(?m)[ \t]+#+[ \t]*$", ""), (r"(?m)^[ \t]*>[ \t]?", ""), (r"(?m)^[ \t]*(?:[-*+]|\d+[.)])[ \t]+", ""), (r"(?m)^[ \t]*(?:[-*_][ \t]*){3,}$", ""),
+        (r"(\*\*|__)(?=\S)(.+?)(?<=\S)\1", "$2"), (r"(?<![\w*])\*(?=\S)(.+?)(?<=\S)\*(?!\w)", "$1"), (r"`([^`]*)`", "$1"), (r"(?m)^[ \t]*\||\|[ \t]*$", ""), (r"[ \t]*\|[ \t]*", "\n"),
     ):
         t = F.regexp_replace(t, pattern, by)
     return lines_of(t)

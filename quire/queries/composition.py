@@ -168,7 +168,7 @@ def _draws(spark, n, rows, columns):
 
 @query("impute_types", f"""WITH {S.DOCUMENTS}, {_POST}, {_PRIOR}, {_INV}, cu AS (SELECT pred, "true", CASE WHEN row_number() OVER (PARTITION BY pred ORDER BY "true" DESC) = 1 THEN 1 ELSE sum(w) OVER (PARTITION BY pred ORDER BY "true") END AS hi FROM iv),
   dw AS (SELECT draw, dossier, seg, docs.type, {S.u("'types'", 'draw', 'dossier', 'seg')} AS x FROM docs, range(0, 10) r(draw))
-  SELECT draw, dossier, type, count(*) AS n FROM (SELECT draw, dossier, seg, min("true") AS type FROM dw JOIN cu ON dr.type = cu.pred WHERE cu.hi > x GROUP BY 1, 2, 3) GROUP BY 1, 2, 3""")
+  SELECT draw, dossier, type, count(*) AS n FROM (SELECT draw, dossier, seg, min("true") AS type FROM dw JOIN cu ON dw.type = cu.pred WHERE cu.hi > x GROUP BY 1, 2, 3) GROUP BY 1, 2, 3""")
 def impute_types(spark, d):
     correction = spark.range(10).select(F.col("id").alias("draw")).crossJoin(F.broadcast(_correction(spark, d)))  # a vocabulary squared
     docs = _docs(spark, d).select("dossier", "seg", "type")

@@ -34,7 +34,7 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by:
     if partition_by:
         w = w.partitionBy(*partition_by)
     if path.endswith((".tsv", ".csv")):
-        w.option("header", "true").option("sep", separator(path)).csv(path)
+        w.option("header", "true").option("sep", separator(path)).option("escape", '"').csv(path)
     elif path.endswith(".json"):
         w.json(path)
     else:
