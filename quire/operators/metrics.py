@@ -102,6 +102,12 @@ def ranked(df: DataFrame, metric: str, model: str = "model", by=(), top: int | N
     return out if top is None else out.filter(F.col("rank") <= top)
 
 
+def best_epoch(history: DataFrame, metric: str, by=(), keep: str = "last", epoch: str = "epoch") -> DataFrame:
+    """epoch and metric where the metric is largest; of equal ones the last, or the first."""
+    sign = 1 if keep == "last" else -1
+    return history.groupBy(*by).agg(F.max_by(epoch, F.struct(F.col(metric), sign * F.col(epoch))).alias(epoch), F.max(metric).alias(metric))
+
+
 def long_metrics(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     """keys, metric, value: a row for each metric."""
     return df.select(*keys, *[F.col(m).cast("double").alias(m) for m in metrics]).unpivot(keys, metrics, "metric", "value")

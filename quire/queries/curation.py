@@ -458,3 +458,62 @@ def connected_components(spark, d):
     c = X.table(spark, d, "customer")
     chain = c.select(F.col("c_custkey").alias("src"), F.lead("c_custkey").over(Window.partitionBy("c_nationkey").orderBy(F.hash("c_custkey"))).alias("dst")).filter("dst is not null")
     return components(chain)
+
+
+@query("best_epoch", "SELECT event_type AS model, first(event_id ORDER BY round(value / 50) DESC, event_id DESC) AS epoch, max(round(value / 50)) AS f1 FROM events GROUP BY 1")
+def best_epoch(spark, d):
+    h = X.table(spark, d, "events").select(F.col("event_type").alias("model"), F.col("event_id").alias("epoch"), F.round(F.col("value") / 50).alias("f1"))
+    return metrics.best_epoch(h, "f1", ("model",))
+
+
+_ANCHORS = [("MEDIUM", 10.0, 10.0), ("ECONOMY", 90.0, 10.0), ("PROMO", 10.0, 70.0)]
+
+
+def _detections(spark, d):
+    """Parts as words on pages, some misspelt."""
+    p = X.table(spark, d, "part")
+    text = F.when(X.u("p_partkey", "typo") < 0.3, F.concat(F.substring("p_type", 2, 20), F.lit("x"))).otherwise(F.initcap("p_type"))
+    return p.select((F.col("p_partkey") % 40).alias("page"), text.alias("text"), F.col("p_size").cast("double").alias("x"), F.col("p_partkey").cast("double").alias("y"), F.floor(X.u("p_partkey", "conf") * 100).alias("confidence"))
+
+
+@query("form_anchors", f"""WITH de AS (SELECT p_partkey % 40 AS page, CASE WHEN {S.u('p_partkey', "'typo'")} < 0.3 THEN substr(p_type, 2, 20) || 'x' ELSE p_type END AS text, p_size::DOUBLE AS x, p_partkey::DOUBLE AS y, floor({S.u('p_partkey', "'conf'")} * 100) AS confidence FROM part),
+  an AS (SELECT * FROM (VALUES {', '.join(f"('{a}', {x}::DOUBLE, {y}::DOUBLE)" for a, x, y in _ANCHORS)}) v(anchor, ax, ay)), me AS (SELECT page, anchor, x, y, ax, ay, levenshtein(lower(anchor), lower(text)) AS edits, confidence FROM de, an WHERE confidence >= 40)
+  SELECT page, anchor, x, y, ax, ay, edits FROM (SELECT *, row_number() OVER (PARTITION BY page, anchor ORDER BY edits, confidence DESC, y, x) AS n FROM me WHERE edits <= length(anchor) * 0.4::DOUBLE) WHERE n = 1""")
+def form_anchors(spark, d):
+    from quire.operators import forms
+
+    anchors = spark.createDataFrame(_ANCHORS, "anchor string, ax double, ay double")
+    return forms.matched_anchors(forms.confident(_detections(spark, d)), anchors, 0.4)
+
+
+@query("form_fields")
+def form_fields(spark, d):
+    from quire.operators import forms
+
+    return forms.located_fields(form_anchors(spark, d), [("name", 20.0, 20.0, 30.0, 8.0), ("date", 60.0, 20.0, 20.0, 8.0)])
+
+
+@query("synthetic_dossiers", f"""WITH d AS (SELECT 'pdf_' || lpad(i::VARCHAR, 5, '0') AS dossier FROM range(0, 200) r(i)), e AS (SELECT dossier, unnest(range(1, 4 + floor({S.u("'0'", 'dossier', "'n'")} * 5)::INT)) AS doc FROM d), l AS (SELECT *, {S.u("'0'", 'dossier', "'len'", 'doc')} AS x FROM e),
+  p AS (SELECT *, unnest(range(1, CASE WHEN x < 0.5 THEN 2 WHEN x < 0.8 THEN 3 WHEN x < 0.95 THEN 4 ELSE 5 END)) AS p FROM l)
+  SELECT dossier, row_number() OVER (PARTITION BY dossier ORDER BY doc, p)::INT AS page_num, {S.pick(S.u("'0'", 'dossier', "'type'", 'doc'), ['Form', 'Letter', 'Receipt', 'Photo'])} AS document_type, CASE WHEN p = 1 THEN 'yes' ELSE 'no' END AS start_page,
+    CASE WHEN {S.u("'0'", 'dossier', "'split'")} < 0.7 THEN 'train' WHEN {S.u("'0'", 'dossier', "'split'")} < 0.85 THEN 'val' ELSE 'test' END AS split FROM p""")
+def synthetic_dossiers(spark, d):
+    from quire.sources.synthetic import dossiers
+
+    return dossiers(spark, 200)
+
+
+@query("file_discovery")
+def file_discovery(spark, d):
+    return M.existing_files(spark, d, "*.parquet").select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
+
+
+@query("embedded_pages")
+def embedded_pages(spark, d):
+    """A plug-in embedder: here, how long a page is and how many tags it has."""
+    from quire.sources.tables import embed
+
+    def make():
+        return lambda b: [[len(x or ""), (x or "").count("<")] for x in b["html"]]
+
+    return embed(X.table(spark, d, "pages"), make, ["html"], 2, ["page_id"])
