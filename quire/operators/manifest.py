@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.operators.ranking import numbered
+
 
 def normalised(df: DataFrame, dossier: str, page: str, image: str | None = None, text: str | None = None, image_root: str | None = None) -> DataFrame:
     """``df`` with its columns named dossier, page_num (a number, null if it isn't one), image_path (under the root), text_path."""
@@ -66,9 +68,8 @@ def mirrored(path: Column, old_root: str, new_root: str, suffix: str) -> Column:
 def anonymised(df: DataFrame, key: str, order: str, prefix: str = "pdf_") -> DataFrame:
     """``df`` with row_id (place in the order, from 0) and <key>_id: pdf_00000 for the key seen first."""
     first = df.groupBy(key).agg(F.min(order).alias("_o"))
-    ids = first.withColumn("_i", F.row_number().over(Window.orderBy("_o", key)) - 1)  # a row for each key
-    named = ids.select(key, F.format_string(prefix + "%05d", F.col("_i").cast("int")).alias(f"{key}_id"))
-    return df.join(named, key).withColumn("row_id", F.row_number().over(Window.orderBy(order)) - 1)
+    named = numbered(first, ["_o", key], "_i").select(key, F.format_string(prefix + "%05d", F.col("_i").cast("int")).alias(f"{key}_id"))
+    return numbered(df.join(named, key), [order], "row_id")
 
 
 def vocabulary(df: DataFrame, column: str, split: str | None = None) -> DataFrame:

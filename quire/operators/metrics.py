@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.operators.ranking import running_total
+
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b, and 0 where b is."""
@@ -81,8 +83,8 @@ def roc_auc(df: DataFrame, label: Column, score: str, by=()) -> DataFrame:
     Counted over distinct scores, so that ties meet before the window.
     """
     per = df.groupBy(*by, F.col(score).alias("s")).agg(F.count_if(label).alias("pos"), F.count_if(~label).alias("neg"))
-    below = F.sum("neg").over(Window.partitionBy(*by).orderBy("s").rowsBetween(Window.unboundedPreceding, -1))
-    wins = per.withColumn("w", F.col("pos") * (F.coalesce(below, F.lit(0)) + F.col("neg") / 2))
+    per = running_total(per, ["s"], F.col("neg"), "below", tuple(by))
+    wins = per.withColumn("w", F.col("pos") * (F.col("below") + F.col("neg") / 2))
     out = wins.groupBy(*by).agg(F.sum("w").alias("w"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     return out.select(*by, F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("w") / (F.col("p") * F.col("n"))).alias("auc"))
 
@@ -118,16 +120,10 @@ def latency_summary(df: DataFrame, latency: str, error: Column, wall_time: float
 
     p95 is the exclusive quantile (place 0.95 (n + 1)); below 20 values it is the largest.
     """
-    ok = df.filter(~error)
-    n = F.count(F.lit(1))
-    place = F.col("_n") * 0.95 + 0.95
-    # Only the two values beside the place are looked up, by their rank among distinct latencies.
-    per = ok.groupBy(F.col(latency).alias("x")).agg(n.alias("k"))
-    cum = per.withColumn("hi", F.sum("k").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    total = ok.agg(n.alias("_n"), F.avg(latency).alias("latency_mean"), F.percentile(latency, 0.5).alias("latency_median"), F.max(latency).alias("_max"))
-    at = lambda k: F.min(F.when(F.col("hi") >= k, F.col("x")))
-    sides = cum.crossJoin(F.broadcast(total.select("_n"))).agg(at(F.floor(place)).alias("lo"), at(F.floor(place) + 1).alias("up"))
-    out = total.crossJoin(sides).crossJoin(df.agg(n.alias("n"), F.count_if(error).alias("n_failed")))
-    part = place - F.floor(place)
-    p95 = F.when(F.col("_n") >= 20, F.col("lo") + (F.coalesce("up", "lo") - F.col("lo")) * part).otherwise(F.col("_max"))
-    return out.select("n", "n_failed", (F.col("n") / F.lit(float(wall_time))).alias("pages_per_sec"), "latency_mean", "latency_median", p95.alias("latency_p95"))
+    ok, count = df.filter(~error), F.count(F.lit(1))
+    n = ok.count()
+    # The exclusive place, as a share of the inclusive ones, is a plain percentile.
+    share = min(1.0, (0.95 * (n + 1) - 1) / (n - 1)) if n >= 20 else 1.0
+    stats = ok.agg(F.avg(latency).alias("latency_mean"), F.percentile(latency, 0.5).alias("latency_median"), F.percentile(latency, share).alias("latency_p95"))
+    total = df.agg(count.alias("n"), F.count_if(error).alias("n_failed"))
+    return total.crossJoin(stats).select("n", "n_failed", (F.col("n") / F.lit(float(wall_time))).alias("pages_per_sec"), "latency_mean", "latency_median", "latency_p95")  # one row each

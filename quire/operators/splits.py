@@ -8,15 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.hashing import uniform
+from quire.operators.ranking import numbered, running_total
 
 SPLITS = ("train", "val", "test")
 
 
 def _cut(df: DataFrame, key: str, seed: str, train: Column, val: Column) -> DataFrame:
-    """Keys in the order of a hash: the first ``train`` places, the next ``val``, the rest. One row a key; the order is over keys, not over pages."""
+    """Keys in the order of a hash: the first ``train`` places, the next ``val``, the rest."""
     n = df.select(key).distinct().withColumn("_u", uniform(F.lit(seed), key))
-    w = Window.orderBy("_u", key)
-    out = n.withColumn("_i", F.row_number().over(w) - 1).crossJoin(F.broadcast(n.agg(F.count(F.lit(1)).alias("_n"))))
+    out = numbered(n, ["_u", key], "_i").crossJoin(F.broadcast(n.agg(F.count(F.lit(1)).alias("_n"))))  # one row
     return out.select(key, F.when(F.col("_i") < train, "train").when(F.col("_i") < train + val, "val").otherwise("test").alias("split"))
 
 
@@ -102,9 +102,9 @@ def weighted_draws(weights: DataFrame, key: str, weight: str, n: int, seed: str
     Both sides are cut at the same bounds of the running sum, so they meet by equal slot, not pair by pair.
     """
     total = weights.agg(F.sum(weight).alias("_t"))
-    run = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     slots = 1024
-    w = weights.crossJoin(F.broadcast(total)).withColumn("hi", F.sum(weight).over(run) / F.col("_t")).withColumn("lo", F.col("hi") - F.col(weight) / F.col("_t"))
+    w = running_total(weights, [key], F.col(weight), "_before").crossJoin(F.broadcast(total))  # one row
+    w = w.withColumn("hi", (F.col("_before") + F.col(weight)) / F.col("_t")).withColumn("lo", F.col("hi") - F.col(weight) / F.col("_t"))
     slot = lambda x: F.least(F.floor(x * slots), F.lit(slots - 1)).cast("int")
     w = w.filter(F.col(weight) > 0).withColumn("slot", F.explode(F.sequence(slot(F.greatest(F.col("lo"), F.lit(0.0))), slot(F.col("hi")))))
     draws = weights.sparkSession.range(n).select(F.col("id").alias("i"), uniform(F.lit(seed), "id").alias("u")).withColumn("slot", slot(F.col("u")))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.scalars import is_start
 from quire.operators import metrics, segments, segmetrics
+from quire.operators.ranking import numbered
 from quire.queries.registry import labels, query, rounded
 from quire.sources import fixture_sql as S
 from quire.sources import fixtures as X
@@ -231,9 +232,7 @@ wt AS (SELECT draw, pl.dossier, count(*) AS weight FROM pk JOIN pl USING (place)
 
 
 def _places(pages):
-    from pyspark.sql import Window
-
-    return pages.select("dossier").distinct().withColumn("place", (F.row_number().over(Window.orderBy("dossier")) - 1).cast("long"))
+    return numbered(pages.select("dossier").distinct(), ["dossier"])
 
 
 @query("bootstrap_weights", f"WITH {S.EVENTS}, {_BW} SELECT draw, dossier, weight FROM wt")
