@@ -350,7 +350,8 @@ def _rare_first(sets: DataFrame, percent: int) -> DataFrame:
     """
     places = F.posexplode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("_", "at")
     tokens = sets.select("print", "class", "prefix", places, "hashes").select("print", "class", "prefix", F.substring(F.col("hashes"), F.col("at") * 8 + 1, F.lit(8)).alias("token"))
-    held = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("class").alias("lo"), F.max("class").alias("hi")).filter("df > 1")
+    # Written down, so that the join has an exchange of its own on either side, whose large parts can be split: near copies share their hashes.
+    held = written(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("class").alias("lo"), F.max("class").alias("hi")).filter("df > 1"))
     # What one set alone holds comes first in its order and meets nobody: only its number counts.
     known = tokens.join(held, "token").groupBy("print", "class", "prefix").agg(F.array_sort(F.collect_list(F.struct("df", "token", (F.col("lo") < F.col("hi")).alias("mixed")))).alias("t"))
     known = known.join(sets.select("print", "n"), "print")
