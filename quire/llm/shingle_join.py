@@ -373,7 +373,7 @@ def _rest(sets: DataFrame, names: DataFrame, chunk: int, percent: int) -> DataFr
         return names
     some = written(_named(classed, open_, n, 24, "left_semi"))
     keys = written(_rare_first(some, percent))
-    low = keys.groupBy("token").agg(F.min("class").alias("a"))
+    low = written(keys.groupBy("token").agg(F.min("class").alias("a")))  # as above: for a join whose parts can be split
     links = written(keys.join(low, "token").select("a", F.col("class").alias("b")).filter("a <> b").distinct())
     if links.isEmpty():
         return names
