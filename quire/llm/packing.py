@@ -21,7 +21,7 @@ CAPACITY = 4096
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 #: Windows a block holds about; a block's pieces are one task's, so this bounds its memory.
-BLOCK_WINDOWS = 192
+BLOCK_WINDOWS = 96
 
 
 def differencing(lengths, k: int):
