@@ -111,6 +111,12 @@ class Model:
         return of
 
 
+def _sample(data: bytes, size: int) -> bytes:
+    """Windows at even distances over all of ``data``, ``size`` bytes at most."""
+    n = size // WINDOW
+    return data if len(data) <= size else b"".join(data[i : i + WINDOW] for i in (len(data) * k // n for k in range(n)))
+
+
 def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes] | None:
     """The contents of the ordinary and the toxic dictionary, or None if nothing marks toxic text."""
     toxic, ordinary = _distinct(toxic), _distinct(ordinary)
@@ -121,8 +127,7 @@ def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, byte
     if not marks:
         return None
     marks.sort(key=lambda g: (t_within[g], g))  # the commonest last, where matches are cheapest
-    step = max(1, sum(map(len, ordinary)) // ORDINARY_BYTES)
-    plain = b"".join(t[i : i + WINDOW] for t in ordinary for i in range(0, len(t), step * WINDOW))[:ORDINARY_BYTES]
+    plain = _sample(b" ".join(ordinary), ORDINARY_BYTES)
     return plain, plain + b"".join(b" " + g for g in marks)[-TOXIC_BYTES:]
 
 

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 
@@ -63,3 +64,11 @@ def test_filter_keeps_columns(spark, docs_of):
 def test_windows_hold_every_byte(data):
     w = X.cut_windows(data)
     assert b"".join(w) == data and all(0 < len(x) <= X.WINDOW for x in w)
+
+
+def test_ordinary_dictionary_spans_all_texts():
+    letters = lambda i, k: f"{i:03d}{k:02d}".translate(str.maketrans("0123456789", "abcdefghij"))
+    texts = [" ".join("q" + letters(i, k) for k in range(40)).encode() for i in range(400)]
+    plain, _ = X.dictionaries([t.replace(b"q", b"zz") + b" kvexnit" for t in texts[:9]], texts)
+    found = [(ord(w[0]) - 97, ord(w[3]) - 97) for w in re.findall("q([a-j]{5})", plain.decode())]
+    assert len(plain) <= X.ORDINARY_BYTES and {i for i, _ in found} == {0, 1, 2, 3} and sum(k > 0 for _, k in found) > len(found) / 2
