@@ -1,7 +1,7 @@
 """Toxicity (9): compression distance between a toxic and an ordinary zstandard dictionary.
 
-Two dictionaries are trained on labelled rows: one on ordinary text, one on it and on what marks toxic text (the word beginnings
-that are many times as common there). A text is cut into short windows, and each is compressed with either; the bytes that the toxic dictionary saves,
+Both dictionaries are raw content drawn from labelled rows: one of ordinary text, one of it and of what marks toxic text (the word beginnings
+that are many times as common there). Two dictionaries of zstandard's own training tell the classes apart much worse (README). A text is cut into short windows, and each is compressed with either; the bytes that the toxic dictionary saves,
 beyond a few, are added up over the whole text and divided by its windows. The threshold is calibrated on
 labelled rows that trained neither dictionary.
 """
@@ -21,7 +21,7 @@ from quire.llm.common import guarded, in_parts, table, text_batches, whole_text,
 WINDOW = 24
 #: Bytes that a window has to save to count, and windows by which short texts are damped.
 LEAST_SAVING, DAMPING = 3, 8
-ORDINARY_BYTES, TOXIC_BYTES, LEVEL = 2048, 2048, 6
+ORDINARY_BYTES, LEVEL = 2048, 6
 #: Labelled rows used at most, by class: the least by a hash of the id.
 MAX_TOXIC, MAX_ORDINARY = 1000, 2000
 #: What an ordinary text flagged costs, as missed toxic ones.
@@ -128,7 +128,7 @@ def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, byte
         return None
     marks.sort(key=lambda g: (t_within[g], g))  # the commonest last, where matches are cheapest
     plain = _sample(b" ".join(ordinary), ORDINARY_BYTES)
-    return plain, plain + b"".join(b" " + g for g in marks)[-TOXIC_BYTES:]
+    return plain, plain + b"".join(b" " + g for g in marks)
 
 
 def fit(rows: list[tuple[str, int, int]]) -> Model | None:

@@ -72,3 +72,10 @@ def test_ordinary_dictionary_spans_all_texts():
     plain, _ = X.dictionaries([t.replace(b"q", b"zz") + b" kvexnit" for t in texts[:9]], texts)
     found = [(ord(w[0]) - 97, ord(w[3]) - 97) for w in re.findall("q([a-j]{5})", plain.decode())]
     assert len(plain) <= X.ORDINARY_BYTES and {i for i, _ in found} == {0, 1, 2, 3} and sum(k > 0 for _, k in found) > len(found) / 2
+
+
+def test_toxic_dictionary_holds_every_mark():
+    letters = lambda i: f"{i:04d}".translate(str.maketrans("0123456789", "abcdefghij"))
+    toxic = [" ".join(f"{letters(i)}zz{letters(i)[::-1]}" for i in range(a, a + 20)[:: 1 if a % 20 else -1]).encode() for a in range(0, 600, 10)]
+    plain, marked = X.dictionaries(toxic, [b"ordinary words " * 5000])
+    assert all(letters(i).encode() in marked for i in range(10, 600)) and len(marked) - len(plain) > 2048
