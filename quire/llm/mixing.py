@@ -48,13 +48,21 @@ def poisson_inverse(u: Column, mean: Column) -> Column:
     return F.when(mean > 0, k).otherwise(F.lit(0))
 
 
+def counts(name: Column, seed: str, rate: Column) -> Column:
+    """The Poisson count of a row: means above MAX_RATE are split evenly and the counts of the parts, each by its own hash, added up."""
+    parts = F.ceil(rate / MAX_RATE).cast("int")
+    one = lambda i: poisson_inverse(uniform(name, F.lit(seed), i.cast("string")), rate / parts)
+    many = F.aggregate(F.sequence(F.lit(1), parts), F.lit(0).cast("long"), lambda acc, i: acc + one(i))
+    return F.when(rate > MAX_RATE, many).otherwise(poisson_inverse(uniform(name, F.lit(seed)), rate))
+
+
 def rates(docs: DataFrame, targets: DataFrame | None = None, budget: float = 1.0, source_col: str = "source",
           text_col: str = "text", temperature: float = TEMPERATURE) -> DataFrame:
     """A row for each source (null is one too): source, size (characters), weight (sums to 1), rate.
 
     ``targets`` holds source and weight (not negative; sources it lacks have weight 0); without it a source weighs
     its size to the power of ``temperature``. ``budget`` is the size wanted over the present one. Sources
-    without text have rate 0; rates end at MAX_RATE.
+    without text have rate 0.
     """
     sizes = docs.groupBy(F.col(source_col).alias("source")).agg(F.sum(F.length(whole_text(text_col))).alias("size"))
     if targets is None:
@@ -67,7 +75,7 @@ def rates(docs: DataFrame, targets: DataFrame | None = None, budget: float = 1.0
     out = weighed.crossJoin(F.broadcast(total))  # one row
     out = out.withColumn("weight", F.when(F.col("_weights") > 0, F.col("weight") / F.col("_weights")).otherwise(0.0))
     rate = F.when(F.col("size") > 0, F.lit(float(budget)) * F.col("weight") * F.col("_all") / F.col("size")).otherwise(0.0)
-    return out.select("source", "size", "weight", F.least(rate, F.lit(MAX_RATE)).alias("rate"))
+    return out.select("source", "size", "weight", rate.alias("rate"))
 
 
 def replicate(docs: DataFrame, source_rates: DataFrame, seed: str = "mix", id_col: str = "doc_id",
@@ -82,7 +90,7 @@ def replicate(docs: DataFrame, source_rates: DataFrame, seed: str = "mix", id_co
         r = F.broadcast(r)
     out = docs.join(r, docs[source_col].eqNullSafe(r["_source"]), "left").drop("_source")
     name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    out = out.withColumn("_copies", poisson_inverse(uniform(name, F.lit(seed)), F.col("_rate")))
+    out = out.withColumn("_copies", counts(name, seed, F.col("_rate")))
     out = out.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
     out = out.withColumn("_order", uniform(name, F.col("_copy").cast("string"), F.lit(seed + ":order")))
     if not shuffle:
@@ -107,6 +115,7 @@ def op2_poisson_mixing(spark, sf_dir: str) -> DataFrame:
                       F.round("_rate", 8).alias("rate"), F.round("_order", 12).alias("sort_key"))
 
 
+# States the rows for rates up to MAX_RATE, where it ends them; the query goes on above.
 OP2_SQL = f"""
 WITH sizes AS (SELECT source, sum(length(coalesce(text, '')))::DOUBLE AS size FROM documents GROUP BY source),
 weighed AS (SELECT source, size, pow(size, {TEMPERATURE}) AS w FROM sizes),

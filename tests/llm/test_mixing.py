@@ -45,3 +45,14 @@ def test_null_source_and_empty_source(spark, docs_of):
     r = {x["source"]: x["rate"] for x in M.rates(df).collect()}
     assert r[None] > 0 and r["empty"] == 0
     assert {x["source"] for x in M.mix(df).collect()} == {None}
+
+
+def test_rates_above_the_split(spark, docs_of):
+    df = docs_of(spark, [(i, "x" * 10) for i in range(8000)], lambda i: "small" if i < 40 else "large")
+    targets = spark.createDataFrame([("small", 1.0), ("large", 1.0)], "source string, weight double")
+    r = M.rates(df, targets)
+    assert {x["source"]: round(x["rate"], 6) for x in r.collect()} == {"small": 100.0, "large": round(4000 / 7960, 6)}
+    got = M.replicate(df, r).filter("source = 'small'").groupBy("doc_id").agg(F.max("_copies").alias("n"), F.count_distinct("_copy").alias("c")).collect()
+    n = [x["n"] for x in got]
+    assert len(n) == 40 and all(x["n"] == x["c"] for x in got) and abs(sum(n) / 40 - 100) < 8 and 40 < sum((x - 100) ** 2 for x in n) / 40 < 220
+    assert abs(M.mix(df, targets).count() / 8000 - 1) < 0.05
