@@ -2,8 +2,9 @@
 
 Both dictionaries are raw content drawn from labelled rows: one of ordinary text, one of it and of what marks toxic text (the word beginnings
 that are many times as common there). Two dictionaries of zstandard's own training tell the classes apart much worse (README). A text is cut into short windows, and each is compressed with either; the bytes that the toxic dictionary saves,
-beyond a few, are added up over the whole text and divided by its windows. The threshold is calibrated on
-labelled rows that trained neither dictionary.
+beyond a few, are added up: over the whole text, divided by its windows, and over its worst stretch of windows, so that a
+passage counts however long the text around it is. Either has a threshold, calibrated on labelled rows that trained
+neither dictionary; the stretch's on each row amid ordinary ones.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from quire.llm.common import guarded, in_parts, table, text_batches, whole_text,
 WINDOW = 24
 #: Bytes that a window has to save to count, and windows by which short texts are damped.
 LEAST_SAVING, DAMPING = 3, 8
+#: Windows of a stretch, and ordinary texts around a row for its calibration.
+STRETCH, AROUND = 32, 10
 ORDINARY_BYTES, LEVEL = 2048, 6
 #: Labelled rows used at most, by class: the least by a hash of the id.
 MAX_TOXIC, MAX_ORDINARY = 1000, 2000
@@ -84,10 +87,10 @@ class Model:
     ordinary: bytes
     toxic: bytes
     threshold: float
-    slope: float
+    stretch: float
 
     def measure(self):
-        """A function from a text to its saving per window."""
+        """A function from a text to its saving per window, of the whole and of the worst stretch."""
         import numpy as np
         import zstandard
 
@@ -98,18 +101,26 @@ class Model:
 
         plain, marked = compressor(self.ordinary), compressor(self.toxic)
 
-        def of(text: str) -> float:
+        def of(text: str) -> tuple[float, float]:
             windows = cut_windows(_prepared(text))
-            saved = 0
+            saved, worst, before = 0, 0, np.zeros(0, np.int64)
             for a in range(0, len(windows), 65536):
                 part = windows[a : a + 65536]
                 n = len(part)
                 gain = np.fromiter(map(len, plain.multi_compress_to_buffer(part)), np.int64, n) - np.fromiter(map(len, marked.multi_compress_to_buffer(part)), np.int64, n)
-                saved += int(np.maximum(gain - LEAST_SAVING + 1, 0).sum())
-            return saved / (len(windows) + DAMPING)
+                gain = np.maximum(gain - LEAST_SAVING + 1, 0)
+                saved += int(gain.sum())
+                sums = np.concatenate([[0], np.cumsum(np.concatenate([before, gain]))])  # with the end of the part before
+                worst = max(worst, int((sums[STRETCH:] - sums[:-STRETCH]).max() if len(sums) > STRETCH else sums[-1]))
+                before = np.concatenate([before, gain])[1 - STRETCH :]
+            return saved / (len(windows) + DAMPING), worst / (STRETCH + DAMPING)
 
         return of
 
+    def level(self, measured: tuple[float, float]) -> float:
+        """The larger of the two savings, as a multiple of its threshold."""
+        return max(measured[0] / max(self.threshold, 1e-6), measured[1] / max(self.stretch, 1e-6))
+
 
 def _sample(data: bytes, size: int) -> bytes:
     """Windows at even distances over all of ``data``, ``size`` bytes at most."""
@@ -131,6 +142,17 @@ def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, byte
     return plain, plain + b"".join(b" " + g for g in marks)
 
 
+def _cut(x, y) -> float:
+    """The threshold of ``x`` that finds most rows of ``y`` at the price of false alarms."""
+    import numpy as np
+
+    levels = np.unique(x)
+    cuts = (levels[1:] + levels[:-1]) / 2 if len(levels) > 1 else levels + 1e-9
+    gain = [(x[y] >= c).mean() - FALSE_ALARM * (x[~y] >= c).mean() for c in cuts]
+    best = np.flatnonzero(np.array(gain) >= max(gain) - 1e-12)
+    return float(cuts[best[len(best) // 2]])
+
+
 def fit(rows: list[tuple[str, int, int]]) -> Model | None:
     """From (text, toxic, fold): folds 1 to 3 train the dictionaries, fold 4 calibrates."""
     import numpy as np
@@ -145,13 +167,10 @@ def fit(rows: list[tuple[str, int, int]]) -> Model | None:
     held = [(of(t), y) for t, y, fold in rows if fold == 4]
     if len({y for _, y in held}) < 2:
         held = [(of(t), y) for t, y, _ in rows]
-    x, y = np.array([v for v, _ in held]), np.array([v for _, v in held], bool)
-    levels = np.unique(x)
-    cuts = (levels[1:] + levels[:-1]) / 2 if len(levels) > 1 else levels + 1e-9
-    gain = [(x[y] >= c).mean() - FALSE_ALARM * (x[~y] >= c).mean() for c in cuts]
-    best = np.flatnonzero(np.array(gain) >= max(gain) - 1e-12)
-    threshold = float(cuts[best[len(best) // 2]])
-    return Model(*made, threshold, 4.0 / max(threshold, 1e-6))
+    y = np.array([v for _, v in held], bool)
+    plain = [worst for (_, worst), v in held if not v]
+    amid = [max([worst, *(plain[(i * 7 + k) % len(plain)] for k in range(AROUND))]) for i, ((_, worst), _) in enumerate(held)]
+    return Model(*made, _cut(np.array([mean for (mean, _), _ in held]), y), _cut(np.array(amid), y))
 
 
 def fold_of(id_col: str) -> Column:
@@ -180,7 +199,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
         of = model.measure() if model else None
         for b in in_parts(batches):
             texts = b.column("_body").to_pylist()
-            x = [1 / (1 + math.exp(-max(-700.0, min(700.0, model.slope * (of(t) - model.threshold))))) for t in texts] if of else [0.0] * len(texts)
+            x = [1 / (1 + math.exp(-min(700.0, 4.0 * (model.level(of(t)) - 1)))) for t in texts] if of else [0.0] * len(texts)
             cols = [b.column(k) for k in range(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(x, pa.float64()), pa.array([int(v >= 0.5) for v in x], pa.int32())], schema=None, names=[*b.schema.names[:-1], "score", "predicted"])
 

@@ -79,3 +79,21 @@ def test_toxic_dictionary_holds_every_mark():
     toxic = [" ".join(f"{letters(i)}zz{letters(i)[::-1]}" for i in range(a, a + 20)[:: 1 if a % 20 else -1]).encode() for a in range(0, 600, 10)]
     plain, marked = X.dictionaries(toxic, [b"ordinary words " * 5000])
     assert all(letters(i).encode() in marked for i in range(10, 600)) and len(marked) - len(plain) > 2048
+
+
+def test_a_passage_counts_in_a_long_text(spark, docs_of):
+    docs, labels, truth = table(spark, docs_of)
+    model = X.train(docs, labels)
+    plain = [r["text"] for r in docs.orderBy("doc_id").collect() if not truth[r["doc_id"]]]
+    long = " ".join(plain[:40])
+    bad = " ".join(["zworgle kvexnit", "banana zworgles"] * 12)
+    got = X.score(docs_of(spark, [(1, long), (2, f"{long} {bad} {long}"), (3, bad)]), model).orderBy("doc_id").collect()
+    assert [r["predicted"] for r in got] == [0, 1, 1]
+
+
+def test_worst_stretch_spans_parts():
+    model = X.Model(b"ordinary words", b"ordinary words zworgle kvexnit", 1.0, 1.0)
+    of = model.measure()
+    bad = "zworgle kvexnit zworgle " * 32
+    at = lambda n: of("x" * X.WINDOW * n + bad)[1]
+    assert at(65536 - 16) == at(10) > 0
