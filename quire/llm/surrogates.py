@@ -40,6 +40,8 @@ _HEX = "0123456789abcdef"
 _SYLLABLES = ["bar", "den", "fal", "gor", "hin", "jol", "kes", "lam", "mor", "nel", "pir", "ros", "sil", "tav", "ven", "wol"]
 _ENDINGS = {"m": ["ric", "don", "ter", "vin"], "f": ["ina", "ella", "ara", "issa"], "n": ["en", "ay", "el", "ie"], "s": ["berg", "man", "field", "son"]}
 MAX_ROUNDS = 40
+#: Attempts after which names, addresses and phone numbers get one more syllable, letter or digit.
+GROWS_AFTER = 3
 
 
 def _let(value: Column, body) -> Column:
@@ -82,12 +84,24 @@ def _fill(form: Column, hexes: Column, keep: Column | int = 0) -> Column:
     return F.array_join(F.transform(F.split(form, ""), one), "")
 
 
-def _number(hexes: Column, at: int, n: int) -> Column:
+def _number(hexes: Column, at: Column | int, n: Column | int) -> Column:
     return F.conv(F.substring(hexes, at, n), 16, 10).cast("int")
 
 
+def _more(attempt: Column) -> Column:
+    """How many syllables, letters or digits an attempt adds: a full space gives way to a larger one."""
+    return F.floor(attempt / GROWS_AFTER).cast("int")
+
+
+def _longer(form: Column, more: Column) -> Column:
+    """The form with its first letter repeated in front."""
+    lead = F.substring(form, 1, 1)
+    return F.when(more > 0, F.concat(F.repeat(F.when(lead.rlike(r"\p{L}"), lead).otherwise("a"), more), form)).otherwise(form)
+
+
 def _name(norm: Column, of, attempt: Column) -> Column:
     """Given name by gender, surname by itself, each token by its own hash."""
+    more = _more(attempt)
 
     def tokens_of(t):
         tokens, gender = t["tokens"], t["gender"]
@@ -96,11 +110,12 @@ def _name(norm: Column, of, attempt: Column) -> Column:
             last = i == F.size(tokens) - 1
 
             def by(h):
-                at = lambda k: F.element_at(F.array(*[F.lit(s) for s in _SYLLABLES]), _number(h, k, 1) + 1)
+                at = lambda k: F.element_at(F.array(*[F.lit(s) for s in _SYLLABLES]), _number(h, k, F.lit(1)) + 1)
+                added = F.when(more > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(more, F.lit(1))), lambda k: at(k + 16)), "")).otherwise("")
                 ending = F.when(last, F.lit("s")).otherwise(gender)
                 lists = F.create_map(*[x for g, e in _ENDINGS.items() for x in (F.lit(g), F.array(*[F.lit(s) for s in e]))])
-                latin = F.concat(at(1), at(2), F.when(last, at(3)).otherwise(F.lit("")), F.element_at(F.element_at(lists, ending), _number(h, 9, 1) % 4 + 1))
-                return F.when(word.rlike(r"^[\p{IsLatin}'-]+$"), latin).otherwise(_fill(word, h))
+                latin = F.concat(at(F.lit(1)), at(F.lit(2)), F.when(last, at(F.lit(3))).otherwise(F.lit("")), added, F.element_at(F.element_at(lists, ending), _number(h, 9, 1) % 4 + 1))
+                return F.when(word.rlike(r"^[\p{IsLatin}'-]+$"), latin).otherwise(_fill(_longer(word, more), h))
 
             return _let(of(F.when(last, F.lit("surname")).otherwise(gender), word, attempt.cast("string")), by)
 
@@ -116,10 +131,10 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
 
     def by(hexes):
         octets = F.concat_ws(".", *[(_number(hexes, 4 * i + 1, 4) % 254 + 1).cast("string") for i in range(4)])
-        email = F.concat(_fill(F.regexp_replace(norm, r"[^.]*$", ""), hexes), F.regexp_extract(norm, r"[^.]*$", 0))
+        email = F.concat(_fill(_longer(F.regexp_replace(norm, r"[^.]*$", ""), _more(attempt)), hexes), F.regexp_extract(norm, r"[^.]*$", 0))
         keep = (F.when(kind == "phone", F.greatest(F.length(norm) - 10, F.lit(0))).when(kind == "iban", 2).when(kind == "card", 1).otherwise(0))
         return (F.when(kind == "email", email).when(kind == "ip", octets).when(kind == "name", _name(norm, of, attempt))
-                .otherwise(_let(keep, lambda k: _fill(norm, hexes, k))))
+                .otherwise(_let(keep, lambda k: _fill(F.when(kind == "phone", F.concat(norm, F.repeat(F.lit("0"), _more(attempt)))).otherwise(norm), hexes, k))))
 
     return _let(of(kind, norm, attempt.cast("string")), by)
 
@@ -132,8 +147,9 @@ def restore(value: Column, kind: Column, found: Column) -> Column:
         used = c.rlike(r"[\p{L}\p{N}]")
         return F.struct(F.concat(acc["out"], F.when(used, F.substring(found, acc["at"], F.lit(1))).otherwise(c)).alias("out"), (acc["at"] + used.cast("int")).alias("at"))
 
-    walked = F.aggregate(F.split(value, ""), start, step)["out"]
-    cased = F.zip_with(F.split(value, ""), F.split(found, ""), lambda v, s: F.when((v != F.lower(v)) & v.isNotNull(), F.upper(s)).otherwise(s))
+    walked = F.aggregate(F.split(value, ""), start, step, lambda acc: F.concat(acc["out"], F.substring(found, acc["at"], F.length(found))))
+    front = F.concat(F.repeat(F.substring(value, 1, 1), F.greatest(F.length(found) - F.length(value), F.lit(0))), value)  # as long as what was found
+    cased = F.zip_with(F.split(front, ""), F.split(found, ""), lambda v, s: F.when((v != F.lower(v)) & v.isNotNull(), F.upper(s)).otherwise(s))
     name = F.substring(found, F.lit(3), F.length(found))
     shouted = (value == F.upper(value)) & (value != F.lower(value))
     titled = F.concat(F.regexp_extract(value, f"^{_TITLE} ", 0), F.when(shouted, F.upper(name)).otherwise(F.initcap(name)))
@@ -162,7 +178,7 @@ def attempts(entities: DataFrame, key: str) -> DataFrame:
     """kind, norm, attempt of the entities whose first surrogate can't stay. ``entities`` holds each kind and norm once.
 
     Of entities with the same surrogate the least keeps it; one that is some entity's own form goes. The others
-    hash again, until all are distinct.
+    hash again, until all are distinct; later attempts draw from larger spaces, but for IBANs, cards, SSNs and IP addresses, whose length is fixed.
     """
     assigned = entities.withColumn("attempt", F.lit(0))
     moved = None

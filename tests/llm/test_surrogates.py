@@ -59,3 +59,14 @@ def test_clashing_columns(spark, docs_of):
     df = docs_of(spark, [(1, "a@b.com")]).withColumns({"n_entities": F.lit("x"), "kind": F.lit("y"), "norm": F.lit("z")})
     r = S.replace_entities(df, "k").first()
     assert r["n_entities"] == 1 and (r["kind"], r["norm"]) == ("y", "z")
+
+
+def test_a_full_space_grows(spark, docs_of, monkeypatch):
+    # all two-letter addresses are taken, and there are more names than two syllables make
+    monkeypatch.setattr(S, "_SYLLABLES", ["bar", "den"] * 8)
+    az = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, f"{az[i // 26]}@{az[i % 26]}.com {az[i // 26]}@{az[i % 26]}.com".upper() + f" and Mr Z{az[i // 26]}{az[i % 26]}, +1 22 {i:03d}") for i in range(600)]
+    got = [r["text"] for r in S.replace_entities(docs_of(spark, rows), "k").collect()]
+    parts = [re.fullmatch(r"([A-Z]+@[A-Z]\.COM) ([A-Z]+@[A-Z]\.COM) and Mr ([A-Z][a-z]+), (\+\d \d\d \d{3,})", t).groups() for t in got]
+    assert all(a == b for a, b, _, _ in parts) and all(len({p[k] for p in parts}) == 600 for k in (0, 2, 3))
+    assert not {p[0] for p in parts} & {t.split()[0] for _, t in rows}
