@@ -1,36 +1,40 @@
 """Toxicity (9): compression distance between a toxic and an ordinary zstandard dictionary.
 
-Both dictionaries are raw content drawn from labelled rows: one of ordinary text, one of it and of what marks toxic text (the word beginnings
-that are many times as common there). Two dictionaries of zstandard's own training tell the classes apart much worse (README). A text is cut into short windows, and each is compressed with either; the bytes that the toxic dictionary saves,
-beyond a few, are added up: over the whole text, divided by its windows, and over its worst stretch of windows, so that a
-passage counts however long the text around it is. Either has a threshold, calibrated on labelled rows that trained
-neither dictionary; the stretch's on each row amid ordinary ones.
+Both dictionaries are trained by zstandard on labelled rows. The ordinary one learns windows of ordinary text. Toxic text consists for the
+most part of ordinary words, which would crowd a dictionary of it; so it is trained in rounds: a window of toxic text counts where toxic
+text of other rows compresses it better than ordinary text does, by the word to which that saving is due, and the toxic dictionary
+learns those words. Ordinary windows that it compresses better by chance train a second part of the ordinary one (README has figures of plain training).
+
+To score, a text is cut into short windows, and each is compressed with the ordinary dictionary and with the toxic one before it; the bytes
+that the latter saves, beyond a few, are added up: over the whole text, divided by its windows, and over its worst stretch of windows, so that
+a passage counts however long the text around it is. Both have a threshold, calibrated on all training rows: each fold is measured by
+dictionaries of the other folds.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.llm.common import guarded, in_parts, table, text_batches, whole_text, worker_cache
 
-#: Bytes of a window at most; short ones keep zstandard from coding literals, so that every saved match counts.
-WINDOW = 24
-#: Bytes that a window has to save to count, and windows by which short texts are damped.
-LEAST_SAVING, DAMPING = 3, 8
+#: Bytes of a window at most, to score and to train with.
+WINDOW, TRAINING_WINDOW = 48, 32
+#: Bytes that a window has to save to count, in scoring, in the first and in later rounds, and as an ordinary one; windows by which short texts are damped.
+LEAST_SAVING, FIRST_SAVING, LATER_SAVING, CHANCE_SAVING, DAMPING = 2, 4, 3, 3, 8
 #: Windows of a stretch, and ordinary texts around a row for its calibration.
-STRETCH, AROUND = 32, 10
-ORDINARY_BYTES, LEVEL = 2048, 6
+STRETCH, AROUND = 16, 10
+#: Bytes of the dictionaries: small ones, as a far match costs more bits.
+ORDINARY_BYTES, CHANCE_BYTES, TOXIC_BYTES = 8192, 4096, 2048
+ROUNDS, LEVEL = 3, 6
 #: Labelled rows used at most, by class: the least by a hash of the id.
 MAX_TOXIC, MAX_ORDINARY = 1000, 2000
-#: What an ordinary text flagged costs, as missed toxic ones.
-FALSE_ALARM = 3.0
-_WORD = re.compile(rb"[a-z\x80-\xff]+")
-_SHORTEST, _LONGEST, _RATIO, _PER_TEXT = 4, 9, 8.0, 5
+FOLDS = 4
+_WORD, _UNIT = re.compile(rb"[a-z\x80-\xff]+"), re.compile(rb"\s*\S+")
 
 
 def cut_windows(data: bytes, size: int = WINDOW) -> list[bytes]:
@@ -49,10 +53,6 @@ def _prepared(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass").lower()  # A-Z only
 
 
-def _beginnings(word: bytes) -> set[bytes]:
-    return {word[:k] for k in range(_SHORTEST, min(len(word), _LONGEST) + 1)}
-
-
 def _distinct(texts: list[bytes]) -> list[bytes]:
     """Without those that repeat, in good part, earlier ones: copies must not count as evidence."""
     seen: set[int] = set()
@@ -66,18 +66,82 @@ def _distinct(texts: list[bytes]) -> list[bytes]:
     return out
 
 
-def _counts(texts: list[bytes]) -> tuple[Counter, Counter, int]:
-    """How often words begin so (a few times a text at most), in how many texts, and all words."""
-    times, within, words = Counter(), Counter(), 0
-    for t in texts:
-        own: Counter = Counter()
-        found = _WORD.findall(t)
-        for w in found:
-            own.update(_beginnings(w))
-        times.update({g: min(n, _PER_TEXT) for g, n in own.items()})
-        within.update(own.keys())
-        words += len(found)
-    return times, within, words
+def _compressor(content: bytes):
+    import zstandard
+
+    d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    d.precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(dict_data=d, level=LEVEL, write_content_size=False, write_dict_id=False)
+
+
+def _savings(windows: list[bytes], plain, marked):
+    """By how many bytes ``marked`` compresses each window shorter than ``plain``."""
+    import numpy as np
+
+    def lengths(c, part):
+        return np.fromiter(map(len, c.multi_compress_to_buffer(part)), np.int64, len(part))
+
+    parts = [windows[a : a + 65536] for a in range(0, len(windows), 65536)]
+    return np.concatenate([np.zeros(0, np.int64), *(lengths(plain, p) - lengths(marked, p) for p in parts)])
+
+
+def trained(size: int, samples: list[bytes], segment: int = 16, shared: int = 8) -> bytes:
+    """A dictionary trained by zstandard; of too few samples, which it refuses, their distinct ones as they are."""
+    import zstandard
+
+    samples = [s for s in samples if len(s) >= 8]
+    try:
+        return zstandard.train_dictionary(size, samples, k=segment, d=shared).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b"".join(dict.fromkeys(samples))[-size:]
+
+
+def _due(texts: list[list[bytes]], plain, marked, least: int) -> list[bytes]:
+    """For each text, the words to which savings of at least ``least`` bytes in its windows are due: those without which least is saved."""
+    import numpy as np
+
+    windows = [w for t in texts for w in t]
+    text_of = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    at = np.flatnonzero(_savings(windows, plain, marked) >= least)
+    without, word, place = [], [], []
+    for i in at:
+        units = _UNIT.findall(windows[i])
+        for j, u in enumerate(units):
+            without.append(b"".join(units[:j] + units[j + 1 :]))
+            word.append(u)
+            place.append(i)
+    found: dict[int, dict[bytes, None]] = {}
+    least_of: dict[int, tuple[int, bytes]] = {}
+    for i, u, left in zip(place, word, _savings(without, plain, marked)):
+        if i not in least_of or left < least_of[i][0]:
+            least_of[i] = (int(left), u)
+    for i, (_, u) in least_of.items():
+        found.setdefault(int(text_of[i]), {})[u] = None
+    return [b"".join(words) for words in found.values()]
+
+
+def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes] | None:
+    """The ordinary and the toxic dictionary, or None if nothing marks toxic text."""
+    toxic, ordinary = _distinct(toxic), _distinct(ordinary)
+    windows = [cut_windows(t, TRAINING_WINDOW) for t in ordinary]
+    halves = [toxic[0::2], toxic[1::2]]
+    cut = [[cut_windows(t, TRAINING_WINDOW) for t in half] for half in halves]
+    general = trained(ORDINARY_BYTES, [w for t in windows for w in t], shared=6)
+    whole = b" ".join(ordinary)
+    plain = _compressor(whole)
+    marks = [_due(cut[h], plain, _compressor(whole + b" " + b" ".join(halves[1 - h])), FIRST_SAVING) for h in (0, 1)]
+    chance = b""
+    for n in range(ROUNDS):
+        if not any(marks):
+            return None
+        marked = trained(TOXIC_BYTES, marks[0] + marks[1])
+        mistaken = _due(windows, _compressor(chance + general), _compressor(chance + general + marked), CHANCE_SAVING)
+        chance = trained(CHANCE_BYTES, mistaken, shared=6) if mistaken else b""
+        if n < ROUNDS - 1:
+            plain = _compressor(chance + general)
+            other = [_compressor(chance + general + trained(TOXIC_BYTES, m)) for m in marks]
+            marks = [_due(cut[h], plain, other[1 - h], LATER_SAVING) for h in (0, 1)]
+    return chance + general, marked
 
 
 @dataclass(frozen=True)
@@ -86,29 +150,20 @@ class Model:
 
     ordinary: bytes
     toxic: bytes
-    threshold: float
-    stretch: float
+    threshold: float = 1.0
+    stretch: float = 1.0
 
     def measure(self):
         """A function from a text to its saving per window, of the whole and of the worst stretch."""
         import numpy as np
-        import zstandard
-
-        def compressor(content):
-            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=LEVEL)
-            return zstandard.ZstdCompressor(dict_data=d, level=LEVEL, write_content_size=False, write_dict_id=False)
 
-        plain, marked = compressor(self.ordinary), compressor(self.toxic)
+        plain, marked = _compressor(self.ordinary), _compressor(self.ordinary + self.toxic)
 
         def of(text: str) -> tuple[float, float]:
             windows = cut_windows(_prepared(text))
             saved, worst, before = 0, 0, np.zeros(0, np.int64)
             for a in range(0, len(windows), 65536):
-                part = windows[a : a + 65536]
-                n = len(part)
-                gain = np.fromiter(map(len, plain.multi_compress_to_buffer(part)), np.int64, n) - np.fromiter(map(len, marked.multi_compress_to_buffer(part)), np.int64, n)
-                gain = np.maximum(gain - LEAST_SAVING + 1, 0)
+                gain = np.maximum(_savings(windows[a : a + 65536], plain, marked) - LEAST_SAVING + 1, 0)
                 saved += int(gain.sum())
                 sums = np.concatenate([[0], np.cumsum(np.concatenate([before, gain]))])  # with the end of the part before
                 worst = max(worst, int((sums[STRETCH:] - sums[:-STRETCH]).max() if len(sums) > STRETCH else sums[-1]))
@@ -122,73 +177,86 @@ class Model:
         return max(measured[0] / max(self.threshold, 1e-6), measured[1] / max(self.stretch, 1e-6))
 
 
-def _sample(data: bytes, size: int) -> bytes:
-    """Windows at even distances over all of ``data``, ``size`` bytes at most."""
-    n = size // WINDOW
-    return data if len(data) <= size else b"".join(data[i : i + WINDOW] for i in (len(data) * k // n for k in range(n)))
-
-
-def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes] | None:
-    """The contents of the ordinary and the toxic dictionary, or None if nothing marks toxic text."""
-    toxic, ordinary = _distinct(toxic), _distinct(ordinary)
-    t_times, t_within, t_words = _counts(toxic)
-    o_times, _, o_words = _counts(ordinary)
-    least = max(2, 0.02 * len(toxic))
-    marks = [g for g, n in t_times.items() if t_within[g] >= least and (n + 0.5) / t_words >= _RATIO * (o_times[g] + 0.5) / max(1, o_words)]
-    if not marks:
-        return None
-    marks.sort(key=lambda g: (t_within[g], g))  # the commonest last, where matches are cheapest
-    plain = _sample(b" ".join(ordinary), ORDINARY_BYTES)
-    return plain, plain + b"".join(b" " + g for g in marks)
-
-
 def _cut(x, y) -> float:
-    """The threshold of ``x`` that finds most rows of ``y`` at the price of false alarms."""
+    """The threshold of ``x`` at which the share of ``y`` found less that of false alarms is largest; of equally good ones the middle one."""
     import numpy as np
 
     levels = np.unique(x)
     cuts = (levels[1:] + levels[:-1]) / 2 if len(levels) > 1 else levels + 1e-9
-    gain = [(x[y] >= c).mean() - FALSE_ALARM * (x[~y] >= c).mean() for c in cuts]
-    best = np.flatnonzero(np.array(gain) >= max(gain) - 1e-12)
+    found, false = (len(v) - np.searchsorted(np.sort(v), cuts) for v in (x[y], x[~y]))
+    gain = found / len(x[y]) - false / len(x[~y])
+    best = np.flatnonzero(gain >= gain.max() - 1e-12)
     return float(cuts[best[len(best) // 2]])
 
 
-def fit(rows: list[tuple[str, int, int]]) -> Model | None:
-    """From (text, toxic, fold): folds 1 to 3 train the dictionaries, fold 4 calibrates."""
+def calibrated(ordinary: bytes, toxic: bytes, measured: list[tuple[float, float, int]]) -> Model | None:
+    """The model with thresholds from (mean, stretch, toxic) of rows that its dictionaries, or others like them, weren't trained on."""
     import numpy as np
 
-    texts = [(_prepared(t), y) for t, y, fold in rows if fold != 4]
+    y = np.array([v for _, _, v in measured], bool)
+    if not y.any() or y.all():
+        return None
+    plain = [worst for _, worst, v in measured if not v]
+    amid = [max([worst, *(plain[(i * 7 + k) % len(plain)] for k in range(AROUND))]) for i, (_, worst, _) in enumerate(measured)]
+    model = Model(ordinary, toxic, _cut(np.array([mean for mean, _, _ in measured]), y), _cut(np.array(amid), y))
+    both = _cut(np.array([model.level((mean, worst)) for mean, worst, _ in measured]), y)  # the two thresholds together find, and err, more often
+    return Model(ordinary, toxic, model.threshold * both, model.stretch * both)
+
+
+def learn(rows: list[tuple[str, int, int]], fold: int) -> tuple[bytes, bytes, list[tuple[float, float, int]]] | None:
+    """From (text, toxic, fold of 1 to FOLDS): the dictionaries of all rows but ``fold``'s, and what they measure of ``fold``'s."""
+    texts = [(_prepared(t), y) for t, y, f in rows if f != fold]
     toxic, ordinary = [t for t, y in texts if y], [t for t, y in texts if not y]
     made = dictionaries(toxic, ordinary) if toxic and ordinary else None
     if made is None:
         return None
-    model = Model(*made, 0.0, 0.0)
-    of = model.measure()
-    held = [(of(t), y) for t, y, fold in rows if fold == 4]
-    if len({y for _, y in held}) < 2:
-        held = [(of(t), y) for t, y, _ in rows]
-    y = np.array([v for _, v in held], bool)
-    plain = [worst for (_, worst), v in held if not v]
-    amid = [max([worst, *(plain[(i * 7 + k) % len(plain)] for k in range(AROUND))]) for i, ((_, worst), _) in enumerate(held)]
-    return Model(*made, _cut(np.array([mean for (mean, _), _ in held]), y), _cut(np.array(amid), y))
+    of = Model(*made).measure()
+    return *made, [(*of(t), y) for t, y, f in rows if f == fold]
 
 
 def fold_of(id_col: str) -> Column:
     return (F.crc32(F.col(id_col).cast("string").cast("binary")) % 5).cast("int")
 
 
+_LEARNT = "fold int, ordinary binary, toxic binary, mean array<double>, stretch array<double>, label array<int>"
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
-    """Learns from labelled rows whose crc32(id as text) mod 5 isn't 0, at most MAX_TOXIC and MAX_ORDINARY of them."""
-    known = labels.filter(F.col("toxic").isin(0, 1) & F.col(id_col).isNotNull() & (fold_of(id_col) != 0)).groupBy(id_col).agg(F.max("toxic").alias("toxic"))
-    by_hash = F.xxhash64(id_col)
-    chosen = known.filter("toxic = 1").orderBy(by_hash, id_col).limit(MAX_TOXIC).unionByName(known.filter("toxic = 0").orderBy(by_hash, id_col).limit(MAX_ORDINARY))
+    """Learns from labelled rows whose crc32(id as text) mod 5 isn't 0, at most MAX_TOXIC and MAX_ORDINARY of them.
+
+    An id that repeats counts once, with its least text (a null one counts as empty) and as toxic if any of its labels is. Null ids and labels other than 0 and 1 take no part.
+    One task trains the dictionaries of all rows and FOLDS tasks those without one fold, whose rows they measure.
+    """
+    known = labels.filter(F.col("toxic").isin(0, 1) & F.col(id_col).isNotNull() & (fold_of(id_col) != 0)).groupBy(F.col(id_col).alias("_id")).agg(F.max("toxic").cast("int").alias("_label"))
+    by_hash = F.xxhash64("_id")
+    chosen = known.filter("_label = 1").orderBy(by_hash, "_id").limit(MAX_TOXIC).unionByName(known.filter("_label = 0").orderBy(by_hash, "_id").limit(MAX_ORDINARY))
     # at most MAX_TOXIC + MAX_ORDINARY ids
-    rows = docs.join(F.broadcast(chosen), id_col).select(id_col, whole_text(text_col), "toxic", fold_of(id_col)).dropDuplicates([id_col])
-    return fit([tuple(r)[1:] for r in sorted(rows.collect(), key=lambda r: r[0])])
+    rows = docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("_body")).join(F.broadcast(chosen), "_id").groupBy("_id", "_label").agg(F.min("_body").alias("_body"))
+    rows = rows.withColumn("_fold", fold_of("_id")).withColumn("_model", F.explode(F.array(*[F.lit(i) for i in range(FOLDS + 1)])))
+
+    def one(key, part):
+        import pandas as pd
+
+        part = part.sort_values("_id")
+        made = learn(list(zip(part["_body"], part["_label"].astype(int), part["_fold"].astype(int))), int(key[0]))
+        if made is None:
+            return pd.DataFrame(columns=["fold", "ordinary", "toxic", "mean", "stretch", "label"])
+        ordinary, toxic, measured = made
+        mean, stretch, label = ([m[i] for m in measured] for i in range(3))
+        return pd.DataFrame([{"fold": int(key[0]), "ordinary": ordinary, "toxic": toxic, "mean": mean, "stretch": stretch, "label": label}])
+
+    made = sorted(rows.groupBy("_model").applyInPandas(one, _LEARNT).collect(), key=lambda r: r.fold)  # FOLDS + 1 rows, with three numbers for each training row
+    if not made or made[0].fold != 0:
+        return None
+    return calibrated(bytes(made[0].ordinary), bytes(made[0].toxic), [m for r in made[1:] for m in zip(r.mean, r.stretch, r.label)])
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (only the id, if not given), score (0 to 1, 0.5 at the threshold) and predicted of each row. A null text is empty."""
+    """The columns ``keep`` (only the id, if not given), score (0 to 1, 0.5 at the threshold) and predicted of each row.
+
+    A null text is empty, an empty one scores like one without savings; a long text is measured whole; rows with equal ids or texts are scored each by itself, equal
+    texts alike. An empty table gives an empty one. ``keep`` mustn't name ``score`` or ``predicted``; ``drop_toxic`` takes tables with such columns.
+    """
 
     def run(batches):
         import math
@@ -206,13 +274,11 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     text_batches(docs.sparkSession)
     kept = docs.select(*(keep or [id_col]), whole_text(text_col).alias("_body"))
     fields = [f for f in kept.schema.fields if f.name != "_body"]
-    from pyspark.sql import types as T
-
     return kept.mapInArrow(run, T.StructType([*fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that aren't predicted toxic, with the columns of ``docs``."""
+    """The rows that aren't predicted toxic, with the columns of ``docs``, whatever their names; nulls, repeats and empty tables as in ``score``."""
     renamed, at = guarded(docs)
     model = train(docs.select(id_col, text_col), labels, id_col, text_col)
     scored = score(renamed, model, at[id_col], at[text_col], renamed.columns)

@@ -1,5 +1,4 @@
 import random
-import re
 
 import pytest
 
@@ -66,19 +65,56 @@ def test_windows_hold_every_byte(data):
     assert b"".join(w) == data and all(0 < len(x) <= X.WINDOW for x in w)
 
 
-def test_ordinary_dictionary_spans_all_texts():
-    letters = lambda i, k: f"{i:03d}{k:02d}".translate(str.maketrans("0123456789", "abcdefghij"))
-    texts = [" ".join("q" + letters(i, k) for k in range(40)).encode() for i in range(400)]
-    plain, _ = X.dictionaries([t.replace(b"q", b"zz") + b" kvexnit" for t in texts[:9]], texts)
-    found = [(ord(w[0]) - 97, ord(w[3]) - 97) for w in re.findall("q([a-j]{5})", plain.decode())]
-    assert len(plain) <= X.ORDINARY_BYTES and {i for i, _ in found} == {0, 1, 2, 3} and sum(k > 0 for _, k in found) > len(found) / 2
+def test_both_dictionaries_are_trained(monkeypatch):
+    """By zstandard, on windows of ordinary text and on what sets toxic text apart."""
+    import zstandard
 
+    r = random.Random(3)
+    syllables = ["ba", "co", "di", "fu", "ge", "ha", "li", "mo", "nu", "pe"]
+    text = lambda extra: " ".join("".join(r.choice(syllables) for _ in range(r.randint(1, 4))) + extra * (i % 9 == 0) for i in range(200)).encode()
+    made = []
+    real = zstandard.train_dictionary
+    monkeypatch.setattr(zstandard, "train_dictionary", lambda *a, **k: made.append(real(*a, **k)) or made[-1])
+    plain, marked = X.dictionaries([text(" kvexnit zworgle") for _ in range(60)], [text("") for _ in range(200)])
+    trained = [d.as_bytes() for d in made]
+    assert marked in trained and any(plain.endswith(d) for d in trained)
+    assert len(marked) <= X.TOXIC_BYTES and b"kvexnit" in marked and b"zworgle" in marked and b"kvexnit" not in plain
 
-def test_toxic_dictionary_holds_every_mark():
-    letters = lambda i: f"{i:04d}".translate(str.maketrans("0123456789", "abcdefghij"))
-    toxic = [" ".join(f"{letters(i)}zz{letters(i)[::-1]}" for i in range(a, a + 20)[:: 1 if a % 20 else -1]).encode() for a in range(0, 600, 10)]
-    plain, marked = X.dictionaries(toxic, [b"ordinary words " * 5000])
-    assert all(letters(i).encode() in marked for i in range(10, 600)) and len(marked) - len(plain) > 2048
+
+def test_no_marks():
+    same = [f"the same words {i} all over again".encode() for i in range(40)]
+    assert X.dictionaries([], same) is None and X.dictionaries([b""], [b""]) is None
+
+
+def test_scores_match_one_window_at_a_time(spark, docs_of, odd_rows):
+    """Against single compressions and plain sums over every stretch."""
+    import math
+
+    import zstandard
+
+    docs, labels, _ = table(spark, docs_of, 300)
+    model = X.train(docs, labels)
+    rows = [*odd_rows, (20, "Kvexnit ba co " * 200), (21, "x" * 5000)]
+    compress = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), level=X.LEVEL, write_content_size=False, write_dict_id=False) for d in (model.ordinary, model.ordinary + model.toxic)]
+
+    def by_hand(text):
+        windows = X.cut_windows((text or "").encode().lower())[:900]
+        gain = [max(0, len(compress[0].compress(w)) - len(compress[1].compress(w)) - X.LEAST_SAVING + 1) for w in windows]
+        worst = max((sum(gain[i : i + X.STRETCH]) for i in range(max(1, len(gain) - X.STRETCH + 1))), default=0)
+        level = max(sum(gain) / (len(gain) + X.DAMPING) / model.threshold, worst / (X.STRETCH + X.DAMPING) / model.stretch)
+        return 1 / (1 + math.exp(-4 * (level - 1)))
+
+    rows = [(i, t if t is None else t[:20000]) for i, t in rows]
+    got = X.score(docs_of(spark, rows).coalesce(1), model).collect()
+    want = [by_hand(t) for _, t in rows]
+    assert [r["doc_id"] for r in got] == [i for i, _ in rows]
+    assert all(abs(r["score"] - w) < 1e-9 for r, w in zip(got, want))
+
+
+def test_repeated_ids_count_once(spark, docs_of):
+    docs, labels, _ = table(spark, docs_of, 200)
+    more = docs.unionByName(docs.selectExpr("doc_id", "concat(text, ' zworgle') AS text", "lang", "source", "n_chars"))
+    assert X.train(docs, labels) == X.train(more.repartition(5), labels.unionByName(labels))
 
 
 def test_a_passage_counts_in_a_long_text(spark, docs_of):
@@ -92,7 +128,7 @@ def test_a_passage_counts_in_a_long_text(spark, docs_of):
 
 
 def test_worst_stretch_spans_parts():
-    model = X.Model(b"ordinary words", b"ordinary words zworgle kvexnit", 1.0, 1.0)
+    model = X.Model(b"ordinary words", b" zworgle kvexnit", 1.0, 1.0)
     of = model.measure()
     bad = "zworgle kvexnit zworgle " * 32
     at = lambda n: of("x" * X.WINDOW * n + bad)[1]
