@@ -20,8 +20,8 @@ from quire.llm.tokens import encoder, public_path
 CAPACITY = 4096
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
-#: Windows a block holds about; a block's pieces are one task's, so this bounds its memory.
-BLOCK_WINDOWS = 96
+#: Windows and pieces a block holds about; a block is one task's, and takes memory for its pieces times its windows.
+BLOCK_WINDOWS, BLOCK_PIECES = 96, 16_384
 
 
 def differencing(lengths, k: int):
@@ -125,8 +125,8 @@ def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID, c
     """
     found = written(pieces(docs, vocabulary, end_id, capacity, id_col, text_col))
     small = found.filter(F.col("length") < capacity)
-    total = small.agg(F.sum("length")).first()[0] or 0
-    blocks = max(1, round(total / (capacity * block_windows)))
+    total, n = small.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count(F.lit(1))).first()
+    blocks = max(1, round(total / (capacity * block_windows)), -(-n // BLOCK_PIECES))
 
     columns = [*found.columns, "sequence_id", "offset", "padded_length"]
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 import sys
+import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
 
@@ -74,7 +75,8 @@ class PieceEncoder:
         held: list = []
         size = 0
         for text in texts:
-            whole = any(s in text for s in self._special)
+            # what NFC changes may join the sign after it; a composed text has borders where its pieces have them
+            whole = any(s in text for s in self._special) or self._folds and not unicodedata.is_normalized("NFC", text)
             held.append(_little(self._tokenizer.encode(text, add_special_tokens=False).ids) if whole else PIECES.findall(text))
             size += len(held[-1])
             if size >= _AT_ONCE:

@@ -23,6 +23,26 @@ def test_pieces_give_the_ids_of_the_whole_text(name, kind):
         assert np.frombuffer(got, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+@pytest.mark.parametrize("around", ["a{0}b", "{0}!", "x {0} y", "9{0}'s", "{0}{0}"])
+def test_every_code_point(around):
+    import unicodedata
+
+    texts = [around.format(chr(c)) for c in range(0x110000) if unicodedata.category(chr(c)) not in ("Cn", "Co", "Cs")]
+    encoder, whole = PieceEncoder(public_path(P.VOCABULARY), "word"), Tokenizer.from_file(public_path(P.VOCABULARY))
+    want = whole.encode_batch_fast(texts, add_special_tokens=False)
+    assert [t for t, got, w in zip(texts, encoder.encode_all(texts), want) if np.frombuffer(got, "<u4").tolist() != w.ids] == []
+
+
+@pytest.mark.parametrize("name, kind", [(T.VOCABULARY, "byte"), (P.VOCABULARY, "word")])
+def test_letters_that_are_taken_apart(name, kind):
+    r = random.Random(4)
+    signs = [*"\u0958\u095f\u09dc\u0a33\u0b5c\ufb2a\u0344\u2126\u212b\u0301\u0328", "a", "e", " ", "!", "'", "word", "9"]
+    texts = ["".join(r.choice(signs) for _ in range(r.randint(0, 10))) for _ in range(4000)]
+    encoder, whole = PieceEncoder(public_path(name), kind, 500), Tokenizer.from_file(public_path(name))
+    for text, got in zip(texts, encoder.encode_all(texts)):
+        assert np.frombuffer(got, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def ids_of(name, text):
     return np.array(Tokenizer.from_file(public_path(name)).encode(text or "", add_special_tokens=False).ids + [2], "<u4")
 
@@ -77,6 +97,15 @@ def test_windows_rise_with_excess():
     assert P.windows([4096]).tolist() == [0]
 
 
+def test_many_tiny_pieces(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(P, "BLOCK_PIECES", 100)
+    got = P.pack(docs_of(spark, [(i, None) for i in range(1000)])).collect()
+    fill = {}
+    for r in got:
+        fill[r["sequence_id"]] = fill.get(r["sequence_id"], 0) + r["length"]
+    assert sum(fill.values()) == 1000 and len(fill) >= 9 and max(fill.values()) < 200
+
+
 def test_cut():
     assert P.cut(4096) == [4096] and P.cut(1) == [1] and P.cut(9000) == [4096, 4096, 808] and P.cut(3000) == [1024, 1024, 952] and sum(P.cut(12_345)) == 12_345
 
