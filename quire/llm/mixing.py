@@ -15,7 +15,7 @@ from quire.llm.common import fits, guarded, partitions, table, whole_text
 
 #: Share of a source: its size to this power (1: as it is, 0: all sources alike).
 TEMPERATURE = 0.7
-#: Means above this are split: e^-mean must stay a normal double, and the sum of terms short.
+#: Means above this are split, and the counts of the parts added up: e^-mean must stay a normal double, and the sum of terms short.
 MAX_RATE = 64.0
 _TERMS = 200
 
@@ -82,7 +82,8 @@ def replicate(docs: DataFrame, source_rates: DataFrame, seed: str = "mix", id_co
               source_col: str = "source", shuffle: bool = True) -> DataFrame:
     """Every row as often as its count says, with _copy (from 0), _copies, _rate and _order added.
 
-    Rows that repeat an id get the same count each. The order is global: ascending _order (a hash of id and copy).
+    Rows that repeat an id get the same count each, and so do rows with a null id (one of their source's mean; it is hashed as an empty one). Texts play no part here.
+    The order is global: ascending _order (a hash of id and copy), uniform in [0, 1), of which each partition holds an equal range; that needs no sampling of the rows.
     """
     spark = docs.sparkSession
     r = source_rates.select(F.col("source").alias("_source"), F.col("rate").alias("_rate"))
@@ -95,7 +96,8 @@ def replicate(docs: DataFrame, source_rates: DataFrame, seed: str = "mix", id_co
     out = out.withColumn("_order", uniform(name, F.col("_copy").cast("string"), F.lit(seed + ":order")))
     if not shuffle:
         return out
-    return out.repartitionByRange(partitions(spark), "_order").sortWithinPartitions("_order")
+    n = partitions(spark)
+    return out.repartitionById(n, F.floor(F.col("_order") * n).cast("int")).sortWithinPartitions("_order")
 
 
 def mix(docs: DataFrame, targets: DataFrame | None = None, budget: float = 1.0, seed: str = "mix", id_col: str = "doc_id",
@@ -115,23 +117,26 @@ def op2_poisson_mixing(spark, sf_dir: str) -> DataFrame:
                       F.round("_rate", 8).alias("rate"), F.round("_order", 12).alias("sort_key"))
 
 
-# States the rows for rates up to MAX_RATE, where it ends them; the query goes on above.
+# parts: a rate above MAX_RATE is that of several counts, each with its own hash; part 0 is the only one of a smaller rate.
 OP2_SQL = f"""
 WITH sizes AS (SELECT source, sum(length(coalesce(text, '')))::DOUBLE AS size FROM documents GROUP BY source),
 weighed AS (SELECT source, size, pow(size, {TEMPERATURE}) AS w FROM sizes),
 rates AS (
-  SELECT source, least(CASE WHEN size > 0 THEN (w / (SELECT sum(w) FROM weighed)) * (SELECT sum(size) FROM weighed) / size ELSE 0 END, {MAX_RATE}) AS rate
-  FROM weighed),
+  SELECT source, CASE WHEN size > 0 THEN (w / (SELECT sum(w) FROM weighed)) * (SELECT sum(size) FROM weighed) / size ELSE 0 END AS rate FROM weighed),
+parted AS (SELECT source, rate, greatest(1, ceil(rate / {MAX_RATE}))::BIGINT AS parts FROM rates WHERE rate > 0),
 terms AS (
-  SELECT source, rate, k, CASE WHEN k = 0 THEN exp(-rate) ELSE exp(-rate + k * ln(rate) - lgamma(k + 1)) END AS p
-  FROM rates, range(0, {_TERMS}) r(k) WHERE rate > 0),
-cdf AS (SELECT source, rate, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS below FROM terms),
-counted AS (
-  SELECT d.doc_id, d.source, c.rate, min(c.k) AS copies
-  FROM (SELECT doc_id, source, ('0x' || substr(md5(doc_id || '|mix'), 1, 13))::BIGINT / 4503599627370496::DOUBLE AS u FROM documents) d
-  JOIN cdf c ON d.source IS NOT DISTINCT FROM c.source AND c.below > d.u
-  GROUP BY d.doc_id, d.source, c.rate)
-SELECT doc_id, source, copy, copies::BIGINT AS copies, round(rate, 8) AS rate,
+  SELECT source, rate, parts, k, CASE WHEN k = 0 THEN exp(-rate / parts) ELSE exp(-rate / parts + k * ln(rate / parts) - lgamma(k + 1)) END AS p
+  FROM parted, range(0, {_TERMS}) r(k)),
+cdf AS (SELECT source, rate, parts, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS below FROM terms),
+drawn AS (
+  SELECT d.doc_id, d.source, p.rate, part, ('0x' || substr(md5(d.doc_id || '|mix' || CASE WHEN p.parts = 1 THEN '' ELSE '|' || part END), 1, 13))::BIGINT / 4503599627370496::DOUBLE AS u
+  FROM documents d JOIN parted p ON d.source IS NOT DISTINCT FROM p.source, range(1, p.parts + 1) r(part)),
+found AS (
+  SELECT d.doc_id, d.source, d.rate, d.part, min(c.k) AS k
+  FROM drawn d JOIN cdf c ON d.source IS NOT DISTINCT FROM c.source AND c.below > d.u
+  GROUP BY d.doc_id, d.source, d.rate, d.part),
+counted AS (SELECT doc_id, source, rate, sum(k)::BIGINT AS copies FROM found GROUP BY doc_id, source, rate)
+SELECT doc_id, source, copy, copies, round(rate, 8) AS rate,
        round(('0x' || substr(md5(doc_id || '|' || copy || '|mix:order'), 1, 13))::BIGINT / 4503599627370496::DOUBLE, 12) AS sort_key
 FROM counted, range(0, copies) c(copy)
 """
