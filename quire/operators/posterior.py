@@ -61,27 +61,20 @@ def to_rows(draws: np.ndarray, labels: list[str]) -> list[tuple[int, str, str, f
 
 def bradley_terry(wins: dict[tuple[int, int], tuple[int, int]], n: int, reference: int = 0, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
     """(theta, covariance of the free ones): P(i comes before j) = 1 / (1 + exp(theta_i - theta_j)); the reference is 0. Newton's method."""
-    free = [i for i in range(n) if i != reference]
-    place = {t: k for k, t in enumerate(free)}
-    pairs = [(i, j, a, b) for (i, j), (a, b) in wins.items() if a + b]
-    x = np.zeros((len(pairs), len(free)))
-    for r, (i, j, _, _) in enumerate(pairs):
-        if i != reference:
-            x[r, place[i]] = -1
-        if j != reference:
-            x[r, place[j]] = 1
-    first, total = np.array([p[2] for p in pairs], float), np.array([p[2] + p[3] for p in pairs], float)
-    beta = np.zeros(len(free))
+    met = np.array([(i, j, a, a + b) for (i, j), (a, b) in wins.items()], float).reshape(-1, 4)
+    met = met[met[:, 3] > 0]
+    own = np.delete(np.eye(n), reference, axis=1)  # an indicator of each item but the reference
+    x = own[met[:, 1].astype(int)] - own[met[:, 0].astype(int)]
+    first, total = met[:, 2], met[:, 3]
+    beta = np.zeros(n - 1)
     for _ in range(rounds):
         mu = 1 / (1 + np.exp(-x @ beta))
-        info = x.T @ (x * (total * mu * (1 - mu))[:, None]) + 1e-10 * np.eye(len(free))
+        info = x.T @ (x * (total * mu * (1 - mu))[:, None]) + 1e-10 * np.eye(n - 1)
         step = np.linalg.solve(info, x.T @ (first - total * mu))
         beta = beta + np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-10:
             break
-    theta = np.zeros(n)
-    theta[free] = beta
-    return theta, np.linalg.inv(info)
+    return own @ beta, np.linalg.inv(info)
 
 
 def before(theta_a: float, theta_b: float) -> float:

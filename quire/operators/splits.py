@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.hashing import uniform
+from quire.operators.graph import saved
 from quire.operators.ranking import numbered, running_total
 
 SPLITS = ("train", "val", "test")
@@ -41,8 +42,11 @@ def split_rounded(df: DataFrame, key: str = "dossier", seed: str = "0", ratios=(
 
 def stratified(df: DataFrame, key: str, label: str, seed: str = "0", ratios=(0.7, 0.15)) -> DataFrame:
     """key, label, split, by class: below three rows all is train; else rounded shares of at least 1, val only if two rows are left."""
-    w = Window.partitionBy(label)
-    rows = df.withColumn("_u", uniform(F.lit(seed), key)).withColumns({"_i": F.row_number().over(w.orderBy("_u", key)) - 1, "_n": F.count(F.lit(1)).over(w)})
+    rows = df.select(key, label).withColumn("_u", uniform(F.lit(seed), key))
+    sizes = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed(label, "_l")
+    # numbered in ranges, so that a class of any size is several tasks'
+    rows = numbered(rows, ["_u", key], "_i", (label,))
+    rows = rows.join(sizes, F.col(label).eqNullSafe(F.col("_l"))).drop("_l")
     n = F.col("_n")
     train = F.greatest(F.lit(1), F.bround(n * ratios[0]))
     val = F.when(n - train >= 2, F.greatest(F.lit(1), F.bround(n * ratios[1]))).otherwise(0)
@@ -50,36 +54,61 @@ def stratified(df: DataFrame, key: str, label: str, seed: str = "0", ratios=(0.7
     return rows.select(key, label, split.alias("split"))
 
 
-def group_stratified(coverage: DataFrame, key: str, label: str, seed: str = "0", ratios=(0.7, 0.15, 0.15)) -> tuple[dict, list[tuple[str, str]]]:
-    """({key: split}, [(class, split) not covered]). Rarest classes first get a dossier in every split, the rest fill the deficits.
-
-    Every choice depends on those before, so this runs on the driver, over one row for each distinct (dossier, class): Spark makes them from the pages.
+def _pinned(holds, rarity: list[int]):
+    """The split (-1: none) of each dossier, given who holds which class (dossiers in hash order x classes), and the places of a class that stay empty."""
+    import numpy as np
+
+    split = np.full(len(holds), -1)
+    empty = []
+    for j in rarity:
+        own = holds[:, j]
+        lacking = np.setdiff1d(np.arange(len(SPLITS)), split[own])
+        fresh = np.flatnonzero(own & (split < 0))[: len(lacking)]
+        split[fresh] = lacking[: len(fresh)]
+        empty += [(j, int(s)) for s in lacking[len(fresh) :]]
+    return split, empty
+
+
+def _levelled(n: int, room: list[int]) -> list[int]:
+    """n in parts such that what is left of each room is as even as can be; a room that is overfull already gets none."""
+    order = sorted(range(len(room)), key=lambda i: -room[i])
+    for m in range(len(room), 0, -1):
+        top = order[:m]
+        left = (sum(room[i] for i in top) - n) / m
+        if m == 1 or room[top[-1]] >= left:
+            break
+    part = {i: math.floor(room[i] - left) for i in top}
+    for i in top[: n - sum(part.values())]:
+        part[i] += 1
+    return [max(0, part.get(i, 0)) for i in range(len(room))]
+
+
+def group_stratified(coverage: DataFrame, key: str, label: str, seed: str = "0", ratios=(0.7, 0.15, 0.15)) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """((key, split) of every dossier, [(class, split) not covered]).
+
+    First every class, the rarest first, gets a dossier in each split that has none of it yet. That takes three dossiers a class at most, so of a class only
+    the first 3 x classes dossiers in hash order can ever be needed: these are all that the driver sees. All others are cut in hash order
+    to the sizes that the ratios leave, without leaving the cluster.
     """
-    rows = coverage.filter(F.col(label).isNotNull()).select(key, label).distinct().withColumn("u", uniform(F.lit(seed), key)).collect()
-    everyone = coverage.select(key).distinct().withColumn("u", uniform(F.lit(seed), key)).collect()
-    place = {r[key]: (r["u"], r[key]) for r in everyone}
-    classes: dict = {}
-    for r in rows:
-        classes.setdefault(r[label], set()).add(r[key])
-    given: dict = {}
-    unmet: list = []
-    for name in sorted(classes, key=lambda c: (len(classes[c]), c)):
-        members = sorted(classes[name], key=place.get)
-        covered = {given[m] for m in members if m in given}
-        free = iter([m for m in members if m not in given])
-        for split in SPLITS:
-            if split not in covered:
-                chosen = next(free, None)
-                if chosen is None:
-                    unmet.append((name, split))
-                else:
-                    given[chosen] = split
-    room = {s: round(r * len(place)) - sum(1 for v in given.values() if v == s) for s, r in zip(SPLITS, ratios)}
-    for k in sorted(place, key=place.get):
-        if k not in given:
-            given[k] = max(SPLITS, key=room.get)
-            room[given[k]] -= 1
-    return given, unmet
+    held = saved(coverage.filter(F.col(label).isNotNull()).select(key, label).distinct().withColumn("_u", uniform(F.lit(seed), key)))
+    sizes = {r[label]: r["count"] for r in held.groupBy(label).count().collect()}  # a vocabulary
+    classes = sorted(sizes)
+    first = Window.partitionBy(label).orderBy("_u", key)
+    able = held.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= len(SPLITS) * len(classes)).select(key).distinct()
+    seen = held.join(able, key, "left_semi").groupBy("_u", key).agg(F.collect_set(label).alias("has")).orderBy("_u", key).collect()  # 3 x classes^2 dossiers at most
+    import numpy as np
+
+    holds = np.array([[c in r["has"] for c in classes] for r in seen], bool).reshape(len(seen), len(classes))
+    split, empty = _pinned(holds, sorted(range(len(classes)), key=lambda j: (sizes[classes[j]], classes[j])))
+    fixed = coverage.sparkSession.createDataFrame([(r[key], SPLITS[s]) for r, s in zip(seen, split) if s >= 0], coverage.select(key, F.lit("").alias("split")).schema)
+    everyone = coverage.select(key).distinct().withColumn("_u", uniform(F.lit(seed), key))
+    rest = saved(everyone.join(F.broadcast(fixed), key, "left_anti"))  # three dossiers a class
+    n = rest.count()
+    pinned = [int((split == i).sum()) for i in range(len(SPLITS))]
+    train, val, _ = _levelled(n, [round(r * (n + sum(pinned))) - k for r, k in zip(ratios, pinned)])
+    place = F.col("_i")
+    others = numbered(rest, ["_u", key], "_i").select(key, F.when(place < train, SPLITS[0]).when(place < train + val, SPLITS[1]).otherwise(SPLITS[2]).alias("split"))
+    return fixed.unionByName(others), [(classes[j], SPLITS[s]) for j, s in empty]
 
 
 def coverage_audit(rows: DataFrame, label: str = "document_type", split: str = "split", key: str | None = None) -> DataFrame:

@@ -194,8 +194,7 @@ def split_coverage_audit(spark, d):
 @query("split_group_stratified")
 def split_group_stratified(spark, d):
     pages = X.event_pages(spark, d)
-    given, _ = splits.group_stratified(pages.select("dossier", "document_type"), "dossier", "document_type")
-    return spark.createDataFrame(sorted(given.items()), "dossier string, split string")
+    return splits.group_stratified(pages.select("dossier", "document_type"), "dossier", "document_type")[0]
 
 
 @query("weighted_sample", f"""WITH w AS (SELECT p_partkey AS k, p_size::DOUBLE AS w, sum(p_size::DOUBLE) OVER (ORDER BY p_partkey) / sum(p_size::DOUBLE) OVER () AS hi FROM part), b AS (SELECT k, hi - w / (SELECT sum(p_size::DOUBLE) FROM part) AS lo, hi FROM w WHERE w > 0), i AS (SELECT i, {S.u("'0'", 'i')} AS x FROM range(0, 500) r(i))

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import scalars, text
@@ -81,11 +82,32 @@ def test_split_sizes(spark):
 
 def test_group_stratified_covers(spark):
     rows = [(f"d{i}", "common") for i in range(20)] + [("d1", "rare"), ("d2", "rare"), ("d3", "pair"), ("d4", "pair"), ("d5", "pair")]
-    given, unmet = splits.group_stratified(spark.createDataFrame(rows, "dossier string, t string"), "dossier", "t")
+    found, unmet = splits.group_stratified(spark.createDataFrame(rows, "dossier string, t string"), "dossier", "t")
+    given = {r["dossier"]: r["split"] for r in found.collect()}
     assert len(given) == 20 and unmet == [("rare", "test")] and {given["d3"], given["d4"], given["d5"]} == set(splits.SPLITS)
     assert sum(v == "train" for v in given.values()) == 14
 
 
+def test_group_stratified_sizes_and_every_class(spark):
+    rows = [(f"d{i}", f"t{(i * 7 + k) % 9}") for i in range(400) for k in range(i % 3)] + [(f"d{i}", None) for i in range(400)]
+    found, unmet = splits.group_stratified(spark.createDataFrame(rows, "dossier string, t string"), "dossier", "t")
+    given = {r["dossier"]: r["split"] for r in found.collect()}
+    assert len(given) == 400 == found.count() and unmet == []
+    assert [sum(v == s for v in given.values()) for s in splits.SPLITS] == [280, 60, 60]
+    assert all({given[d] for d, t in rows if t == f"t{c}"} == set(splits.SPLITS) for c in range(9))
+    none, unmet = splits.group_stratified(spark.createDataFrame([], "dossier string, t string"), "dossier", "t")
+    assert none.count() == 0 and unmet == []
+
+
+@pytest.mark.parametrize("n, room", [(10, [7, 2, 1]), (10, [12, -3, 1]), (0, [0, 0, 0]), (5, [1, 1, 1]), (7, [-1, -2, 3]), (1, [5, 5, 5])])
+def test_levelled(n, room):
+    """As if each went to where most room is left."""
+    got, left = splits._levelled(n, room), list(room)
+    for _ in range(n):
+        left[left.index(max(left))] -= 1
+    assert sum(got) == n and sorted(r - g for r, g in zip(room, got)) == sorted(left)
+
+
 def test_manifest(spark, tmp_path):
     import pytest
 
