@@ -2,8 +2,11 @@
 
 Native: DataFrame functions only. An entity's normal form (digits of a phone number, an address in small letters) is hashed
 with a secret key; the hash fills the form anew, letter for letter of the same script, digit for digit, name for name of the
-same gender. All mentions of an entity get the same surrogate, in the format and case of the mention. Over the whole corpus
-no two entities may share a surrogate and none may be an entity's own form: those that do are hashed again.
+same gender. All mentions of an entity get the same surrogate, in the format and case of the mention. A name consists of words that
+are entities of their own (surnames, and given names by gender), so that people who share a surname still do. Over the whole corpus
+no two entities may share a surrogate and none may be an entity's own form: those that do are hashed again, into a larger space each few attempts.
+
+Texts are searched once: what lies between mentions, and these, are written down as the parts of a text, and later steps read the parts.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import guarded, table, whole_text, written
+from quire.llm.common import fits, guarded, table, whole_text, written
 
 _TITLES = {
     "m": ["Mr", "Herr", "Monsieur", "Señor", "Sr"],
@@ -39,9 +42,10 @@ _LETTERS = {r"\p{IsCyrillic}": "аеиоустнрлвкмдпб", r"\p{IsGreek}
 _HEX = "0123456789abcdef"
 _SYLLABLES = ["bar", "den", "fal", "gor", "hin", "jol", "kes", "lam", "mor", "nel", "pir", "ros", "sil", "tav", "ven", "wol"]
 _ENDINGS = {"m": ["ric", "don", "ter", "vin"], "f": ["ina", "ella", "ara", "issa"], "n": ["en", "ay", "el", "ie"], "s": ["berg", "man", "field", "son"]}
-MAX_ROUNDS = 40
-#: Attempts after which names, addresses and phone numbers get one more syllable, letter or digit.
+#: Attempts after which a surrogate gets one more syllable, letter, digit or octet: no number of entities fills all spaces.
 GROWS_AFTER = 3
+#: Parts a text by its mentions.
+_MARK = "\u0001"
 
 
 def _let(value: Column, body) -> Column:
@@ -99,42 +103,41 @@ def _longer(form: Column, more: Column) -> Column:
     return F.when(more > 0, F.concat(F.repeat(F.when(lead.rlike(r"\p{L}"), lead).otherwise("a"), more), form)).otherwise(form)
 
 
-def _name(norm: Column, of, attempt: Column) -> Column:
-    """Given name by gender, surname by itself, each token by its own hash."""
-    more = _more(attempt)
-
-    def tokens_of(t):
-        tokens, gender = t["tokens"], t["gender"]
-
-        def token(word, i):
-            last = i == F.size(tokens) - 1
+def units(kind: Column, norm: Column) -> Column:
+    """What gets surrogates of its own in a mention: (kind, norm) of each word of a name, its surname last, or of the entity itself."""
 
-            def by(h):
-                at = lambda k: F.element_at(F.array(*[F.lit(s) for s in _SYLLABLES]), _number(h, k, F.lit(1)) + 1)
-                added = F.when(more > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(more, F.lit(1))), lambda k: at(k + 16)), "")).otherwise("")
-                ending = F.when(last, F.lit("s")).otherwise(gender)
-                lists = F.create_map(*[x for g, e in _ENDINGS.items() for x in (F.lit(g), F.array(*[F.lit(s) for s in e]))])
-                latin = F.concat(at(F.lit(1)), at(F.lit(2)), F.when(last, at(F.lit(3))).otherwise(F.lit("")), added, F.element_at(F.element_at(lists, ending), _number(h, 9, 1) % 4 + 1))
-                return F.when(word.rlike(r"^[\p{IsLatin}'-]+$"), latin).otherwise(_fill(_longer(word, more), h))
+    def words(t):
+        last = F.size(t) - 2  # the first is the gender
+        one = lambda w, i: F.struct(F.when(i == last, "surname").otherwise(F.concat(F.lit("given_"), t[0])).alias("kind"), w.alias("norm"))
+        return F.transform(F.slice(t, F.lit(2), F.size(t)), one)
 
-            return _let(of(F.when(last, F.lit("surname")).otherwise(gender), word, attempt.cast("string")), by)
+    return F.when(kind == "name", _let(F.split(norm, "[| ]"), words)).otherwise(F.array(F.struct(kind.alias("kind"), norm.alias("norm"))))
 
-        return F.concat(gender, F.lit("|"), F.array_join(F.transform(tokens, token), " "))
 
-    parts = F.struct(F.substring(norm, 1, 1).alias("gender"), F.split(F.substring(norm, F.lit(3), F.length(norm)), " ").alias("tokens"))
-    return _let(parts, tokens_of)
+def _word(kind: Column, word: Column, hexes: Column, more: Column) -> Column:
+    """A name's word: two syllables and an ending of the gender, or three and a surname's."""
+    at = lambda k: F.element_at(F.array(*[F.lit(s) for s in _SYLLABLES]), _number(hexes, k, F.lit(1)) + 1)
+    added = F.when(more > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(more, F.lit(1))), lambda k: at(k % 100 + 16)), "")).otherwise("")
+    last = kind == "surname"
+    lists = F.create_map(*[x for g, e in _ENDINGS.items() for x in (F.lit(g), F.array(*[F.lit(s) for s in e]))])
+    ending = F.element_at(lists, F.when(last, F.lit("s")).otherwise(F.substring(kind, 7, 1)))
+    latin = F.concat(at(F.lit(1)), at(F.lit(2)), F.when(last, at(F.lit(3))).otherwise(F.lit("")), added, F.element_at(ending, _number(hexes, 9, 1) % 4 + 1))
+    return F.when(word.rlike(r"^[\p{IsLatin}'-]+$"), latin).otherwise(_fill(_longer(word, more), hexes))
 
 
 def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
-    """The surrogate of a normal form, itself one. Country codes, first card digits and top-level domains stay."""
+    """The surrogate of a unit's normal form, itself one. Country codes, first card digits and top-level domains stay."""
     of = lambda *what: F.sha2(F.concat_ws("|", F.lit(key), *what), 512)  # noqa: E731  128 hex digits
+    more = _more(attempt)
 
     def by(hexes):
-        octets = F.concat_ws(".", *[(_number(hexes, 4 * i + 1, 4) % 254 + 1).cast("string") for i in range(4)])
-        email = F.concat(_fill(_longer(F.regexp_replace(norm, r"[^.]*$", ""), _more(attempt)), hexes), F.regexp_extract(norm, r"[^.]*$", 0))
+        octet = lambda i: (_number(hexes, i * 4 % 120 + 1, 4) % 254 + 1).cast("string")
+        octets = F.array_join(F.transform(F.sequence(F.lit(0), more + 3), octet), ".")
+        email = F.concat(_fill(_longer(F.regexp_replace(norm, r"[^.]*$", ""), more), hexes), F.regexp_extract(norm, r"[^.]*$", 0))
         keep = (F.when(kind == "phone", F.greatest(F.length(norm) - 10, F.lit(0))).when(kind == "iban", 2).when(kind == "card", 1).otherwise(0))
-        return (F.when(kind == "email", email).when(kind == "ip", octets).when(kind == "name", _name(norm, of, attempt))
-                .otherwise(_let(keep, lambda k: _fill(F.when(kind == "phone", F.concat(norm, F.repeat(F.lit("0"), _more(attempt)))).otherwise(norm), hexes, k))))
+        longer = F.concat(norm, F.repeat(F.lit("0"), more))
+        return (F.when(kind == "email", email).when(kind == "ip", octets).when((kind == "surname") | kind.startswith("given_"), _word(kind, norm, hexes, more))
+                .otherwise(_let(keep, lambda k: _fill(longer, hexes, k))))
 
     return _let(of(kind, norm, attempt.cast("string")), by)
 
@@ -157,69 +160,84 @@ def restore(value: Column, kind: Column, found: Column) -> Column:
 
 
 def _replaced(values: Column, tries, key: str) -> Column:
-    """The surrogates of mentions; tries(i) is the attempt of the i-th. Step by step, so that no step computes another's part again."""
+    """The surrogates of mentions; tries(i, j) is the attempt of the j-th unit of the i-th. Step by step, so that no step computes another's part again."""
     out = F.transform(values, lambda v: F.struct(v.alias("v"), kind_of(v).alias("kind")))
-    out = F.transform(out, lambda e, i: F.struct(e["v"].alias("v"), e["kind"].alias("kind"), normal(e["v"], e["kind"]).alias("norm"), tries(i).alias("n")))
-    out = F.transform(out, lambda e: F.struct(e["v"].alias("v"), e["kind"].alias("kind"), surrogate(e["kind"], e["norm"], e["n"], key).alias("new")))
-    return F.transform(out, lambda e: restore(e["v"], e["kind"], e["new"]))
+    out = F.transform(out, lambda e: F.struct(e["v"].alias("v"), e["kind"].alias("kind"), normal(e["v"], e["kind"]).alias("norm")))
+    out = F.transform(out, lambda e: F.struct(e["v"].alias("v"), e["kind"].alias("kind"), e["norm"].alias("norm"), units(e["kind"], e["norm"]).alias("units")))
+
+    def fresh(e, i):
+        new = F.array_join(F.transform(e["units"], lambda x, j: surrogate(x["kind"], x["norm"], tries(i, j), key)), " ")
+        return F.struct(e["v"].alias("v"), e["kind"].alias("kind"), F.when(e["kind"] == "name", F.concat(F.substring(e["norm"], 1, 2), new)).otherwise(new).alias("new"))
+
+    return F.transform(F.transform(out, fresh), lambda e: restore(e["v"], e["kind"], e["new"]))
 
 
-def mentions(text: Column) -> Column:
-    """The mentions in order, an empty array if there are none."""
-    return F.when(text.rlike(_GUARD), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+def parts_of(text: Column) -> Column:
+    """The text in parts, every other one (from the second on) a mention; null without mentions. One search, but for texts that hold the mark itself."""
+    marked = F.split(F.regexp_replace(text, f"({ANY})", f"{_MARK}$1{_MARK}"), _MARK, -1)
+    gaps, found = F.split(text, ANY, -1), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
+    zipped = F.flatten(F.transform(F.arrays_zip(gaps.alias("g"), found.alias("v")), lambda x: F.when(x["v"].isNull(), F.array(x["g"])).otherwise(F.array(x["g"], x["v"]))))
+    parts = F.when(text.contains(_MARK), zipped).otherwise(marked)
+    return F.when(text.rlike(_GUARD), _let(parts, lambda p: F.when(F.size(p) > 1, p)))
 
 
-def _inserted(text: Column, values: Column) -> Column:
-    gaps = F.split(text, ANY, -1)
-    return F.array_join(F.zip_with(gaps, values, lambda g, v: F.concat(g, F.coalesce(v, F.lit("")))), "")
+def _mentions(parts: Column) -> Column:
+    return F.filter(parts, lambda _, i: i % 2 == 1)
 
 
 def attempts(entities: DataFrame, key: str) -> DataFrame:
     """kind, norm, attempt of the entities whose first surrogate can't stay. ``entities`` holds each kind and norm once.
 
     Of entities with the same surrogate the least keeps it; one that is some entity's own form goes. The others
-    hash again, until all are distinct; later attempts draw from larger spaces, but for IBANs, cards, SSNs and IP addresses, whose length is fixed.
+    hash again, against each other and all that is settled, until none is left; only they are computed and written in later rounds. Later attempts draw from larger spaces.
     """
-    assigned = entities.withColumn("attempt", F.lit(0))
-    moved = None
-    for _ in range(MAX_ROUNDS):
-        tried = assigned.withColumn("sur", surrogate(F.col("kind"), F.col("norm"), F.col("attempt"), key))
-        tried = written(tried)
-        shared = tried.groupBy("kind", "sur").agg(F.min(F.struct("attempt", "norm")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        again = tried.join(shared, ["kind", "sur"]).filter(~F.struct("attempt", "norm").eqNullSafe(F.col("first"))).select("kind", "norm")
-        own = tried.join(entities.select("kind", F.col("norm").alias("sur")), ["kind", "sur"], "left_semi").select("kind", "norm")
-        bad = written(again.unionByName(own).distinct())
+    settled, moved, left, attempt = None, None, entities, 0
+    own = entities.select("kind", F.col("norm").alias("sur"))
+    while True:
+        tried = written(left.select("kind", "norm", surrogate(F.col("kind"), F.col("norm"), F.lit(attempt), key).alias("sur")))
+        first = tried.groupBy("kind", "sur").agg(F.min("norm").alias("norm"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("kind", "sur", F.col("norm").alias("first"))
+        taken = own if settled is None else own.unionByName(settled)
+        n = tried.count() if attempt else None  # later rounds are small, and then go to the settled ones
+        side = F.broadcast(tried) if n is not None and fits(n, 200) else tried
+        bad = taken.join(side, ["kind", "sur"]).select("kind", "norm").unionByName(tried.join(first, ["kind", "sur"]).filter("norm <> first").select("kind", "norm"))
+        bad = written(bad.distinct())
+        kept = tried.join(bad, ["kind", "norm"], "left_anti")
+        settled = kept.select("kind", "sur") if settled is None else settled.unionByName(kept.select("kind", "sur"))
+        if attempt:
+            now = kept.select("kind", "norm", F.lit(attempt).alias("attempt"))
+            moved = now if moved is None else moved.unionByName(now)
         if bad.isEmpty():
-            return tried.filter("attempt > 0").select("kind", "norm", "attempt")
-        moved = bad.withColumn("_more", F.lit(1))
-        assigned = tried.drop("sur").join(moved, ["kind", "norm"], "left").select("kind", "norm", (F.col("attempt") + F.coalesce("_more", F.lit(0))).alias("attempt"))
-    raise ValueError(f"surrogates still collide after {MAX_ROUNDS} rounds: the space of a format is too small for its entities")
+            return written(moved) if moved is not None else kept.select("kind", "norm", F.lit(0).alias("attempt")).filter("false")
+        left, attempt = bad, attempt + 1
 
 
 def replace_entities(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with the entities in ``text_col`` replaced, and n_entities added (a name taken before is replaced).
 
-    Texts without entities stay as they are, null ones null. Rows that repeat each other get the same text.
+    Texts without entities stay as they are, null ones null, long ones are searched whole. Rows that repeat each other get the same text. An empty table gives an empty one. Of
+    entities that tie for a surrogate the least in code point order keeps it, so results don't depend on the order of rows.
     """
     base, at = guarded(docs.drop("n_entities"))
     names, text_col = list(at), at[text_col]
-    body = F.col("_body")
-    rows = base.withColumn("_body", whole_text(text_col))
-    rows = rows.withColumn("_values", mentions(body))
-    each = base.select(F.explode(mentions(whole_text(text_col))).alias("v")).distinct().withColumn("kind", kind_of(F.col("v")))
-    entities = written(each.select("kind", normal(F.col("v"), F.col("kind")).alias("norm")).distinct())
-    exceptions = attempts(entities, key)
-    tries = lambda i: F.lit(0)
+    body = whole_text(text_col)
+    rows = base.withColumn("_parts", parts_of(body))
+    rows = written(rows.withColumns({"_h": F.when(F.col("_parts").isNotNull(), F.md5(body)), text_col: F.when(F.col("_parts").isNull(), F.col(text_col))}))
+    found = rows.filter("_parts is not null")
+    each = found.select(F.explode(_mentions(F.col("_parts"))).alias("v")).distinct().withColumn("kind", kind_of(F.col("v")))
+    each = written(each.select("v", F.posexplode(units(F.col("kind"), normal(F.col("v"), F.col("kind")))).alias("j", "unit")).select("v", "j", "unit.kind", "unit.norm"))
+    exceptions = attempts(each.select("kind", "norm").distinct(), key)
+    tries = lambda i, j: F.lit(0)
     if not exceptions.isEmpty():
-        # Only texts that hold an exception need the join; they are known by their hash, and repeated texts are joined once.
-        held = rows.filter(F.size("_values") > 0).select(F.xxhash64(body).alias("_h"), F.posexplode("_values").alias("at", "v")).distinct()
-        held = held.withColumn("kind", kind_of(F.col("v"))).withColumn("norm", normal(F.col("v"), F.col("kind")))
-        hit = held.join(exceptions, ["kind", "norm"]).groupBy("_h").agg(F.map_from_entries(F.collect_list(F.struct("at", "attempt"))).alias("_tries"))
-        rows = rows.withColumn("_h", F.when(F.size("_values") > 0, F.xxhash64(body))).join(hit, "_h", "left").drop("_h")
-        tries = lambda i: F.coalesce(F.element_at("_tries", i), F.lit(0))
-    rows = rows.withColumn("_new", _replaced(F.col("_values"), tries, key))
-    text = F.when(F.size("_values") > 0, _inserted(body, F.col("_new"))).otherwise(F.col(text_col))
-    out = rows.withColumn(text_col, text).withColumn("n_entities", F.size("_values").cast("long"))
+        # Mentions with a unit that moved; only texts that hold one are joined, repeated texts once.
+        odd = each.join(exceptions, ["kind", "norm"]).select("v", "j", "attempt")
+        held = found.select("_h", F.posexplode(_mentions(F.col("_parts"))).alias("at", "v")).distinct()
+        hit = held.join(odd, "v").groupBy("_h").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("at", "j"), "attempt"))).alias("_tries"))  # a text's own mentions
+        rows = rows.join(hit, "_h", "left")
+        tries = lambda i, j: F.coalesce(F.element_at("_tries", F.struct(i.alias("at"), j.alias("j"))), F.lit(0))
+    parts = F.col("_parts")
+    rows = rows.withColumn("_new", _replaced(_mentions(parts), tries, key))
+    text = F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.element_at("_new", ((i + 1) / 2).cast("int"))).otherwise(p)), "")
+    out = rows.withColumns({text_col: F.when(parts.isNull(), F.col(text_col)).otherwise(text), "n_entities": F.coalesce((F.size(parts) - 1) / 2, F.lit(0)).cast("long")})
     return out.select(*base.columns, "n_entities").toDF(*names, "n_entities")
 
 

@@ -37,7 +37,7 @@ def test_clean_and_odd_rows_stay(spark, docs_of, odd_rows):
 def test_collisions_are_hashed_again(spark, docs_of, monkeypatch):
     from pyspark.sql import functions as F
 
-    # a space of 400 cards for 60 of them, and own forms in it
+    # a space of 400 cards for 60 of them, and own forms in it (attempts are literals here)
     def tight(kind, norm, attempt, key):
         n = F.pmod(F.xxhash64(norm, attempt), F.lit(400))
         return F.concat(F.lit("40000000000"), F.lpad(n.cast("string"), 5, "0"))
@@ -70,3 +70,51 @@ def test_a_full_space_grows(spark, docs_of, monkeypatch):
     parts = [re.fullmatch(r"([A-Z]+@[A-Z]\.COM) ([A-Z]+@[A-Z]\.COM) and Mr ([A-Z][a-z]+), (\+\d \d\d \d{3,})", t).groups() for t in got]
     assert all(a == b for a, b, _, _ in parts) and all(len({p[k] for p in parts}) == 600 for k in (0, 2, 3))
     assert not {p[0] for p in parts} & {t.split()[0] for _, t in rows}
+
+
+def test_many_one_word_names_keep_shared_surnames(spark, docs_of):
+    """More surnames than the first space holds; whoever shares one shares the surrogate's."""
+    az = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda i: "Q" + az[i // 676 % 26] + az[i // 26 % 26] + az[i % 26] + az[i // 17576]
+    rows = [(i, f"Mr {word(i)} met Mrs {word(i)} and Herr Otto {word(i)}") for i in range(20_000)]
+    got = S.replace_entities(docs_of(spark, rows), "k").collect()
+    names = [re.fullmatch(r"Mr (\w+) met Mrs (\w+) and Herr (\w+) (\w+)", r["text"]).groups() for r in got]
+    assert all(a == b == d for a, b, _, d in names) and len({a for a, _, _, _ in names}) == 20_000 and len({c for _, _, c, _ in names}) == 1
+    assert not {a for a, _, _, _ in names} & {word(i) for i in range(20_000)}
+
+
+def test_a_full_format_of_fixed_length_grows(spark, docs_of, monkeypatch):
+    # as if digits had two values: 16 network addresses and numbers can't all differ from 300
+    real = S._number
+    monkeypatch.setattr(S, "_number", lambda h, a, n: real(h, a, n) % 3)
+    rows = [(i, f"at 10.0.{i // 100}.{i % 100}") for i in range(300)]
+    got = [r["text"] for r in S.replace_entities(docs_of(spark, rows), "k").collect()]
+    assert len(set(got)) == 300 and not set(got) & {t for _, t in rows} and all(re.fullmatch(r"at (\d+\.){3,}\d+", t) for t in got)
+
+
+def test_against_a_plain_search(spark, docs_of, odd_rows):
+    """The same mentions as a search of each whole text, everything between them as it was, one surrogate for each entity."""
+    import random
+
+    r = random.Random(2)
+    bits = ["Mr John Smith", "Frau Anna Weber", "jo@x.org", "10.1.2.3", "123-45-6789", "plain", "\x01", "a\x01b", "4111 1111 1111 1111", "+1 (017) 555-7713", "$1", "\\", "", "\n"]
+    rows = [x for x in odd_rows if x[0] is not None] + [(100 + i, " ; ".join(r.choice(bits) for _ in range(r.randint(0, 12)))) for i in range(300)]
+    got = {}
+    for x in S.replace_entities(docs_of(spark, rows), "k").collect():
+        got.setdefault(x["doc_id"], []).append((x["text"], x["n_entities"]))
+    known = {"Mr John Smith": r"Mr [A-Z]\w+ [A-Z]\w+", "Frau Anna Weber": r"Frau [A-Z]\w+ [A-Z]\w+", "jo@x.org": r"[a-z]+@[a-z]+\.org", "10.1.2.3": r"\d+\.\d+\.\d+\.\d+", "123-45-6789": r"\d{3}-\d\d-\d{4}",
+             "4111 1111 1111 1111": r"4\d{3} \d{4} \d{4} \d{4}", "+1 (017) 555-7713": r"\+1 \(\d{3}\) \d{3}-\d{4}"}
+    split = re.compile("(" + "|".join(re.escape(k) for k in known) + ")")
+    seen = {}
+    for i, t in rows:
+        parts = split.split(t or "")
+        want = re.compile("".join(f"({known[p]})" if k % 2 else re.escape(p) for k, p in enumerate(parts)), re.S)
+        text, n = got[i].pop()
+        if t is None:
+            assert text is None and n == 0
+            continue
+        m = want.fullmatch(text)
+        assert m and n == len(parts) // 2, (t, text)
+        for p, g in zip(parts[1::2], m.groups()):
+            assert seen.setdefault(p, g) == g != p
+    assert len(seen) == len(known) == len(set(seen.values()))
