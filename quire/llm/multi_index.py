@@ -5,7 +5,8 @@ centroids. A query goes through the cells by the sum of its two squared distance
 these cells are ranked by their exact cosines. How many rows are enough is measured: sampled queries are compared with
 all rows, and the share is taken within which nearly all of their true neighbours lie.
 
-Cells are dealt to blocks of bounded size, a large cell to several, so that no task holds a hot cell.
+Cells are dealt to blocks of bounded size, a large cell to several, so that no task holds a hot cell; queries from neighbouring cells make up parts of
+bounded size, and a block's rows go to the parts that walk one of its cells. A query's product is taken with the rows of its walked cells alone.
 """
 
 from __future__ import annotations
@@ -18,12 +19,14 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import partitions, table, written
 
-#: Rows the centroids are fitted on, and queries the share is measured with, at most.
-SAMPLE_ROWS, SAMPLE_QUERIES = 20_000, 64
+#: Rows the centroids are fitted on (and their bytes), and queries the share is measured with, at most.
+SAMPLE_ROWS, SAMPLE_BYTES, SAMPLE_QUERIES = 20_000, 64 << 20, 64
 #: Of the sampled queries' true neighbours so many must be found.
 WANTED_RECALL = 0.96
-BLOCK_ROWS = 4096
-MAX_CENTROIDS = 256
+#: Rows of a block and queries of a part, at most.
+BLOCK_ROWS, PART_QUERIES = 4096, 4096
+#: Centroids of a half, at most: their number grows with the fourth root of the rows, and reaches this at four billion.
+MAX_CENTROIDS = 1024
 _ROUNDS = 12
 
 
@@ -65,22 +68,38 @@ def walk(first, second, counts, wanted: float):
     return out
 
 
-def best(queries, query_ids, rows, row_ids, k: int, allowed=None):
+def best(queries, query_ids, rows, row_ids, k: int, cells=None, walked=None):
     """(query, row, cosine) of each query's k nearest rows but itself: the largest cosine, then the least id.
 
+    With ``cells`` (of the rows) and ``walked`` (an array of cells for each query) only rows of the walked cells are looked at.
     A matrix product finds those near the k-th; their cosines are computed anew, each by itself, so that equal
     vectors have equal cosines wherever they lie.
     """
     import numpy as np
 
     out = []
+    if cells is not None:
+        order = np.argsort(cells, kind="stable")
+        rows, row_ids, cells = rows[order], row_ids[order], cells[order]
+        names, first = np.unique(cells, return_index=True)
+        ends = np.append(first[1:], len(cells))
     q_norm, r_norm = np.sqrt((queries**2).sum(1)), np.sqrt((rows**2).sum(1))
     unit = rows / r_norm[:, None]
     for a in range(0, len(queries), 256):
-        s = (queries[a : a + 256] / q_norm[a : a + 256, None]) @ unit.T
+        asked = queries[a : a + 256] / q_norm[a : a + 256, None]
+        if cells is None:
+            s = asked @ unit.T
+        else:
+            s = np.full((len(asked), len(rows)), -np.inf)
+            lists = walked[a : a + 256]
+            who, cell = np.repeat(np.arange(len(asked)), [len(x) for x in lists]), np.concatenate([*lists, np.zeros(0, np.int32)])
+            turn = np.argsort(cell, kind="stable")
+            who, cell = who[turn], cell[turn]
+            at = np.searchsorted(cell, np.stack([names, names + 1]))
+            for lo, hi, x, y in zip(*at, first, ends):
+                if hi > lo:
+                    s[who[lo:hi], x:y] = asked[who[lo:hi]] @ unit[x:y].T
         s[query_ids[a : a + 256, None] == row_ids[None]] = -np.inf
-        if allowed is not None:
-            s[~allowed[a : a + 256]] = -np.inf
         for x in range(len(s)):
             line, m = s[x], min(k, s.shape[1])
             kth = np.partition(line, len(line) - m)[len(line) - m]
@@ -145,7 +164,8 @@ def build(df: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embe
     base = written(_vectors(df, id_col, vector_col, dims))
     n = base.count()
     by_hash = F.xxhash64(F.col("vec_id"))
-    sample = _matrix([bytes(r["vec"]) for r in base.orderBy(by_hash).limit(SAMPLE_ROWS).select("vec").collect()])
+    width = base.select(F.max(F.octet_length("vec"))).first()[0] or 1
+    sample = _matrix([bytes(r["vec"]) for r in base.orderBy(by_hash).limit(max(1, min(SAMPLE_ROWS, SAMPLE_BYTES // width))).select("vec").collect()])
     unit = sample / np.sqrt((sample**2).sum(1))[:, None] if len(sample) else sample
     half = max(1, unit.shape[1] // 2)
     size = int(min(MAX_CENTROIDS, max(1, len(unit) // 4), max(4, round(4 * max(n, 1) ** 0.25))))
@@ -228,10 +248,43 @@ def _measured(index: MultiIndex, indexed: DataFrame, k: int) -> float:
     return float(np.quantile(needed, WANTED_RECALL)) if needed else 1.0
 
 
+def _parts(index: MultiIndex, queries: DataFrame):
+    """The part of a query by the block of its own cell: neighbouring blocks with PART_QUERIES queries or so; and how many parts a crowded block has."""
+    import numpy as np
+
+    light = MultiIndex(None, index.first, index.second, None, None, None, 0.0)
+
+    def homes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            x = _matrix(b.column("vec"))
+            if len(x):
+                d1, d2 = _distances(x, light)
+                yield pa.RecordBatch.from_arrays([pa.array(d1.argmin(1) * d2.shape[1] + d2.argmin(1), pa.int64())], names=["cell"])
+
+    asked = np.zeros(len(index.starts), np.int64)
+    for r in queries.select("vec").mapInArrow(homes, "cell long").groupBy("cell").count().collect():  # a row for each cell
+        asked[r["cell"]] = r["count"]
+    split = np.maximum(1, -(-asked // PART_QUERIES))
+    order = np.argsort(index.starts, kind="stable")
+    part, now, have = np.zeros(len(asked), np.int64), 0, 0
+    for c in order.tolist():
+        n = int(asked[c])
+        if n and have and (have + n > PART_QUERIES or split[c] > 1):
+            now, have = now + 1, 0
+        part[c] = now
+        have += n
+        if split[c] > 1:
+            now, have = now + int(split[c]), 0
+    return part, split
+
+
 def search(index: MultiIndex, queries: DataFrame, k: int = 5) -> DataFrame:
-    """query_id, rank, vec_id, score of the k nearest rows found for each query (vec_id, vec): fewer if there are fewer."""
+    """query_id, rank, vec_id, score, n_scored of the k nearest rows found for each query (vec_id, vec): fewer if there are fewer. n_scored: rows of the cells it walked."""
     wanted = max(k + 1, index.share * index.total)
     light = MultiIndex(None, index.first, index.second, index.counts, index.starts, index.parts, index.share)
+    part, split = _parts(index, queries)
 
     def plan(batches):
         """A row for each block that a query goes to, with its cells there."""
@@ -243,6 +296,7 @@ def search(index: MultiIndex, queries: DataFrame, k: int = 5) -> DataFrame:
             if not len(x):
                 continue
             d1, d2 = _distances(x, light)
+            home = d1.argmin(1) * d2.shape[1] + d2.argmin(1)
             out = []
             for i, (q, vec) in enumerate(zip(b.column("vec_id").to_pylist(), b.column("vec").to_pylist())):
                 cells = np.array(sorted(walk(d1[i], d2[i], light.counts, wanted)), np.int32)
@@ -250,7 +304,9 @@ def search(index: MultiIndex, queries: DataFrame, k: int = 5) -> DataFrame:
                 for c in cells.tolist():
                     for p in range(int(light.parts[c])):
                         by.setdefault(int(light.starts[c]) + p, []).append(c)
-                out += [(block, q, vec, np.array(c, np.int32).tobytes()) for block, c in by.items()]
+                own = int(part[home[i]]) + q % int(split[home[i]])
+                n = int(light.counts[cells].sum())
+                out += [(block, own, q, vec, np.array(c, np.int32).tobytes(), n) for block, c in by.items()]
                 if len(out) > 2000:
                     yield table_of(out)
                     out = []
@@ -260,33 +316,37 @@ def search(index: MultiIndex, queries: DataFrame, k: int = 5) -> DataFrame:
     def table_of(out):
         import pyarrow as pa
 
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["block", "vec_id", "vec", "cells"])
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=["block", "part", "vec_id", "vec", "cells", "n_scored"])
 
     def rank(rows, asked):
         import numpy as np
         import pandas as pd
 
         if not len(rows) or not len(asked):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-        cell, out = rows["cell"].to_numpy(), []
-        x, ids = _matrix(rows["vec"].tolist()), rows["vec_id"].to_numpy()
-        for a in range(0, len(asked), 256):
-            part = asked.iloc[a : a + 256]
-            allowed = np.stack([np.isin(cell, np.frombuffer(c, np.int32)) for c in part["cells"]])
-            out += best(_matrix(part["vec"].tolist()), part["vec_id"].to_numpy(), x, ids, k, allowed)
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "n_scored": []}).astype({"query_id": "int64", "vec_id": "int64", "n_scored": "int64"})
+        walked = [np.frombuffer(c, np.int32) for c in asked["cells"]]
+        out = best(_matrix(asked["vec"].tolist()), asked["vec_id"].to_numpy(), _matrix(rows["vec"].tolist()), rows["vec_id"].to_numpy(), k, rows["cell"].to_numpy(), walked)
+        found = pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+        return found.assign(n_scored=found["query_id"].map(dict(zip(asked["vec_id"], asked["n_scored"]))).astype("int64"))
 
     from pyspark.sql import Window
 
     n = partitions(queries.sparkSession)
-    asked = queries.repartition(n).mapInArrow(plan, "block long, vec_id long, vec binary, cells binary")
-    near = index.rows.groupBy("block").cogroup(asked.groupBy("block")).applyInPandas(rank, "query_id long, vec_id long, score double")
+    asked = written(queries.repartition(n).mapInArrow(plan, "block long, part long, vec_id long, vec binary, cells binary, n_scored long"))
+    pairs = written(asked.select("block", "part").distinct())
+    rows = index.rows.join(pairs, "block").select("block", "part", "vec_id", "vec", "cell")
+    near = rows.groupBy("block", "part").cogroup(asked.groupBy("block", "part")).applyInPandas(rank, "query_id long, vec_id long, score double, n_scored long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     out = near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return out.select("query_id", "rank", "vec_id", "score")
+    return out.select("query_id", "rank", "vec_id", "score", "n_scored")
 
 
 def op3_multi_index(spark, sf_dir: str) -> DataFrame:
-    """The rows whose vec_id is divisible by 50, against all rows: 5 nearest each."""
+    """The rows whose vec_id is divisible by 50, against all rows: 5 nearest each, with the number of rows that each was scored against.
+
+    Null, zero and non-finite vectors take no part, nor do those of another length than the commonest (of equally common ones the shorter): no cosine is defined between lengths.
+    Rows that repeat an id are one, with the least vector; ties go to the smaller id; an empty table gives an empty one; other columns are not read.
+    """
     index = build(table(spark, sf_dir, "embeddings"), 5)
     return search(index, index.rows.filter(F.pmod("vec_id", F.lit(50)) == 0).select("vec_id", "vec"))

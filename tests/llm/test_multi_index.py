@@ -30,9 +30,36 @@ def test_walk_is_by_rising_distance():
     assert I.walk(a, b, np.ones(63, np.int64), 5) == cells[:5]
 
 
-@pytest.mark.parametrize("block", [4096, 16])
-def test_recall_and_scores(spark, monkeypatch, block):
+def test_only_walked_cells_are_scored():
+    r = np.random.default_rng(3)
+    rows, ids, cells = r.normal(size=(200, 6)), np.arange(200), r.integers(0, 12, 200)
+    queries, walked = r.normal(size=(30, 6)), [np.unique(r.integers(0, 12, r.integers(0, 6))).astype(np.int32) for _ in range(30)]
+    got = {}
+    for q, row, s in I.best(queries, np.arange(1000, 1030), rows, ids, 4, cells, walked):
+        got.setdefault(q - 1000, []).append((row, round(s, 12)))
+    for q in range(30):
+        inside = [i for i in range(200) if cells[i] in walked[q]]
+        cos = {i: float(rows[i] @ queries[q] / np.linalg.norm(rows[i]) / np.linalg.norm(queries[q])) for i in inside}
+        assert got.get(q, []) == [(i, round(cos[i], 12)) for i in sorted(inside, key=lambda i: (-cos[i], i))[:4]]
+
+
+def test_clustered_vectors_take_a_small_share(spark):
+    r = np.random.default_rng(5)
+    centres = r.normal(size=(60, 8))
+    rows = [(i, (centres[i % 60] + 0.05 * r.normal(size=8)).tolist()) for i in range(3000)]
+    df = spark.createDataFrame([(i, v, "mine", "other") for i, v in rows], "vec_id long, embedding array<float>, cell string, block string")
+    index = I.build(df, 5)
+    found = I.search(index, index.rows.filter("vec_id % 50 = 0").select("vec_id", "vec")).collect()
+    want = brute(rows, range(0, 3000, 50))
+    hits = sum(x["vec_id"] in want[x["query_id"]] for x in found)
+    assert hits / (5 * len(want)) >= 0.9 and len({x["query_id"] for x in found}) == 60
+    assert np.mean([x["n_scored"] for x in found]) / 3000 < 0.2
+
+
+@pytest.mark.parametrize("block, part", [(4096, 4096), (16, 4096), (64, 3)])
+def test_recall_and_scores(spark, monkeypatch, block, part):
     monkeypatch.setattr(I, "BLOCK_ROWS", block)
+    monkeypatch.setattr(I, "PART_QUERIES", part)
     r = np.random.default_rng(1)
     rows = [(i, r.normal(size=8).tolist()) for i in range(500)] + [(600 + i, [1.0] * 8) for i in range(60)] + [(700, None), (701, [0.0] * 8), (702, [float("nan")] + [1.0] * 7), (703, [None] + [1.0] * 7), (704, [1.0]), (None, [1.0] * 8)]
     df = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA)
