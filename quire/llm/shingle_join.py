@@ -5,7 +5,7 @@ Exact, without a cap. A document's set are its distinct word shingles, as 64-bit
 
 1. *Sharing.* Of each set the least 35 % or so of the hashes are dealt out in blocks by hash range; a block says which of them
    occur in another document too. Linked sets share so many of these that a document with fewer has no partner and is done.
-2. Documents with equal sets become one. The rest are held against each other again, by their whole sets.
+2. Documents with equal sets (by fingerprints of 128 bits) become one. The rest are held against each other again, by their whole sets.
 3. *Trees.* Sets that agree in their least hash (then the second, the third) meet in a signature tree; a bucket that is
    too large for one task is split into chunks, whose classes meet again by representatives.
 4. *The rest.* Only a set most of whose hashes occur in several classes may still have a link to another class. Classes of
@@ -18,6 +18,8 @@ Blocks are fixed parts of the hash range, every one with as many hashes as any o
 
 from __future__ import annotations
 
+import struct
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,13 +28,15 @@ from quire.llm.common import fits, guarded, in_parts, partitions, table, text_ba
 WORDS, PERCENT = 5, 80
 #: Share of a set's hashes that linked sets must share in step 1.
 SHARE = 15
-#: Sets that one tree may hold.
-CHUNK = 1000
+#: Sets that one tree holds; in step 4 more, up to the second number, where a cluster would have more chunks than the third.
+CHUNK, LARGEST_CHUNK, CHUNKS = 128, 1000, 32
 #: Rounds of step 3.
 ROUNDS = 3
 _MAX_WORDS = 300_000
 _FLUSH_DOCS, _FLUSH_HASHES = 60_000, 1_000_000
 _NOBODY = 0xFFFF
+#: Hashes that a block holds, and characters of text for one of them, about.
+_BLOCK_HASHES, _CHARS_A_HASH = 8_000_000, 16
 
 
 class _WordHashes(dict):
@@ -136,15 +140,16 @@ class _Batch:
         ids, sizes, prints, need = zip(*self.rows)
         known = np.array([i is not None for i in ids], np.int64)
         ids = np.array([i or 0 for i in ids], np.int64)
-        yield self.number % blocks, self.number, 1, np.stack([ids, known, np.array(sizes, np.int64), np.array(prints, np.int64)]).tobytes(), (np.array(need, np.int64) - credit).tobytes(), b""
+        high, low = np.array(prints, np.int64).reshape(-1, 2).T
+        yield self.number % blocks, self.number, 1, np.stack([ids, known, np.array(sizes, np.int64), high, low]).tobytes(), (np.array(need, np.int64) - credit).tobytes(), b""
 
 
-def _shared(dealt: DataFrame, batches_of, share: int | None, percent: int, labelled: bool = False) -> DataFrame:
-    """id, n, print, open of each set: whether enough of its hashes occur in another set (if labelled: class).
+def _shared(dealt: DataFrame, batches_of, share: int | None, percent: int, labelled: bool = False, least_blocks: int = 1) -> DataFrame:
+    """id, n, print, check (halves of the fingerprint), open of each set: whether enough of its hashes occur in another set (if labelled: class).
 
-    ``batches_of`` makes (id, print, hashes, class) of the Arrow batches of ``dealt``.
+    ``batches_of`` makes (id, (print, check), hashes, class) of the Arrow batches of ``dealt``.
     """
-    blocks = partitions(dealt.sparkSession)
+    blocks = max(partitions(dealt.sparkSession), least_blocks)
 
     def deal(batches):
         import pyarrow as pa
@@ -215,7 +220,7 @@ def _shared(dealt: DataFrame, batches_of, share: int | None, percent: int, label
         for b in batches:
             for number, kind, x, y in zip(*(b.column(k).to_pylist() for k in range(4))):
                 if kind:
-                    sets[number] = np.frombuffer(x, np.int64).reshape(4, -1), np.frombuffer(y, np.int64)
+                    sets[number] = np.frombuffer(x, np.int64).reshape(5, -1), np.frombuffer(y, np.int64)
                 else:
                     got = np.bincount(np.frombuffer(x, np.uint16))
                     have = counts.get(number)
@@ -225,23 +230,22 @@ def _shared(dealt: DataFrame, batches_of, share: int | None, percent: int, label
                         counts[number] = got
                     else:
                         have[: len(got)] += got
-        for number, ((ids, known, sizes, prints), need) in sets.items():
+        for number, ((ids, known, sizes, high, low), need) in sets.items():
             count = np.zeros(len(ids), np.int64)
             got = counts.get(number, count[:0])
             count[: len(got)] = got
-            yield pa.RecordBatch.from_arrays([pa.array(ids, mask=known == 0), pa.array(sizes), pa.array(prints), pa.array((count >= need) & (sizes > 0))], names=["id", "n", "print", "open"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, mask=known == 0), pa.array(sizes), pa.array(high), pa.array(low), pa.array((count >= need) & (sizes > 0))], names=["id", "n", "print", "check", "open"])
 
     sent = dealt.mapInArrow(deal, "block int, batch long, kind int, a binary, b binary, c binary").repartitionById(blocks, "block")
     back = sent.mapInArrow(compare, "batch long, kind int, a binary, b binary").repartition(blocks, "batch")
-    return back.mapInArrow(gather, "id long, n long, print long, open boolean")
+    return back.mapInArrow(gather, "id long, n long, print long, check long, open boolean")
 
 
-def _print(h) -> int:
-    """A set's 64-bit fingerprint, signed."""
+def _print(h) -> tuple[int, int]:
+    """A set's 128-bit fingerprint, as two signed numbers."""
     import xxhash
 
-    value = xxhash.xxh3_64_intdigest(h.tobytes(), seed=len(h))
-    return value - (1 << 64) if value >> 63 else value
+    return struct.unpack("<qq", xxhash.xxh3_128_digest(h.tobytes(), seed=len(h)))
 
 
 def _from_texts(words: int):
@@ -259,7 +263,7 @@ def _from_sets(batches):
 
     for b in batches:
         for p, data, c in zip(b.column("print").to_pylist(), b.column("hashes").to_pylist(), b.column("class").to_pylist()):
-            yield p, p, np.frombuffer(data, np.uint64), c
+            yield p, (p, 0), np.frombuffer(data, np.uint64), c
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -380,9 +384,12 @@ def _rest(sets: DataFrame, names: DataFrame, chunk: int, percent: int) -> DataFr
     cluster = written(components(links).select(F.col("id").alias("class"), F.col("root").alias("cluster")))
     member = some.select("print", "class").join(cluster, "class")
     size = member.groupBy("cluster", "class").agg(F.count(F.lit(1)).alias("k"))
-    small = size.groupBy("cluster").agg(F.sum(F.when(F.col("k") <= chunk, F.col("k")).otherwise(0)).alias("small"))
-    large = F.col("k") > chunk
-    part = F.when(large, F.pmod(F.xxhash64("print"), F.ceil(F.col("k") / F.lit(chunk)))).otherwise(F.pmod(F.xxhash64("class"), F.greatest(F.lit(1), F.ceil(F.col("small") / F.lit(chunk)))))
+    # The larger a cluster, the larger its chunks: every pair of them may have to meet.
+    width = size.groupBy("cluster").agg(F.least(F.lit(max(chunk, LARGEST_CHUNK)), F.greatest(F.lit(chunk), F.ceil(F.sum("k") / CHUNKS))).alias("width"))
+    size = size.join(width, "cluster")
+    small = size.groupBy("cluster").agg(F.sum(F.when(F.col("k") <= F.col("width"), F.col("k")).otherwise(0)).alias("small"))
+    large = F.col("k") > F.col("width")
+    part = F.when(large, F.pmod(F.xxhash64("print"), F.ceil(F.col("k") / F.col("width")))).otherwise(F.pmod(F.xxhash64("class"), F.greatest(F.lit(1), F.ceil(F.col("small") / F.col("width")))))
     owner = F.when(large, F.col("class"))  # only chunks of large classes have one
     placed = member.join(size, ["cluster", "class"]).join(small, "cluster").select("print", "class", "cluster", F.xxhash64("cluster", owner, part).alias("chunk"), owner.alias("owner"))
     placed = written(placed)
@@ -400,15 +407,16 @@ def join_shingles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                   share: int = SHARE, chunk: int = CHUNK, rounds: int = ROUNDS) -> DataFrame:
     """A row for each row of ``docs``: doc_id, n_shingles, component_id.
 
-    A null or empty text has no shingles and no links; its component is its own id. Rows that repeat each other are linked
+    A null or empty text has no shingles and no links; its component is its own id. Texts of any length are read whole. Rows that repeat each other are linked
     (to themselves). A row with a null id belongs to the component of a row with an equal set; it links no others.
     """
     text_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("body"))
-    every = written(_shared(rows, _from_texts(words), share, percent))
-    # Documents with equal sets are one from here on, known by the set's fingerprint; the first holds its text.
-    heads = every.filter("open").groupBy("print").agg(F.min("id").alias("id")).filter("id is not null")
-    heads = written(heads)
+    size = rows.agg(F.sum(F.length("body"))).first()[0] or 0
+    every = written(_shared(rows, _from_texts(words), share, percent, least_blocks=-(-size // (_CHARS_A_HASH * _BLOCK_HASHES))))
+    # Documents with equal sets are one from here on, known by a number (again called print); the first holds its text.
+    heads = every.filter("open").groupBy("print", "check").agg(F.min("id").alias("id")).filter("id is not null")
+    heads = written(heads.withColumn("number", F.monotonically_increasing_id()))
     n = heads.count()
     linked = None
     if n:
@@ -423,17 +431,20 @@ def join_shingles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             for k in range(rounds):
                 names = _round(sets, names, f"key{k}", chunk, percent)
             names = _rest(sets, names, chunk, percent)
-            linked = names.select("print", "class")
-    own = F.when(F.col("n") > 0, F.col("print"))
-    out = every.select("id", "n", own.alias("print"))
+            of = lambda a, b, c: heads.select(F.col("print").alias(a), F.col("check").alias(b), F.col("number").alias(c))
+            linked = names.filter(F.col("print") != F.col("class")).select(F.col("print").alias("_own"), F.col("class").alias("_first"))
+            linked = written(linked.join(of("print", "check", "_own"), "_own").join(of("_print", "_check", "_first"), "_first").select("print", "check", "_print", "_check"))
+    known = F.col("n") > 0
+    out = every.select("id", "n", F.when(known, F.col("print")).alias("print"), F.when(known, F.col("check")).alias("check"))
     if linked is not None:
         k = linked.count()
-        out = out.join(F.broadcast(linked) if fits(k, 48) else linked, "print", "left").withColumn("print", F.coalesce("class", "print")).drop("class")
+        out = out.join(F.broadcast(linked) if fits(k, 64) else linked, ["print", "check"], "left")
+        out = out.select("id", "n", F.coalesce("_print", "print").alias("print"), F.coalesce("_check", "check").alias("check"))
     # The least id of every class that has several rows; all other rows are their own component.
-    groups = out.filter("print is not null").groupBy("print").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("print", "least")
+    groups = out.filter("print is not null").groupBy("print", "check").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("print", "check", "least")
     groups = written(groups)
     g = groups.count()
-    out = out.join(F.broadcast(groups) if fits(g, 48) else groups, "print", "left")
+    out = out.join(F.broadcast(groups) if fits(g, 64) else groups, ["print", "check"], "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
 
 
@@ -446,14 +457,14 @@ def _sets_of(rows: DataFrame, heads: DataFrame, n: int, words: int, percent: int
 
         for b in in_parts(batches):
             out = []
-            for wanted, text in zip(b.column("print").to_pylist(), b.column("body").to_pylist()):
+            for number, *wanted, text in zip(*(b.column(c).to_pylist() for c in ("number", "print", "check", "body"))):
                 h = shingles(text, words)
-                if _print(h) == wanted:  # rows that repeat an id may hold another text
-                    out.append((wanted, len(h), len(h) - _up(len(h), percent) + 1, h.astype(np.uint64).tobytes()))
+                if _print(h) == tuple(wanted):  # rows that repeat an id may hold another text
+                    out.append((number, len(h), len(h) - _up(len(h), percent) + 1, h.astype(np.uint64).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 4, (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["print", "n", "prefix", "hashes"])
 
     texts = rows.join(F.broadcast(heads) if fits(n, 48) else heads, "id")
-    found = texts.select("print", "body").mapInArrow(read, "print long, n long, prefix int, hashes binary")
+    found = texts.select("number", "print", "check", "body").mapInArrow(read, "print long, n long, prefix int, hashes binary")
     return found if once else found.dropDuplicates(["print"])
 
 
