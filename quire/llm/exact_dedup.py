@@ -20,13 +20,16 @@ from quire.llm.common import fits, guarded, partitions, table, whole_text, writt
 
 QUOTIENT_BITS = 16
 _REMAINDER_BYTES = 8 - QUOTIENT_BITS // 8
+#: Parts into which the rows of one text are dealt where a shuffle brings them together.
+_SALTS = 16
 
 
 class CountingQuotientFilter:
     """Exact counts of 64-bit fingerprints, as quotients, sorted remainders and counters.
 
     The slots lie in the order of (quotient, remainder). In bytes it has an occupied bit for each quotient
-    of its range, a run-end bit for each slot, the remainders (48 bits each) and a counter for each slot.
+    of its range, a run-end bit for each slot, the remainders (48 bits each) and a counter for each slot, which stays at
+    2^32 - 1 when it gets there: whether it is above one is what counts, groups are counted by their bytes.
     """
 
     def __init__(self, quotients: np.ndarray, remainders: np.ndarray, counts: np.ndarray):
@@ -44,20 +47,19 @@ class CountingQuotientFilter:
     def fingerprints(self) -> np.ndarray:
         return (self.quotients.astype(np.uint64) << np.uint64(64 - QUOTIENT_BITS)) | self.remainders
 
+    @classmethod
+    def merged(cls, filters: list[CountingQuotientFilter]) -> CountingQuotientFilter:
+        """All are sorted by quotient and remainder, so one stable sort merges their runs; equal remainders of a quotient add their counters."""
+        slots, counts = np.concatenate([f.fingerprints() for f in filters]), np.concatenate([f.counts for f in filters])
+        order = np.argsort(slots, kind="stable")
+        slots, counts = slots[order], counts[order]
+        first = np.flatnonzero(np.append(True, slots[1:] != slots[:-1])) if len(slots) else np.zeros(0, np.int64)
+        low = np.uint64(64 - QUOTIENT_BITS)
+        slots, counts = slots[first], np.add.reduceat(counts, first) if len(first) else counts
+        return cls((slots >> low).astype(np.uint32), slots & np.uint64((1 << int(low)) - 1), counts)
+
     def merge(self, other: CountingQuotientFilter) -> CountingQuotientFilter:
-        """Both are sorted by quotient and remainder; equal remainders of a quotient add their counters."""
-        mine, theirs = self.fingerprints(), other.fingerprints()
-        at = np.searchsorted(mine, theirs)
-        same = at < len(mine)
-        same[same] = mine[at[same]] == theirs[same]
-        counts = self.counts.copy()
-        counts[at[same]] += other.counts[same]
-        fresh = at[~same]
-        return CountingQuotientFilter(
-            np.insert(self.quotients, fresh, other.quotients[~same]),
-            np.insert(self.remainders, fresh, other.remainders[~same]),
-            np.insert(counts, fresh, other.counts[~same]),
-        )
+        return CountingQuotientFilter.merged([self, other])
 
     def split(self, ranges: int) -> Iterator[tuple[int, CountingQuotientFilter]]:
         """By equal ranges of quotients; empty ranges are left out."""
@@ -74,7 +76,7 @@ class CountingQuotientFilter:
         ends = np.append(np.diff(self.quotients) != 0, True)
         small = self.remainders.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_REMAINDER_BYTES]
         head = struct.pack("<III", first, len(occupied), len(ends))
-        return head + np.packbits(occupied).tobytes() + np.packbits(ends).tobytes() + small.tobytes() + self.counts.astype("<u4").tobytes()
+        return head + np.packbits(occupied).tobytes() + np.packbits(ends).tobytes() + small.tobytes() + np.minimum(self.counts, 0xFFFFFFFF).astype("<u4").tobytes()
 
     @classmethod
     def from_bytes(cls, data: bytes) -> CountingQuotientFilter:
@@ -109,10 +111,20 @@ def repeated_fingerprints(df: DataFrame, column: str) -> DataFrame:
         import pandas as pd
 
         merged: dict[int, CountingQuotientFilter] = {}
+        pending: dict[int, list[CountingQuotientFilter]] = {}
+
+        def take(r):
+            found = [*([merged[r]] if r in merged else []), *pending.pop(r)]
+            merged[r] = CountingQuotientFilter.merged(found)
+
         for b in batches:
             for r, data in zip(b["range"], b["filter"]):
-                f = CountingQuotientFilter.from_bytes(data)
-                merged[r] = merged[r].merge(f) if r in merged else f
+                pending.setdefault(r, []).append(CountingQuotientFilter.from_bytes(data))
+                # Merged anew whenever what waits has grown as large: a few passes over a range, however many filters it comes in.
+                if sum(len(f.counts) for f in pending[r]) > max(1 << 20, len(merged[r].counts) if r in merged else 0):
+                    take(r)
+        for r in list(pending):
+            take(r)
         for f in merged.values():
             many = f.counts > 1
             yield pd.DataFrame({"fp": f.fingerprints()[many].view(np.int64), "n": f.counts[many]})
@@ -134,9 +146,8 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     if fits(repeated.count(), 32):
         suspects = keyed.join(F.broadcast(repeated.select("fp")), "fp", "left_semi")
     else:  # too many for every executor: deal both sides out by fingerprint and salt, so that no copy group is one task's
-        salts = 16
-        spread = repeated.select("fp", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-        suspects = keyed.withColumn("salt", F.pmod(F.hash("id"), F.lit(salts))).join(spread, ["fp", "salt"], "left_semi")
+        spread = repeated.select("fp", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
+        suspects = keyed.withColumn("salt", F.pmod(F.hash("id", F.monotonically_increasing_id()), F.lit(_SALTS))).join(spread, ["fp", "salt"], "left_semi")
     # Equal fingerprints meet here by their bytes. Copies are counted before the exchange.
     groups = suspects.groupBy("fp", "body").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     return groups.filter("group_size > 1").select(F.sha2("body", 256).alias("sha"), "keep_id", "group_size")
@@ -154,8 +165,12 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     groups = written(copies(base, id_col, text_col))
     rows = base.withColumn("text_sha256", F.sha2(whole_text(text_col), 256))
     n = groups.count()
-    right = F.broadcast(groups) if fits(n, 160) else groups
-    joined = rows.join(right, rows["text_sha256"] == right["sha"], "left").drop("sha")
+    if fits(n, 160):
+        joined = rows.join(F.broadcast(groups), rows["text_sha256"] == groups["sha"], "left").drop("sha")
+    else:  # dealt by text and salt, so that no text's copies are one task's
+        spread = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+        salted = rows.withColumn("_salt", F.pmod(F.xxhash64(F.col(id_col), F.monotonically_increasing_id()), F.lit(_SALTS)).cast("int"))
+        joined = salted.join(spread, (salted["text_sha256"] == spread["sha"]) & (salted["_salt"] == spread["_salt"]), "left").drop("sha", "_salt")
     single = F.col("group_size").isNull()
     joined = joined.withColumn("_best", F.when(single, F.lit(True)).otherwise(F.col(id_col).eqNullSafe(F.col("keep_id"))))
     # The best row of a group may be there more than once: such rows are counted, and one of them stays.
@@ -165,12 +180,14 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     joined = joined.withColumn("group_size", F.coalesce("group_size", F.lit(1).cast("long")))
     kept = joined.withColumn("kept", F.col("_best"))
     if not ties.isEmpty():
-        tied = joined.join(ties, "text_sha256", "left_semi").filter("_best")
-        from pyspark.sql import Window
-
-        one = Window.partitionBy("text_sha256").orderBy(F.lit(1))
-        tied = tied.withColumn("kept", F.row_number().over(one) == 1)
-        rest = kept.join(ties.withColumn("_tie", F.lit(True)), "text_sha256", "left").filter("_tie is null or not _best").drop("_tie")
+        t = F.broadcast(ties) if fits(ties.count(), 96) else ties
+        # Written down with numbers, the least of which stays: a minimum for each text instead of a sort of all its rows.
+        tied = written(joined.join(t, "text_sha256", "left_semi").filter("_best").withColumn("_row", F.monotonically_increasing_id()))
+        first = written(tied.groupBy("text_sha256").agg(F.min("_row").alias("_first")).select("_first"))
+        f = F.broadcast(first) if fits(first.count(), 24) else first
+        tied = tied.join(f, tied["_row"] == first["_first"], "left").withColumn("kept", F.col("_first").isNotNull()).drop("_row", "_first")
+        marked = ties.withColumn("_tie", F.lit(True))
+        rest = kept.join(F.broadcast(marked) if fits(ties.count(), 96) else marked, "text_sha256", "left").filter("_tie is null or not _best").drop("_tie")
         kept = rest.unionByName(tied)
     return kept.select(*base.columns, *added).toDF(*names, *added)
 
