@@ -3,7 +3,8 @@
 A file's record batches hold fixed-size lists: ``input_ids`` (unsigned 16-bit ids where the vocabulary fits,
 else 32-bit), ``attention_mask`` (false where the last sequence is padded), ``starts`` (true at a document's
 first id) and, for each sequence, the ids of the documents that start in it. Values of a fixed-size list lie
-side by side, so sequence i of a batch is a slice of the mapped file, without any copy.
+side by side, so sequence i of a batch is a slice of the mapped file, without any copy, and so is its mask (bits).
+All batches but a file's last hold the same number of sequences, so the batch of a sequence is known without a look at others.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from quire.llm.tokens import encoder, public_path
 
 SEQUENCE = 2048
 _ROWS = 256
+#: Ids after which a task starts another file, and rows in a batch of read documents.
+FILE_IDS, _READ_ROWS = 1 << 28, 8192
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 
@@ -56,7 +59,7 @@ def write_file(path: str, documents: Iterable[tuple[int | None, bytes]], wide: b
     def batches(last: bool):
         nonlocal held, firsts, names, size, n_sequences
         ids = np.concatenate(held) if held else np.zeros(0, kind)
-        rows = -(-len(ids) // sequence) if last else len(ids) // sequence
+        rows = -(-len(ids) // sequence) if last else len(ids) // sequence // _ROWS * _ROWS
         whole = min(rows * sequence, len(ids))
         used = np.zeros(rows * sequence, kind)
         used[:whole] = ids[:whole]
@@ -111,14 +114,14 @@ class TokenFile:
             yield self.reader.get_batch(i)
 
     def sequence(self, i: int):
-        """(ids, mask) of sequence i. All batches but the last of a flush hold _ROWS sequences, so batches are looked through by their lengths."""
-        for batch in self.batches():
-            if i < len(batch):
-                n = batch.schema.field("input_ids").type.list_size
-                ids = batch.column("input_ids").flatten().to_numpy(zero_copy_only=True)[i * n : (i + 1) * n]
-                return ids, batch.column("attention_mask").flatten().slice(i * n, n).to_numpy(zero_copy_only=False)
-            i -= len(batch)
-        raise IndexError(i)
+        """(ids, mask) of sequence i: a numpy view and an Arrow view of bits, both into the file."""
+        at, row = divmod(i, _ROWS)
+        batch = self.reader.get_batch(at) if 0 <= at < self.reader.num_record_batches else None
+        if batch is None or row >= len(batch):
+            raise IndexError(i)
+        n = batch.schema.field("input_ids").type.list_size
+        ids = batch.column("input_ids").flatten().to_numpy(zero_copy_only=True)[row * n : (row + 1) * n]
+        return ids, batch.column("attention_mask").flatten().slice(row * n, n)
 
     def documents(self) -> Iterator[tuple[int | None, int, int]]:
         """(doc_id, ids, crc32 of the ids as little-endian unsigned 32-bit integers), in the file's order."""
@@ -164,16 +167,24 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, en
         import struct
 
         enc, end = encoder(vocabulary, "byte"), struct.pack("<I", end_id)
-        path = f"{folder}/part-{TaskContext.get().partitionId():06d}.arrow"
+        part, k = TaskContext.get().partitionId(), 0
         rows = ((i, ids + end) for b in in_parts(batches) for i, ids in zip(b.column("id").to_pylist(), enc.encode_all(b.column("body").to_pylist())))
-        first = next(rows, None)
-        if first is not None:
-            from itertools import chain
+        import pyarrow as pa
 
-            got = write_file(path, chain([first], rows), max(enc.vocab_size - 1, end_id) > 0xFFFF, sequence)
-            import pyarrow as pa
+        def some(row):
+            """The next rows, this one first, until a file is full."""
+            n = 0
+            while row is not None:
+                yield row
+                n += len(row[1]) // 4
+                row = next(rows, None) if n < FILE_IDS else None
 
-            yield pa.RecordBatch.from_pandas(pd.DataFrame([[TaskContext.get().partitionId(), path, *got]], columns=["file", "path", "n_docs", "n_ids", "n_sequences"]).astype({"file": "int64"}), preserve_index=False)
+        first = next(rows, None)
+        while first is not None:
+            path = f"{folder}/part-{part:06d}-{k:06d}.arrow"
+            got = write_file(path, some(first), max(enc.vocab_size - 1, end_id) > 0xFFFF, sequence)
+            yield pa.RecordBatch.from_pandas(pd.DataFrame([[part << 20 | k, path, *got]], columns=["file", "path", "n_docs", "n_ids", "n_sequences"]).astype({"file": "int64"}), preserve_index=False)
+            first, k = next(rows, None), k + 1
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("body"))
     n = partitions(spark)
@@ -185,7 +196,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, en
     dealt = rows.withColumn("slot", F.when(F.col("id").isNull(), 0).otherwise(slot)).repartitionById(n, "slot").drop("slot").sortWithinPartitions("id", "body")
     files = written(dealt.mapInArrow(write, "file long, path string, n_docs long, n_ids long, n_sequences long"))
     start, found = 0, []
-    for r in sorted(files.collect(), key=lambda r: r["file"]):  # a row for each partition
+    for r in sorted(files.collect(), key=lambda r: r["file"]):  # a row for each file
         found.append((r["file"], r["path"], start, r["n_docs"], r["n_ids"], r["n_sequences"]))
         start += r["n_ids"]
     return spark.createDataFrame(found, "file long, path string, start long, n_docs long, n_ids long, n_sequences long")
@@ -195,16 +206,22 @@ def read_tokens(files: DataFrame) -> DataFrame:
     """A row for each document in the files of write_tokens: doc_id, start, n_tokens, ids_crc32."""
 
     def read(batches):
+        from itertools import islice
+
         import pandas as pd
 
+        def rows(source, start):
+            for name, n, crc in source.documents():
+                yield name, start, n, crc
+                start += n
+
         for b in batches:
             for path, start in zip(b["path"], b["start"]):
-                source, out = TokenFile(path), []
-                for name, n, crc in source.documents():
-                    out.append((name, start, n, crc))
-                    start += n
+                source = TokenFile(path)
+                found = rows(source, start)
+                while out := list(islice(found, _READ_ROWS)):
+                    yield pd.DataFrame({"doc_id": pd.array([x[0] for x in out], "Int64"), "start": [x[1] for x in out], "n_tokens": [x[2] for x in out], "ids_crc32": [x[3] for x in out]})
                 source.close()
-                yield pd.DataFrame({"doc_id": pd.array([x[0] for x in out], "Int64"), "start": [x[1] for x in out], "n_tokens": [x[2] for x in out], "ids_crc32": [x[3] for x in out]})
 
     return files.repartition(partitions(files.sparkSession)).mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 

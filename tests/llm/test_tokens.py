@@ -65,14 +65,39 @@ def test_sequences_are_views_of_equal_length(tmp_path):
     assert T.write_file(f"{tmp_path}/x.arrow", [(7, data.tobytes()), (None, data[:3].tobytes())], sequence=128) == (2, 1003, 8)
     f = T.TokenFile(f"{tmp_path}/x.arrow")
     ids, mask = f.sequence(3)
-    assert ids.tolist() == list(range(384, 512)) and mask.all() and not ids.flags.owndata
+    assert ids.tolist() == list(range(384, 512)) and all(mask.to_pylist()) and not ids.flags.owndata
     ids, mask = f.sequence(7)
-    assert mask.sum() == 1003 - 7 * 128 and ids[103:107].tolist() == [999, 0, 1, 2]
+    assert sum(mask.to_pylist()) == 1003 - 7 * 128 and ids[103:107].tolist() == [999, 0, 1, 2]
     assert [x[:2] for x in f.documents()] == [(7, 1000), (None, 3)]
     with pytest.raises(IndexError):
         f.sequence(8)
 
 
+def test_any_sequence_of_many_batches(tmp_path):
+    r = np.random.default_rng(1)
+    docs = [(i, r.integers(0, 60_000, n).astype("<u4")) for i, n in enumerate([5, 40_000, 3, 9_000, 1, 12_345])]
+    T.write_file(f"{tmp_path}/x.arrow", [(i, d.tobytes()) for i, d in docs], sequence=16)
+    f, every = T.TokenFile(f"{tmp_path}/x.arrow"), np.concatenate([d for _, d in docs])
+    sizes = [len(b) for b in f.batches()]
+    assert len(sizes) > 10 and set(sizes[:-1]) == {T._ROWS}
+    for i in [0, 1, 255, 256, 257, 2000, -(-len(every) // 16) - 1]:
+        ids, mask = f.sequence(i)
+        want = every[i * 16 : (i + 1) * 16]
+        assert ids[: len(want)].tolist() == want.tolist() and mask.to_pylist() == [k < len(want) for k in range(16)]
+    assert [x[:2] for x in f.documents()] == [(i, len(d)) for i, d in docs]
+
+
+def test_full_files_are_followed_by_others(spark, docs_of, tmp_path, monkeypatch):
+    plain = T.write_tokens(docs_of(spark, [(i, f"text {i} " * 5) for i in range(50)]).withColumnRenamed("lang", "slot"), f"file://{tmp_path}/a", sequence=16)
+    n = plain.agg({"n_ids": "sum"}).first()[0]
+    one = sorted(map(tuple, T.read_tokens(plain).collect()))
+    monkeypatch.setattr(T, "FILE_IDS", 40)
+    many = T.write_tokens(docs_of(spark, [(i, f"text {i} " * 5) for i in range(50)]), f"file://{tmp_path}/b", sequence=16)
+    if many.count() > plain.count():  # workers see the changed limit where they were started anew
+        assert many.agg({"n_ids": "sum"}).first()[0] == n
+    assert sorted(map(tuple, T.read_tokens(many).collect())) == one
+
+
 def test_wide_ids(tmp_path):
     data = np.array([70_000, 1], "<u4")
     T.write_file(f"{tmp_path}/x.arrow", [(1, data.tobytes())], wide=True, sequence=8)
