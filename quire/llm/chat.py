@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import table, written
+from quire.llm.common import shared_dir, table, written
 
 #: Argument schemas of the calls that the conversations table makes: type and least length or value of each required argument.
 SCHEMAS = {
@@ -45,17 +45,19 @@ def _by_doubling(ids: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def _by_peeling(ids: DataFrame, known: DataFrame) -> DataFrame:
-    done = written(ids.join(known, "id", "left_anti").withColumn("level", F.lit(0).cast("long")))
-    level = 0
+    """Level by level, over the edges that are still open; each level's calls are written once, and all are read together at the end."""
+    spark, folder = ids.sparkSession, shared_dir(ids.sparkSession)
+    read = lambda path: spark.read.schema(ids.schema).parquet(path)
+    ids.join(known, "id", "left_anti").write.parquet(f"{folder}/level=0")
+    level, left = 0, known
     while True:
-        level += 1
-        rest = known.join(done.select("id"), "id", "left_anti")
-        waiting = rest.join(done.select(F.col("id").alias("parent")), "parent", "left_anti").select("id").distinct()
-        ready = rest.select("id").distinct().join(waiting, "id", "left_anti").withColumn("level", F.lit(level).cast("long"))
-        ready = written(ready)
+        ready = read(f"{folder}/level={level}")
         if ready.isEmpty():
-            return ids.join(done, "id", "left")
-        done = written(done.unionByName(ready))
+            done = spark.read.schema("id string, level long").option("basePath", folder).parquet(folder)
+            return ids.join(done, "id", "left").select("id", "level")
+        before, left = left, written(left.join(ready.select(F.col("id").alias("parent")), "parent", "left_anti").select("id", "parent"))
+        level += 1
+        before.select("id").distinct().join(left.select("id"), "id", "left_anti").write.parquet(f"{folder}/level={level}")
 
 
 def problems(name: Column, arguments: Column, schemas: dict[str, dict[str, tuple[str, int]]] = SCHEMAS) -> Column:
@@ -108,14 +110,21 @@ def from_conversations(conversations: DataFrame) -> tuple[DataFrame, DataFrame,
     """Calls, results and edges of a table of turns.
 
     A user's or system's turn is a call, named ask or configure, with the text as its prompt; its identifier is conversation and turn.
-    The assistant's next turn holds its result. A call follows the latest call among the two turns before it.
+    The assistant's next turn holds its result. A call follows the latest call among the two turns before it. So that there is something to find, the first
+    hex digit of the md5 of a call's identifier spoils some, one way for each digit: 0 arguments cut short, 1 the turn as text, 2 no prompt, 3 an argument
+    too many, 4 an unknown name. Calls without identifier stay as they are.
     """
     role = F.col("role")
     ident = lambda turn: F.concat_ws(":", F.when(F.col("turn").isNotNull(), F.col("conv_id").cast("string")), turn.cast("string"))
     own = lambda turn: F.when(F.col("conv_id").isNotNull() & F.col("turn").isNotNull(), ident(turn))
     asked = conversations.filter(role.isin("user", "system"))
-    arguments = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("prompt"), F.col("turn")))
-    calls = asked.select(own(F.col("turn")).alias("id"), F.when(role == "user", "ask").otherwise("configure").alias("name"), arguments.alias("arguments"))
+    prompt, turn = F.coalesce("text", F.lit("")).alias("prompt"), F.col("turn")
+    spoilt = F.substring(F.md5(own(turn)), 1, 1)
+    arguments = F.to_json(F.struct(prompt, turn))
+    arguments = (F.when(spoilt == "0", F.concat(F.lit('{"turn":'), turn.cast("string"))).when(spoilt == "1", F.to_json(F.struct(prompt, turn.cast("string").alias("turn"))))
+                 .when(spoilt == "2", F.to_json(F.struct(turn))).when(spoilt == "3", F.to_json(F.struct(prompt, turn, F.lit(True).alias("urgent")))).otherwise(arguments))
+    name = F.when(spoilt == "4", "guess").when(role == "user", "ask").otherwise("configure")
+    calls = asked.select(own(turn).alias("id"), name.alias("name"), arguments.alias("arguments"))
     answered = conversations.filter(role == "assistant")
     results = answered.select(own(F.col("turn") - 1).alias("id"), F.coalesce("text", F.lit("")).alias("content"))
     turns = asked.select("conv_id", "turn").filter("conv_id is not null and turn is not null").distinct()
@@ -131,7 +140,8 @@ def op1_tool_calls(spark, sf_dir: str) -> DataFrame:
 
 OP1_SQL = """
 WITH RECURSIVE calls AS (
-  SELECT conv_id, turn, conv_id || ':' || turn AS id, CASE WHEN role = 'user' THEN 'ask' ELSE 'configure' END AS name, coalesce(text, '') AS prompt
+  SELECT conv_id, turn, conv_id || ':' || turn AS id, md5(conv_id || ':' || turn)[1] AS spoilt,
+         CASE WHEN md5(conv_id || ':' || turn)[1] = '4' THEN 'guess' WHEN role = 'user' THEN 'ask' ELSE 'configure' END AS name, coalesce(text, '') AS prompt
   FROM conversations WHERE role IN ('user', 'system')),
 results AS (SELECT conv_id || ':' || (turn - 1) AS id, min(coalesce(text, '')) AS content, count(*) AS n FROM conversations WHERE role = 'assistant' GROUP BY 1),
 parents AS (
@@ -139,9 +149,13 @@ parents AS (
 lv(id, level) AS (
   SELECT id, 0::BIGINT FROM calls WHERE id NOT IN (SELECT id FROM parents)
   UNION ALL SELECT p.id, lv.level + 1 FROM parents p JOIN lv ON p.parent = lv.id),
-checked AS (SELECT *, CASE WHEN length(prompt) < 1 THEN 'prompt is below 1' ELSE '' END AS problems FROM calls)
+checked AS (
+  SELECT *, CASE spoilt WHEN '4' THEN 'unknown call' WHEN '0' THEN 'no JSON object' WHEN '2' THEN 'prompt is missing'
+    ELSE concat_ws('; ', CASE WHEN length(prompt) < 1 THEN 'prompt is below 1' END, CASE spoilt WHEN '1' THEN 'turn is not BIGINT' WHEN '3' THEN 'unknown: urgent' END) END AS problems,
+    CASE spoilt WHEN '0' THEN '{"turn":' || turn WHEN '1' THEN json_object('prompt', prompt, 'turn', turn::VARCHAR)::VARCHAR WHEN '2' THEN json_object('turn', turn)::VARCHAR
+      WHEN '3' THEN json_object('prompt', prompt, 'turn', turn, 'urgent', true)::VARCHAR ELSE json_object('prompt', prompt, 'turn', turn)::VARCHAR END AS arguments
+  FROM calls)
 SELECT c.id, c.name, lv.level, c.problems, coalesce(r.n, 0)::BIGINT AS results,
-       json_object('arguments', json_object('prompt', c.prompt, 'turn', c.turn)::VARCHAR, 'id', c.id, 'level', lv.level, 'name', c.name,
-                   'result', r.content, 'valid', c.problems = '')::VARCHAR AS json
+       json_object('arguments', c.arguments, 'id', c.id, 'level', lv.level, 'name', c.name, 'result', r.content, 'valid', c.problems = '')::VARCHAR AS json
 FROM checked c JOIN lv ON c.id = lv.id LEFT JOIN results r ON c.id = r.id
 """
