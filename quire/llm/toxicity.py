@@ -25,7 +25,7 @@ from quire.llm.common import guarded, in_parts, table, text_batches, whole_text,
 #: Bytes of a window at most, to score and to train with.
 WINDOW, TRAINING_WINDOW = 48, 32
 #: Bytes that a window has to save to count, in scoring, in the first and in later rounds, and as an ordinary one; windows by which short texts are damped.
-LEAST_SAVING, FIRST_SAVING, LATER_SAVING, CHANCE_SAVING, DAMPING = 2, 4, 3, 3, 8
+LEAST_SAVING, FIRST_SAVING, LATER_SAVING, CHANCE_SAVING, DAMPING = 2, 4, 3, 2, 8
 #: Windows of a stretch, and ordinary texts around a row for its calibration.
 STRETCH, AROUND = 16, 10
 #: Bytes of the dictionaries: small ones, as a far match costs more bits.
@@ -34,6 +34,8 @@ ROUNDS, LEVEL = 3, 6
 #: Labelled rows used at most, by class: the least by a hash of the id.
 MAX_TOXIC, MAX_ORDINARY = 1000, 2000
 FOLDS = 4
+#: What an ordinary text flagged costs, as missed toxic ones (both as shares of their class).
+FALSE_ALARM = 1.5
 _WORD, _UNIT = re.compile(rb"[a-z\x80-\xff]+"), re.compile(rb"\s*\S+")
 
 
@@ -130,18 +132,18 @@ def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, byte
     whole = b" ".join(ordinary)
     plain = _compressor(whole)
     marks = [_due(cut[h], plain, _compressor(whole + b" " + b" ".join(halves[1 - h])), FIRST_SAVING) for h in (0, 1)]
-    chance = b""
+    chance = b""  # next to the toxic one, so that what both hold lies as near in either
     for n in range(ROUNDS):
         if not any(marks):
             return None
         marked = trained(TOXIC_BYTES, marks[0] + marks[1])
-        mistaken = _due(windows, _compressor(chance + general), _compressor(chance + general + marked), CHANCE_SAVING)
+        mistaken = _due(windows, _compressor(general + chance), _compressor(general + chance + marked), CHANCE_SAVING)
         chance = trained(CHANCE_BYTES, mistaken, shared=6) if mistaken else b""
         if n < ROUNDS - 1:
-            plain = _compressor(chance + general)
-            other = [_compressor(chance + general + trained(TOXIC_BYTES, m)) for m in marks]
+            plain = _compressor(general + chance)
+            other = [_compressor(general + chance + trained(TOXIC_BYTES, m)) for m in marks]
             marks = [_due(cut[h], plain, other[1 - h], LATER_SAVING) for h in (0, 1)]
-    return chance + general, marked
+    return general + chance, marked
 
 
 @dataclass(frozen=True)
@@ -178,13 +180,13 @@ class Model:
 
 
 def _cut(x, y) -> float:
-    """The threshold of ``x`` at which the share of ``y`` found less that of false alarms is largest; of equally good ones the middle one."""
+    """The threshold of ``x`` at which the share of ``y`` found less FALSE_ALARM times that of false alarms is largest; of equally good ones the middle one."""
     import numpy as np
 
     levels = np.unique(x)
     cuts = (levels[1:] + levels[:-1]) / 2 if len(levels) > 1 else levels + 1e-9
     found, false = (len(v) - np.searchsorted(np.sort(v), cuts) for v in (x[y], x[~y]))
-    gain = found / len(x[y]) - false / len(x[~y])
+    gain = found / len(x[y]) - FALSE_ALARM * false / len(x[~y])
     best = np.flatnonzero(gain >= gain.max() - 1e-12)
     return float(cuts[best[len(best) // 2]])
 

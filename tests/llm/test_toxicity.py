@@ -77,7 +77,7 @@ def test_both_dictionaries_are_trained(monkeypatch):
     monkeypatch.setattr(zstandard, "train_dictionary", lambda *a, **k: made.append(real(*a, **k)) or made[-1])
     plain, marked = X.dictionaries([text(" kvexnit zworgle") for _ in range(60)], [text("") for _ in range(200)])
     trained = [d.as_bytes() for d in made]
-    assert marked in trained and any(plain.endswith(d) for d in trained)
+    assert marked in trained and any(plain.startswith(d) for d in trained)
     assert len(marked) <= X.TOXIC_BYTES and b"kvexnit" in marked and b"zworgle" in marked and b"kvexnit" not in plain
 
 
