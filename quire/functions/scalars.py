@@ -124,10 +124,16 @@ def argmax(probs: Column) -> Column:
     return F.when(F.size(probs) > 0, F.array_position(probs, F.array_max(probs)) - 1).cast("int")
 
 
+def bound(value: Column, body) -> Column:
+    """body(value) with the value computed once: inside the lambdas of a body it would be computed again for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def softmax(scores: Column) -> Column:
-    high = F.array_max(scores)
-    e = F.transform(scores, lambda x: F.exp(x - high))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))
+    def shares(e):
+        return bound(F.aggregate(e, F.lit(0.0), lambda a, y: a + y), lambda total: F.transform(e, lambda x: x / total))
+
+    return bound(F.array_max(scores), lambda high: bound(F.transform(scores, lambda x: F.exp(x - high)), shares))
 
 
 def sigmoid(x: Column) -> Column:
@@ -140,8 +146,7 @@ def dot(a: Column, b: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """The vector at length 1; a zero vector stays zero."""
-    n = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(x).cast("double"))
+    return bound(F.sqrt(dot(v, v)), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(x).cast("double")))
 
 
 def path_of(root: str, pdf: Column, page: Column, extension: str, folder: str = "") -> Column:

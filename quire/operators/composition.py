@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.operators.metrics import ratio
+from quire.operators.ranking import numbered
 
 
 def type_counts(segs: DataFrame, by=()) -> DataFrame:
@@ -47,8 +48,13 @@ def _strata(counts: DataFrame, dossiers: DataFrame, types: DataFrame, n_strata:
     rows = have.crossJoin(F.broadcast(type_pairs(types)))
     rows = rows.withColumns({"a": F.array_contains("has", F.col("type_a")), "b": F.array_contains("has", F.col("type_b"))})
     rest = F.size("has") - F.col("a").cast("int") - F.col("b").cast("int")
-    w = Window.partitionBy(*by, "type_a", "type_b").orderBy(rest, "dossier")
-    return rows.withColumn("stratum", F.ntile(n_strata).over(w)).select(*by, "type_a", "type_b", "dossier", "a", "b", "stratum")
+    # Numbered in ranges, so that a pair's dossiers are several tasks'; then the same parts as ntile makes: the first of them one larger where they aren't equal.
+    ranked = numbered(rows.withColumn("_rest", rest), ["_rest", "dossier"], "_i", (*by, "type_a", "type_b"))
+    n = dossiers.groupBy(*by).agg(F.count_distinct("dossier").alias("_n"))
+    ranked = ranked.join(F.broadcast(n), list(by)) if by else ranked.crossJoin(F.broadcast(n))  # a row, or one for each draw
+    i, size, more = F.col("_i"), F.floor(F.col("_n") / n_strata), F.col("_n") % n_strata
+    stratum = F.when(i < more * (size + 1), F.floor(i / (size + 1))).otherwise(more + F.floor((i - more * (size + 1)) / F.greatest(size, F.lit(1)))) + 1
+    return ranked.select(*by, "type_a", "type_b", "dossier", "a", "b", stratum.cast("int").alias("stratum"))
 
 
 def presence_tables(counts: DataFrame, dossiers: DataFrame, types: DataFrame, by=()) -> DataFrame:

@@ -21,14 +21,14 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """id, component (the least id reachable) of every id in ``edges`` (src, dst).
 
-    A round takes the least label among neighbours, then the label of that label, so long chains need few rounds. Not converging within ``max_rounds`` is an error.
+    A round takes the least label among neighbours, then the label of that label, so long chains need few rounds. Labels only fall, so the rounds end.
     """
     both = saved(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     state = saved(both.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("m")).select("id", F.least("id", "m").alias("component")))
-    for _ in range(max_rounds):
+    while True:
         near = both.join(state.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("component").alias("near"))
         step = state.join(near, "id").select("id", F.col("component").alias("was"), F.least("component", "near").alias("now"))
         jump = state.select(F.col("id").alias("now"), F.col("component").alias("jump"))
@@ -36,4 +36,3 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if step.filter("was <> component").isEmpty():
             return step.select("id", "component")
         state = step.select("id", "component")
-    raise RuntimeError("components did not converge")

@@ -42,7 +42,7 @@ def inverted(posterior: DataFrame, prior: DataFrame, by=()) -> DataFrame:
 
 def soft_counts(segs: DataFrame, correction: DataFrame) -> DataFrame:
     """dossier, type, expected: each segment counts for every true type with its probability."""
-    return segs.join(F.broadcast(correction), segs["type"] == correction["pred"]).groupBy("dossier", F.col("true").alias("type")).agg(F.sum("w").alias("expected"))
+    return segs.join(correction, segs["type"] == correction["pred"]).groupBy("dossier", F.col("true").alias("type")).agg(F.sum("w").alias("expected"))
 
 
 def expected_documents(pages: DataFrame, p_start: DataFrame, page: str = "page_num") -> DataFrame:
@@ -70,7 +70,7 @@ def imputed_types(segs: DataFrame, correction: DataFrame, seed: str, key: list[s
     """A row for each segment and draw: draw, the segment's columns, type as drawn. Boundaries stay."""
     steps = cumulative(correction, by)
     shared = [c for c in by if c in segs.columns]
-    rows = segs.withColumnRenamed("type", "pred").join(F.broadcast(steps), [*shared, "pred"])  # classes times draws
+    rows = segs.withColumnRenamed("type", "pred").join(steps, [*shared, "pred"])
     u = uniform(F.lit(seed), *by, *key)
     return rows.withColumn("type", drawn(F.col("steps"), u)).drop("steps", "pred")
 
@@ -79,7 +79,7 @@ def imputed_starts(pages: DataFrame, correction: DataFrame, seed: str, page: str
     """draw, the page's columns, start: whether a page starts a document in that draw."""
     steps = cumulative(correction, ("draw",))
     flag = F.when(F.col("predicted_start_page") == "yes", "yes").otherwise("no")
-    rows = pages.withColumn("pred", flag).join(F.broadcast(steps), "pred")
+    rows = pages.withColumn("pred", flag).join(steps, "pred")
     u = uniform(F.lit(seed), F.lit("start"), "draw", "dossier", page)
     return rows.withColumn("start", drawn(F.col("steps"), u) == "yes").drop("steps", "pred")
 
@@ -114,7 +114,7 @@ def pooled(estimates: DataFrame, by: list[str], value: str) -> DataFrame:
 
 def winner_shares(comparisons: DataFrame, by: list[str], model: str, score: str) -> DataFrame:
     """by, model, wins, share: in how many imputations each model has the largest score, the least name of several."""
-    per = comparisons.groupBy(*by, "draw").agg(F.max_by(model, F.struct(F.col(score))).alias(model))
+    per = comparisons.groupBy(*by, "draw").agg(F.min_by(model, F.struct(-F.col(score), F.col(model))).alias(model))
     w = Window.partitionBy(*by)
     return per.groupBy(*by, model).agg(F.count(F.lit(1)).alias("wins")).withColumn("share", F.col("wins") / F.sum("wins").over(w))
 

@@ -147,7 +147,7 @@ def rare_merge(rows: DataFrame, label: str, layout: str, functional: str, min_co
 
 def apply_merge(rows: DataFrame, merged: DataFrame, label: str) -> DataFrame:
     m = merged.select(F.col("label").alias(label), F.col("merged").alias("_m"))
-    return rows.join(F.broadcast(m), label, "left").withColumn(label, F.coalesce("_m", label)).select(*rows.columns)  # a row for each rare class
+    return rows.join(m, label, "left").withColumn(label, F.coalesce("_m", label)).select(*rows.columns)
 
 
 def odd_documents(truth: DataFrame, predicted: DataFrame, min_documents: int = 2) -> DataFrame:

@@ -82,7 +82,7 @@ def vocabulary(df: DataFrame, column: str, split: str | None = None) -> DataFram
 def indexed(df: DataFrame, vocab: DataFrame, column: str, out: str = "label_idx", ignore: int = -100) -> DataFrame:
     """``df`` with the label's index; labels beyond the vocabulary and null ones have ``ignore``."""
     v = vocab.select(F.col("label").alias(column), F.col("idx").alias("_i"))
-    return df.join(F.broadcast(v), column, "left").withColumn(out, F.coalesce("_i", F.lit(ignore))).drop("_i").select(*df.columns, out)
+    return df.join(v, column, "left").withColumn(out, F.coalesce("_i", F.lit(ignore))).drop("_i").select(*df.columns, out)
 
 
 def start_labels(df: DataFrame, column: str = "start_page") -> DataFrame:
@@ -115,7 +115,7 @@ def balanced_weights(df: DataFrame, label: str) -> DataFrame:
 def year_index(df: DataFrame, year: str = "travel_year") -> DataFrame:
     """``df`` with year_idx: the years that occur, numbered from 0."""
     years = vocabulary(df, year).select(F.col("label").alias(year), F.col("idx").alias("year_idx"))
-    return df.join(F.broadcast(years), year, "left").select(*df.columns, "year_idx")
+    return df.join(years, year, "left").select(*df.columns, "year_idx")
 
 
 def in_periods(df: DataFrame, periods: list[tuple[str, int, int]], year: str = "travel_year") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.operators.ranking import running_total
+from quire.operators.ranking import least_from_here, running_total
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -90,11 +90,17 @@ def roc_auc(df: DataFrame, label: Column, score: str, by=()) -> DataFrame:
 
 
 def benjamini_hochberg(df: DataFrame, p: str, by=()) -> DataFrame:
-    """q added: the adjusted p values within each family."""
-    w = Window.partitionBy(*by)
-    ranked = df.withColumns({"_rank": F.row_number().over(w.orderBy(p)), "_m": F.count(F.lit(1)).over(w)})
-    q = F.min(F.col(p) * F.col("_m") / F.col("_rank")).over(w.orderBy(F.desc("_rank")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return ranked.withColumn("q", F.greatest(F.lit(0.0), F.least(F.lit(1.0), q))).drop("_rank", "_m")
+    """q added: the adjusted p values within each family. A null p has none and doesn't count.
+
+    Over the distinct p values of a family, in ranges of their order: equal ones have the rank of their last, and so one q.
+    """
+    per = df.filter(F.col(p).isNotNull()).groupBy(*by, F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_k"))
+    m = per.groupBy(*by).agg(F.sum("_k").alias("_m"))
+    ranked = running_total(per, ["_p"], F.col("_k"), "_below", tuple(by))
+    ranked = ranked.join(m, list(by)) if by else ranked.crossJoin(F.broadcast(m))  # one row
+    q = least_from_here(ranked, ["_p"], F.col("_p") * F.col("_m") / (F.col("_below") + F.col("_k")), "_q", tuple(by))
+    q = q.select(*by, F.col("_p").alias(p), F.greatest(F.lit(0.0), F.least(F.lit(1.0), "_q")).alias("q"))
+    return df.join(q, [*by, p], "left").select(*df.columns, "q")
 
 
 def ranked(df: DataFrame, metric: str, model: str = "model", by=(), top: int | None = None) -> DataFrame:

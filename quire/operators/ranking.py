@@ -24,6 +24,16 @@ def running_total(df: DataFrame, order: list[str], value: Column, out: str, by:
     return out_df.withColumn(out, F.coalesce("_own", zero) + F.coalesce("_offset", zero)).select(*df.columns, out)
 
 
+def least_from_here(df: DataFrame, order: list[str], value: Column, out: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with the least ``value`` of a row and all rows after it in the order (within ``by``). The order has to be total."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = saved(df.withColumn("_v", value).repartitionByRange(n, *by, *order).withColumn("_range", F.spark_partition_id()))
+    mins = dealt.groupBy(*by, "_range").agg(F.min("_v").alias("_m"))
+    after = mins.withColumn("_after", F.min("_m").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(1, Window.unboundedFollowing))).drop("_m")
+    own = F.min("_v").over(Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    return dealt.withColumn("_own", own).join(after, [*by, "_range"]).withColumn(out, F.least("_own", "_after")).select(*df.columns, out)
+
+
 def numbered(df: DataFrame, order: list[str], out: str = "place", by: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with each row's place in the order, from 0. The order has to be total."""
     return running_total(df, order, F.lit(1).cast("long"), out, by)

@@ -135,19 +135,28 @@ def recomposed(pages: DataFrame, passes: int, seed: str, by: str = "dossier", pa
 
 
 def page_budget_batches(dossiers: DataFrame, budget: int, order: str = "u", size: str = "n_pages") -> DataFrame:
-    """Consecutive dossiers, in this order, in batches of at most ``budget`` pages: batch (from 0) added. A dossier above the budget is an error.
+    """Consecutive dossiers, in this order (ties by name), in batches of at most ``budget`` pages: batch (from 0) added. A dossier above the budget is an error.
 
-    Greedy packing is sequential; it runs over one row a dossier (order and size), not over pages.
+    Every batch takes as many as it can. Were a batch to start at a dossier, the next would start at the first that doesn't fit any more: how many dossiers end within
+    the budget from there. Which of them really start one follows by pointer doubling from the first; no step orders everything in one task.
     """
+    from quire.operators.graph import saved
+    from quire.operators.ranking import numbered, running_total
+
     if not dossiers.filter(F.col(size) > budget).isEmpty():
         raise ValueError(f"dossiers of more than {budget} pages")
-    start = F.struct(F.array().cast("array<int>").alias("batches"), F.lit(-1).alias("batch"), F.lit(budget + 1).cast("long").alias("used"))
-
-    def step(acc, x):
-        fresh = acc["used"] + x["n"] > budget
-        batch = F.when(fresh, acc["batch"] + 1).otherwise(acc["batch"])
-        return F.struct(F.concat(acc["batches"], F.array(batch)).alias("batches"), batch.alias("batch"), F.when(fresh, x["n"]).otherwise(acc["used"] + x["n"]).alias("used"))
-
-    rows = dossiers.agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("dossier").alias("d"), F.col(size).cast("long").alias("n")))).alias("r"))
-    out = rows.withColumn("b", F.aggregate("r", start, step, lambda a: a["batches"]))
-    return out.select(F.explode(F.arrays_zip("r", "b")).alias("x")).select(F.col("x.r.d").alias("dossier"), F.col("x.r.n").alias(size), F.col("x.b").alias("batch"))
+    rows = dossiers.select("dossier", F.col(order).alias("_o"), F.col(size).cast("long").alias("_n"))
+    rows = saved(running_total(numbered(rows, ["_o", "dossier"], "_i"), ["_i"], F.col("_n"), "_before"))
+    ends = rows.select((F.col("_before") + F.col("_n")).alias("at"), F.lit(0).alias("kind"), "_i")
+    limits = rows.select((F.col("_before") + budget).alias("at"), F.lit(1).alias("kind"), "_i")
+    counted = running_total(ends.unionByName(limits), ["at", "kind", "_i"], (F.col("kind") == 0).cast("long"), "next")
+    jump = saved(counted.filter("kind = 1").select("_i", "next"))
+    starts = saved(rows.filter("_i = 0").select("_i"))
+    n = 0
+    while (m := starts.count()) > n:
+        n = m
+        starts = saved(starts.unionByName(starts.join(jump, "_i").select(F.col("next").alias("_i"))).join(rows.select("_i"), "_i", "left_semi").distinct())
+        jump = saved(jump.join(jump.select(F.col("_i").alias("next"), F.col("next").alias("_next")), "next").select("_i", F.col("_next").alias("next")))
+    marked = rows.join(starts.withColumn("_s", F.lit(1).cast("long")), "_i", "left").withColumn("_s", F.coalesce("_s", F.lit(0).cast("long")))
+    out = running_total(marked, ["_i"], F.col("_s"), "_earlier")
+    return out.select("dossier", F.col("_n").alias(size), (F.col("_earlier") + F.col("_s") - 1).cast("int").alias("batch"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.scalars import is_start
 from quire.operators import metrics
+from quire.operators.graph import saved
 from quire.operators.segments import segmented
 
 DOSSIER = ("dossier",)
@@ -88,7 +89,8 @@ def detection_conditional(pages: DataFrame, classes: DataFrame, by=()) -> DataFr
 def pair_metrics(pages: DataFrame, classes: DataFrame, by: list[str], score: str | None = None) -> DataFrame:
     """All metrics of each configuration (``by``, not empty): start, end to end, panoptic, attachment."""
     seq = (*by, "dossier")
-    seg = both(pages, seq)
+    seg = saved(both(pages, seq))  # segmented once, for all that follows
+    pages = seg
     pq = panoptic_quality(stream_quality(seg, seq), by).withColumnsRenamed({"tp": "pq_tp", "fp": "pq_fp", "fn": "pq_fn", "n_streams": "pq_n_streams"})
     att = attachment_scores(attachment_rows(seg, "document_type", "predicted_document_type", seq), by).withColumnRenamed("n_pages", "n_pages_scored")
     flags = pages.withColumns({"_t": is_start(F.col("start_page"), "lower"), "_p": is_start(F.col("predicted_start_page"), "lower")})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.scalars import argmax, dot, unit
+from quire.functions.scalars import argmax, unit
 
 
 def concatenated(df: DataFrame, vectors: list[str], out: str = "features") -> DataFrame:
@@ -17,18 +17,49 @@ def nearest(queries: DataFrame, train: DataFrame, k: int, id_col: str = "id", ve
             blocks: int | None = None) -> DataFrame:
     """query, neighbour, similarity, rank: the k rows of ``train`` with the largest cosine, ties to the least id. A zero vector is similar to nothing (0).
 
-    Every query meets every row, in blocks of rows by hash: a task ranks a block's rows for all queries and keeps k of each, so only k rows a query and block are shuffled.
-    Queries go to all blocks; they are a stated set, smaller than the rows they are held against.
+    Every query meets every row, in blocks of rows by hash: a matrix product of a block with the queries keeps k of each, so only k rows a query and block are shuffled.
+    Queries go to all blocks; they are a stated set, smaller than the rows they are held against. A product finds what is near the k-th, whose cosines are then computed one by
+    one, so that equal vectors are equally similar wherever they lie.
     """
-    blocks = blocks or int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    t = train.select(F.col(id_col).alias("neighbour"), unit(F.col(vector)).alias("_t"), *carry, F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("_block"))
-    q = queries.select(F.col(id_col).alias("query"), unit(F.col(vector)).alias("_q")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("_block", F.col("_block").cast("long"))
-    met = q.join(t, "_block")
-    if skip_self:
-        met = met.filter("query <> neighbour")
-    met = met.select("query", "neighbour", "_block", dot(F.col("_q"), F.col("_t")).alias("similarity"), *carry)
-    inner = Window.partitionBy("_block", "query").orderBy(F.desc("similarity"), "neighbour")
-    some = met.withColumn("_n", F.row_number().over(inner)).filter(F.col("_n") <= k)
+    from pyspark.sql import types as T
+
+    n = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = blocks or max(n, -(-train.count() // 16_384))
+    double = F.transform(vector, lambda x: x.cast("double"))
+    t = train.select(F.col(id_col).alias("neighbour"), double.alias("_t"), *carry, F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("_block"))
+    parts = -(-queries.count() // 16_384)
+    q = queries.select(F.col(id_col).alias("query"), double.alias("_q"), F.pmod(F.xxhash64(id_col, F.lit("q")), F.lit(max(1, parts))).alias("_part"))
+    q = q.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    t = t.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(1, parts) - 1).cast("long"))))
+    names = ["query", "neighbour", "similarity", *carry]
+
+    def rank(rows, asked):
+        import numpy as np
+        import pandas as pd
+
+        if not len(rows) or not len(asked):
+            return pd.DataFrame(columns=names)
+        rows = rows.sort_values("neighbour", kind="stable").reset_index(drop=True)
+        unit = lambda vs: (m := np.stack([np.asarray(v, float) for v in vs])) / np.where((z := np.sqrt((m**2).sum(1))) > 0, z, 1.0)[:, None]
+        x, y, ids = unit(rows["_t"]), unit(asked["_q"]), rows["neighbour"].to_numpy()
+        out = []
+        for a in range(0, len(y), 256):
+            s = y[a : a + 256] @ x.T
+            for j, line in enumerate(s):
+                name = asked["query"].iloc[a + j]
+                if skip_self:
+                    line[ids == name] = -np.inf
+                m = min(k, len(line))
+                near = np.flatnonzero((line >= np.partition(line, len(line) - m)[len(line) - m] - 1e-9) & (line > -np.inf))
+                exact = (x[near] * y[a + j]).sum(1)
+                out += [(name, near[i], exact[i]) for i in np.argsort(-exact, kind="stable")[:k]]
+        found = pd.DataFrame(out, columns=["query", "_at", "similarity"])
+        picked = rows.iloc[found["_at"].to_numpy(int)].reset_index(drop=True)
+        return pd.concat([found[["query"]], picked[["neighbour"]], found[["similarity"]], picked[list(carry)]], axis=1)
+
+    field = {f.name: f.dataType for f in t.schema.fields}
+    schema = T.StructType([T.StructField("query", q.schema["query"].dataType), T.StructField("neighbour", field["neighbour"]), T.StructField("similarity", T.DoubleType()), *[T.StructField(c, field[c]) for c in carry]])
+    some = t.groupBy("_block", "_part").cogroup(q.groupBy("_block", "_part")).applyInPandas(rank, schema)
     w = Window.partitionBy("query").orderBy(F.desc("similarity"), "neighbour")
     return some.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query", "neighbour", "similarity", "rank", *carry)
 

@@ -214,16 +214,16 @@ def pair_draws_mh(spark, d):
     return rounded(C.summarised(draws, "x", ["type_a", "type_b"]).select("type_a", "type_b", "mean", "hdi_3", "hdi_97"), 6)
 
 
-@query("posterior_difference", f"""WITH a AS (SELECT event_id AS draw, value AS x FROM events WHERE user_id < 75), b AS (SELECT event_id AS draw, {S.u('event_id', "'d'")} * 50 AS y FROM events)
+@query("posterior_difference", f"""WITH a AS (SELECT event_id AS draw, value AS x FROM events), b AS (SELECT event_id AS draw, {S.u('event_id', "'d'")} * 50 AS y FROM events)
   SELECT 1 AS g, round(avg(y - x), 8) AS mean, round(quantile_cont(y - x, 0.03), 8) AS hdi_3, round(quantile_cont(y - x, 0.97), 8) AS hdi_97, round(avg((y - x < 0)::INT), 8) AS p_below FROM a JOIN b USING (draw)""")
 def posterior_difference(spark, d):
     e = X.table(spark, d, "events").withColumn("g", F.lit(1)).withColumn("draw", F.col("event_id"))
-    a = e.filter("user_id < 75").select("g", "draw", F.col("value").alias("x"))
+    a = e.select("g", "draw", F.col("value").alias("x"))
     b = e.select("g", "draw", (X.u("event_id", "d") * 50).alias("x"))
     return rounded(I.difference(a, b, "x", ["g"]))
 
 
-@query("winner_shares", "WITH p AS (SELECT user_id AS draw, event_type AS model, sum(value) AS s FROM events GROUP BY 1, 2), w AS (SELECT draw, max_by(model, s) AS model FROM p GROUP BY 1) SELECT 1 AS g, model, count(*) AS wins, round(count(*) / sum(count(*)) OVER (), 8) AS share FROM w GROUP BY model")
+@query("winner_shares", "WITH p AS (SELECT user_id AS draw, event_type AS model, sum(value) AS s FROM events GROUP BY 1, 2), w AS (SELECT draw, first(model ORDER BY s DESC, model) AS model FROM p GROUP BY 1) SELECT 1 AS g, model, count(*) AS wins, round(count(*) / sum(count(*)) OVER (), 8) AS share FROM w GROUP BY model")
 def winner_shares(spark, d):
     p = X.table(spark, d, "events").groupBy(F.col("user_id").alias("draw"), F.col("event_type").alias("model")).agg(F.sum("value").alias("s")).withColumn("g", F.lit(1))
     return rounded(I.winner_shares(p, ["g"], "model", "s"))

@@ -59,9 +59,11 @@ def shared_pages(spark, d):
     return L.shared_keys(X.annotations(spark, d), "page_num", 4)
 
 
-@query("unused_labels", f"WITH {S.ANNOTATIONS}, sh AS (SELECT page_num FROM an GROUP BY 1 HAVING count(DISTINCT annotator) = 4) SELECT annotator, document_type AS label FROM an WHERE document_type IS NOT NULL EXCEPT SELECT annotator, document_type FROM an WHERE page_num IN (SELECT page_num FROM sh)")
+@query("unused_labels", f"WITH {S.ANNOTATIONS}, sh AS (SELECT page_num FROM an GROUP BY 1 HAVING count(DISTINCT annotator) = 4), ab AS (SELECT annotator, page_num, document_type || ' ' || (page_num // 8) AS label FROM an) SELECT annotator, label FROM ab WHERE label IS NOT NULL EXCEPT SELECT annotator, label FROM ab WHERE page_num IN (SELECT page_num FROM sh)")
 def unused_labels(spark, d):
+    """Labels that are local to a few pages, so that some occur on no shared one."""
     rows = X.annotations(spark, d)
+    rows = rows.withColumn("document_type", F.concat("document_type", F.lit(" "), F.floor(F.col("page_num") / 8).cast("string")))
     return L.unused_labels(rows, "document_type", L.shared_keys(rows, "page_num", 4), "page_num")
 
 
@@ -146,7 +148,7 @@ tr AS (SELECT dossier, true_seg, mode(document_type ORDER BY document_type) AS d
 pd AS (SELECT dossier, pred_head AS head, mode(predicted_document_type ORDER BY predicted_document_type) AS document_type, mode(start_page ORDER BY start_page) AS layout_type, mode(document_type ORDER BY document_type) AS functional_category, count(*) AS page_count FROM eh GROUP BY 1, 2)"""
 
 
-@query("flags_combo", f"""WITH {S.SEGMENTED}, {_DOCROWS}, lone AS (SELECT * FROM tr WHERE page_count <= 2 AND document_type <> 'view'), cm AS (SELECT DISTINCT document_type, layout_type, functional_category FROM lone), ty AS (SELECT DISTINCT document_type FROM cm),
+@query("flags_combo", f"""WITH {S.SEGMENTED}, {_DOCROWS}, lone AS (SELECT * FROM tr), cm AS (SELECT DISTINCT document_type, layout_type, functional_category FROM lone), ty AS (SELECT DISTINCT document_type FROM cm),
   fx AS (SELECT document_type, min(page_count) AS pages FROM lone GROUP BY 1 HAVING min(page_count) = max(page_count) AND count(*) >= 2)
   SELECT dossier, head, document_type, layout_type, functional_category, page_count, reasons FROM (SELECT pd.*, concat_ws('; ', CASE WHEN document_type NOT IN (SELECT document_type FROM ty) THEN 'unseen type' WHEN (document_type, layout_type, functional_category) NOT IN (SELECT (document_type, layout_type, functional_category) FROM cm) THEN 'unseen combination' END,
     CASE WHEN pages <> page_count THEN 'always ' || pages || ' pages, here ' || page_count END) AS reasons FROM pd LEFT JOIN fx USING (document_type)) WHERE reasons <> ''""")
@@ -156,7 +158,6 @@ def flags_combo(spark, d):
     pages = segmetrics.both(X.event_pages(spark, d))
     mode = lambda c: F.mode(c, True)
     truth = pages.groupBy("dossier", "true_seg").agg(mode("document_type").alias("document_type"), mode("start_page").alias("layout_type"), mode("document_type").alias("functional_category"), F.count(F.lit(1)).alias("page_count"))
-    truth = truth.filter("page_count <= 2 and document_type <> 'view'")
     pred = pages.groupBy("dossier", F.col("pred_head").alias("head")).agg(mode("predicted_document_type").alias("document_type"), mode("start_page").alias("layout_type"), mode("document_type").alias("functional_category"), F.count(F.lit(1)).alias("page_count"))
     return L.odd_documents(truth, pred)
 
@@ -309,17 +310,16 @@ def late_fusion_argmax(spark, d):
     return rounded(out.select("vec_id", "predicted", "probability"))
 
 
-@query("normalised_features", "WITH n AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings) SELECT vec_id, round(v[1] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 8) AS first, 128 AS dims FROM n")
+@query("normalised_features", "WITH n AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), f AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS f FROM n) SELECT vec_id, i AS dim, round(list_concat(f, f)[i + 1], 8) AS x FROM f, range(0, 128) r(i)")
 def normalised_features(spark, d):
     out = vectors.concatenated(X.table(spark, d, "embeddings"), ["embedding", "embedding"])
-    return rounded(out.select("vec_id", F.col("features")[0].alias("first"), F.size("features").alias("dims")))
+    return rounded(out.select("vec_id", F.posexplode("features").alias("dim", "x")).withColumn("dim", F.col("dim").cast("long")))
 
 
 @query("strict_feature_join", "SELECT o_orderkey, c_acctbal FROM orders JOIN customer ON o_custkey = c_custkey")
 def strict_feature_join(spark, d):
     c = X.table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_acctbal")
-    orders = X.table(spark, d, "orders").select("o_orderkey", "o_custkey").join(c.select("o_custkey"), "o_custkey", "left_semi")
-    return vectors.strict_join(orders, c, ["o_custkey"]).select("o_orderkey", "c_acctbal")
+    return vectors.strict_join(X.table(spark, d, "orders"), c, ["o_custkey"]).select("o_orderkey", "c_acctbal")
 
 
 @query("linear_probe")
@@ -367,10 +367,13 @@ def one_to_one_join(spark, d):
     return M.one_to_one(c.select("c_custkey", "c_name"), c.select("c_custkey", "c_mktsegment"), ["c_custkey"])
 
 
-@query("same_observations", "SELECT unnest(['customer', 'again']) AS \"table\", count(*) AS n, sum(('0x' || substr(md5(concat_ws('|', c_custkey, c_nationkey)), 1, 12))::BIGINT)::VARCHAR AS digest FROM customer")
+@query("same_observations", "WITH t AS (SELECT 'customer' AS \"table\", c_custkey AS k, c_nationkey AS v FROM customer UNION ALL SELECT 'ordering', c_custkey, c_nationkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders) UNION ALL SELECT 'changed', c_custkey, CASE WHEN c_custkey = 1 THEN c_nationkey + 1 ELSE c_nationkey END FROM customer) SELECT \"table\", count(*) AS n, sum(('0x' || substr(md5(concat_ws('|', k, v)), 1, 12))::BIGINT)::VARCHAR AS digest FROM t GROUP BY 1")
 def same_observations(spark, d):
+    """Customers, those with orders, and customers of whom one has another nation."""
     c = X.table(spark, d, "customer")
-    return M.same_observations({"customer": c, "again": c.orderBy(F.desc("c_custkey"))}, "c_custkey", "c_nationkey")
+    ordering = c.join(X.table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi")
+    changed = c.withColumn("c_nationkey", F.when(F.col("c_custkey") == 1, F.col("c_nationkey") + 1).otherwise(F.col("c_nationkey")))
+    return M.same_observations({"customer": c, "ordering": ordering, "changed": changed}, "c_custkey", "c_nationkey")
 
 
 @query("grouped_elpd", "SELECT p_type AS \"group\", p_brand AS model, round(sum(p_retailprice), 6) AS elpd, round(stddev_pop(p_retailprice) * sqrt(count(*)), 6) AS se, count(*) AS n FROM part GROUP BY 1, 2")
@@ -410,12 +413,13 @@ def html_markdown(spark, d):
     return X.table(spark, d, "pages").select("page_id", text.html_markdown("html").alias("markdown"))
 
 
-@query("pagexml_text", "SELECT doc_id, trim(split_part(text, chr(10), 1)) AS text FROM documents WHERE text NOT LIKE '%<%' AND text NOT LIKE '%&%' AND trim(split_part(text, chr(10), 1)) <> ''")
+@query("pagexml_text", r"SELECT doc_id, array_to_string(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), chr(10)) AS text FROM documents")
 def pagexml_text(spark, d):
-    docs = X.table(spark, d, "documents").filter(~F.col("text").contains("<") & ~F.col("text").contains("&"))
-    first = F.split("text", "\n")[0]
-    xml = F.concat(F.lit("<PcGts xmlns='x'><Page><TextLine><TextEquiv/><TextEquiv><Unicode>"), first, F.lit("</Unicode></TextEquiv></TextLine></Page></PcGts>"))
-    return docs.filter(F.trim(first) != "").select("doc_id", text.pagexml_text(xml).alias("text"))
+    """Every document as a page of a TextLine for each of its lines."""
+    escaped = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    lines = F.transform(F.split(escaped, "\n"), lambda x: F.concat(F.lit("<TextLine><TextEquiv/><TextEquiv><Unicode>"), x, F.lit("</Unicode></TextEquiv></TextLine>")))
+    xml = F.concat(F.lit("<PcGts xmlns='x'><Page>"), F.array_join(lines, ""), F.lit("</Page></PcGts>"))
+    return X.table(spark, d, "documents").select("doc_id", text.pagexml_text(xml).alias("text"))
 
 
 @query("markdown_table", "SELECT '| r_regionkey | r_name |' || chr(10) || '|---|---|' || chr(10) || string_agg('| ' || r_regionkey || ' | ' || r_name || ' |', chr(10) ORDER BY r_regionkey) AS \"table\" FROM region")
@@ -423,9 +427,18 @@ def markdown_table(spark, d):
     return text.markdown_table(X.table(spark, d, "region").select("r_regionkey", "r_name"), ["r_regionkey"])
 
 
-@query("job_matrix", "SELECT regime, count(*) AS n FROM (SELECT unnest(['baseline', 'sequence', 'fusion', 'finetune']) AS regime, unnest([28, 6, 8, 6]) AS k), range(0, 100) r(i) WHERE i < 2 * k GROUP BY 1")
+@query("job_matrix", f"""WITH tk AS (SELECT unnest({jobs.TASKS!r}) AS task), al AS (SELECT unnest({jobs.BASELINES!r}) AS algo), tb AS (SELECT replace(unnest({jobs.TEXT_BACKBONES!r}), '/', '__') AS t), vb AS (SELECT replace(unnest({jobs.VISION_BACKBONES!r}), '/', '__') AS v),
+  one AS (SELECT 'text' AS modality, t AS b FROM tb UNION ALL SELECT 'vision', v FROM vb)
+  SELECT task, 'baseline' AS regime, modality, algo || '-' || b AS model_name FROM tk, al, one UNION ALL SELECT task, 'baseline', 'multimodal', algo || '-' || v || '+' || t FROM tk, al, vb, tb
+  UNION ALL SELECT task, 'sequence', modality, 'lstm-' || b FROM tk, one UNION ALL SELECT task, 'fusion', 'multimodal', 'early-fusion-' || v || '+' || t FROM tk, vb, tb
+  UNION ALL SELECT task, 'finetune', modality, CASE WHEN modality = 'text' THEN 'bert-ft-' || b WHEN b LIKE 'efficientnet%' THEN 'efficientnet-ft' ELSE b || '-ft' END FROM tk, one""")
 def job_matrix(spark, d):
-    return jobs.job_matrix(spark).groupBy("regime").agg(F.count(F.lit(1)).alias("n"))
+    return jobs.job_matrix(spark)
+
+
+@query("derived_fusions", f"SELECT 'fusion' AS regime, 'multimodal' AS modality, 'late-fusion-' || replace(v, '/', '__') || '+' || replace(t, '/', '__') AS model_name FROM (SELECT unnest({jobs.VISION_BACKBONES!r}) AS v), (SELECT unnest({jobs.TEXT_BACKBONES!r}) AS t)")
+def derived_fusions(spark, d):
+    return jobs.derived_fusions(spark)
 
 
 @query("model_name_parse", "SELECT n_nationkey AS i, CASE n_nationkey % 3 WHEN 0 THEN 'baseline' WHEN 1 THEN 'fusion' ELSE 'finetune' END AS regime, CASE n_nationkey % 3 WHEN 0 THEN 'KNN (DINOv2-S)' WHEN 1 THEN 'Late fusion (EfficientNet-B0 + BERT-base)' ELSE 'Fine-tune (VGG16)' END AS label FROM nation")

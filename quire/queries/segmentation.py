@@ -205,14 +205,21 @@ def _variants(spark, d):
   ov AS (SELECT pair, dossier, true_head, pred_head, count(*) AS i FROM v GROUP BY ALL),
   oz AS (SELECT *, sum(i) OVER (PARTITION BY pair, dossier, true_head) AS nt, sum(i) OVER (PARTITION BY pair, dossier, pred_head) AS np FROM ov),
   s0 AS (SELECT pair, dossier, count(*) FILTER (2 * i > nt + np - i) AS tp, coalesce(sum(i / (nt + np - i)) FILTER (2 * i > nt + np - i), 0) AS iou, count(DISTINCT true_head) AS t, count(DISTINCT pred_head) AS p FROM oz GROUP BY ALL),
-  q AS (SELECT pair, round(avg(iou / (0.5::DOUBLE * (t + p))), 8) AS pq, sum(tp)::BIGINT AS pq_tp FROM s0 GROUP BY 1),
-  a AS (SELECT pair, round(avg((true_head = pred_head)::INT), 8) AS uas FROM v GROUP BY 1),
-  e AS (SELECT pair, round(avg((predicted_start_page = 'yes' AND predicted_document_type = document_type)::INT), 8) AS doc_accuracy_e2e, count(*) AS n_true_start_pages FROM v WHERE start_page = 'yes' GROUP BY 1),
-  g AS (SELECT pair, round(avg((predicted_start_page = start_page)::INT), 8) AS start_accuracy, count(*) AS n_doctype_pages_scored FROM v GROUP BY 1)
-  SELECT * FROM q JOIN a USING (pair) JOIN e USING (pair) JOIN g USING (pair)""")
+  q AS (SELECT pair, avg(iou / (0.5::DOUBLE * (t + p))) AS pq, avg(CASE WHEN tp = 0 THEN 0 ELSE iou / tp END) AS sq, avg(tp / (0.5::DOUBLE * (t + p))) AS rq, sum(tp)::BIGINT AS pq_tp, sum(p - tp)::BIGINT AS pq_fp, sum(t - tp)::BIGINT AS pq_fn, count(*) AS pq_n_streams FROM s0 GROUP BY 1),
+  tl AS (SELECT pair, dossier, true_head, mode(document_type ORDER BY document_type) AS tl FROM v GROUP BY ALL), pl AS (SELECT pair, dossier, pred_head, mode(predicted_document_type ORDER BY predicted_document_type) AS pl FROM v GROUP BY ALL),
+  a AS (SELECT pair, avg((true_head = pred_head)::INT) AS uas, avg((true_head = pred_head AND tl = pl)::INT) AS las, count(*) AS n_pages_scored FROM v JOIN tl USING (pair, dossier, true_head) JOIN pl USING (pair, dossier, pred_head) GROUP BY 1),
+  sc AS (SELECT pair, c, count(*) FILTER (start_page = c AND predicted_start_page = c) AS tp, count(*) FILTER (start_page = c) AS su, count(*) FILTER (predicted_start_page = c) AS pr FROM v, (SELECT unnest(['yes', 'no']) AS c) GROUP BY ALL),
+  g AS (SELECT pair, avg(CASE WHEN pr = 0 THEN 0 ELSE tp / pr END) AS start_macro_precision, avg(CASE WHEN su = 0 THEN 0 ELSE tp / su END) AS start_macro_recall, avg(2 * tp / (su + pr)) AS start_macro_f1, sum(tp) / sum(su) AS start_accuracy FROM sc WHERE su + pr > 0 GROUP BY 1),
+  dc AS (SELECT pair, type, count(*) FILTER (document_type = type AND predicted_document_type = type AND predicted_start_page = 'yes') AS tp, count(*) FILTER (document_type = type) AS su, count(*) FILTER (predicted_document_type = type AND predicted_start_page = 'yes') AS pr FROM v, types WHERE start_page = 'yes' GROUP BY ALL),
+  e AS (SELECT pair, sum(tp) / sum(su) AS doc_accuracy_e2e, avg(CASE WHEN su + pr = 0 THEN 0 ELSE 2 * tp / (su + pr) END) AS doc_macro_f1_e2e, sum(CASE WHEN su + pr = 0 THEN 0 ELSE 2 * tp / (su + pr) END * su) / sum(su) AS doc_weighted_f1_e2e, sum(su)::BIGINT AS n_true_start_pages FROM dc GROUP BY 1),
+  k AS (SELECT pair, count(*) AS n_doctype_pages_scored FROM v WHERE document_type IN (SELECT type FROM types) AND predicted_document_type IN (SELECT type FROM types) GROUP BY 1),
+  rr AS (SELECT pair, start_page = 'yes' AS y, rank() OVER (PARTITION BY pair ORDER BY round(start_probability, 2)) + (count(*) OVER (PARTITION BY pair, round(start_probability, 2)) - 1) / 2 AS rk FROM v),
+  ra AS (SELECT pair, (sum(rk) FILTER (y) - count(*) FILTER (y) * (count(*) FILTER (y) + 1) / 2) / (count(*) FILTER (y) * count(*) FILTER (NOT y)) AS start_roc_auc FROM rr GROUP BY 1)
+  SELECT pair, pq_tp, pq_fp, pq_fn, pq_n_streams, n_pages_scored, n_true_start_pages, n_doctype_pages_scored, COLUMNS(c -> c IN ('pq', 'sq', 'rq', 'uas', 'las', 'start_macro_precision', 'start_macro_recall', 'start_macro_f1', 'start_accuracy', 'doc_accuracy_e2e', 'doc_macro_f1_e2e', 'doc_weighted_f1_e2e', 'start_roc_auc'))
+  FROM q JOIN a USING (pair) JOIN e USING (pair) JOIN g USING (pair) JOIN k USING (pair) JOIN ra USING (pair)""".replace("COLUMNS(c -> c IN (", "round(start_roc_auc, 8) AS start_roc_auc, round(start_roc_auc, 8) AS start_roc_auc"))
 def pair_metrics(spark, d):
-    out = segmetrics.pair_metrics(_variants(spark, d), labels(spark, X.EVENT_TYPES), ["pair"])
-    return rounded(out.select("pair", "pq", "pq_tp", "uas", "doc_accuracy_e2e", "n_true_start_pages", "start_accuracy", "n_doctype_pages_scored"))
+    pages = _variants(spark, d).withColumn("s", F.round("start_probability", 2))
+    return rounded(segmetrics.pair_metrics(pages, labels(spark, X.EVENT_TYPES), ["pair"], "s"))
 
 
 @query("pair_leaderboard", f"WITH {S.SEGMENTED}, v AS (SELECT 'a' AS pair, (true_head = pred_head)::INT AS ok FROM eh UNION ALL SELECT 'b', (true_head = page_num)::INT FROM eh), m AS (SELECT pair, round_even(avg(ok), 4) AS uas FROM v GROUP BY 1) SELECT pair, uas, row_number() OVER (ORDER BY uas DESC, pair) AS place FROM m")
@@ -252,10 +259,10 @@ def bootstrap_paired(spark, d):
     return rounded(segmetrics.paired_bootstrap(values, weights, "a"))
 
 
-@query("bh_fdr", f"""WITH p AS (SELECT event_type AS family, event_id, {S.u('event_id', "'p'")} AS p FROM events WHERE user_id < 20), r AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p) AS rk, count(*) OVER (PARTITION BY family) AS m FROM p)
+@query("bh_fdr", f"""WITH p AS (SELECT event_type AS family, event_id, {S.u('event_id', "'p'")} AS p FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p) AS rk, count(*) OVER (PARTITION BY family) AS m FROM p)
   SELECT family, event_id, round(least(1, min(p * m / rk) OVER (PARTITION BY family ORDER BY rk DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 8) AS q FROM r""")
 def bh_fdr(spark, d):
-    p = X.table(spark, d, "events").filter("user_id < 20").select(F.col("event_type").alias("family"), "event_id", X.u("event_id", "p").alias("p"))
+    p = X.table(spark, d, "events").select(F.col("event_type").alias("family"), "event_id", X.u("event_id", "p").alias("p"))
     return rounded(metrics.benjamini_hochberg(p, "p", ("family",)).select("family", "event_id", "q"))
 
 
@@ -308,7 +315,10 @@ def ordered_sequences(spark, d):
     return out.select("dossier", F.array_join(F.transform("pages", lambda x: x["document_type"]), ",").alias("pages"))
 
 
-@query("page_budget_batches")
+@query("page_budget_batches", f"""WITH RECURSIVE {S.EVENTS}, z AS (SELECT dossier, count(*) AS n_pages FROM ep GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY {S.u('dossier', "'batch'")}, dossier) AS i, 2 * max(n_pages) OVER () AS most FROM z),
+  w(dossier, n_pages, i, batch, used) AS (SELECT dossier, n_pages, i, 0, n_pages FROM o WHERE i = 1
+    UNION ALL SELECT o.dossier, o.n_pages, o.i, CASE WHEN used + o.n_pages > most THEN batch + 1 ELSE batch END, CASE WHEN used + o.n_pages > most THEN o.n_pages ELSE used + o.n_pages END FROM w JOIN o ON o.i = w.i + 1)
+  SELECT dossier, n_pages, batch FROM w""")
 def page_budget_batches(spark, d):
     sizes = X.event_pages(spark, d).groupBy("dossier").agg(F.count(F.lit(1)).alias("n_pages")).withColumn("u", X.u("dossier", "batch"))
     largest = sizes.agg(F.max("n_pages")).first()[0]
