@@ -215,8 +215,8 @@ def _variants(spark, d):
   k AS (SELECT pair, count(*) AS n_doctype_pages_scored FROM v WHERE document_type IN (SELECT type FROM types) AND predicted_document_type IN (SELECT type FROM types) GROUP BY 1),
   rr AS (SELECT pair, start_page = 'yes' AS y, rank() OVER (PARTITION BY pair ORDER BY round(start_probability, 2)) + (count(*) OVER (PARTITION BY pair, round(start_probability, 2)) - 1) / 2 AS rk FROM v),
   ra AS (SELECT pair, (sum(rk) FILTER (y) - count(*) FILTER (y) * (count(*) FILTER (y) + 1) / 2) / (count(*) FILTER (y) * count(*) FILTER (NOT y)) AS start_roc_auc FROM rr GROUP BY 1)
-  SELECT pair, pq_tp, pq_fp, pq_fn, pq_n_streams, n_pages_scored, n_true_start_pages, n_doctype_pages_scored, COLUMNS(c -> c IN ('pq', 'sq', 'rq', 'uas', 'las', 'start_macro_precision', 'start_macro_recall', 'start_macro_f1', 'start_accuracy', 'doc_accuracy_e2e', 'doc_macro_f1_e2e', 'doc_weighted_f1_e2e', 'start_roc_auc'))
-  FROM q JOIN a USING (pair) JOIN e USING (pair) JOIN g USING (pair) JOIN k USING (pair) JOIN ra USING (pair)""".replace("COLUMNS(c -> c IN (", "round(start_roc_auc, 8) AS start_roc_auc, round(start_roc_auc, 8) AS start_roc_auc"))
+  SELECT pair, pq_tp, pq_fp, pq_fn, pq_n_streams, n_pages_scored, n_true_start_pages, n_doctype_pages_scored, round(pq, 8) AS pq, round(sq, 8) AS sq, round(rq, 8) AS rq, round(uas, 8) AS uas, round(las, 8) AS las, round(start_macro_precision, 8) AS start_macro_precision, round(start_macro_recall, 8) AS start_macro_recall, round(start_macro_f1, 8) AS start_macro_f1, round(start_accuracy, 8) AS start_accuracy, round(doc_accuracy_e2e, 8) AS doc_accuracy_e2e, round(doc_macro_f1_e2e, 8) AS doc_macro_f1_e2e, round(doc_weighted_f1_e2e, 8) AS doc_weighted_f1_e2e, round(start_roc_auc, 8) AS start_roc_auc
+  FROM q JOIN a USING (pair) JOIN e USING (pair) JOIN g USING (pair) JOIN k USING (pair) JOIN ra USING (pair)""")
 def pair_metrics(spark, d):
     pages = _variants(spark, d).withColumn("s", F.round("start_probability", 2))
     return rounded(segmetrics.pair_metrics(pages, labels(spark, X.EVENT_TYPES), ["pair"], "s"))
