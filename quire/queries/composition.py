@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quire.operators import composition as C
 from quire.operators import imputation as I
 from quire.operators import metrics, segments
-from quire.queries.registry import labels, query, rounded, types
+from quire.queries.registry import SQL, labels, query, rounded, types
 from quire.sources import fixture_sql as S
 from quire.sources import fixtures as X
 
@@ -72,9 +72,24 @@ def cooccurrence_mh(spark, d):
     return rounded(C.mantel_haenszel(*_weeks(spark, d)))
 
 
-@query("cooccurrence_log_odds")
+def _digamma(x: str) -> str:
+    """As SQL: eight steps up and the asymptotic series."""
+    y = f"({x} + 8.0::DOUBLE)"
+    return f"(ln{y} - 0.5 / {y} - 1 / (12 * pow({y}, 2)) + 1 / (120 * pow({y}, 4)) - 1 / (252 * pow({y}, 6)) + 1 / (240 * pow({y}, 8)) - 1 / (132 * pow({y}, 10)){''.join(f' - 1.0::DOUBLE / ({x} + {k})' for k in range(8))})"
+
+
+def _trigamma(x: str) -> str:
+    y = f"({x} + 8.0::DOUBLE)"
+    return f"(1 / {y} + 1 / (2 * pow({y}, 2)) + 1 / (6 * pow({y}, 3)) - 1 / (30 * pow({y}, 5)) + 1 / (42 * pow({y}, 7)) - 1 / (30 * pow({y}, 9)) + 5 / (66 * pow({y}, 11)){''.join(f' + 1.0::DOUBLE / pow({x} + {k}, 2)' for k in range(8))})"
+
+
+_CELLS = ("n11", "n10", "n01", "n00")
+
+
+@query("cooccurrence_log_odds", f"""WITH {_WEEKS}, ct AS (SELECT type_a, type_b, {', '.join(f"sum({c}) + 1.0::DOUBLE AS {c}" for c in _CELLS)} FROM sk GROUP BY 1, 2)
+  SELECT type_a, type_b, round({_digamma('n11')} + {_digamma('n00')} - {_digamma('n10')} - {_digamma('n01')}, 8) AS log_or_mean, round({' + '.join(_trigamma(c) for c in _CELLS)}, 8) AS log_or_var FROM ct""")
 def cooccurrence_log_odds(spark, d):
-    return C.log_odds_posterior(C.presence_tables(*_weeks(spark, d)))
+    return rounded(C.log_odds_posterior(C.presence_tables(*_weeks(spark, d))))
 
 
 _RUNS = f"""
@@ -192,12 +207,14 @@ def impute_joint_counts(spark, d):
     return I.draw_counts(I.imputed_documents(pages, starts, kinds, "joint"))
 
 
-@query("occurrence_corrected")
+@query("occurrence_corrected", f"""WITH jc AS ({SQL['impute_joint_counts']}), k AS (SELECT draw, count(DISTINCT dossier) AS k FROM jc GROUP BY 1), t AS (SELECT unnest({X.EVENT_TYPES!r}) AS type),
+  p AS (SELECT k.draw, t.type, count(jc.n) / max(k) AS x FROM k CROSS JOIN t LEFT JOIN jc ON jc.draw = k.draw AND jc.type = t.type GROUP BY 1, 2)
+  SELECT type, count(x) AS n, round(avg(x), 8) AS mean, round(stddev_samp(x), 8) AS sd, round(quantile_cont(x, 0.03), 8) AS hdi_3, round(quantile_cont(x, 0.97), 8) AS hdi_97 FROM p GROUP BY 1""")
 def occurrence_corrected(spark, d):
     counts = impute_joint_counts(spark, d)
     dossiers = counts.select("draw", "dossier").distinct()
     per = C.occurrence(counts, dossiers, types(spark, X.EVENT_TYPES), ("draw",))
-    return I.pooled(per, ["type"], "prevalence")
+    return rounded(I.pooled(per, ["type"], "prevalence"))
 
 
 @query("hdi_summary", f"""WITH {S.EVENTS} SELECT document_type, round(avg(value - 20), 8) AS mean, round(quantile_cont(value - 20, 0.03), 8) AS hdi_3, round(quantile_cont(value - 20, 0.97), 8) AS hdi_97, round(avg((value - 20 > 0)::INT), 8) AS p_positive,

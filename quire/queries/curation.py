@@ -515,9 +515,9 @@ def synthetic_dossiers(spark, d):
     return dossiers(spark, 200)
 
 
-@query("file_discovery")
+@query("file_discovery", """SELECT unnest(['benchmark', 'conversations', 'customer', 'documents', 'embeddings', 'events', 'labels', 'lineitem', 'nation', 'orders', 'pages', 'part', 'region', 'supplier']) || '.parquet' AS name, true AS has_content""")
 def file_discovery(spark, d):
-    return M.existing_files(spark, d, "*.parquet").select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
+    return M.existing_files(spark, d, "*.parquet").select(F.element_at(F.split("path", "/"), -1).alias("name"), (F.col("length") > 0).alias("has_content"))
 
 
 @query("embedded_pages")

@@ -11,11 +11,11 @@ def separator(path: str) -> str:
     return "\t" if path.removesuffix(".gz").endswith(".tsv") else ","
 
 
-def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """A delimited file with a header; without a schema all columns are strings. Parquet by its suffix."""
+def read_table(spark: SparkSession, path: str, schema: str | None = None, multi_line: bool = False) -> DataFrame:
+    """A delimited file with a header; without a schema all columns are strings. Parquet by its suffix. ``multi_line``: fields may hold line breaks, at the price of one task a file."""
     if path.rstrip("/").endswith(".parquet"):
         return spark.read.parquet(path)
-    reader = spark.read.option("header", "true").option("sep", separator(path)).option("quote", '"').option("escape", '"').option("multiLine", "true")
+    reader = spark.read.option("header", "true").option("sep", separator(path)).option("quote", '"').option("escape", '"').option("multiLine", multi_line)
     return (reader.schema(schema) if schema else reader).csv(path)
 
 

@@ -50,17 +50,20 @@ def windowed_counts(pages: DataFrame, time: str, label: str, size: str, late: st
     return pages.withWatermark(time, late).groupBy(F.window(time, size).alias("w"), label).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), label, "n")
 
 
-def rewrite_dossiers(path: str, segment):
-    """A foreachBatch function: pages of each batch go to partitions by dossier bucket, and the touched dossiers are segmented anew from all their pages.
+def rewrite_dossiers(path: str, segment, buckets: int = 64):
+    """A foreachBatch function: pages of each batch are written by dossier bucket, and the touched dossiers are segmented anew from all their pages.
 
-    A batch that is tried again replaces what it wrote: its pages lie in a folder of its own.
+    Only the touched buckets of earlier batches are read. A batch that is tried again replaces what it wrote: its pages lie in a folder of its own.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{path}/pages/batch={number}")
+        own = batch.withColumn("_bucket", F.pmod(F.xxhash64("dossier"), F.lit(buckets)).cast("int"))
+        own.write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/pages/batch={number}")
         touched = batch.select("dossier").distinct()
-        pages = spark.read.schema(batch.schema).parquet(f"{path}/pages/batch=*").join(touched, "dossier", "left_semi").dropDuplicates(["dossier", "page_num"])
+        wanted = [r[0] for r in own.select("_bucket").distinct().collect()]  # as many as there are buckets
+        every = spark.read.schema(own.schema.add("batch", "long")).option("basePath", f"{path}/pages").parquet(f"{path}/pages").filter(F.col("_bucket").isin(wanted))
+        pages = every.select(*batch.columns).join(touched, "dossier", "left_semi").dropDuplicates(["dossier", "page_num"])
         segment(pages).withColumn("as_of", F.lit(number)).write.mode("overwrite").parquet(f"{path}/segments/as_of_batch={number}")
 
     return write
