@@ -471,7 +471,7 @@ def _sets_of(rows: DataFrame, heads: DataFrame, n: int, words: int, percent: int
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` of which each component keeps one, that with its least id, with all their columns.
 
-    Of rows that repeat that id and share its component one stays; rows without shingles all stay.
+    Of rows that repeat that id and share its component one stays; rows without shingles and rows with a null id all stay.
     """
     base, at = guarded(docs)
     own = at[id_col]
