@@ -97,11 +97,20 @@ def digamma(x):
 # -- what a fit needs of the rows -------------------------------------------------------------------------------------
 
 
+WEIGHT = "_rows"
+
+
+def reduced(df: DataFrame, columns: list[str]) -> DataFrame:
+    """travel_year, ``columns`` and how many rows have them, as _rows, which all of this module's functions count by: write it down once and many models read it instead of the rows."""
+    return df.groupBy("travel_year", *columns).agg(F.count(F.lit(1)).alias(WEIGHT))
+
+
 def designed(df: DataFrame, models: list[Model]) -> tuple[DataFrame, dict[str, str]]:
-    """(travel_year, a column for each distinct expression of the models, their outcomes and trials; the column of each expression). Rows with a null among these have no likelihood and go."""
+    """(travel_year, _rows, a column for each distinct expression of the models, their outcomes and trials; the column of each expression). Rows with a null among these have no likelihood and go."""
     wanted = dict.fromkeys(e for m in models for e in [*m.terms.values(), *m.spread.values(), m.outcome, *([m.trials] if m.trials else [])])
     names = {e: f"x{i}" for i, e in enumerate(wanted)}
-    out = df.select("travel_year", *[F.expr(e).cast("double").alias(c) for e, c in names.items()])
+    weight = F.col(WEIGHT) if WEIGHT in df.columns else F.lit(1).cast("long")
+    out = df.select("travel_year", weight.alias(WEIGHT), *[F.expr(e).cast("double").alias(c) for e, c in names.items()])
     return out.dropna(), names
 
 
@@ -111,15 +120,15 @@ def cells(df: DataFrame, model: Model) -> DataFrame:
     keys = ["travel_year", *[F.col(at[e]).alias(t) for t, e in model.terms.items()], *[F.col(at[e]).alias(f"disp_{t}") for t, e in model.spread.items()]]
     y, trials = F.col(at[model.outcome]), F.col(at[model.trials]) if model.trials else F.lit(0.0)
     if model.family == "beta_binomial":
-        return rows.groupBy(*keys, y.alias("total"), trials.alias("trials")).agg(F.count(F.lit(1)).alias("n"))
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("total"), F.sum(trials).alias("trials"))
+        return rows.groupBy(*keys, y.alias("total"), trials.alias("trials")).agg(F.sum(WEIGHT).alias("n"))
+    return rows.groupBy(*keys).agg(F.sum(WEIGHT).alias("n"), F.sum(y * F.col(WEIGHT)).alias("total"), F.sum(trials * F.col(WEIGHT)).alias("trials"))
 
 
 def outcome_counts(df: DataFrame, model: Model, digits: int = 2) -> DataFrame:
     """disp_... (and travel_year where dispersion has year effects), y, n. Fractional outcomes (expected counts) are rounded to ``digits`` here, which only the dispersion sees."""
     rows, at = designed(df, [model])
     keys = [F.col(at[e]).alias(f"disp_{t}") for t, e in model.spread.items()] + (["travel_year"] if model.dispersion == "iid" else [])
-    return rows.groupBy(*keys, F.round(at[model.outcome], digits).alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    return rows.groupBy(*keys, F.round(at[model.outcome], digits).alias("y")).agg(F.sum(WEIGHT).alias("n"))
 
 
 # -- fits -------------------------------------------------------------------------------------------------------------
@@ -301,7 +310,7 @@ def compared(df: DataFrame, fits: list[Fit], draws: int = 200) -> DataFrame:
     """
     models = [f.model for f in fits]
     rows, at = designed(df, models)
-    rows = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.groupBy(*[c for c in rows.columns if c != WEIGHT]).agg(F.sum(WEIGHT).alias("n"))
     known = [(f, f.draws(draws)) for f in fits]
 
     def partial(batches):

@@ -109,3 +109,14 @@ def test_odd_rows(spark):
     assert np.isfinite(S.fitted(rows, S.Model("m", "expected", {}, "iid")).theta).all()
     with pytest.raises(ValueError):
         S.fitted(rows.limit(0), S.Model("m", "num_docs"))
+
+
+def test_reduced_rows_give_the_same_fit(spark):
+    rows = dossiers(spark, 500)
+    model = S.by_persons()[3]
+    less = S.reduced(rows, ["era", "num_adults", "num_minors", "num_docs"])
+    assert less.count() < 500
+    a, b = S.fitted(rows, model), S.fitted(less, model)
+    assert np.allclose(a.theta, b.theta, atol=1e-6) and np.allclose(a.cov, b.cov, atol=1e-6)
+    a, b = (S.compared(x, [f], 20).first() for x, f in ((rows, a), (less, a)))
+    assert a["n"] == b["n"] == 500 and abs(a["elpd"] - b["elpd"]) < 1e-6
