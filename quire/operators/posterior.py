@@ -156,6 +156,43 @@ def affine(source: np.ndarray, target: np.ndarray) -> np.ndarray:
     return found.T
 
 
+def similarity(source: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """The 2 x 3 matrix of the turn, scale and shift that maps source points to target points best in squares; at least two distinct points."""
+    s, t = (np.asarray(p, float) @ [1, 1j] for p in (source, target))
+    off = s - s.mean()
+    if len(s) < 2 or not np.abs(off).max() > 0:
+        raise ValueError("a similarity needs two distinct anchors")
+    a = (off.conj() @ t) / (off.conj() @ off).real
+    b = t.mean() - a * s.mean()
+    return np.array([[a.real, -a.imag, b.real], [a.imag, a.real, b.imag]])
+
+
+def consensus(source: np.ndarray, target: np.ndarray, within: float = 3.0) -> np.ndarray:
+    """The similarity that most anchors agree on: of those through two anchors, the one with most anchors ``within`` this distance (then with the least sum of theirs), fitted anew to these.
+
+    Three anchors are the least. With only three, an outlier can't be told, so all of them count. All pairs are tried, as a template has few anchors.
+    """
+    source, target = np.asarray(source, float), np.asarray(target, float)
+    if len(source) < 3:
+        raise ValueError("a page needs three anchors")
+    if len(source) == 3:
+        return similarity(source, target)
+    best = None
+    for i in range(len(source)):
+        for j in range(i):
+            if (source[i] == source[j]).all():
+                continue
+            m = similarity(source[[j, i]], target[[j, i]])
+            far = np.hypot(*(source @ m[:, :2].T + m[:, 2] - target).T)
+            near = far <= within
+            key = (int(near.sum()), -float(far[near].sum()))
+            if best is None or key > best[0]:
+                best = key, near
+    if best is None:
+        raise ValueError("all anchors lie on one point")
+    return similarity(source[best[1]], target[best[1]])
+
+
 def projected(matrix: np.ndarray, box: tuple[float, float, float, float]) -> tuple[float, float, float, float]:
     """The upright box around a projected box (x, y, width, height)."""
     x, y, w, h = box

@@ -502,7 +502,21 @@ def form_anchors(spark, d):
 def form_fields(spark, d):
     from quire.operators import forms
 
-    return forms.located_fields(form_anchors(spark, d), [("name", 20.0, 20.0, 30.0, 8.0), ("date", 60.0, 20.0, 20.0, 8.0)])
+    return forms.located_fields(form_anchors(spark, d), [("name", 20.0, 20.0, 50.0, 28.0), ("date", 60.0, 20.0, 80.0, 28.0)])
+
+
+@query("form_anchors_inside", f"""WITH de AS (SELECT p_partkey % 40 AS page, p_brand || ' ' || CASE WHEN {S.u('p_partkey', "'typo'")} < 0.3 THEN substr(p_type, 2, 20) || 'x' ELSE p_type END || ' ' || p_name AS text, p_size::DOUBLE AS x, p_partkey::DOUBLE AS y, floor({S.u('p_partkey', "'conf'")} * 100) AS confidence FROM part),
+  an AS (SELECT * FROM (VALUES {', '.join(f"('{a}', {x}::DOUBLE, {y}::DOUBLE)" for a, x, y in _ANCHORS)}) v(anchor, ax, ay)),
+  me AS (SELECT page, anchor, x, y, ax, ay, confidence, list_min(list_transform(range(1, greatest(1, length(text) - length(anchor) + 1) + 1), lambda i: levenshtein(substr(lower(text), i, length(anchor)), lower(anchor)))) AS edits FROM de, an WHERE confidence >= 40 AND length(text) >= length(anchor) * 0.8::DOUBLE)
+  SELECT page, anchor, x, y, ax, ay, edits FROM (SELECT *, row_number() OVER (PARTITION BY page, anchor ORDER BY edits, confidence DESC, y, x) AS n FROM me WHERE edits <= length(anchor) * 0.2::DOUBLE) WHERE n = 1""")
+def form_anchors_inside(spark, d):
+    """Detections that hold more words than the anchor."""
+    from quire.operators import forms
+
+    p = X.table(spark, d, "part").select("p_partkey", "p_brand", "p_name")
+    longer = _detections(spark, d).join(p, F.col("y") == F.col("p_partkey")).withColumn("text", F.concat_ws(" ", "p_brand", "text", "p_name")).drop("p_partkey", "p_brand", "p_name")
+    anchors = spark.createDataFrame(_ANCHORS, "anchor string, ax double, ay double")
+    return forms.found_anchors(forms.confident(longer), anchors)
 
 
 @query("synthetic_dossiers", f"""WITH d AS (SELECT 'pdf_' || lpad(i::VARCHAR, 5, '0') AS dossier FROM range(0, 200) r(i)), e AS (SELECT dossier, unnest(range(1, 4 + floor({S.u("'0'", 'dossier', "'n'")} * 5)::INT)) AS doc FROM d), l AS (SELECT *, {S.u("'0'", 'dossier', "'len'", 'doc')} AS x FROM e),

@@ -164,3 +164,21 @@ def test_streams_segment_as_batches_do(spark, tmp_path):
     q.stop()
     want = segments.segmented(spark.createDataFrame(rows, schema)).select("dossier", "page_num", "seg", "head")
     assert sorted(map(tuple, spark.table("seg").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_fields_of_a_turned_page(spark):
+    """Anchors inside longer detections, one of them met in a wrong place too; a page with two anchors has no fields."""
+    import numpy as np
+
+    from quire.operators import forms
+
+    anchors = [("Name", 100.0, 100.0), ("Date", 400.0, 100.0), ("Place of birth", 100.0, 300.0), ("Signature", 420.0, 310.0)]
+    t = np.deg2rad(5)
+    m = np.array([[0.97 * np.cos(t), -0.97 * np.sin(t), 50.0], [0.97 * np.sin(t), 0.97 * np.cos(t), 30.0]])
+    at = lambda x, y: [float(v) for v in m @ (x, y, 1)]
+    rows = [(1, f"1. {a.upper()} (given)", *at(x, y), 90.0) for a, x, y in anchors] + [(1, "Sginature", 5.0, 5.0, 95.0), (2, "Name", 1.0, 1.0, 90.0), (2, "Date", 2.0, 1.0, 90.0), (2, "Place of b1rth", 2.0, 9.0, 20.0)]
+    seen = forms.confident(spark.createDataFrame(rows, "page long, text string, x double, y double, confidence double"))
+    found = forms.found_anchors(seen, spark.createDataFrame(anchors, "anchor string, ax double, ay double"))
+    assert found.filter("page = 1").count() == 4 and found.filter("page = 2").count() == 2
+    got = forms.located_fields(found, [("date", 420.0, 90.0, 520.0, 115.0)]).collect()
+    assert len(got) == 1 and np.allclose(got[0][2:], [*at(420, 90), *at(520, 115)], atol=1e-6)

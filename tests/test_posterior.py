@@ -34,6 +34,20 @@ def test_affine_projection():
         P.affine(np.array([(0, 0), (1, 1), (2, 2)]), np.zeros((3, 2)))
 
 
+def test_consensus_leaves_a_wrong_anchor_out():
+    a = np.array([(100, 100), (400, 100), (100, 300), (420, 310), (250, 40)], float)
+    t, s = np.deg2rad(5), 0.97
+    true = np.array([[s * np.cos(t), -s * np.sin(t), 50], [s * np.sin(t), s * np.cos(t), 30]])
+    seen = a @ true[:, :2].T + true[:, 2]
+    assert np.allclose(P.consensus(a[:3], seen[:3]), true) and np.allclose(P.consensus(a, seen), true)
+    seen[1] = (900, 900)
+    assert np.allclose(P.consensus(a, seen), true)
+    assert not np.allclose(P.similarity(a, seen), true, atol=0.1)
+    for few in (a[:2], np.ones((3, 2)), np.ones((5, 2))):
+        with pytest.raises(ValueError):
+            P.consensus(few, few)
+
+
 def test_negative_binomial_recovers():
     rng = np.random.default_rng(0)
     x = np.column_stack([np.ones(4000), rng.integers(0, 4, 4000)])
