@@ -155,6 +155,16 @@ def path_of(root: str, pdf: Column, page: Column, extension: str, folder: str =
     return F.concat_ws("/", *parts)
 
 
+def annotation_paths(dossier: Column, page: Column, roots: dict[str, str]) -> dict[str, Column]:
+    """A column for each kind of file in ``roots`` (image, text, markdown, pagexml): where an annotated page's lies."""
+    number = F.format_string("page_%04d", page.cast("int"))
+    own = F.concat(dossier, F.lit("_"), number)
+    # The folders and suffixes.
+    names = {"image": [F.concat(own, F.lit(".png"))], "text": [F.concat(own, F.lit(".txt"))], "markdown": [F.concat(own, F.lit(".markdown.md"))],
+             "pagexml": [F.lit("page"), F.concat(number, F.lit(".xml"))]}
+    return {f"{kind}_path": F.concat_ws("/", F.lit(root.rstrip("/")), dossier, *names[kind]) for kind, root in roots.items()}
+
+
 def transcription_path(path: Column, old: str = "annotations", new: str = "transcriptions", extension: str = "xml") -> Column:
     """The mirrored path: one folder name exchanged, another suffix."""
     return F.concat(F.regexp_replace(F.replace(path, F.lit(f"/{old}/"), F.lit(f"/{new}/")), r"\.[^./]*$", ""), F.lit("." + extension))

@@ -78,6 +78,50 @@ def evaluated(pages: DataFrame, vocabularies: dict[str, DataFrame], by=("config"
     return reduce(DataFrame.unionByName, rows)
 
 
+def _unpivoted(df: DataFrame, by, task: str, cells: list[tuple[str, str, str]], support: str) -> DataFrame:
+    """by, task, metric, average, value, support of (metric, average, column) triples."""
+    rows = F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(a).alias("average"), F.col(c).cast("double").alias("value")) for m, a, c in cells])
+    return df.select(*by, F.lit(task).alias("task"), F.explode(rows).alias("_r"), F.col(support).cast("long").alias("support")).select(*by, "task", "_r.metric", "_r.average", "_r.value", "support")
+
+
+def metric_rows(pages: DataFrame, vocabularies: dict[str, DataFrame], by=("config",)) -> DataFrame:
+    """by, task, metric, average, value, support: all figures of each configuration as one long table.
+
+    A task is a label column that ``pages`` and ``vocabularies`` hold (accuracy, macro and weighted scores over the vocabulary, then uas and las), start_page or segmentation.
+    """
+    by = tuple(by)
+    seg = saved(segmetrics.both(pages, (*by, "dossier")))
+    out = []
+    for c in [c for c in LABELS if c in vocabularies and f"predicted_{c}" in pages.columns]:
+        known = seg.join(F.broadcast(vocabularies[c].select(F.col("label").alias(c))), c, "left_semi")  # a vocabulary
+        whole = metrics.summary(metrics.per_class(metrics.confusion(known, c, f"predicted_{c}", by), by, vocabularies[c]), by)
+        cells = [("accuracy", "overall", "accuracy")] + [(m, a, f"{a}_{m}") for a in ("macro", "weighted") for m in ("precision", "recall", "f1")]
+        out.append(_unpivoted(whole, by, c, cells, "n"))
+        attached = segmetrics.attachment_scores(segmetrics.attachment_rows(seg, c, f"predicted_{c}", (*by, "dossier")), by)
+        out.append(_unpivoted(attached, by, c, [("uas", "", "uas"), ("las", "", "las")], "n_pages"))
+    start = metrics.binary(seg, F.col("start_page") == "yes", F.col("predicted_start_page") == "yes", by)
+    out.append(_unpivoted(start, by, "start_page", [(m, "binary", m) for m in ("precision", "recall", "f1")], "n"))
+    pq = segmetrics.panoptic_quality(segmetrics.stream_quality(seg, (*by, "dossier")), by)
+    out.append(_unpivoted(pq, by, "segmentation", [(m, "", m) for m in ("pq", "sq", "rq", "tp", "fp", "fn")], "n_streams"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def masked_accuracy(rows: DataFrame, tasks: list[str], classes: dict[str, int], ignore: int = -100) -> DataFrame:
+    """task, n, accuracy, macro_f1 of index columns (task, predicted_task) over the rows whose target isn't ``ignore`` or null.
+
+    macro_f1 is the mean over all ``classes`` of a task, those without rows counting 0; without any row, n is 0 and both are null.
+    """
+    spark = rows.sparkSession
+    long = rows.select(F.explode(F.array(*[F.struct(F.lit(t).alias("task"), F.col(t).alias("true"), F.col(f"predicted_{t}").alias("pred")) for t in tasks])).alias("_r")).select("_r.*")
+    counts = long.filter(F.col("true").isNotNull() & (F.col("true") != ignore)).groupBy("task", "true", "pred").agg(F.count(F.lit(1)).alias("n"))
+    every = spark.createDataFrame([(t, k) for t in tasks for k in range(classes[t])], "task string, class int")
+    truth = counts.groupBy("task", F.col("true").alias("class")).agg(F.sum("n").alias("support"), F.sum(F.when(F.col("true") == F.col("pred"), F.col("n")).otherwise(0)).alias("tp"))
+    given = counts.filter(F.col("pred").isNotNull()).groupBy("task", F.col("pred").alias("class")).agg(F.sum("n").alias("predicted"))
+    per = every.join(truth, ["task", "class"], "left").join(given, ["task", "class"], "left").na.fill(0, ["support", "tp", "predicted"])
+    n = F.sum("support")
+    return per.groupBy("task").agg(n.alias("n"), F.when(n > 0, F.sum("tp") / n).alias("accuracy"), F.when(n > 0, F.avg(metrics.ratio(2 * F.col("tp"), F.col("support") + F.col("predicted")))).alias("macro_f1"))
+
+
 def stale(configs: DataFrame, predictions: DataFrame, checkpoints: DataFrame, key: str = "config", force: bool = False) -> DataFrame:
     """Configurations that have to predict anew: without predictions or checkpoint, or with predictions older than it. The others' are evaluated as they are."""
     if force:

@@ -119,6 +119,26 @@ def winner_shares(comparisons: DataFrame, by: list[str], model: str, score: str)
     return per.groupBy(*by, model).agg(F.count(F.lit(1)).alias("wins")).withColumn("share", F.col("wins") / F.sum("wins").over(w))
 
 
+def as_percent(draws: DataFrame, beta: str, out: str = "pct") -> DataFrame:
+    """Draws of a log rate's slope as percents of change a unit."""
+    return draws.withColumn(out, (F.exp(beta) - 1) * 100)
+
+
+def pooled_effects(draws: DataFrame, by: list[str], beta: str, imputation: str = "imputation") -> DataFrame:
+    """by, n_imputations, mean, hdi_3, hdi_97 of a slope's percents over the draws of all imputations that there are."""
+    x = as_percent(draws, beta)
+    return x.groupBy(*by).agg(F.count_distinct(imputation).alias("n_imputations"), F.avg("pct").alias("mean"), F.percentile("pct", 0.03).alias("hdi_3"), F.percentile("pct", 0.97).alias("hdi_97"))
+
+
+def paired_by_hash(draws: DataFrame, by: list[str], seed: str, *keys: str) -> DataFrame:
+    """``draws`` with draw, their place in an order by hash within ``by``: two posteriors that are joined by it are paired at random, the longer one's rest going unpaired. ``keys`` tell a draw from all others."""
+    from quire.functions.hashing import uniform
+    from quire.operators.ranking import numbered
+
+    out = draws.drop("draw").withColumn("_u", uniform(F.lit(seed), *keys))
+    return numbered(out, ["_u", *keys], "draw", tuple(by)).drop("_u")
+
+
 def difference(a: DataFrame, b: DataFrame, value: str, by: list[str]) -> DataFrame:
     """mean, hdi_3, hdi_97, p_below of b minus a, draws paired by their rank."""
     met = a.select(*by, "draw", F.col(value).alias("_a")).join(b.select(*by, "draw", F.col(value).alias("_b")), [*by, "draw"])

@@ -118,6 +118,18 @@ def year_index(df: DataFrame, year: str = "travel_year") -> DataFrame:
     return df.join(years, year, "left").select(*df.columns, "year_idx")
 
 
+def matched_meta(pages: DataFrame, meta: DataFrame, identifier, key: str = "identifier") -> tuple[DataFrame, DataFrame]:
+    """(the pages of dossiers that meta describes, meta with their dossier): ``identifier`` of a dossier's name is meta's key.
+
+    A row of meta that no dossier or several have is an error, raised as it is met. All of meta's columns stay.
+    """
+    names = pages.select("dossier").distinct().groupBy(identifier(F.col("dossier")).alias("_id")).agg(F.count(F.lit(1)).alias("_n"), F.min("dossier").alias("dossier"))
+    met = meta.join(names, F.col(key).cast("string") == F.col("_id"), "left")
+    checked = F.assert_true(F.coalesce(F.col("_n"), F.lit(0)) == 1, F.concat(F.lit("not one dossier of "), F.col(key).cast("string")))
+    out = met.filter(checked.isNull()).select("dossier", *[F.col(f"`{c}`") for c in meta.columns])
+    return pages.join(out.select("dossier"), "dossier", "left_semi"), out
+
+
 def in_periods(df: DataFrame, periods: list[tuple[str, int, int]], year: str = "travel_year") -> DataFrame:
     """A row for each period (name, first, last year) that a row lies in."""
     p = df.sparkSession.createDataFrame(periods, "period string, _first int, _last int")

@@ -53,3 +53,26 @@ def test_adjusted_p_values(spark, seed):
             least = min(least, own[k - 1][0] * len(own) / k)
             assert abs(got[own[k - 1][1]] - least) < 1e-12
     assert got[999] is None
+
+
+def test_meta_rows_meet_one_dossier(spark):
+    from quire.functions import scalars
+    from quire.operators import manifest as M
+
+    pages = spark.createDataFrame([("a-1", 1), ("a-1", 2), ("b-2", 1), ("c-3", 1)], "dossier string, page_num int")
+    meta = spark.createDataFrame([(1, 5), (2, 6)], "identifier long, num_docs int")
+    kept, out = M.matched_meta(pages, meta, scalars.identifier)
+    assert sorted(tuple(r) for r in out.collect()) == [("a-1", 1, 5), ("b-2", 2, 6)] and kept.count() == 3
+    for bad in ([(9, 1)], [(3, 1), (1, 1), (4, 1)]):
+        with pytest.raises(Exception, match="not one dossier"):
+            M.matched_meta(pages, spark.createDataFrame(bad, "identifier long, num_docs int"), scalars.identifier)[1].collect()
+    with pytest.raises(Exception, match="not one dossier"):
+        M.matched_meta(pages.union(spark.createDataFrame([("z-1", 1)], pages.schema)), meta, scalars.identifier)[1].collect()
+    assert M.matched_meta(pages, meta.limit(0), scalars.identifier)[1].count() == 0
+
+
+def test_masked_rows_and_absent_classes(spark):
+    rows = spark.createDataFrame([(0, 0), (1, 0), (-100, 1), (None, 1), (1, None)], "type int, predicted_type int").selectExpr("*", "-100 AS other", "0 AS predicted_other")
+    got = {r["task"]: r for r in E.masked_accuracy(rows, ["type", "other"], {"type": 3, "other": 2}).collect()}
+    assert got["type"]["n"] == 3 and abs(got["type"]["accuracy"] - 1 / 3) < 1e-12 and abs(got["type"]["macro_f1"] - (2 / 3) / 3) < 1e-12
+    assert got["other"]["n"] == 0 and got["other"]["accuracy"] is None and got["other"]["macro_f1"] is None
