@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import chat, exact_dedup, mixing, multi_index, packing, secrets, shingle_join, surrogates, token_files, toxicity
+from quire.llm import chat, exact_dedup, mixing, multi_index, packing, secrets, shingle_join, substring_dedup, surrogates, token_files, toxicity
 
 QUERIES = {
     "op1_tool_calls": chat.op1_tool_calls,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_surrogates": surrogates.op10_surrogates,
+    "op11_substring_dedup": substring_dedup.op11_substring_dedup,
 }
 
 SQL = {
     "op1_tool_calls": chat.OP1_SQL,
     "op2_poisson_mixing": mixing.OP2_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
+    "op11_substring_dedup": substring_dedup.OP11_SQL,
 }
