@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import chat, exact_dedup, mixing, multi_index, packing, secrets, shingle_join, substring_dedup, surrogates, token_files, toxicity
+from quire.llm import chat, exact_dedup, mixing, multi_index, packing, ranked_search, secrets, shingle_join, substring_dedup, surrogates, token_files, toxicity
 
 QUERIES = {
     "op1_tool_calls": chat.op1_tool_calls,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_surrogates": surrogates.op10_surrogates,
     "op11_substring_dedup": substring_dedup.op11_substring_dedup,
+    "op12_ranked_search": ranked_search.op12_ranked_search,
 }
 
 SQL = {
@@ -23,4 +24,5 @@ SQL = {
     "op2_poisson_mixing": mixing.OP2_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
     "op11_substring_dedup": substring_dedup.OP11_SQL,
+    "op12_ranked_search": ranked_search.OP12_SQL,
 }
