@@ -140,7 +140,7 @@ def _joined(held: list):
 
 def planes(x: np.ndarray) -> bytes:
     """The numbers byte by byte, all lowest bytes first: small ones compress well."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T).tobytes()
 
 
 def from_planes(data: bytes, kind) -> np.ndarray:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import chat, exact_dedup, mixing, multi_index, packing, ranked_search, secrets, shingle_join, substring_dedup, surrogates, token_files, toxicity
+from quire.llm import chat, collocations, exact_dedup, mixing, multi_index, packing, ranked_search, secrets, shingle_join, substring_dedup, surrogates, token_files, toxicity
 
 QUERIES = {
     "op1_tool_calls": chat.op1_tool_calls,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_surrogates": surrogates.op10_surrogates,
     "op11_substring_dedup": substring_dedup.op11_substring_dedup,
     "op12_ranked_search": ranked_search.op12_ranked_search,
+    "op13_collocations": collocations.op13_collocations,
 }
 
 SQL = {
@@ -25,4 +26,5 @@ SQL = {
     "op8_exact_dedup": exact_dedup.OP8_SQL,
     "op11_substring_dedup": substring_dedup.OP11_SQL,
     "op12_ranked_search": ranked_search.OP12_SQL,
+    "op13_collocations": collocations.OP13_SQL,
 }
