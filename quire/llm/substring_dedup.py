@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm.byte_words import Scanner, buffers, from_planes, in_slices, inverse, mixed, planes, powers
-from quire.llm.common import guarded, partitions, table, text_batches, trim, whole_text, worker_cache
+from quire.llm.common import fits, guarded, in_parts, partitions, table, text_batches, trim, whole_text, worker_cache, written
 
 WORDS = 50
 #: Bytes of text that a task hashes at a time; entries of a block, about; bytes of a word, at least about.
@@ -87,26 +87,45 @@ def _cuts(x: np.ndarray) -> list[tuple[int, int]]:
 def _packed(ids, keys, place) -> tuple[bytes, bytes, bytes, bytes]:
     """Entries in the order of their documents: each document once, with its number of entries."""
     fresh = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1]))) if len(ids) else np.zeros(0, np.int64)
-    return planes(ids[fresh]), keys[fresh].tobytes(), planes(np.diff(np.append(fresh, len(ids))).astype(np.uint32)), planes(place)
+    steps = np.diff(place, prepend=np.uint32(0))  # small numbers: ids and places as steps from the one before
+    steps[fresh] = place[fresh]
+    return planes(np.diff(ids[fresh], prepend=0)), keys[fresh].tobytes(), planes(np.diff(np.append(fresh, len(ids))).astype(np.uint32)), planes(steps)
 
 
 def _unpacked(ids: bytes, keys: bytes, per: bytes, place: bytes):
     n = from_planes(per, np.uint32)
-    return np.repeat(from_planes(ids, np.int64), n), np.repeat(np.frombuffer(keys, np.int64), n), from_planes(place, np.uint32)
+    far = np.cumsum(from_planes(place, np.uint32), dtype=np.int64)
+    before = np.append(0, far)[np.append(0, np.cumsum(n, dtype=np.int64)[:-1])]
+    return np.repeat(np.cumsum(from_planes(ids, np.int64)), n), np.repeat(np.frombuffer(keys, np.int64), n), (far - np.repeat(before, n)).astype(np.uint32)
 
 
 _DEALT = "block int, settled boolean, high binary, low binary, ids binary, keys binary, per binary, place binary"
 _REPLY = "part int, ids binary, keys binary, per binary, place binary"
 
 
-def repeats(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS, slice_bytes: int = SLICE_BYTES, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """Of each document with repeated windows, one row: _id, _key (a hash of its text), _runs (first places of one such window of each kind, and lengths of runs of them)."""
+def _keyed(rows: DataFrame, spread: DataFrame | None) -> DataFrame:
+    """With _key, which tells rows of the same _id apart by their _body: 0 for ids that don't repeat, as which ``spread`` has those that do."""
+    null = F.when(F.col("_id").isNull(), F.xxhash64(F.monotonically_increasing_id()))  # spread over all tasks
+    if spread is None:
+        return rows.withColumn("_key", null.otherwise(F.lit(0)))
+    return rows.join(spread, "_id", "left").withColumn("_key", null.when(F.col("_again"), F.xxhash64("_body")).otherwise(F.lit(0))).drop("_again")
+
+
+def repeated_ids(docs: DataFrame, id_col: str) -> DataFrame | None:
+    """The ids that several rows have, marked as _again; None if there are none."""
+    ids = written(docs.select(F.col(id_col).cast("long").alias("_id")).groupBy("_id").count().filter("count > 1 AND _id IS NOT NULL").select("_id", F.lit(True).alias("_again")))
+    n = ids.count()
+    return None if not n else F.broadcast(ids) if fits(n, 16) else ids
+
+
+def repeats(docs: DataFrame, id_col: str, text_col: str, spread: DataFrame | None, words: int = WORDS, slice_bytes: int = SLICE_BYTES, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """Of each document with repeated windows, one row: _id, _key (see ``_keyed``), _runs (first places of one such window of each kind, and lengths of runs of them)."""
     spark = docs.sparkSession
     text_batches(spark)
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), whole_text(text_col).alias("_body"))
     size = rows.agg(F.sum(F.octet_length("_body"))).first()[0] or 0
     blocks = max(partitions(spark), -(-size // (WORD_BYTES * block_windows)))
-    rows = rows.select("_id", F.xxhash64("_body").alias("_key"), "_body")
+    rows = _keyed(rows, spread).select("_id", "_key", "_body")
 
     def deal(batches):
         import pyarrow as pa
@@ -191,9 +210,9 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS, sli
     return counted.repartitionById(blocks, "part").mapInArrow(merge, "_id long, _key long, _runs binary")
 
 
-def _spans(data: np.ndarray, n_bytes: int, runs: bytes, words: int) -> np.ndarray:
+def _spans(data: np.ndarray, runs: bytes, words: int) -> np.ndarray:
     """The maximal intervals [first word, end) that windows equal to those of the runs cover."""
-    w = Windows(data, np.array([0, n_bytes]), words)
+    w = Windows(data, np.array([0, len(data)]), words)
     first, long = np.frombuffer(runs, np.int64).reshape(-1, 2).T
     at = np.repeat(first - np.append(0, np.cumsum(long)[:-1]), long) + np.arange(long.sum())
     gone = np.flatnonzero(np.isin(w.high, w.high[at]))
@@ -203,8 +222,26 @@ def _spans(data: np.ndarray, n_bytes: int, runs: bytes, words: int) -> np.ndarra
     return np.stack([gone[fresh], gone[np.append(fresh[1:], True)] + words], axis=1)
 
 
-def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, **sizes: int) -> DataFrame:
-    """Every row with n_words, n_removed, removed (array of [first word, end) intervals, maximal ones) and kept_text (the other words, joined by one space).
+def _packed_texts(rows: DataFrame, text: str) -> DataFrame:
+    """The texts compressed, so that a shuffle moves less than half of their bytes; null ones stay null."""
+
+    def run(batches):
+        import pyarrow as pa
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for b in batches:
+            k = b.schema.get_field_index(text)
+            data = pa.array([None if t is None else pack(t) for t in b.column(k).cast(pa.binary()).to_pylist()], pa.binary())
+            yield b.set_column(k, text, data)
+        trim()
+
+    kept = [T.StructField(f.name, T.BinaryType()) if f.name == text else f for f in rows.schema.fields]
+    return rows.mapInArrow(run, T.StructType(kept))
+
+
+def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, keep: list[str] | None = None, **sizes: int) -> DataFrame:
+    """Every row (its columns ``keep``, if given) with n_words, n_removed, removed (array of [first word, end) intervals, maximal ones) and kept_text (the other words, joined by one space).
 
     A null text has no words, as has an empty one; a text of fewer than ``words`` words loses none. A null id is neither smaller nor larger than
     any other: such rows lose nothing and take nothing away. Rows that repeat an id don't take from each other, whatever their texts. An empty table
@@ -212,34 +249,41 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     added = ["n_words", "n_removed", "removed", "kept_text"]
     base, at = guarded(docs.drop(*added))
-    names = list(at)
-    found = repeats(base, at[id_col], at[text_col], words, **sizes)
-    rows = base.withColumn("_body", whole_text(at[text_col]))
-    joined = rows.join(found, (rows[at[id_col]].cast("long") == found["_id"]) & (F.xxhash64("_body") == found["_key"]), "left").select(*base.columns, "_runs", "_body")
+    out = [c for c in at if keep is None or c in keep]
+    text = at[text_col]
+    spread = repeated_ids(base, at[id_col])
+    found = repeats(base, at[id_col], text, spread, words, **sizes)
+    rows = _keyed(base.withColumns({"_id": F.col(at[id_col]).cast("long"), "_body": whole_text(text)}), spread)
+    rows = rows.select(*dict.fromkeys([*(at[c] for c in out if c != text_col), "_id", "_key"]), F.col(text).cast("string").alias(text))
+    joined = _packed_texts(rows, text).join(found, ["_id", "_key"], "left").select(*(at[c] for c in out if c != text_col), text, "_runs")
+    fields = [joined.schema[at[c]] if c != text_col else T.StructField(text, T.StringType()) for c in out]
 
     def cut(batches):
         import pyarrow as pa
+        import zstandard
 
+        unpack = zstandard.ZstdDecompressor().decompress
         span = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
-        for b in in_slices(batches, "_body", slice_bytes):
-            data, offsets = buffers(b.column(len(b.schema) - 1))
-            n_words, n_removed, removed, kept = [], [], [], []
-            for runs, i, j in zip(b.column(len(b.schema) - 2).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
-                found = bytes(data[i:j]).split()
+        for b in in_parts(batches):
+            n_words, n_removed, removed, kept, texts = [], [], [], [], []
+            for packed, runs in zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
+                data = unpack(packed) if packed is not None else b""
+                found = data.split()
                 n_words.append(len(found))
-                gone = _spans(data[i:j], j - i, runs, words).tolist() if runs else []
-                for a, e in reversed(gone):
-                    del found[a:e]
+                gone = _spans(np.frombuffer(data, np.uint8), runs, words).tolist() if runs else []
+                for i, j in reversed(gone):
+                    del found[i:j]
                 n_removed.append(n_words[-1] - len(found))
-                removed.append([{"first": a, "end": e} for a, e in gone])
-                kept.append(b" ".join(found).decode("utf-8"))
-            cols = [b.column(k) for k in range(len(b.schema) - 2)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(removed, span), pa.array(kept, pa.string())], names=[*b.schema.names[:-2], *added])
-        trim()
+                removed.append([{"first": i, "end": j} for i, j in gone])
+                kept.append(b" ".join(found))
+                texts.append(None if packed is None else data)
+            whole = pa.array(texts, pa.binary()).cast(pa.string()) if text_col in out else None
+            cols = [whole if f.name == text else b.column(b.schema.get_field_index(f.name)) for f in fields]
+            added_cols = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(removed, span), pa.array(kept, pa.binary()).cast(pa.string())]
+            yield pa.RecordBatch.from_arrays([*cols, *added_cols], names=[*(f.name for f in fields), *added])
 
-    slice_bytes = sizes.get("slice_bytes", SLICE_BYTES)
     extra = T._parse_datatype_string("n_words long, n_removed long, removed array<struct<first: long, end: long>>, kept_text string")
-    return joined.mapInArrow(cut, T.StructType([*base.schema.fields, *extra.fields])).toDF(*names, *added)
+    return joined.mapInArrow(cut, T.StructType([*fields, *extra.fields])).toDF(*out, *added)
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
@@ -252,7 +296,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def op11_substring_dedup(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return mark_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+    return mark_repeats(docs, keep=["doc_id"]).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
 OP11_SQL = r"""
