@@ -26,6 +26,9 @@ YEAR_SCALE = 1.0
 GAMMA_SHAPE = 2.0
 GAMMA_RATE = 0.1
 
+#: Families of counts, whose dispersion is fitted from how often each count occurs.
+COUNTED = ("negative_binomial", "truncated")
+
 #: Directed terms over time: name -> expressions of era (0, 1) and year_c (years since the border).
 STRUCTURES = {
     "iid": {},
@@ -39,7 +42,7 @@ STRUCTURES = {
 class Model:
     """``terms``: name -> SQL expression of a covariate. ``dispersion``: 'constant' or one of STRUCTURES ('iid': an effect for each year).
 
-    ``family``: 'negative_binomial' of ``outcome``; 'binomial' or 'beta_binomial' of ``outcome`` out of ``trials``.
+    ``family``: 'negative_binomial' of ``outcome``, or 'truncated' (the same of outcomes above 0 alone); 'binomial' or 'beta_binomial' of ``outcome`` out of ``trials``.
     """
 
     name: str
@@ -105,29 +108,33 @@ def reduced(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.groupBy("travel_year", *columns).agg(F.count(F.lit(1)).alias(WEIGHT))
 
 
-def designed(df: DataFrame, models: list[Model]) -> tuple[DataFrame, dict[str, str]]:
-    """(travel_year, _rows, a column for each distinct expression of the models, their outcomes and trials; the column of each expression). Rows with a null among these have no likelihood and go."""
+def designed(df: DataFrame, models: list[Model], by: list[str] | tuple = ()) -> tuple[DataFrame, dict[str, str]]:
+    """(``by``, travel_year, _rows, a column for each distinct expression of the models, their outcomes and trials; the column of each expression). Rows with a null among these have no likelihood and go."""
     wanted = dict.fromkeys(e for m in models for e in [*m.terms.values(), *m.spread.values(), m.outcome, *([m.trials] if m.trials else [])])
     names = {e: f"x{i}" for i, e in enumerate(wanted)}
     weight = F.col(WEIGHT) if WEIGHT in df.columns else F.lit(1).cast("long")
-    out = df.select("travel_year", weight.alias(WEIGHT), *[F.expr(e).cast("double").alias(c) for e, c in names.items()])
-    return out.dropna(), names
+    out = df.select(*by, "travel_year", weight.alias(WEIGHT), *[F.expr(e).cast("double").alias(c) for e, c in names.items()])
+    return out.dropna(subset=[c for c in out.columns if c not in by]), names
 
 
-def cells(df: DataFrame, model: Model) -> DataFrame:
-    """travel_year, a column for each term (and term of the dispersion, as disp_...), n, total (sum of outcomes), trials: one row for each distinct design row; for the beta-binomial, for each outcome and number of trials as well."""
-    rows, at = designed(df, [model])
-    keys = ["travel_year", *[F.col(at[e]).alias(t) for t, e in model.terms.items()], *[F.col(at[e]).alias(f"disp_{t}") for t, e in model.spread.items()]]
+def cells(df: DataFrame, model: Model, by: list[str] | tuple = ()) -> DataFrame:
+    """``by``, travel_year, a column for each term (and term of the dispersion, as disp_...), n, total (sum of outcomes), trials: one row for each distinct design row; for the beta-binomial, for each outcome and number of trials as well."""
+    rows, at = designed(df, [model], by)
+    keys = [*by, "travel_year", *[F.col(at[e]).alias(t) for t, e in model.terms.items()], *[F.col(at[e]).alias(f"disp_{t}") for t, e in model.spread.items()]]
     y, trials = F.col(at[model.outcome]), F.col(at[model.trials]) if model.trials else F.lit(0.0)
+    if model.family == "truncated":
+        rows = rows.filter(y > 0)
     if model.family == "beta_binomial":
         return rows.groupBy(*keys, y.alias("total"), trials.alias("trials")).agg(F.sum(WEIGHT).alias("n"))
     return rows.groupBy(*keys).agg(F.sum(WEIGHT).alias("n"), F.sum(y * F.col(WEIGHT)).alias("total"), F.sum(trials * F.col(WEIGHT)).alias("trials"))
 
 
-def outcome_counts(df: DataFrame, model: Model, digits: int = 2) -> DataFrame:
-    """disp_... (and travel_year where dispersion has year effects), y, n. Fractional outcomes (expected counts) are rounded to ``digits`` here, which only the dispersion sees."""
-    rows, at = designed(df, [model])
-    keys = [F.col(at[e]).alias(f"disp_{t}") for t, e in model.spread.items()] + (["travel_year"] if model.dispersion == "iid" else [])
+def outcome_counts(df: DataFrame, model: Model, digits: int = 2, by: list[str] | tuple = ()) -> DataFrame:
+    """``by``, disp_... (and travel_year where dispersion has year effects), y, n. Fractional outcomes (expected counts) are rounded to ``digits`` here, which only the dispersion sees."""
+    rows, at = designed(df, [model], by)
+    keys = [*by, *[F.col(at[e]).alias(f"disp_{t}") for t, e in model.spread.items()]] + (["travel_year"] if model.dispersion == "iid" else [])
+    if model.family == "truncated":
+        rows = rows.filter(F.col(at[model.outcome]) > 0)
     return rows.groupBy(*keys, F.round(at[model.outcome], digits).alias("y")).agg(F.sum(WEIGHT).alias("n"))
 
 
@@ -139,10 +146,15 @@ def _slopes(model: Model, eta, la, n, total, trials):
     if model.family == "binomial":
         return total * eta - trials * np.logaddexp(0, eta), total - trials / (1 + np.exp(-eta)), np.zeros_like(eta)
     a = np.exp(la)
-    if model.family == "negative_binomial":
+    if model.family in COUNTED:
         mu = np.exp(np.clip(eta, -30, 30))
         share = a / (a + mu)
-        return (n * a + total) * np.log(share) + total * (eta - la), (total - n * mu) * share, a * (n * (np.log(share) + 1 - share) - total / (a + mu))
+        value, d_eta, d_la = (n * a + total) * np.log(share) + total * (eta - la), (total - n * mu) * share, a * (n * (np.log(share) + 1 - share) - total / (a + mu))
+        if model.family == "truncated":  # less the log of the probability of a count above 0
+            none = np.minimum(a * np.log(share), -1e-12)
+            odds = n * np.exp(none) / -np.expm1(none)
+            value, d_eta, d_la = value - n * np.log(-np.expm1(none)), d_eta - odds * a * (1 - share), d_la + odds * a * (np.log(share) + 1 - share)
+        return value, d_eta, d_la
     p = 1 / (1 + np.exp(-np.clip(eta, -30, 30)))
     one, two, miss = p * a, (1 - p) * a, trials - total
     value = log_gamma(total + one) + log_gamma(miss + two) - log_gamma(trials + a) - log_gamma(one) - log_gamma(two) + log_gamma(a)
@@ -197,32 +209,61 @@ def _design(model: Model, years, year, terms, spread):
     return mean, disp
 
 
-def fitted(df: DataFrame, model: Model, rounds: int = 30, tolerance: float = 1e-3) -> Fit:
-    """The mode of a model and its covariance. A table without rows to fit is an error."""
-    c = cells(df, model).toPandas()  # distinct design rows
+@dataclass(frozen=True)
+class Prior:
+    """Normal priors of a fit. ``intercept`` and each of ``slopes`` are (mean, sd); without an intercept's, it lies around the log mean of the counts. ``year_sd`` is that of year effects; None: it is found from the rows."""
+
+    intercept: tuple[float, float] | None = None
+    slopes: dict[str, tuple[float, float]] = field(default_factory=dict)
+    year_sd: float | None = None
+
+
+#: Distinct rows that a fit reads at most; more are an error, not a longer wait: a continuous covariate has to be binned before.
+MOST_CELLS = 1_000_000
+
+
+def _bounded(df: DataFrame):
+    """The rows in memory, if they are as few as aggregates should be."""
+    out = df.limit(MOST_CELLS + 1).toPandas()
+    if len(out) > MOST_CELLS:
+        raise ValueError(f"more than {MOST_CELLS} distinct rows to fit: bin the covariates or round the outcomes")
+    return out
+
+
+def fitted(df: DataFrame, model: Model, rounds: int = 30, tolerance: float = 1e-3, prior: Prior = Prior()) -> Fit:
+    """The mode of a model and its covariance. A table without rows to fit is an error, as is one with more than MOST_CELLS distinct rows."""
+    c = _bounded(cells(df, model))  # distinct design rows
+    h = _bounded(outcome_counts(df, model)) if model.family in COUNTED else None  # distinct counts
+    return fitted_cells(model, c, h, rounds, tolerance, prior)
+
+
+def fitted_cells(model: Model, c, h=None, rounds: int = 30, tolerance: float = 1e-3, prior: Prior = Prior()) -> Fit:
+    """The mode of a model from its cells and, for counts, its outcome counts (pandas tables, as of ``cells`` and ``outcome_counts``). Needs no Spark, so that many fits can run side by side in tasks."""
     if c.empty:
         raise ValueError("no rows to fit")
     c = c.sort_values(list(c.columns), ignore_index=True)
     years = sorted(int(y) for y in c["travel_year"].unique())
-    n, total, trials = (c[k].to_numpy(float) for k in ("n", "total", "trials"))
+    n, total = (c[k].to_numpy(float) for k in ("n", "total"))
+    trials = c["trials"].to_numpy(float) if "trials" in c else np.zeros(len(c))
     mean, disp = _design(model, years, c["travel_year"], [c[t] for t in model.terms], [c[f"disp_{t}"] for t in model.spread])
-    counted = model.family == "negative_binomial"
+    counted = model.family in COUNTED
     if counted:
-        h = outcome_counts(df, model).toPandas()  # distinct counts
         h_y, h_n = h["y"].to_numpy(float), h["n"].to_numpy(float)
         _, h_disp = _design(model, years, h["travel_year"] if model.dispersion == "iid" else np.zeros(len(h)), [], [h[f"disp_{t}"] for t in model.spread])
     if model.family == "binomial":
         disp = disp[:, :0]
     k, p = mean.shape[1], mean.shape[1] + disp.shape[1]
     centre, sd = np.zeros(p), np.full(p, SLOPE_SD)
-    centre[0], sd[0] = (math.log(max(total.sum(), 0.5) / n.sum()), INTERCEPT_SD) if counted else (0.0, INTERCEPT_SD)
+    centre[0], sd[0] = prior.intercept or ((math.log(max(total.sum(), 0.5) / n.sum()), INTERCEPT_SD) if counted else (0.0, INTERCEPT_SD))
+    for i, t in enumerate(model.terms):
+        centre[1 + i], sd[1 + i] = prior.slopes.get(t, (0.0, SLOPE_SD))
     at_year = slice(1 + len(model.terms), k)
     at_disp_year = slice(k + 1 + len(model.spread), p) if model.dispersion == "iid" and disp.shape[1] else None
     constant = bool(disp.shape[1]) and model.dispersion == "constant"
     if disp.shape[1]:
         centre[k], sd[k] = DISPERSION_MEAN, DISPERSION_SD
         sd[k + 1:k + 1 + len(model.spread)] = DISPERSION_SLOPE_SD
-    scale = {"year": 0.3, "disp": 0.3}
+    scale = {"year": prior.year_sd or 0.3, "disp": 0.3}
 
     def target(theta):
         """(log posterior, gradient, curvature) with the second derivatives by each cell's eta and log dispersion from differences."""
@@ -272,15 +313,19 @@ def fitted(df: DataFrame, model: Model, rounds: int = 30, tolerance: float = 1e-
                     break
         cov = np.linalg.pinv(now[2], hermitian=True)
         was = dict(scale)
-        for name, part in (("year", at_year), ("disp", at_disp_year)):
+        for name, part in (("year", None if prior.year_sd else at_year), ("disp", at_disp_year)):
             if part:
-                s, m = float((theta[part] ** 2 + np.diag(cov)[part]).sum()), part.stop - part.start
-                scale[name] = math.sqrt((-m + math.sqrt(m * m + 4 * s / YEAR_SCALE**2)) / 2) * YEAR_SCALE
+                scale[name] = half_normal_scale(float((theta[part] ** 2 + np.diag(cov)[part]).sum()), part.stop - part.start, YEAR_SCALE)
         if all(abs(scale[x] - was[x]) <= tolerance * was[x] for x in scale):
             break
     return Fit(model, years, theta, (cov + cov.T) / 2, scale["year"], scale["disp"] if at_disp_year else None)
 
 
+def half_normal_scale(squares: float, n: float, scale: float) -> float:
+    """The standard deviation of n effects whose expected squares sum to ``squares``, under a half-normal prior of that scale."""
+    return math.sqrt((-n + math.sqrt(n * n + 4 * squares / scale**2)) / 2) * scale
+
+
 def _solved(curve, grad, damp):
     """A damped Newton step, longest component two; None where the curvature isn't positive."""
     try:
@@ -298,11 +343,21 @@ def log_likelihood(model: Model, eta, la, y, trials):
     """Of single observations, whole (with the terms that no parameter changes)."""
     one = np.ones_like(eta)
     value = _slopes(model, eta, la, one, y * one, trials * one)[0]
-    if model.family == "negative_binomial":
+    if model.family in COUNTED:
         return value + _count_part(la, y, one)[0]
     return value + log_gamma(trials + 1) - log_gamma(y + 1) - log_gamma(trials - y + 1)
 
 
+def likelihoods(fit: Fit, draws: np.ndarray, rows, at: dict[str, str]) -> np.ndarray:
+    """Log likelihoods of the rows (a pandas table of ``designed``'s columns, whose names by expression are ``at``) under each draw: rows x draws."""
+    m = fit.model
+    mean, disp = fit.matrices(rows["travel_year"], [rows[at[x]] for x in m.terms.values()], [rows[at[x]] for x in m.spread.values()])
+    eta = mean @ draws[:, :fit.n_mean].T
+    la = disp @ draws[:, fit.n_mean:].T if fit.has_dispersion else np.zeros_like(eta)
+    trials = rows[at[m.trials]].to_numpy(float)[:, None] if m.trials else np.zeros((len(rows), 1))
+    return log_likelihood(m, eta, la, rows[at[m.outcome]].to_numpy(float)[:, None], trials)
+
+
 def compared(df: DataFrame, fits: list[Fit], draws: int = 200) -> DataFrame:
     """model, rank (from 0), elpd, se, p_eff, elpd_diff, dse (of the difference from the best), n_high (variance above 0.4), n.
 
@@ -323,12 +378,7 @@ def compared(df: DataFrame, fits: list[Fit], draws: int = 200) -> DataFrame:
                 part = b.iloc[lo:lo + 2000]
                 w, e, var = part["n"].to_numpy(float), [], []
                 for f, d in known:
-                    m = f.model
-                    mean, disp = f.matrices(part["travel_year"], [part[at[x]] for x in m.terms.values()], [part[at[x]] for x in m.spread.values()])
-                    eta = mean @ d[:, :f.n_mean].T
-                    la = disp @ d[:, f.n_mean:].T if f.has_dispersion else np.zeros_like(eta)
-                    trials = part[at[m.trials]].to_numpy(float)[:, None] if m.trials else np.zeros((len(part), 1))
-                    ll = log_likelihood(m, eta, la, part[at[m.outcome]].to_numpy(float)[:, None], trials)
+                    ll = likelihoods(f, d, part, at)
                     v, top = ll.var(1, ddof=1), ll.max(1)
                     e.append(top + np.log(np.exp(ll - top[:, None]).mean(1)) - v)
                     var.append(v)

@@ -25,7 +25,7 @@ def test_special_functions():
     assert np.allclose(S.digamma(x), (S.log_gamma(x * (1 + 1e-6)) - S.log_gamma(x * (1 - 1e-6))) / (2e-6 * x), rtol=1e-4)
 
 
-@pytest.mark.parametrize("family", ["negative_binomial", "binomial", "beta_binomial"])
+@pytest.mark.parametrize("family", ["negative_binomial", "truncated", "binomial", "beta_binomial"])
 def test_slopes_are_derivatives(family):
     m = S.Model("m", "y", family=family, trials="t")
     eta, la, n, total, trials = np.array([0.3, -1.2]), np.array([0.4, 1.5]), np.array([3.0, 1.0]), np.array([2.0, 4.0]), np.array([5.0, 6.0])
