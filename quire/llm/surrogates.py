@@ -23,7 +23,8 @@ _TITLES = {
     "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra"],
     "n": ["Dr", "Prof"],
 }
-_TITLE = "(?:" + "|".join(x for ts in _TITLES.values() for t in ts for x in (t, t.upper())) + r")\.?"
+#: Longer ones first: none is taken for the beginning of another.
+_TITLE = "(?:" + "|".join(sorted((x for ts in _TITLES.values() for t in ts for x in (t, t.upper())), key=len, reverse=True)) + r")\.?"
 #: Types in the order in which they are tried at a place of the text (Java's regular expressions).
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}_][\p{L}\p{N}._%+-]*+@[\p{L}\p{N}](?:[\p{L}\p{N}.-]*[\p{L}\p{N}])?\.\p{L}{2,}",
@@ -44,6 +45,8 @@ _SYLLABLES = ["bar", "den", "fal", "gor", "hin", "jol", "kes", "lam", "mor", "ne
 _ENDINGS = {"m": ["ric", "don", "ter", "vin"], "f": ["ina", "ella", "ara", "issa"], "n": ["en", "ay", "el", "ie"], "s": ["berg", "man", "field", "son"]}
 #: Attempts after which a surrogate gets one more syllable, letter, digit or octet: no number of entities fills all spaces.
 GROWS_AFTER = 3
+#: Parts into which copies of one text are dealt where a shuffle brings them together.
+_SALTS = 16
 #: Parts a text by its mentions.
 _MARK = "\u0001"
 
@@ -122,6 +125,10 @@ def _word(kind: Column, word: Column, hexes: Column, more: Column) -> Column:
     lists = F.create_map(*[x for g, e in _ENDINGS.items() for x in (F.lit(g), F.array(*[F.lit(s) for s in e]))])
     ending = F.element_at(lists, F.when(last, F.lit("s")).otherwise(F.substring(kind, 7, 1)))
     latin = F.concat(at(F.lit(1)), at(F.lit(2)), F.when(last, at(F.lit(3))).otherwise(F.lit("")), added, F.element_at(ending, _number(hexes, 9, 1) % 4 + 1))
+    # what stands before hyphens and apostrophes gets syllables of its own, a single letter a letter
+    ahead = F.transform(F.regexp_extract_all(word, F.lit(r"[^'-]*['-]"), F.lit(0)), lambda p, i: F.concat(
+        F.when(F.length(p) < 2, "").when(F.length(p) == 2, F.substring(at(2 * i % 80 + 20), 1, 1)).otherwise(F.concat(at(2 * i % 80 + 20), at(2 * i % 80 + 21))), F.substring(p, -1, 1)))
+    latin = F.concat(F.array_join(ahead, ""), F.when(word.rlike("['-]$"), "").otherwise(latin))
     return F.when(word.rlike(r"^[\p{IsLatin}'-]+$"), latin).otherwise(_fill(_longer(word, more), hexes))
 
 
@@ -155,18 +162,19 @@ def restore(value: Column, kind: Column, found: Column) -> Column:
     cased = F.zip_with(F.split(front, ""), F.split(found, ""), lambda v, s: F.when((v != F.lower(v)) & v.isNotNull(), F.upper(s)).otherwise(s))
     name = F.substring(found, F.lit(3), F.length(found))
     shouted = (value == F.upper(value)) & (value != F.lower(value))
-    titled = F.concat(F.regexp_extract(value, f"^{_TITLE} ", 0), F.when(shouted, F.upper(name)).otherwise(F.initcap(name)))
+    capital = F.array_join(F.transform(F.split(name, "(?<=[-' ])"), F.initcap), "")
+    titled = F.concat(F.regexp_extract(value, f"^{_TITLE} ", 0), F.when(shouted, F.upper(name)).otherwise(capital))
     return F.when(kind.isin("phone", "card", "ssn", "iban"), walked).when(kind == "name", titled).when(kind == "email", F.array_join(cased, "")).otherwise(found)
 
 
 def _replaced(values: Column, tries, key: str) -> Column:
-    """The surrogates of mentions; tries(i, j) is the attempt of the j-th unit of the i-th. Step by step, so that no step computes another's part again."""
+    """The surrogates of mentions; tries(i, j, kind) is the kind and the attempt of the j-th unit of the i-th. Step by step, so that no step computes another's part again."""
     out = F.transform(values, lambda v: F.struct(v.alias("v"), kind_of(v).alias("kind")))
     out = F.transform(out, lambda e: F.struct(e["v"].alias("v"), e["kind"].alias("kind"), normal(e["v"], e["kind"]).alias("norm")))
     out = F.transform(out, lambda e: F.struct(e["v"].alias("v"), e["kind"].alias("kind"), e["norm"].alias("norm"), units(e["kind"], e["norm"]).alias("units")))
 
     def fresh(e, i):
-        new = F.array_join(F.transform(e["units"], lambda x, j: surrogate(x["kind"], x["norm"], tries(i, j), key)), " ")
+        new = F.array_join(F.transform(e["units"], lambda x, j: surrogate(*(lambda kind, attempt: (kind, x["norm"], attempt))(*tries(i, j, x["kind"])), key)), " ")
         return F.struct(e["v"].alias("v"), e["kind"].alias("kind"), F.when(e["kind"] == "name", F.concat(F.substring(e["norm"], 1, 2), new)).otherwise(new).alias("new"))
 
     return F.transform(F.transform(out, fresh), lambda e: restore(e["v"], e["kind"], e["new"]))
@@ -201,7 +209,7 @@ def attempts(entities: DataFrame, key: str) -> DataFrame:
         side = F.broadcast(tried) if n is not None and fits(n, 200) else tried
         bad = taken.join(side, ["kind", "sur"]).select("kind", "norm").unionByName(tried.join(first, ["kind", "sur"]).filter("norm <> first").select("kind", "norm"))
         bad = written(bad.distinct())
-        kept = tried.join(bad, ["kind", "norm"], "left_anti")
+        kept = written(tried.join(bad, ["kind", "norm"], "left_anti"))
         settled = kept.select("kind", "sur") if settled is None else settled.unionByName(kept.select("kind", "sur"))
         if attempt:
             now = kept.select("kind", "norm", F.lit(attempt).alias("attempt"))
@@ -224,21 +232,38 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text") -> DataF
     rows = written(rows.withColumns({"_h": F.when(F.col("_parts").isNotNull(), F.md5(body)), text_col: F.when(F.col("_parts").isNull(), F.col(text_col))}))
     found = rows.filter("_parts is not null")
     each = found.select(F.explode(_mentions(F.col("_parts"))).alias("v")).distinct().withColumn("kind", kind_of(F.col("v")))
-    each = written(each.select("v", F.posexplode(units(F.col("kind"), normal(F.col("v"), F.col("kind")))).alias("j", "unit")).select("v", "j", "unit.kind", "unit.norm"))
+    each = written(each.select("v", F.posexplode(units(F.col("kind"), normal(F.col("v"), F.col("kind")))).alias("j", "unit")).select("v", "j", "unit.kind", "unit.norm", F.col("unit.kind").alias("own")))
+    each = _with_genders(each)
     exceptions = attempts(each.select("kind", "norm").distinct(), key)
-    tries = lambda i, j: F.lit(0)
-    if not exceptions.isEmpty():
-        # Mentions with a unit that moved; only texts that hold one are joined, repeated texts once.
-        odd = each.join(exceptions, ["kind", "norm"]).select("v", "j", "attempt")
+    # Mentions with a unit that moved, or whose gender others tell; only texts that hold one are joined, repeated texts once.
+    odd = written(each.join(exceptions, ["kind", "norm"], "left").filter("attempt IS NOT NULL OR kind <> own").select("v", "j", F.struct("kind", F.coalesce("attempt", F.lit(0)).alias("attempt")).alias("as")))
+    tries = lambda i, j, kind: (kind, F.lit(0))
+    if not odd.isEmpty():
         held = found.select("_h", F.posexplode(_mentions(F.col("_parts"))).alias("at", "v")).distinct()
-        hit = held.join(odd, "v").groupBy("_h").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("at", "j"), "attempt"))).alias("_tries"))  # a text's own mentions
-        rows = rows.join(hit, "_h", "left")
-        tries = lambda i, j: F.coalesce(F.element_at("_tries", F.struct(i.alias("at"), j.alias("j"))), F.lit(0))
+        hit = held.join(odd, "v").groupBy("_h").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("at", "j"), "as"))).alias("_tries"))  # a text's own mentions
+        # Dealt by text and salt, so that a text's copies aren't one task's.
+        hit = written(hit).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+        found = found.withColumn("_salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(_SALTS)).cast("int")).join(hit, ["_h", "_salt"], "left")
+
+        def tries(i, j, kind):
+            moved = F.element_at("_tries", F.struct(i.alias("at"), j.alias("j")))
+            return F.coalesce(moved["kind"], kind), F.coalesce(moved["attempt"], F.lit(0))
+
     parts = F.col("_parts")
-    rows = rows.withColumn("_new", _replaced(_mentions(parts), tries, key))
+    found = found.withColumn("_new", _replaced(_mentions(parts), tries, key))
     text = F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.element_at("_new", ((i + 1) / 2).cast("int"))).otherwise(p)), "")
-    out = rows.withColumns({text_col: F.when(parts.isNull(), F.col(text_col)).otherwise(text), "n_entities": F.coalesce((F.size(parts) - 1) / 2, F.lit(0)).cast("long")})
-    return out.select(*base.columns, "n_entities").toDF(*names, "n_entities")
+    out = found.withColumns({text_col: text, "n_entities": ((F.size(parts) - 1) / 2).cast("long")}).select(*base.columns, "n_entities")
+    plain = rows.filter("_parts is null").select(*base.columns, F.lit(0).cast("long").alias("n_entities"))
+    return out.unionByName(plain).toDF(*names, "n_entities")
+
+
+def _with_genders(each: DataFrame) -> DataFrame:
+    """Units of mentions (v, j, kind, norm, own), given names after titles without gender as of the one gender that the corpus has them with, if it is one: Dr Anna Weber is Frau Anna Weber."""
+    given = each.filter("kind IN ('given_f', 'given_m')").groupBy("norm").agg(F.min("kind").alias("is"), F.max("kind").alias("other")).filter("`is` = other").select("norm", "is")
+    told = written(each.filter("kind = 'given_n'").join(given, "norm").select("v", "j", "is"))
+    if told.isEmpty():
+        return each
+    return written(each.join(told, ["v", "j"], "left").withColumn("kind", F.coalesce("is", "kind")).drop("is"))
 
 
 #: The query's key. A caller passes one of its own and keeps it secret.

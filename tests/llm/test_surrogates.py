@@ -118,3 +118,51 @@ def test_against_a_plain_search(spark, docs_of, odd_rows):
         for p, g in zip(parts[1::2], m.groups()):
             assert seen.setdefault(p, g) == g != p
     assert len(seen) == len(known) == len(set(seen.values()))
+
+
+def test_every_title_gives_its_gender(spark, docs_of):
+    titles = [(t + dot, g) for g, ts in S._TITLES.items() for x in ts for t in (x, x.upper()) for dot in ("", ".")]
+    rows = [(i, f"so {t} Anna{chr(97 + i % 26)}{chr(97 + i // 26)} Weber came") for i, (t, _) in enumerate(titles)]
+    got = {r["doc_id"]: r["text"] for r in S.replace_entities(docs_of(spark, rows), "k").collect()}
+    surnames = set()
+    for i, (t, g) in enumerate(titles):
+        given, surname = re.fullmatch(f"so {re.escape(t)} (\\w+) (\\w+) came", got[i]).groups()
+        assert given.endswith(tuple(S._ENDINGS[g])), (t, got[i])
+        surnames.add(surname)
+    assert len(surnames) == 1
+
+
+def test_a_title_without_gender_doesnt_change_a_name(spark, docs_of):
+    rows = [(1, "Frau Anna Weber"), (2, "Dr Anna Weber"), (3, "Prof. Anna Maier"), (4, "Dr Kim Weber"), (5, "Mr Kim Maier"), (6, "Mrs Kim Maier"), (7, "Dr Lou Maier")]
+    got = {r["doc_id"]: r["text"].split()[1:] for r in S.replace_entities(docs_of(spark, rows), "k").collect()}
+    assert got[1] == got[2] and got[3][0] == got[1][0] and got[4][1] == got[1][1]
+    assert got[4][0].endswith(tuple(S._ENDINGS["n"])) and got[5][0].endswith(tuple(S._ENDINGS["m"])) and got[6][0].endswith(tuple(S._ENDINGS["f"])) and got[7][0].endswith(tuple(S._ENDINGS["n"]))
+
+
+def test_hyphens_and_apostrophes_stay(spark, docs_of):
+    got = one(spark, docs_of, "Mrs Mary-Jane Watson-Parker, MR O'NEIL, Mr O'Neil and Mr Parker")["text"]
+    assert re.fullmatch(r"Mrs [A-Z][a-z]+-[A-Z][a-z]+(?:ina|ella|ara|issa) [A-Z][a-z]+-[A-Z][a-z]+, MR [A-Z]'[A-Z]+, Mr [A-Z]'[A-Z][a-z]+ and Mr [A-Z][a-z]+", got), got
+    assert got.split(", ")[1][3:].lower() == got.split(", ")[2].split(" and ")[0][3:].lower()
+
+
+def test_no_task_holds_the_texts_without_entities_or_all_copies(spark, docs_of, monkeypatch):
+    """With broadcasts off, and an entity that moved in a text with many copies."""
+    from pyspark.sql import functions as F
+
+    real = S.surrogate
+    monkeypatch.setattr(S, "surrogate", lambda kind, norm, attempt, key: F.when((attempt == 0) & norm.startswith("x"), F.lit("y@b.com")).otherwise(real(kind, norm, attempt, key)))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = [(i, "no entity" if i % 3 else "copied xa@b.com") for i in range(3000)] + [(5000, "xb@b.com"), (5001, "xa@b.com")]
+        out = S.replace_entities(docs_of(spark, rows).repartition(8), "k")
+        per = [r["n"] for r in out.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+        assert sum(per) == 3002 and max(per) < 900
+        texts = {r["text"] for r in out.collect()}
+        assert len(texts) == 4 and not any("xa@" in t or "xb@" in t for t in texts)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
