@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.queries import composition, curation, evaluation, reports, segmentation, sizes, small  # noqa: F401  they register their queries
+from quire.queries import composition, curation, evaluation, learning, reports, segmentation, sizes, small  # noqa: F401  they register their queries
 from quire.queries.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

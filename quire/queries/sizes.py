@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.functions import scalars
+from quire.functions.hashing import uniform
 from quire.operators import imputation as I
+from quire.operators import loo as L
 from quire.operators import size_models as S
+from quire.operators import type_models as T
 from quire.operators.graph import saved
 from quire.queries.registry import query, rounded
 from quire.sources import fixture_sql as Q
@@ -105,3 +108,157 @@ def size_yearly_curve(spark, d):
     rows = distinct(dossiers(spark, d))
     fit = S.fitted(rows, S.over_time("num_docs", SPLIT)[3])
     return rounded(S.yearly_curve(spark, fit, BORDER, {"num_adults": 2, "num_minors": 1}), 6)
+
+
+# -- leave-one-out ----------------------------------------------------------------------------------------------------
+
+_GRID = ["A", "A_era", "B", "C", "B3", "C3"]
+
+
+def _points(spark, d, names=None, by=None):
+    """Leave-one-out terms of every distinct dossier under the models, written down once."""
+    rows = dossiers(spark, d).withColumn("period", F.when(F.col("era") == 1, "post").otherwise("pre"))
+    columns = ["era", "year_c", "num_persons", "num_adults", "num_minors", "minor_lt16", "preadult_16_17", "adult_18plus", "num_docs", *(by or [])]
+    rows = saved(S.reduced(rows, columns))
+    models = [m for m in [*S.by_persons(), *S.by_age_groups()] if m.name in (names or _GRID)]
+    return saved(L.pointwise(rows, [S.fitted(rows, m) for m in models], 500, by)), [m.name for m in models]
+
+
+@query("size_models_loo")
+def size_models_loo(spark, d):
+    """The grid of models by leave-one-out scores, with Pareto k counts and stacking weights."""
+    points, names = _points(spark, d)
+    weights = spark.createDataFrame(L.stacking_weights(points, names), "model string, weight double")
+    return rounded(L.loo_compared(points, names).join(weights, "model"), 6)
+
+
+@query("size_models_loo_pair")
+def size_models_loo_pair(spark, d):
+    """B3 against C3 directly, by period."""
+    points, names = _points(spark, d, ["B3", "C3"], ["period"])
+    return rounded(L.loo_compared(points, names, ["period"]), 6)
+
+
+@query("pareto_k_rows", f"WITH {_DOSSIERS} SELECT travel_year, num_persons, num_docs, n, TRUE AS known FROM (SELECT travel_year, num_docs::DOUBLE AS num_docs, num_persons::DOUBLE AS num_persons, count(*) AS n FROM (SELECT *, num_adults + num_minors AS num_persons FROM ds) GROUP BY ALL)")
+def pareto_k_rows(spark, d):
+    """A leave-one-out term for every distinct dossier, and how many it stands for."""
+    rows = dossiers(spark, d)
+    fit = S.fitted(rows, S.by_persons()[0])
+    points = L.pointwise(rows.withColumns({"persons": F.col("num_persons").cast("double"), "docs": F.col("num_docs").cast("double"), "year": F.col("travel_year")}), [fit], 200, ["year", "persons", "docs"])
+    return points.select(F.col("year").alias("travel_year"), F.col("persons").alias("num_persons"), F.col("docs").alias("num_docs"), F.col("_rows").alias("n"), (F.col("elpd")[0] < 0).alias("known"))
+
+
+@query("size_models_folds")
+def size_models_folds(spark, d):
+    """A and B by ten folds of dossiers."""
+    return rounded(L.k_folds(dossiers(spark, d), [m for m in S.by_persons() if m.name in "AB"], ["dossier"]), 6)
+
+
+# -- types ------------------------------------------------------------------------------------------------------------
+
+KINDS = 11
+
+
+def line_types(spark, d):
+    """dossier, type, n: lines of an order by the kind of their part."""
+    x = X.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("dossier"), F.format_string("t%02d", F.pmod("l_partkey", F.lit(KINDS))).alias("type"))
+    return x.groupBy("dossier", "type").agg(F.count(F.lit(1)).alias("n"))
+
+
+_LINE_TYPES = f"lt AS (SELECT l_orderkey AS dossier, format('t{{:02d}}', l_partkey % {KINDS}) AS type, count(*) AS n FROM lineitem GROUP BY 1, 2)"
+_DENSE = f"{_DOSSIERS}, {_LINE_TYPES}, tk AS (SELECT DISTINCT type FROM lt), dense AS (SELECT ds.*, tk.type, coalesce(lt.n, 0)::DOUBLE AS y FROM ds CROSS JOIN tk LEFT JOIN lt ON lt.dossier = ds.dossier AND lt.type = tk.type)"
+
+
+def periods(meta):
+    """A row for each dossier and period that it belongs to."""
+    return meta.withColumn("period", F.explode(F.array(F.lit("full"), F.when(F.col("era") == 1, "post").otherwise("pre"))))
+
+
+@query("type_design_cells", f"""WITH {_DENSE} SELECT type, travel_year, num_adults::DOUBLE AS adult, num_minors::DOUBLE AS minor, count(*) AS n, sum(y) AS total, NULL::DOUBLE AS y FROM dense GROUP BY ALL
+  UNION ALL SELECT type, NULL, NULL, NULL, count(*), NULL, y FROM dense GROUP BY type, y""")
+def type_design_cells(spark, d):
+    """What all types' fits read, zeros among it, from the counts that there are."""
+    return T.type_cells(dossiers(spark, d), line_types(spark, d), T.two_groups())
+
+
+@query("type_presence_cells", f"WITH {_DENSE} SELECT type, travel_year, num_adults::DOUBLE AS adult, num_minors::DOUBLE AS minor, count(*) AS n, sum((y > 0)::INT)::DOUBLE AS total FROM dense GROUP BY ALL")
+def type_presence_cells(spark, d):
+    return T.type_cells(dossiers(spark, d), line_types(spark, d), T.two_groups(), part="binomial").drop("y")
+
+
+@query("type_effects")
+def type_effects(spark, d):
+    """Effects of adults and minors on each type's counts, pooled over types."""
+    terms = T.two_groups()
+    fits = T.fit_types(T.type_cells(dossiers(spark, d), line_types(spark, d), terms), terms)
+    return rounded(T.type_effects(T.type_draws(fits, terms, ["type"]), terms, ["type"]), 6)
+
+
+@query("type_effects_by_period")
+def type_effects_by_period(spark, d):
+    """Effects of three age groups, of all years and before and from the border."""
+    terms = T.three_groups()
+    cells = T.type_cells(periods(dossiers(spark, d)), line_types(spark, d), terms, within=["period"])
+    fits = T.fit_types(cells, terms, within=["period"])
+    return rounded(T.type_effects(T.type_draws(fits, terms, ["period", "type"]), terms, ["period", "type"]), 6)
+
+
+@query("type_count_or_presence")
+def type_count_or_presence(spark, d):
+    """Whether the number of those of 16 and 17 or their presence predicts each type better."""
+    meta, counts, out = dossiers(spark, d), saved(line_types(spark, d)), None
+    for spec, terms in (("count", T.three_groups()), ("presence", T.preadult_presence())):
+        fits = T.fit_types(T.type_cells(meta, counts, terms), terms)
+        scored = T.type_scores(meta, counts, fits, terms).withColumn("spec", F.lit(spec))
+        out = scored if out is None else out.unionByName(scored)
+    return rounded(T.preferred(saved(out)), 6)
+
+
+@query("type_hurdle")
+def type_hurdle(spark, d):
+    """Slopes of whether a dossier has a document of a type, and of how many if so."""
+    meta, counts, terms, out = dossiers(spark, d), saved(line_types(spark, d)), T.two_groups(), None
+    for part in T.HURDLE:
+        fits = T.fit_types(T.type_cells(meta, counts, terms, part=part), terms, part=part)
+        found = T.slopes(fits, terms, ["type"]).withColumn("part", F.lit(part))
+        out = found if out is None else out.unionByName(found)
+    return rounded(out, 6)
+
+
+DRAWS = 20
+
+
+def imputed_line_types(spark, d, draws=DRAWS):
+    """draw, dossier, type, n: in each draw, every tenth line or so is of another kind than it says."""
+    x = X.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("dossier"), "l_partkey", "l_suppkey", "l_linenumber", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    key = ["draw", "dossier", "l_partkey", "l_suppkey", "l_linenumber"]
+    flip, to = uniform(F.lit("flip"), *key), F.floor(uniform(F.lit("to"), *key) * KINDS)
+    kind = F.when(flip < 0.1, to).otherwise(F.pmod("l_partkey", F.lit(KINDS)))
+    return I.draw_counts(x.select("draw", "dossier", F.format_string("t%02d", kind.cast("long")).alias("type")))
+
+
+@query("imputed_line_types", f"""WITH x AS (SELECT l_orderkey AS dossier, l_partkey, l_suppkey, l_linenumber, draw FROM lineitem, range({DRAWS}) r(draw)),
+  k AS (SELECT draw, dossier, CASE WHEN {Q.u("'flip'", 'draw', 'dossier', 'l_partkey', 'l_suppkey', 'l_linenumber')} < 0.1 THEN floor({Q.u("'to'", 'draw', 'dossier', 'l_partkey', 'l_suppkey', 'l_linenumber')} * {KINDS})::BIGINT ELSE l_partkey % {KINDS} END AS kind FROM x)
+  SELECT draw::INT AS draw, dossier, format('t{{:02d}}', kind) AS type, count(*) AS n FROM k GROUP BY ALL""")
+def imputed_line_type_counts(spark, d):
+    return imputed_line_types(spark, d)
+
+
+@query("imputed_type_effects")
+def imputed_type_effects(spark, d):
+    """Slopes of all types in both periods, fitted in every draw and pooled over draws."""
+    terms = T.two_groups()
+    cells = T.type_cells(periods(dossiers(spark, d)).filter("period <> 'full'"), imputed_line_types(spark, d), terms, ["draw"], ["period"])
+    fits = T.fit_types(cells, terms, ["draw"], ["period"], rounds=6, tolerance=0.05)
+    return rounded(T.pooled_over_draws(T.slopes(fits, terms, ["draw", "period", "type"]), ["period", "type", "term"]), 6)
+
+
+@query("corrected_type_effects")
+def corrected_type_effects(spark, d):
+    """The same from expected counts: each line counts for every kind with its probability."""
+    x = line_types(spark, d).select("dossier", "type", F.col("n").cast("double").alias("expected"))
+    total = x.groupBy("dossier").agg(F.sum("expected").alias("all"))
+    spread = x.join(total, "dossier").select("dossier", "type", (0.9 * F.col("expected") + 0.1 / KINDS * F.col("all")).alias("expected"))
+    terms = T.two_groups()
+    fits = T.fit_types(T.type_cells(dossiers(spark, d), T.expected_as_counts(spread), terms), terms)
+    return rounded(T.slopes(fits, terms, ["type"]), 6)
