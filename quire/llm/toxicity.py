@@ -1,19 +1,18 @@
 """Toxicity (9): compression distance between a toxic and an ordinary zstandard dictionary.
 
-Both dictionaries are trained by zstandard on labelled rows. The ordinary one learns windows of ordinary text. Toxic text consists for the
-most part of ordinary words, which would crowd a dictionary of it; so it is trained in rounds: a window of toxic text counts where toxic
-text of other rows compresses it better than ordinary text does, by the word to which that saving is due, and the toxic dictionary
-learns those words. Ordinary windows that it compresses better by chance train a second part of the ordinary one (README has figures of plain training).
-
-To score, a text is cut into short windows, and each is compressed with the ordinary dictionary and with the toxic one before it; the bytes
-that the latter saves, beyond a few, are added up: over the whole text, divided by its windows, and over its worst stretch of windows, so that
-a passage counts however long the text around it is. Both have a threshold, calibrated on all training rows: each fold is measured by
-dictionaries of the other folds.
+Both dictionaries are trained by zstandard on labelled rows. The ordinary one learns windows of ordinary text. Toxic text consists for the most part of
+ordinary words, which would crowd a dictionary of it; so what ordinary text explains is left out of its samples before: pieces of words stay whose bytes occur clearly more often
+in toxic than in ordinary text (README has figures of plain training).
+
+To score, a text is cut into windows of a word, and each is compressed with the ordinary dictionary and with the toxic one behind it; the bytes that the latter saves, beyond
+one, are added up: over the whole text, divided by its windows, and over its worst stretch of windows, so that a passage counts however long the text around it is. A window
+is compressed between an opening and a closing that both dictionaries hold: without them zstandard stores short windows as they are, and finds no match in their last eight bytes.
+Both sums have a threshold, calibrated on all training rows: each fold is measured by dictionaries of the other folds.
 """
 
 from __future__ import annotations
 
-import re
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -22,21 +21,28 @@ from pyspark.sql import types as T
 
 from quire.llm.common import guarded, in_parts, table, text_batches, whole_text, worker_cache
 
-#: Bytes of a window at most, to score and to train with.
+#: Bytes of a window at most (longer words are cut), and of one that the ordinary dictionary learns.
 WINDOW, TRAINING_WINDOW = 48, 32
-#: Bytes that a window has to save to count, in scoring, in the first and in later rounds, and as an ordinary one; windows by which short texts are damped.
-LEAST_SAVING, FIRST_SAVING, LATER_SAVING, CHANCE_SAVING, DAMPING = 2, 4, 3, 2, 8
+#: Bytes that a window has to save to count; windows by which short texts are damped.
+LEAST_SAVING, DAMPING = 2, 30
 #: Windows of a stretch, and ordinary texts around a row for its calibration.
-STRETCH, AROUND = 16, 10
-#: Bytes of the dictionaries: small ones, as a far match costs more bits.
-ORDINARY_BYTES, CHANCE_BYTES, TOXIC_BYTES = 8192, 4096, 2048
-ROUNDS, LEVEL = 3, 6
+STRETCH, AROUND = 100, 10
+#: Bytes of the dictionaries: small ones, as a far match costs more bits; of several sizes of the toxic one the best is taken, by so many toxic texts at most.
+ORDINARY_BYTES, CHANCE_BYTES, TOXIC_BYTES, MAX_TRIED = 4096, 1024, (768, 1024, 1536), 400
+#: Segments and matches of the toxic one's training.
+SEGMENT, SHARED = 16, 8
+LEVEL = 6
+#: Bytes of a piece's parts that are counted; occurrences, deviations from what ordinary text lets expect, and times that, from which on a part stays.
+PART, LEAST_SEEN, LEAST_DEVIATION, LEAST_RATIO = 6, 5, 5.0, 2.5
+#: Behind the toxic dictionary: the last bytes of a dictionary are never matched.
+_END = b" \x00\x01\x02\x03\x04\x05\x06\x07"
 #: Labelled rows used at most, by class: the least by a hash of the id.
 MAX_TOXIC, MAX_ORDINARY = 1000, 2000
 FOLDS = 4
 #: What an ordinary text flagged costs, as missed toxic ones (both as shares of their class).
-FALSE_ALARM = 1.5
-_WORD, _UNIT = re.compile(rb"[a-z\x80-\xff]+"), re.compile(rb"\s*\S+")
+FALSE_ALARM = 2.0
+#: Distinct words whose savings a worker remembers.
+_MOST_KNOWN = 400_000
 
 
 def cut_windows(data: bytes, size: int = WINDOW) -> list[bytes]:
@@ -51,6 +57,14 @@ def cut_windows(data: bytes, size: int = WINDOW) -> list[bytes]:
     return out
 
 
+def word_windows(data: bytes) -> list[bytes]:
+    """The words of the text, longer ones in windows of WINDOW bytes."""
+    words = data.split()
+    if any(len(w) > WINDOW for w in words):
+        return [w[i : i + WINDOW] for w in words for i in range(0, len(w), WINDOW)]
+    return words
+
+
 def _prepared(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass").lower()  # A-Z only
 
@@ -60,7 +74,7 @@ def _distinct(texts: list[bytes]) -> list[bytes]:
     seen: set[int] = set()
     out = []
     for t in texts:
-        w = _WORD.findall(t)
+        w = t.split()
         own = {hash(tuple(w[k : k + 5])) for k in range(max(1, len(w) - 4))}
         if len(own & seen) <= 0.3 * len(own):
             seen |= own
@@ -76,17 +90,6 @@ def _compressor(content: bytes):
     return zstandard.ZstdCompressor(dict_data=d, level=LEVEL, write_content_size=False, write_dict_id=False)
 
 
-def _savings(windows: list[bytes], plain, marked):
-    """By how many bytes ``marked`` compresses each window shorter than ``plain``."""
-    import numpy as np
-
-    def lengths(c, part):
-        return np.fromiter(map(len, c.multi_compress_to_buffer(part)), np.int64, len(part))
-
-    parts = [windows[a : a + 65536] for a in range(0, len(windows), 65536)]
-    return np.concatenate([np.zeros(0, np.int64), *(lengths(plain, p) - lengths(marked, p) for p in parts)])
-
-
 def trained(size: int, samples: list[bytes], segment: int = 16, shared: int = 8) -> bytes:
     """A dictionary trained by zstandard; of too few samples, which it refuses, their distinct ones as they are."""
     import zstandard
@@ -98,52 +101,114 @@ def trained(size: int, samples: list[bytes], segment: int = 16, shared: int = 8)
         return b"".join(dict.fromkeys(samples))[-size:]
 
 
-def _due(texts: list[list[bytes]], plain, marked, least: int) -> list[bytes]:
-    """For each text, the words to which savings of at least ``least`` bytes in its windows are due: those without which least is saved."""
-    import numpy as np
+def _seen(texts: list[bytes]) -> Counter:
+    """In how many texts each word occurs, a space before and behind it."""
+    out: Counter = Counter()
+    for t in texts:
+        out.update(set(t.split()))
+    return Counter({b" " + w[:WINDOW] + b" ": n for w, n in out.items()})
+
+
+def _parts(word: bytes):
+    return (word[i : i + PART] for i in range(len(word) - PART + 1))
 
-    windows = [w for t in texts for w in t]
-    text_of = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-    at = np.flatnonzero(_savings(windows, plain, marked) >= least)
-    without, word, place = [], [], []
-    for i in at:
-        units = _UNIT.findall(windows[i])
-        for j, u in enumerate(units):
-            without.append(b"".join(units[:j] + units[j + 1 :]))
-            word.append(u)
-            place.append(i)
-    found: dict[int, dict[bytes, None]] = {}
-    least_of: dict[int, tuple[int, bytes]] = {}
-    for i, u, left in zip(place, word, _savings(without, plain, marked)):
-        if i not in least_of or left < least_of[i][0]:
-            least_of[i] = (int(left), u)
-    for i, (_, u) in least_of.items():
-        found.setdefault(int(text_of[i]), {})[u] = None
-    return [b"".join(words) for words in found.values()]
+
+def unexplained(toxic: list[bytes], ordinary: list[bytes]) -> set[bytes]:
+    """Parts of words that toxic texts hold clearly more often than ordinary ones let expect."""
+    found: Counter = Counter()
+    for w, n in _seen(toxic).items():
+        for p in _parts(w):
+            found[p] += n
+    usual = dict.fromkeys(found, 0)
+    for w, n in _seen(ordinary).items():
+        for p in _parts(w):
+            if p in usual:
+                usual[p] += n
+    share = len(toxic) / max(len(ordinary), 1)
+    expected = {p: (n + 1) * share for p, n in usual.items()}
+    return {p for p, n in found.items() if n >= LEAST_SEEN and n > LEAST_RATIO * expected[p] and n - expected[p] > LEAST_DEVIATION * expected[p] ** 0.5}
+
+
+def left_of(text: bytes, parts: set[bytes]) -> bytes:
+    """The pieces of a text's words that these parts cover, one after the other."""
+    out = []
+    for word in text.split():
+        w = b" " + word[:WINDOW] + b" "
+        begun, end = -1, 0
+        for i, p in enumerate(_parts(w)):
+            if p in parts:
+                if begun < 0 or i > end:
+                    if begun >= 0:
+                        out.append(w[begun:end])
+                    begun = i
+                end = i + PART
+        if begun >= 0:
+            out.append(w[begun:end])
+    return b"".join(out)
+
+
+def mistaken(ordinary: bytes, toxic: bytes, texts: list[bytes], parts: set[bytes]) -> bytes:
+    """A dictionary of ordinary words that the toxic one compresses better by chance: words with nothing that sets toxic text apart."""
+    gains, out = _Gains(ordinary, toxic), []
+    for t in texts:
+        words = word_windows(t)
+        some = [w for w, n in zip(words, gains.of(words).tolist()) if n and not any(p in parts for p in _parts(b" " + w + b" "))]
+        if some:
+            out.append(b" " + b" ".join(some) + b" ")
+    return trained(CHANCE_BYTES, out, SEGMENT, SHARED) if out else b""
 
 
 def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes] | None:
-    """The ordinary and the toxic dictionary, or None if nothing marks toxic text."""
+    """The ordinary and the toxic dictionary, or None if nothing marks toxic text.
+
+    Of several sizes of the toxic one, with and without a second part of the ordinary one that learns words mistaken for toxic ones, that pair which tells these texts apart best.
+    """
     toxic, ordinary = _distinct(toxic), _distinct(ordinary)
-    windows = [cut_windows(t, TRAINING_WINDOW) for t in ordinary]
-    halves = [toxic[0::2], toxic[1::2]]
-    cut = [[cut_windows(t, TRAINING_WINDOW) for t in half] for half in halves]
-    general = trained(ORDINARY_BYTES, [w for t in windows for w in t], shared=6)
-    whole = b" ".join(ordinary)
-    plain = _compressor(whole)
-    marks = [_due(cut[h], plain, _compressor(whole + b" " + b" ".join(halves[1 - h])), FIRST_SAVING) for h in (0, 1)]
-    chance = b""  # next to the toxic one, so that what both hold lies as near in either
-    for n in range(ROUNDS):
-        if not any(marks):
-            return None
-        marked = trained(TOXIC_BYTES, marks[0] + marks[1])
-        mistaken = _due(windows, _compressor(general + chance), _compressor(general + chance + marked), CHANCE_SAVING)
-        chance = trained(CHANCE_BYTES, mistaken, shared=6) if mistaken else b""
-        if n < ROUNDS - 1:
-            plain = _compressor(general + chance)
-            other = [_compressor(general + chance + trained(TOXIC_BYTES, m)) for m in marks]
-            marks = [_due(cut[h], plain, other[1 - h], LATER_SAVING) for h in (0, 1)]
-    return general + chance, marked
+    general = trained(ORDINARY_BYTES, [w for t in ordinary for w in cut_windows(t, TRAINING_WINDOW)], shared=6)
+    parts = unexplained(toxic, ordinary)
+    left = [s for s in (left_of(t, parts) for t in toxic) if s]
+    if not left or not general:
+        return None
+    best = None
+    for size in TOXIC_BYTES:
+        marked = trained(size, left, SEGMENT, SHARED) + _END
+        for plain in dict.fromkeys([general, general + mistaken(general, marked, ordinary, parts)]):
+            told = _told_apart(plain, marked, toxic[:MAX_TRIED], ordinary[: 2 * MAX_TRIED])
+            if best is None or told > best[0]:
+                best = told, plain, marked
+    return best[1:]
+
+
+def _told_apart(ordinary: bytes, toxic: bytes, bad: list[bytes], good: list[bytes]) -> float:
+    """The largest share of bad texts found, less what good ones flagged cost, by the mean saving."""
+    import numpy as np
+
+    of = Model(ordinary, toxic).measure()
+    x, y = np.array([of(t)[0] for t in bad + good]), np.arange(len(bad) + len(good)) < len(bad)
+    cut = _cut(x, y)
+    return float((x[y] > cut).mean() - FALSE_ALARM * (x[~y] > cut).mean()) if len(good) else 1.0
+
+
+class _Gains:
+    """By how many bytes, beyond LEAST_SAVING - 1, the toxic dictionary compresses words shorter; what has been compressed is remembered for a while."""
+
+    def __init__(self, ordinary: bytes, toxic: bytes):
+        self.plain, self.marked = _compressor(ordinary), _compressor(ordinary + toxic)
+        half = len(ordinary) // 2
+        self.opening, self.closing = ordinary[half : half + 32] + b" ", b" " + ordinary[half // 2 : half // 2 + 16]
+        self.known: dict[bytes, int] = {}
+
+    def of(self, words: list[bytes]):
+        import numpy as np
+
+        if len(self.known) > _MOST_KNOWN:
+            self.known.clear()
+        new = [w for w in dict.fromkeys(words) if w not in self.known]
+        if new:
+            framed = [self.opening + w + self.closing for w in new]
+            sizes = [np.fromiter(map(len, c.multi_compress_to_buffer(framed)), np.int64, len(new)) for c in (self.plain, self.marked)]
+            self.known.update(zip(new, np.maximum(sizes[0] - sizes[1] - LEAST_SAVING + 1, 0).tolist()))
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
 
 @dataclass(frozen=True)
@@ -159,13 +224,13 @@ class Model:
         """A function from a text to its saving per window, of the whole and of the worst stretch."""
         import numpy as np
 
-        plain, marked = _compressor(self.ordinary), _compressor(self.ordinary + self.toxic)
+        gains = _Gains(self.ordinary, self.toxic)
 
-        def of(text: str) -> tuple[float, float]:
-            windows = cut_windows(_prepared(text))
+        def of(text: str | bytes) -> tuple[float, float]:
+            windows = word_windows(text if isinstance(text, bytes) else _prepared(text))
             saved, worst, before = 0, 0, np.zeros(0, np.int64)
             for a in range(0, len(windows), 65536):
-                gain = np.maximum(_savings(windows[a : a + 65536], plain, marked) - LEAST_SAVING + 1, 0)
+                gain = gains.of(windows[a : a + 65536])
                 saved += int(gain.sum())
                 sums = np.concatenate([[0], np.cumsum(np.concatenate([before, gain]))])  # with the end of the part before
                 worst = max(worst, int((sums[STRETCH:] - sums[:-STRETCH]).max() if len(sums) > STRETCH else sums[-1]))

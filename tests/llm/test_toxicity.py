@@ -59,6 +59,10 @@ def test_filter_keeps_columns(spark, docs_of):
     assert sum(truth[i] for i in kept) < 0.25 * sum(truth.values()) and sum(not truth[i] for i in kept) > 0.95 * sum(not v for v in truth.values())
 
 
+def test_word_windows():
+    assert X.word_windows(b" ab  cd\n" + b"x" * 100) == [b"ab", b"cd", b"x" * 48, b"x" * 48, b"xxxx"] and X.word_windows(b"") == []
+
+
 @pytest.mark.parametrize("data", [b"", b"abc", b"a" * 100, b"ab cd " * 30, b" " * 50])
 def test_windows_hold_every_byte(data):
     w = X.cut_windows(data)
@@ -77,8 +81,8 @@ def test_both_dictionaries_are_trained(monkeypatch):
     monkeypatch.setattr(zstandard, "train_dictionary", lambda *a, **k: made.append(real(*a, **k)) or made[-1])
     plain, marked = X.dictionaries([text(" kvexnit zworgle") for _ in range(60)], [text("") for _ in range(200)])
     trained = [d.as_bytes() for d in made]
-    assert marked in trained and any(plain.startswith(d) for d in trained)
-    assert len(marked) <= X.TOXIC_BYTES and b"kvexnit" in marked and b"zworgle" in marked and b"kvexnit" not in plain
+    assert marked.removesuffix(X._END) in trained and any(plain.startswith(d) for d in trained)
+    assert len(marked) <= X.TOXIC_BYTES[-1] + len(X._END) and b"kvexnit" in marked and b"zworgle" in marked and b"kvexnit" not in plain
 
 
 def test_no_marks():
@@ -96,10 +100,12 @@ def test_scores_match_one_window_at_a_time(spark, docs_of, odd_rows):
     model = X.train(docs, labels)
     rows = [*odd_rows, (20, "Kvexnit ba co " * 200), (21, "x" * 5000)]
     compress = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), level=X.LEVEL, write_content_size=False, write_dict_id=False) for d in (model.ordinary, model.ordinary + model.toxic)]
+    half = len(model.ordinary) // 2
+    opening, closing = model.ordinary[half : half + 32] + b" ", b" " + model.ordinary[half // 2 : half // 2 + 16]
 
     def by_hand(text):
-        windows = X.cut_windows((text or "").encode().lower())[:900]
-        gain = [max(0, len(compress[0].compress(w)) - len(compress[1].compress(w)) - X.LEAST_SAVING + 1) for w in windows]
+        words = [w[i : i + X.WINDOW] for w in (text or "").encode().lower().split() for i in range(0, len(w), X.WINDOW)]
+        gain = [max(0, len(compress[0].compress(opening + w + closing)) - len(compress[1].compress(opening + w + closing)) - X.LEAST_SAVING + 1) for w in words]
         worst = max((sum(gain[i : i + X.STRETCH]) for i in range(max(1, len(gain) - X.STRETCH + 1))), default=0)
         level = max(sum(gain) / (len(gain) + X.DAMPING) / model.threshold, worst / (X.STRETCH + X.DAMPING) / model.stretch)
         return 1 / (1 + math.exp(-4 * (level - 1)))
@@ -111,6 +117,31 @@ def test_scores_match_one_window_at_a_time(spark, docs_of, odd_rows):
     assert all(abs(r["score"] - w) < 1e-9 for r, w in zip(got, want))
 
 
+def test_training_against_plain_python():
+    """Parts are counted and pieces cut as by loops over every text."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice(["ba", "co", "di", "é", "fu"]) for _ in range(r.randint(1, 5)))
+    toxic = [" ".join(word() + ("kvex" + word() if r.random() < 0.1 else "") for _ in range(60)).encode() for _ in range(40)]
+    ordinary = [" ".join(word() for _ in range(60)).encode() for _ in range(90)]
+
+    def times(texts, p):
+        return sum(p in {w[i : i + X.PART] for i in range(len(w))} and sum(w[i : i + X.PART] == p for i in range(len(w))) for t in texts for w in {b" " + x + b" " for x in t.split()})
+
+    got = X.unexplained(toxic, ordinary)
+    some = sorted({w[i : i + X.PART] for t in toxic for x in t.split() for w in [b" " + x + b" "] for i in range(len(w) - X.PART + 1)})[::7] + sorted(got)
+    for p in some:
+        n, expected = times(toxic, p), (times(ordinary, p) + 1) * 40 / 90
+        assert (p in got) == (n >= X.LEAST_SEEN and n > X.LEAST_RATIO * expected and n - expected > X.LEAST_DEVIATION * expected**0.5)
+    assert any(b"kvex" in p for p in got)
+    for t in toxic[:10]:
+        want = b""
+        for x in t.split():
+            w = b" " + x + b" "
+            held = [any(w[j : j + X.PART] in got for j in range(max(0, i - X.PART + 1), i + 1) if j + X.PART <= len(w)) for i in range(len(w))]
+            want += bytes(c for c, h in zip(w, held) if h)
+        assert X.left_of(t, got) == want
+
+
 def test_repeated_ids_count_once(spark, docs_of):
     docs, labels, _ = table(spark, docs_of, 200)
     more = docs.unionByName(docs.selectExpr("doc_id", "concat(text, ' zworgle') AS text", "lang", "source", "n_chars"))
@@ -128,8 +159,9 @@ def test_a_passage_counts_in_a_long_text(spark, docs_of):
 
 
 def test_worst_stretch_spans_parts():
-    model = X.Model(b"ordinary words", b" zworgle kvexnit", 1.0, 1.0)
+    ordinary = b"some ordinary words that fill a dictionary of a hundred bytes or more, as any of them would have"
+    model = X.Model(ordinary, b" zworgle kvexnit" + X._END, 1.0, 1.0)
     of = model.measure()
-    bad = "zworgle kvexnit zworgle " * 32
-    at = lambda n: of("x" * X.WINDOW * n + bad)[1]
-    assert at(65536 - 16) == at(10) > 0
+    bad = "zworgle kvexnit zworgle " * 100
+    at = lambda n: of("x " * n + bad)[1]
+    assert at(65536 - 50) == at(10) > 0
