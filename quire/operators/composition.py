@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.operators.graph import saved
 from quire.operators.metrics import ratio
+from quire.operators.quantiles import HDI, with_percentiles
 from quire.operators.ranking import numbered
 
 
@@ -57,6 +59,48 @@ def _strata(counts: DataFrame, dossiers: DataFrame, types: DataFrame, n_strata:
     return ranked.select(*by, "type_a", "type_b", "dossier", "a", "b", stratum.cast("int").alias("stratum"))
 
 
+#: Parts of the order of dossiers in which strata are counted.
+_BLOCKS = 256
+
+
+def stratum_counts(counts: DataFrame, dossiers: DataFrame, types: DataFrame, n_strata: int, by=()) -> DataFrame:
+    """by, type_a, type_b, stratum, n11, n10, n01, n00 over the strata of ``_strata``, without a row for each dossier and pair.
+
+    Dossiers are put in order once and counted by their set of types in blocks of it. A pair's buckets (how many other types, block) lie in one stratum as a whole but for the few that a border
+    cuts; only the dossiers of these are numbered.
+    """
+    have = dossiers.select(*by, "dossier").join(counts.groupBy(*by, "dossier").agg(F.array_sort(F.collect_set("type")).alias("has")), [*by, "dossier"], "left")
+    have = have.withColumn("has", F.coalesce("has", F.array().cast("array<string>")))
+    n = dossiers.groupBy(*by).agg(F.count_distinct("dossier").alias("_n")) if by else dossiers.agg(F.count_distinct("dossier").alias("_n"))
+    beside = lambda df: df.join(F.broadcast(n), list(by)) if by else df.crossJoin(F.broadcast(n))  # noqa: E731  a row, or one for each draw
+    placed = saved(beside(numbered(have, ["dossier"], "_g", tuple(by))).withColumn("_block", F.floor(F.col("_g") * _BLOCKS / F.col("_n")).cast("int")))
+    pairs, pair = F.broadcast(type_pairs(types)), [*by, "type_a", "type_b"]
+
+    def flagged(df):
+        df = df.withColumns({"a": F.array_contains("has", F.col("type_a")), "b": F.array_contains("has", F.col("type_b"))})
+        return df.withColumn("_rest", F.size("has") - F.col("a").cast("int") - F.col("b").cast("int"))
+
+    sets = placed.groupBy(*by, "has", "_block").agg(F.count(F.lit(1)).alias("_k"))
+    cells = saved(flagged(sets.crossJoin(pairs)).groupBy(*pair, "_rest", "_block", "a", "b").agg(F.sum("_k").alias("_k")))
+    bucket = cells.groupBy(*pair, "_rest", "_block").agg(F.sum("_k").alias("_size"))
+    w = Window.partitionBy(*pair).orderBy("_rest", "_block").rowsBetween(Window.unboundedPreceding, -1)  # buckets of a pair
+    bucket = beside(bucket.withColumn("_from", F.coalesce(F.sum("_size").over(w), F.lit(0))))
+
+    def stratum(i):
+        size, more = F.floor(F.col("_n") / n_strata), F.col("_n") % n_strata
+        return (F.when(i < more * (size + 1), F.floor(i / (size + 1))).otherwise(more + F.floor((i - more * (size + 1)) / F.greatest(size, F.lit(1)))) + 1).cast("int")
+
+    bucket = saved(bucket.withColumns({"stratum": stratum(F.col("_from")), "_last": stratum(F.col("_from") + F.col("_size") - 1)}))
+    whole = cells.join(bucket.filter("stratum = _last").select(*pair, "_rest", "_block", "stratum"), [*pair, "_rest", "_block"]).select(*pair, "stratum", "a", "b", "_k")
+    cut = bucket.filter("stratum <> _last").select(*pair, F.col("_rest").alias("_r"), "_block", "_from")
+    met = flagged(placed.join(cut, [*by, "_block"])).filter("_rest = _r")
+    own = F.row_number().over(Window.partitionBy(*pair, "_rest", "_block").orderBy("dossier")) - 1  # a block's dossiers
+    parts = met.withColumn("stratum", stratum(F.col("_from") + own)).select(*pair, "stratum", "a", "b", F.lit(1).cast("long").alias("_k"))
+    of = lambda c: F.coalesce(F.sum(F.when(c, F.col("_k"))), F.lit(0))
+    a, b = F.col("a"), F.col("b")
+    return whole.unionByName(parts).groupBy(*pair, "stratum").agg(of(a & b).alias("n11"), of(a & ~b).alias("n10"), of(~a & b).alias("n01"), of(~a & ~b).alias("n00"), F.sum("_k").alias("n"))
+
+
 def presence_tables(counts: DataFrame, dossiers: DataFrame, types: DataFrame, by=()) -> DataFrame:
     """n11, n10, n01, n00 of each pair of types. Only co-present types are joined; the rest follows from how often each is present."""
     n = dossiers.groupBy(*by).agg(F.count_distinct("dossier").alias("_d"))
@@ -73,9 +117,7 @@ def presence_tables(counts: DataFrame, dossiers: DataFrame, types: DataFrame, by
 
 def mantel_haenszel(counts: DataFrame, dossiers: DataFrame, types: DataFrame, n_strata: int = 4, by=()) -> DataFrame:
     """log_or, var_log_or of each pair of types, stratified by how many other types a dossier holds; null where a sum vanishes."""
-    per = _strata(counts, dossiers, types, n_strata, by).groupBy(*by, "type_a", "type_b", "stratum").agg(
-        F.count_if(F.col("a") & F.col("b")).alias("n11"), F.count_if(F.col("a") & ~F.col("b")).alias("n10"), F.count_if(~F.col("a") & F.col("b")).alias("n01"),
-        F.count_if(~F.col("a") & ~F.col("b")).alias("n00"), F.count(F.lit(1)).alias("n"))
+    per = stratum_counts(counts, dossiers, types, n_strata, by)
     n = F.col("n")
     r, s = F.col("n11") * F.col("n00") / n, F.col("n10") * F.col("n01") / n
     p, q = (F.col("n11") + F.col("n00")) / n, (F.col("n10") + F.col("n01")) / n
@@ -123,7 +165,7 @@ def pair_draws(estimates: DataFrame, n_draws: int, seed: str, by=()) -> DataFram
 def summarised(draws: DataFrame, value: str, by: list[str]) -> DataFrame:
     """mean, hdi_3, hdi_97 (percentiles, interpolated), p_positive of the values that aren't null or NaN, and credible flags."""
     x = F.when(~F.isnan(value), F.col(value))
-    out = draws.groupBy(*by).agg(F.avg(x).alias("mean"), F.percentile(x, 0.03).alias("hdi_3"), F.percentile(x, 0.97).alias("hdi_97"), F.avg((F.coalesce(x > 0, F.lit(False))).cast("double")).alias("p_positive"))
+    out = with_percentiles(draws.groupBy(*by).agg(F.avg(x).alias("mean"), F.avg((F.coalesce(x > 0, F.lit(False))).cast("double")).alias("p_positive")), draws, list(by), value, HDI)
     return out.withColumns({"credible": (F.col("p_positive") > 0.975) | (F.col("p_positive") < 0.025), "excludes_zero": F.coalesce((F.col("hdi_3") > 0) | (F.col("hdi_97") < 0), F.lit(False))})
 
 

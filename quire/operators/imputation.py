@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.hashing import uniform
+from quire.operators.quantiles import HDI, with_percentiles
 from quire.operators.segments import documents, segmented
 
 
@@ -109,7 +110,7 @@ def long_counts(meta: DataFrame, wide: DataFrame, key: str, types: list[str], ro
 def pooled(estimates: DataFrame, by: list[str], value: str) -> DataFrame:
     """n, mean, sd (between imputations), hdi_3, hdi_97 of an estimate over imputations; missing ones don't count."""
     x = F.when(~F.isnan(value), F.col(value))
-    return estimates.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.percentile(x, 0.03).alias("hdi_3"), F.percentile(x, 0.97).alias("hdi_97"))
+    return with_percentiles(estimates.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd")), estimates, list(by), value, HDI)
 
 
 def winner_shares(comparisons: DataFrame, by: list[str], model: str, score: str) -> DataFrame:
@@ -127,7 +128,7 @@ def as_percent(draws: DataFrame, beta: str, out: str = "pct") -> DataFrame:
 def pooled_effects(draws: DataFrame, by: list[str], beta: str, imputation: str = "imputation") -> DataFrame:
     """by, n_imputations, mean, hdi_3, hdi_97 of a slope's percents over the draws of all imputations that there are."""
     x = as_percent(draws, beta)
-    return x.groupBy(*by).agg(F.count_distinct(imputation).alias("n_imputations"), F.avg("pct").alias("mean"), F.percentile("pct", 0.03).alias("hdi_3"), F.percentile("pct", 0.97).alias("hdi_97"))
+    return with_percentiles(x.groupBy(*by).agg(F.count_distinct(imputation).alias("n_imputations"), F.avg("pct").alias("mean")), x, list(by), "pct", HDI)
 
 
 def paired_by_hash(draws: DataFrame, by: list[str], seed: str, *keys: str) -> DataFrame:
@@ -142,5 +143,5 @@ def paired_by_hash(draws: DataFrame, by: list[str], seed: str, *keys: str) -> Da
 def difference(a: DataFrame, b: DataFrame, value: str, by: list[str]) -> DataFrame:
     """mean, hdi_3, hdi_97, p_below of b minus a, draws paired by their rank."""
     met = a.select(*by, "draw", F.col(value).alias("_a")).join(b.select(*by, "draw", F.col(value).alias("_b")), [*by, "draw"])
-    d = F.col("_b") - F.col("_a")
-    return met.groupBy(*by).agg(F.avg(d).alias("mean"), F.percentile(d, 0.03).alias("hdi_3"), F.percentile(d, 0.97).alias("hdi_97"), F.avg((d < 0).cast("double")).alias("p_below"))
+    met = met.withColumn("_d", F.col("_b") - F.col("_a"))
+    return with_percentiles(met.groupBy(*by).agg(F.avg("_d").alias("mean"), F.avg((F.col("_d") < 0).cast("double")).alias("p_below")), met, list(by), "_d", HDI)

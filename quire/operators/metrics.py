@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.operators.quantiles import with_percentiles
 from quire.operators.ranking import least_from_here, running_total
 
 
@@ -130,6 +131,6 @@ def latency_summary(df: DataFrame, latency: str, error: Column, wall_time: float
     n = ok.count()
     # The exclusive place, as a share of the inclusive ones, is a plain percentile.
     share = min(1.0, (0.95 * (n + 1) - 1) / (n - 1)) if n >= 20 else 1.0
-    stats = ok.agg(F.avg(latency).alias("latency_mean"), F.percentile(latency, 0.5).alias("latency_median"), F.percentile(latency, share).alias("latency_p95"))
+    stats = with_percentiles(ok.agg(F.avg(latency).alias("latency_mean")), ok, [], latency, {"latency_median": 0.5, "latency_p95": share})
     total = df.agg(count.alias("n"), F.count_if(error).alias("n_failed"))
     return total.crossJoin(stats).select("n", "n_failed", (F.col("n") / F.lit(float(wall_time))).alias("pages_per_sec"), "latency_mean", "latency_median", "latency_p95")  # one row each
