@@ -1,4 +1,4 @@
-"""Numeric fits on small aggregates, on the driver with numpy: confusion posteriors, pairwise ranks, count regressions, affine maps.
+"""Posteriors of confusion counts as expressions over grids; pairwise ranks and affine maps by numpy.
 
 Inputs are aggregates whose size is that of a vocabulary or of a design (classes squared, pairs of types, distinct covariate rows), however large the corpus is.
 """
@@ -8,6 +8,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 DIAGONAL_WEIGHT = 0.7
 
@@ -77,73 +79,6 @@ def bradley_terry(wins: dict[tuple[int, int], tuple[int, int]], n: int, referenc
     return own @ beta, np.linalg.inv(info)
 
 
-def before(theta_a: float, theta_b: float) -> float:
-    return 1 / (1 + math.exp(theta_a - theta_b))
-
-
-def negative_binomial(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, groups: np.ndarray | None = None, prior_sd: float = 2.5, rounds: int = 200):
-    """MAP and Laplace covariance of a negative binomial regression with log link: (coefficients, log alpha, covariance, log posterior).
-
-    ``weight``: how often a row occurs (rows may be grouped). ``groups`` adds a normal effect for each group (a year), sd 0.5. Gradient and curvature of
-    the coefficients are exact; alpha is updated by Newton's method on its log.
-    """
-    x, y = np.asarray(x, float), np.asarray(y, float)
-    weight = np.ones(len(y)) if weight is None else np.asarray(weight, float)
-    width, penalty = x.shape[1], [1 / prior_sd**2] * x.shape[1]
-    if groups is not None:
-        names, at = np.unique(groups, return_inverse=True)
-        x = np.hstack([x, np.eye(len(names))[at]])
-        penalty += [1 / 0.5**2] * len(names)
-    penalty = np.array(penalty)
-
-    def value(b, la):
-        a, mu = math.exp(la), np.exp(np.clip(x @ b, -30, 30))
-        ll = weight @ (_log_gamma(y + a) - math.lgamma(a) - _log_gamma(y + 1) + a * np.log(a / (a + mu)) + y * np.log(mu / (a + mu)))
-        return ll - 0.5 * (penalty * b * b).sum() - 0.5 * (la / 1.5) ** 2
-
-    b, la = np.zeros(x.shape[1]), 0.0
-    b[0] = math.log(max(1e-3, weight @ y / weight.sum()))
-    now = value(b, la)
-    for _ in range(rounds):
-        was, a = now, math.exp(la)
-        mu = np.exp(np.clip(x @ b, -30, 30))
-        grad = x.T @ (weight * (y - mu) * a / (a + mu)) - penalty * b
-        info = x.T @ (x * (weight * mu * a / (a + mu))[:, None]) + np.diag(penalty)
-        step, scale = np.linalg.solve(info, grad), 1.0
-        while scale > 1e-6 and value(b + scale * step, la) < now:
-            scale /= 2
-        b = b + (scale * step if scale > 1e-6 else 0)
-        h = 1e-3
-        lo, mid, hi = value(b, la - h), value(b, la), value(b, la + h)
-        d1, d2 = (hi - lo) / (2 * h), (hi - 2 * mid + lo) / h**2
-        move = np.clip(d1 / -d2 if d2 < 0 else math.copysign(0.5, d1), -0.5, 0.5)
-        while abs(move) > 1e-8 and value(b, la + move) < mid:
-            move /= 2
-        la = float(np.clip(la + move, -6, 10))
-        now = value(b, la)
-        if abs(now - was) < 1e-9 * (1 + abs(now)):
-            break
-    a, mu = math.exp(la), np.exp(np.clip(x @ b, -30, 30))
-    info = x.T @ (x * (weight * mu * a / (a + mu))[:, None]) + np.diag(penalty)
-    return b[:width], la, np.linalg.inv(info)[:width, :width], now
-
-
-def beta_binomial(successes: np.ndarray, trials: np.ndarray, weight: np.ndarray | None = None) -> tuple[float, float, float]:
-    """(mean, log concentration, log likelihood) by maximum likelihood on a grid that is refined around its best point."""
-    s, n = np.asarray(successes, float), np.asarray(trials, float)
-    w = np.ones(len(s)) if weight is None else np.asarray(weight, float)
-
-    def ll(m, lk):
-        a, b = m * math.exp(lk), (1 - m) * math.exp(lk)
-        return float(w @ (_log_gamma(s + a) + _log_gamma(n - s + b) - _log_gamma(n + a + b) - math.lgamma(a) - math.lgamma(b) + math.lgamma(a + b)))
-
-    m, lk, dm, dk = min(0.999, max(0.001, float((w @ s) / max(1.0, w @ n)))), 2.0, 0.3, 4.0
-    for _ in range(14):
-        m, lk = max(((a, b) for a in np.clip(np.linspace(m - dm, m + dm, 7), 1e-3, 1 - 1e-3) for b in np.linspace(lk - dk, lk + dk, 7)), key=lambda t: ll(*t))
-        dm, dk = dm / 2, dk / 2
-    return float(m), float(lk), ll(m, lk)
-
-
 def affine(source: np.ndarray, target: np.ndarray) -> np.ndarray:
     """The 2 x 3 matrix that maps source points to target points best in squares; at least three points that aren't in line."""
     source, target = np.asarray(source, float), np.asarray(target, float)
@@ -201,9 +136,43 @@ def projected(matrix: np.ndarray, box: tuple[float, float, float, float]) -> tup
     return float(low[0]), float(low[1]), float(high[0] - low[0]), float(high[1] - low[1])
 
 
-def predictive_curve(draws: list[dict], x: np.ndarray) -> dict[str, np.ndarray]:
-    """mean, hdi_3, hdi_97 of the mean and sd of counts at each design row, over draws of {'beta', 'log_alpha'}; sd = sqrt(mu + mu^2 / alpha)."""
-    mu = np.exp(np.stack([x @ d["beta"] for d in draws]))
-    alpha = np.exp(np.array([d["log_alpha"] for d in draws]))[:, None]
-    sd = np.sqrt(mu + mu**2 / alpha)
-    return {f"{n}_{k}": v for n, z in (("mu", mu), ("sd", sd)) for k, v in (("mean", z.mean(0)), ("hdi_3", np.percentile(z, 3, axis=0)), ("hdi_97", np.percentile(z, 97, axis=0)))}
+# -- the same as DataFrames -------------------------------------------------------------------------------------------
+
+
+def log_gamma(x: Column) -> Column:
+    """Of positive numbers: raised by eight steps, then Stirling's series."""
+    z = x + 8
+    series = (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z)
+    return series - sum((F.log(x + i) for i in range(1, 8)), F.log(x))
+
+
+def baseline_prior(dense: DataFrame) -> DataFrame:
+    """true, pred, n, p: the prior mean of P(pred | true), of dense counts (true, pred, n): mostly the diagonal, the rest as predictions are overall (never quite 0)."""
+    share = dense.groupBy("pred").agg(F.sum("n").alias("s"))
+    total = share.agg(F.greatest(F.sum("s"), F.lit(1)).alias("t"))
+    share = share.crossJoin(total).select("pred", F.greatest(F.col("s") / F.col("t"), F.lit(1e-6)).alias("m"))
+    share = share.crossJoin(share.agg(F.sum("m").alias("of"))).select("pred", (F.col("m") / F.col("of")).alias("m"))
+    diagonal = F.when(F.col("true") == F.col("pred"), DIAGONAL_WEIGHT).otherwise(0.0)
+    return dense.join(share, "pred").select("true", "pred", "n", (diagonal + (1 - DIAGONAL_WEIGHT) * F.col("m")).alias("p"))
+
+
+def confusion_posterior(dense: DataFrame, n: int = 400) -> DataFrame:
+    """true, pred, p: the posterior mean of P(pred | true) over a grid of concentrations, of dense counts; each grid point is a row for each cell."""
+    width = 10 * 0.75 / (n - 1)
+    grid = dense.sparkSession.range(n).select(F.col("id").alias("i"), F.exp(F.lit(math.log(4) - 5 * 0.75) + F.col("id") * width).alias("k"))
+    cells = baseline_prior(dense).crossJoin(F.broadcast(grid)).withColumn("a", F.col("k") * F.col("p"))  # a vocabulary squared, times the grid
+    rows = cells.groupBy("i", "k", "true").agg(F.sum("a").alias("sa"), F.sum("n").alias("r"), F.sum(log_gamma(F.col("a") + F.col("n")) - log_gamma(F.col("a"))).alias("own"))
+    rows = rows.withColumn("ll", F.col("own") + log_gamma(F.col("sa")) - log_gamma(F.col("sa") + F.col("r")))
+    log = rows.groupBy("i", "k").agg((F.sum("ll") - 0.5 * ((F.log("k") - math.log(4)) / 0.75) ** 2).alias("l"))
+    top = log.agg(F.max("l").alias("top"))
+    weight = log.crossJoin(F.broadcast(top)).select("i", F.exp(F.col("l") - F.col("top")).alias("w"))
+    met = cells.join(rows.select("i", "true", "sa", "r"), ["i", "true"]).join(weight, "i")
+    p = F.col("w") * (F.col("a") + F.col("n")) / (F.col("sa") + F.col("r"))
+    return met.groupBy("true", "pred").agg((F.sum(p) / F.sum("w")).alias("p"))
+
+
+def before_pairs(ranks: DataFrame) -> DataFrame:
+    """type_a, type_b, p: how likely each type comes before each other one, of ranks (type, theta: a vocabulary)."""
+    a = ranks.select(F.col("type").alias("type_a"), F.col("theta").alias("_a"))
+    b = ranks.select(F.col("type").alias("type_b"), F.col("theta").alias("_b"))
+    return a.join(F.broadcast(b), F.col("type_a") != F.col("type_b")).select("type_a", "type_b", (1 / (1 + F.exp(F.col("_a") - F.col("_b")))).alias("p"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quire.operators import composition as C
 from quire.operators import imputation as I
 from quire.operators import metrics, segments
+from quire.queries.reports import grid_sql
 from quire.queries.registry import SQL, labels, query, rounded, types
 from quire.sources import fixture_sql as S
 from quire.sources import fixtures as X
@@ -246,16 +247,12 @@ def winner_shares(spark, d):
     return rounded(I.winner_shares(p, ["g"], "model", "s"))
 
 
-@query("posterior_grid")
+@query("posterior_grid", grid_sql(f"""{S.EVENTS}, dn AS (SELECT a.type AS "true", b.type AS pred, count(row_id) AS n FROM types a CROSS JOIN types b LEFT JOIN ep ON document_type = a.type AND predicted_document_type = b.type GROUP BY 1, 2)"""))
 def posterior_grid(spark, d):
     from quire.operators import posterior as P
 
     dense = metrics.dense_confusion(metrics.confusion(X.event_pages(spark, d), "document_type", "predicted_document_type"), labels(spark, X.EVENT_TYPES))
-    import numpy as np
-
-    rows = {(r["true"], r["pred"]): r["n"] for r in dense.collect()}  # a vocabulary squared
-    mean = P.posterior_mean(np.array([[rows[t, p] for p in X.EVENT_TYPES] for t in X.EVENT_TYPES]))
-    return spark.createDataFrame([(t, p, float(mean[i, j])) for i, t in enumerate(X.EVENT_TYPES) for j, p in enumerate(X.EVENT_TYPES)], "true string, pred string, p double")
+    return rounded(P.confusion_posterior(dense), 6)
 
 
 @query("bradley_terry")
@@ -270,14 +267,9 @@ def bradley_terry(spark, d):
 
 @query("negative_binomial_map")
 def negative_binomial_map(spark, d):
-    """Documents of a dossier by persons and era, with an effect for each year, on grouped rows."""
-    import numpy as np
-
-    from quire.operators import posterior as P
+    """Documents of a dossier by persons and era, with an effect for each year, from distinct rows."""
+    from quire.operators import size_models as M
 
-    meta = X.dossier_meta(spark, d)
-    rows = meta.groupBy("travel_year", "num_persons", "num_docs").count().collect()  # distinct covariates and counts
-    x = np.array([[1.0, r["num_persons"], float(r["travel_year"] >= 1995)] for r in rows])
-    beta, la, cov, lp = P.negative_binomial(x, np.array([r["num_docs"] for r in rows]), np.array([r["count"] for r in rows]), np.array([r["travel_year"] for r in rows]))
-    names = ["intercept", "num_persons", "era"]
-    return spark.createDataFrame([(n, float(b), float(s)) for n, b, s in zip(names, beta, np.sqrt(np.diag(cov)))] + [("log_alpha", float(la), float("nan"))], "term string, estimate double, sd double")
+    rows = X.dossier_meta(spark, d).withColumn("era", (F.col("travel_year") >= 1995).cast("int"))
+    fit = M.fitted(rows, M.Model("map", "num_docs", {"num_persons": "num_persons", "era": "era"}))
+    return rounded(M.coefficients(spark, [fit]).drop("model"), 6)

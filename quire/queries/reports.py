@@ -95,23 +95,31 @@ def imputed_difference(spark, d):
 @query("baseline_prior", f"""WITH {S.EVENTS}, p AS (SELECT type, count(row_id) AS n FROM types LEFT JOIN ep ON predicted_document_type = type GROUP BY 1), m AS (SELECT type, greatest(n / sum(n) OVER (), 1e-6) AS m FROM p), s AS (SELECT type, m / sum(m) OVER () AS m FROM m)
   SELECT types.type AS "true", s.type AS pred, round(CASE WHEN types.type = s.type THEN 0.7::DOUBLE ELSE 0 END + 0.3::DOUBLE * m, 8) AS p FROM types, s""")
 def baseline_prior(spark, d):
-    return _of_confusion(spark, d, "document_type", "predicted_document_type", X.EVENT_TYPES, "baseline")
+    from quire.operators import posterior as P
 
+    return rounded(P.baseline_prior(_dense(spark, d, "document_type", "predicted_document_type", X.EVENT_TYPES)).drop("n"))
 
-@query("start_posterior")
-def start_posterior(spark, d):
-    return _of_confusion(spark, d, "start_page", "predicted_start_page", ["no", "yes"], "posterior_mean")
 
+def grid_sql(counts: str) -> str:
+    """The posterior mean over the grid, of dense counts dn (true, pred, n)."""
+    return f"""WITH {counts}, c AS (SELECT "true", pred, n, sum(n) OVER (PARTITION BY pred) AS s, greatest(sum(n) OVER (), 1) AS t FROM dn), q AS (SELECT DISTINCT pred, greatest(s / t, 1e-6) AS m FROM c), m AS (SELECT pred, m / sum(m) OVER () AS m FROM q),
+  b AS (SELECT dn."true", pred, n, CASE WHEN dn."true" = pred THEN 0.7::DOUBLE ELSE 0 END + 0.3::DOUBLE * m AS p FROM dn JOIN m USING (pred)),
+  g AS (SELECT i, exp(ln(4) - 5 * 0.75::DOUBLE + i * 7.5::DOUBLE / 399) AS k FROM range(0, 400) r(i)),
+  x AS (SELECT i, k, "true", pred, n, k * p AS a, sum(k * p) OVER (PARTITION BY i, "true") AS sa, sum(n) OVER (PARTITION BY i, "true") AS r FROM b, g),
+  w AS (SELECT i, sum(lgamma(a + n) - lgamma(a)) + sum((lgamma(sa) - lgamma(sa + r)) / (SELECT count(DISTINCT pred) FROM dn)) - 0.5::DOUBLE * pow((ln(max(k)) - ln(4)) / 0.75::DOUBLE, 2) AS l FROM x GROUP BY 1),
+  v AS (SELECT i, exp(l - max(l) OVER ()) AS w FROM w)
+  SELECT "true", pred, round(sum(w * (a + n) / (sa + r)) / sum(w), 6) AS p FROM x JOIN v USING (i) GROUP BY 1, 2"""
 
-def _of_confusion(spark, d, true, pred, classes, what):
-    import numpy as np
 
+@query("start_posterior", grid_sql(f"""{S.EVENTS}, yn AS (SELECT unnest(['no', 'yes']) AS v), dn AS (SELECT a.v AS "true", b.v AS pred, count(row_id) AS n FROM yn a CROSS JOIN yn b LEFT JOIN ep ON start_page = a.v AND predicted_start_page = b.v GROUP BY 1, 2)"""))
+def start_posterior(spark, d):
     from quire.operators import posterior as P
 
-    dense = metrics.dense_confusion(metrics.confusion(X.event_pages(spark, d), true, pred), labels(spark, classes))
-    rows = {(r["true"], r["pred"]): r["n"] for r in dense.collect()}  # a vocabulary squared
-    got = getattr(P, what)(np.array([[rows[t, p] for p in classes] for t in classes], float))
-    return rounded(spark.createDataFrame([(t, p, float(got[i, j])) for i, t in enumerate(classes) for j, p in enumerate(classes)], "true string, pred string, p double"))
+    return rounded(P.confusion_posterior(_dense(spark, d, "start_page", "predicted_start_page", ["no", "yes"])), 6)
+
+
+def _dense(spark, d, true, pred, classes):
+    return metrics.dense_confusion(metrics.confusion(X.event_pages(spark, d), true, pred), labels(spark, classes))
 
 
 @query("before_pairs")
@@ -120,5 +128,4 @@ def before_pairs(spark, d):
     from quire.operators import posterior as P
     from quire.queries.composition import bradley_terry
 
-    theta = {r["type"]: r["theta"] for r in bradley_terry(spark, d).collect()}  # a vocabulary
-    return rounded(spark.createDataFrame([(a, b, P.before(theta[a], theta[b])) for a in theta for b in theta if a != b], "type_a string, type_b string, p double"))
+    return rounded(P.before_pairs(bradley_terry(spark, d)))
