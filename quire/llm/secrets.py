@@ -90,10 +90,11 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """A row for each row of ``docs``: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example.
 
     n_live and n_example count the base spans whose values look live and those that are copied examples. A null
-    or empty text has no span; null owners are one owner; rows that repeat others count as rows, but not as further owners.
+    or empty text has no span, a long one is searched whole; null owners are one owner; rows that repeat others count as rows, but not as further owners.
+    An empty table gives an empty one; other columns take no part, whatever their names.
     """
     found = written(candidates(docs, id_col, text_col, owner_col, list(repo_cols)))
-    known = ownership(found)
+    known = written(ownership(found))  # a table of its own: a hash that is everywhere can then be split where it meets its places
     each = found.select("row", F.explode("found").alias("c")).select("row", "c.*").join(known, "hash")
     span = F.struct("start", "kind", "stop")
     base = F.col("kind") < 3

@@ -35,3 +35,20 @@ def test_copied_examples_are_told_from_live_ones(spark, docs_of):
     assert sorted((r["n_live"], r["n_example"]) for r in got) == [(0, 0)] + [(0, 1)] * 8 + [(1, 0)] * 2
     assert all("owned" not in r["spans"] for r in got)
     assert S.scan_secrets(docs_of(spark, [])).count() == 0
+
+
+def test_clashing_columns_and_a_hash_that_is_everywhere(spark, docs_of):
+    from pyspark.sql import functions as F
+
+    rows = [(i, "use token=EXAMPLEKEY123") for i in range(400)] + [(500, "password: only-mine.77")]
+    docs = docs_of(spark, rows, lambda i: f"s{i % 9}")
+    plain = sorted(map(tuple, S.scan_secrets(docs).collect()), key=str)
+    for c in ("row", "hash", "owner", "repo", "found", "kind", "all", "body", "id", "n_live", "spans"):
+        docs = docs.withColumn(c, F.lit("x"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(map(tuple, S.scan_secrets(docs).collect()), key=str) == plain
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sum(r[6] for r in plain) == 1 and sum(r[7] for r in plain) == 400
