@@ -59,46 +59,41 @@ def _strata(counts: DataFrame, dossiers: DataFrame, types: DataFrame, n_strata:
     return ranked.select(*by, "type_a", "type_b", "dossier", "a", "b", stratum.cast("int").alias("stratum"))
 
 
-#: Parts of the order of dossiers in which strata are counted.
-_BLOCKS = 256
-
-
 def stratum_counts(counts: DataFrame, dossiers: DataFrame, types: DataFrame, n_strata: int, by=()) -> DataFrame:
     """by, type_a, type_b, stratum, n11, n10, n01, n00 over the strata of ``_strata``, without a row for each dossier and pair.
 
-    Dossiers are put in order once and counted by their set of types in blocks of it. A pair's buckets (how many other types, block) lie in one stratum as a whole but for the few that a border
-    cuts; only the dossiers of these are numbered.
+    Dossiers are dealt out once by ranges of their order and counted by their set of types in each. A pair's buckets (how many other types, range) lie in one stratum as a whole but for the few that a
+    border cuts; only the dossiers of these are numbered.
     """
     have = dossiers.select(*by, "dossier").join(counts.groupBy(*by, "dossier").agg(F.array_sort(F.collect_set("type")).alias("has")), [*by, "dossier"], "left")
     have = have.withColumn("has", F.coalesce("has", F.array().cast("array<string>")))
-    n = dossiers.groupBy(*by).agg(F.count_distinct("dossier").alias("_n")) if by else dossiers.agg(F.count_distinct("dossier").alias("_n"))
-    beside = lambda df: df.join(F.broadcast(n), list(by)) if by else df.crossJoin(F.broadcast(n))  # noqa: E731  a row, or one for each draw
-    placed = saved(beside(numbered(have, ["dossier"], "_g", tuple(by))).withColumn("_block", F.floor(F.col("_g") * _BLOCKS / F.col("_n")).cast("int")))
+    n = int(dossiers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Written down once: the ranges of a second evaluation could differ.
+    placed = saved(have.repartitionByRange(n, *by, "dossier").withColumn("_block", F.spark_partition_id()))
     pairs, pair = F.broadcast(type_pairs(types)), [*by, "type_a", "type_b"]
 
     def flagged(df):
         df = df.withColumns({"a": F.array_contains("has", F.col("type_a")), "b": F.array_contains("has", F.col("type_b"))})
         return df.withColumn("_rest", F.size("has") - F.col("a").cast("int") - F.col("b").cast("int"))
 
+    flag = lambda a, b: F.coalesce(F.sum(F.when((F.col("a") == a) & (F.col("b") == b), F.col("_k"))), F.lit(0))
+    four = lambda: [flag(True, True).alias("n11"), flag(True, False).alias("n10"), flag(False, True).alias("n01"), flag(False, False).alias("n00"), F.sum("_k").alias("n")]
     sets = placed.groupBy(*by, "has", "_block").agg(F.count(F.lit(1)).alias("_k"))
-    cells = saved(flagged(sets.crossJoin(pairs)).groupBy(*pair, "_rest", "_block", "a", "b").agg(F.sum("_k").alias("_k")))
-    bucket = cells.groupBy(*pair, "_rest", "_block").agg(F.sum("_k").alias("_size"))
-    w = Window.partitionBy(*pair).orderBy("_rest", "_block").rowsBetween(Window.unboundedPreceding, -1)  # buckets of a pair
-    bucket = beside(bucket.withColumn("_from", F.coalesce(F.sum("_size").over(w), F.lit(0))))
+    bucket = flagged(sets.crossJoin(pairs)).groupBy(*pair, "_rest", "_block").agg(*four())
+    w = Window.partitionBy(*pair)  # buckets of a pair
+    bucket = bucket.withColumns({"_from": F.coalesce(F.sum("n").over(w.orderBy("_rest", "_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_n": F.sum("n").over(w)})
 
     def stratum(i):
         size, more = F.floor(F.col("_n") / n_strata), F.col("_n") % n_strata
         return (F.when(i < more * (size + 1), F.floor(i / (size + 1))).otherwise(more + F.floor((i - more * (size + 1)) / F.greatest(size, F.lit(1)))) + 1).cast("int")
 
-    bucket = saved(bucket.withColumns({"stratum": stratum(F.col("_from")), "_last": stratum(F.col("_from") + F.col("_size") - 1)}))
-    whole = cells.join(bucket.filter("stratum = _last").select(*pair, "_rest", "_block", "stratum"), [*pair, "_rest", "_block"]).select(*pair, "stratum", "a", "b", "_k")
-    cut = bucket.filter("stratum <> _last").select(*pair, F.col("_rest").alias("_r"), "_block", "_from")
+    bucket = saved(bucket.withColumns({"stratum": stratum(F.col("_from")), "_last": stratum(F.col("_from") + F.col("n") - 1)}))
+    whole = bucket.filter("stratum = _last").select(*pair, "stratum", "n11", "n10", "n01", "n00", "n")
+    cut = bucket.filter("stratum <> _last").select(*pair, F.col("_rest").alias("_r"), "_block", "_from", "_n")
     met = flagged(placed.join(cut, [*by, "_block"])).filter("_rest = _r")
-    own = F.row_number().over(Window.partitionBy(*pair, "_rest", "_block").orderBy("dossier")) - 1  # a block's dossiers
-    parts = met.withColumn("stratum", stratum(F.col("_from") + own)).select(*pair, "stratum", "a", "b", F.lit(1).cast("long").alias("_k"))
-    of = lambda c: F.coalesce(F.sum(F.when(c, F.col("_k"))), F.lit(0))
-    a, b = F.col("a"), F.col("b")
-    return whole.unionByName(parts).groupBy(*pair, "stratum").agg(of(a & b).alias("n11"), of(a & ~b).alias("n10"), of(~a & b).alias("n01"), of(~a & ~b).alias("n00"), F.sum("_k").alias("n"))
+    own = F.row_number().over(Window.partitionBy(*pair, "_rest", "_block").orderBy("dossier")) - 1  # a range's dossiers
+    parts = met.withColumns({"stratum": stratum(F.col("_from") + own), "_k": F.lit(1).cast("long")}).groupBy(*pair, "stratum").agg(*four())
+    return whole.unionByName(parts).groupBy(*pair, "stratum").agg(*[F.sum(c).alias(c) for c in ("n11", "n10", "n01", "n00", "n")])
 
 
 def presence_tables(counts: DataFrame, dossiers: DataFrame, types: DataFrame, by=()) -> DataFrame:

@@ -87,23 +87,65 @@ def detection_conditional(pages: DataFrame, classes: DataFrame, by=()) -> DataFr
 
 
 def pair_metrics(pages: DataFrame, classes: DataFrame, by: list[str], score: str | None = None) -> DataFrame:
-    """All metrics of each configuration (``by``, not empty): start, end to end, panoptic, attachment."""
+    """All metrics of each configuration (``by``, not empty): start, end to end, panoptic, attachment.
+
+    One pass over the sequences: pages of the same pair of segments and labels become one row of counts, and all sums of a sequence follow from these without another shuffle, as they are
+    dealt by sequence already. Configurations then are sums over a written table of a few rows for each sequence.
+    """
+    from pyspark.sql import Window
+
     seq = (*by, "dossier")
-    seg = saved(both(pages, seq))  # segmented once, for all that follows
-    pages = seg
-    pq = panoptic_quality(stream_quality(seg, seq), by).withColumnsRenamed({"tp": "pq_tp", "fp": "pq_fp", "fn": "pq_fn", "n_streams": "pq_n_streams"})
-    att = attachment_scores(attachment_rows(seg, "document_type", "predicted_document_type", seq), by).withColumnRenamed("n_pages", "n_pages_scored")
-    flags = pages.withColumns({"_t": is_start(F.col("start_page"), "lower"), "_p": is_start(F.col("predicted_start_page"), "lower")})
-    start = metrics.summary(metrics.per_class(metrics.confusion(flags, "_t", "_p", by), by), by)
+    known = F.broadcast(classes.select(F.col("label").alias("_label"), F.lit(True).alias("_in")))  # a vocabulary
+    seg = both(pages, seq).withColumns({"_t": is_start(F.col("start_page"), "lower"), "_p": is_start(F.col("predicted_start_page"), "lower")})
+    cells = seg.groupBy(*seq, "true_head", "pred_head", "document_type", "predicted_document_type", "_t", "_p").agg(F.count(F.lit(1)).alias("k"))
+
+    def sums(keys, order=None):
+        w = Window.partitionBy(*seq, *keys)
+        return w.orderBy(*order) if order else w
+
+    # the commonest label of a segment, the least of several, on its first row of counts
+    labelled = cells
+    for head, label, out in (("true_head", "document_type", "_tl"), ("pred_head", "predicted_document_type", "_pl")):
+        labelled = labelled.withColumn("_n", F.when(F.col(label).isNotNull(), F.sum("k").over(sums([head, label])))).withColumn(out, F.first(label).over(sums([head], [F.col("_n").desc_nulls_last(), F.col(label).asc_nulls_last()])))
+    met = ["true_head", "pred_head"]
+    labelled = labelled.withColumns({"_shared": F.sum("k").over(sums(met)), "_nt": F.sum("k").over(sums(["true_head"])), "_np": F.sum("k").over(sums(["pred_head"])),
+                                     "_first": F.row_number().over(sums(met, ["document_type", "predicted_document_type", "_t", "_p"])) == 1})
+    union = F.col("_nt") + F.col("_np") - F.col("_shared")
+    both_known = F.col("true_head").isNotNull() & F.col("pred_head").isNotNull()
+    hit = F.col("_first") & both_known & (2 * F.col("_shared") > union)
+    same = F.coalesce(F.col("true_head") == F.col("pred_head"), F.lit(False)) & F.col("true_head").isNotNull()
+    of = lambda c: F.sum(F.when(c, F.col("k")).otherwise(0))
+    t, p = F.coalesce("_t", F.lit(False)), F.coalesce("_p", F.lit(False))
+    streams = labelled.groupBy(*seq).agg(
+        F.count_if(hit).alias("tp"), F.coalesce(F.sum(F.when(hit, F.col("_shared") / union)), F.lit(0.0)).alias("iou"), F.count_distinct("true_head").alias("t"), F.count_distinct("pred_head").alias("p"),
+        of(F.col("true_head").isNotNull()).alias("n_pages"), of(same).alias("n_uas"), of(same & F.col("_tl").eqNullSafe(F.col("_pl"))).alias("n_las"),
+        of(t & p).alias("tt"), of(t & ~p).alias("tf"), of(~t & p).alias("ft"), of(~t & ~p).alias("ff"))
+    cells = saved(cells)
+    tp = F.col("tp")
+    one = F.when(F.col("t") > 0, 1)
+    streams = streams.withColumns({"fp": F.col("p") - tp, "fn": F.col("t") - tp, "sq": metrics.ratio(F.col("iou"), tp)})
+    streams = streams.withColumn("rq", tp / (tp + 0.5 * F.col("fp") + 0.5 * F.col("fn")))
+    mean = lambda c: F.coalesce(F.avg(F.when(one == 1, c)), F.lit(0.0))
+    total = lambda c: F.coalesce(F.sum(F.when(one == 1, F.col(c))), F.lit(0)).cast("long")
+    n = F.sum("n_pages")
+    out = streams.groupBy(*by).agg(
+        mean(F.col("sq") * F.col("rq")).alias("pq"), mean(F.col("sq")).alias("sq"), mean(F.col("rq")).alias("rq"), total("tp").alias("pq_tp"), total("fp").alias("pq_fp"), total("fn").alias("pq_fn"), F.count(one).alias("pq_n_streams"),
+        metrics.ratio(F.sum("n_uas"), n).alias("uas"), metrics.ratio(F.sum("n_las"), n).alias("las"), n.alias("n_pages_scored"), *[F.sum(c).alias(f"_{c}") for c in ("tt", "tf", "ft", "ff")]).filter("pq_n_streams > 0 OR n_pages_scored > 0")
+    flags = F.array(*[F.struct(F.lit(a).alias("true"), F.lit(b).alias("pred"), F.col(f"_{c}").alias("n")) for a, b, c in ((True, True, "tt"), (True, False, "tf"), (False, True, "ft"), (False, False, "ff"))])
+    out = saved(out)
+    start = metrics.summary(metrics.per_class(out.select(*by, F.explode(flags).alias("f")).select(*by, "f.*").filter("n > 0"), by), by)
     start = start.select(*by, F.col("macro_precision").alias("start_macro_precision"), F.col("macro_recall").alias("start_macro_recall"), F.col("macro_f1").alias("start_macro_f1"), F.col("accuracy").alias("start_accuracy"))
-    doc = metrics.summary(metrics.per_class(end_to_end(pages, classes, by), by, classes), by)
+    typed = cells.groupBy(*by, "document_type", "predicted_document_type", "_t", "_p").agg(F.sum("k").alias("n"))
+    typed = typed.join(known.withColumnsRenamed({"_label": "document_type", "_in": "_kt"}), "document_type").join(known.withColumnsRenamed({"_label": "predicted_document_type", "_in": "_kp"}), "predicted_document_type", "left")
+    typed = saved(typed)  # vocabularies squared
+    scored = typed.filter("_kp").groupBy(*by).agg(F.sum("n").alias("n_doctype_pages_scored"))
+    counts = typed.filter("_t").groupBy(*by, F.col("document_type").alias("true"), F.when(F.col("_p") & F.col("_kp").isNotNull(), F.col("predicted_document_type")).alias("pred")).agg(F.sum("n").alias("n"))
+    doc = metrics.summary(metrics.per_class(counts, by, classes), by)
     doc = doc.select(*by, F.col("accuracy").alias("doc_accuracy_e2e"), F.col("macro_f1").alias("doc_macro_f1_e2e"), F.col("weighted_f1").alias("doc_weighted_f1_e2e"), F.col("n").alias("n_true_start_pages"))
-    vocabulary = F.broadcast(classes.select("label"))
-    kept = pages.join(vocabulary.select(F.col("label").alias("document_type")), "document_type", "left_semi").join(vocabulary.select(F.col("label").alias("predicted_document_type")), "predicted_document_type", "left_semi")
-    scored = kept.groupBy(*by).agg(F.count(F.lit(1)).alias("n_doctype_pages_scored"))
-    out = pq.join(att, by).join(start, by).join(doc, by, "left").join(scored, by, "left").na.fill(0, ["n_doctype_pages_scored"])
+    out = out.drop("_tt", "_tf", "_ft", "_ff").join(start, by).join(doc, by, "left").join(scored, by, "left").na.fill(0, ["n_doctype_pages_scored"])
     if score is not None:
-        out = out.join(metrics.roc_auc(flags, F.col("_t"), score, by).withColumnRenamed("auc", "start_roc_auc"), by, "left")
+        auc = metrics.roc_auc(pages.withColumn("_t", is_start(F.col("start_page"), "lower")), F.col("_t"), score, by)
+        out = out.join(auc.withColumnRenamed("auc", "start_roc_auc"), by, "left")
     return out
 
 

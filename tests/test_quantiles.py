@@ -29,8 +29,7 @@ def test_without_groups(spark):
 
 
 @pytest.mark.parametrize("n, n_strata, by", [(701, 4, ()), (300, 3, ("draw",)), (5, 4, ()), (64, 4, ())])
-def test_strata_counted_in_blocks(spark, monkeypatch, n, n_strata, by):
-    monkeypatch.setattr(C, "_BLOCKS", 7)
+def test_strata_counted_in_ranges(spark, n, n_strata, by):
     rng = np.random.default_rng(n)
     types = spark.createDataFrame([(t,) for t in "abcd"], "type string")
     rows = [(k, f"d{i:04d}", t, 1) for k in range(2 if by else 1) for i in range(n) for t in "abcd" if rng.random() < 0.45]
