@@ -155,6 +155,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, en
     file (its place in the order), path, start (ids in the files before), n_docs, n_ids, n_sequences.
 
     Every document, an empty or null text too, ends in ``end_id``. Rows that repeat an id follow each other by their text; null ids come first.
+    Long texts are encoded whole, a part at a time; an empty table gives no file; other columns take no part, whatever their names.
     """
     text_batches(docs.sparkSession)
     spark = docs.sparkSession

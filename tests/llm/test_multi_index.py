@@ -88,3 +88,16 @@ def test_few_and_no_rows(spark):
     assert sorted((x["query_id"], x["rank"], x["vec_id"]) for x in got) == [(0, 1, 3), (3, 1, 0)]
     empty = I.build(df.filter("false"), 5)
     assert I.search(empty, empty.rows.select("vec_id", "vec")).count() == 0
+
+
+def test_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    r = np.random.default_rng(8)
+    df = spark.createDataFrame([(i, r.normal(size=8).tolist(), 0) for i in range(60)], SCHEMA)
+    other = df
+    for c in ("id", "v", "query_id", "rank", "score", "cell", "part", "row", "_id", "_v", "block"):
+        other = other.withColumn(c, F.lit("x"))
+    indexes = [I.build(d, 5) for d in (df, other)]
+    a, b = (sorted((x["query_id"], x["rank"], x["vec_id"]) for x in I.search(i, i.rows.filter("vec_id < 9").select("vec_id", "vec")).collect()) for i in indexes)
+    assert a == b and len(a) == 45

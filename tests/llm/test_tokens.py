@@ -154,3 +154,13 @@ def test_packing_keeps_every_id(spark, docs_of, odd_rows):
             at += n
     assert sorted([tuple(r)[:5] for r in got], key=str) == sorted(want, key=str)
     assert P.pack(docs_of(spark, [])).count() == 0
+
+
+def test_token_files_of_clashing_columns(spark, docs_of, tmp_path):
+    from pyspark.sql import functions as F
+
+    docs = docs_of(spark, [(3, "b c"), (1, "a"), (2, None)])
+    want = sorted(map(tuple, T.read_tokens(T.write_tokens(docs, f"file://{tmp_path}/a")).collect()))
+    for c in ("path", "ids", "start", "n_ids", "n_tokens", "slot", "id", "body", "_id", "_body", "part"):
+        docs = docs.withColumn(c, F.lit("x"))
+    assert sorted(map(tuple, T.read_tokens(T.write_tokens(docs, f"file://{tmp_path}/b")).collect())) == want and len(want) == 3
