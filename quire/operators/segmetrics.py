@@ -89,15 +89,15 @@ def detection_conditional(pages: DataFrame, classes: DataFrame, by=()) -> DataFr
 def pair_metrics(pages: DataFrame, classes: DataFrame, by: list[str], score: str | None = None) -> DataFrame:
     """All metrics of each configuration (``by``, not empty): start, end to end, panoptic, attachment.
 
-    One pass over the sequences: pages of the same pair of segments and labels become one row of counts, and all sums of a sequence follow from these without another shuffle, as they are
-    dealt by sequence already. Configurations then are sums over a written table of a few rows for each sequence.
+    Pages are segmented once, and those of the same pair of segments, labels and flags become one row of counts, which is written. All sums of a sequence follow from these in one pass,
+    and configurations are sums over sequences and over pairs of labels.
     """
     from pyspark.sql import Window
 
     seq = (*by, "dossier")
     known = F.broadcast(classes.select(F.col("label").alias("_label"), F.lit(True).alias("_in")))  # a vocabulary
     seg = both(pages, seq).withColumns({"_t": is_start(F.col("start_page"), "lower"), "_p": is_start(F.col("predicted_start_page"), "lower")})
-    cells = seg.groupBy(*seq, "true_head", "pred_head", "document_type", "predicted_document_type", "_t", "_p").agg(F.count(F.lit(1)).alias("k"))
+    cells = saved(seg.groupBy(*seq, "true_head", "pred_head", "document_type", "predicted_document_type", "_t", "_p").agg(F.count(F.lit(1)).alias("k")))
 
     def sums(keys, order=None):
         w = Window.partitionBy(*seq, *keys)
@@ -120,7 +120,6 @@ def pair_metrics(pages: DataFrame, classes: DataFrame, by: list[str], score: str
         F.count_if(hit).alias("tp"), F.coalesce(F.sum(F.when(hit, F.col("_shared") / union)), F.lit(0.0)).alias("iou"), F.count_distinct("true_head").alias("t"), F.count_distinct("pred_head").alias("p"),
         of(F.col("true_head").isNotNull()).alias("n_pages"), of(same).alias("n_uas"), of(same & F.col("_tl").eqNullSafe(F.col("_pl"))).alias("n_las"),
         of(t & p).alias("tt"), of(t & ~p).alias("tf"), of(~t & p).alias("ft"), of(~t & ~p).alias("ff"))
-    cells = saved(cells)
     tp = F.col("tp")
     one = F.when(F.col("t") > 0, 1)
     streams = streams.withColumns({"fp": F.col("p") - tp, "fn": F.col("t") - tp, "sq": metrics.ratio(F.col("iou"), tp)})
