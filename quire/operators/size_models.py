@@ -321,6 +321,50 @@ def fitted_cells(model: Model, c, h=None, rounds: int = 30, tolerance: float = 1
     return Fit(model, years, theta, (cov + cov.T) / 2, scale["year"], scale["disp"] if at_disp_year else None)
 
 
+_FITTED = "model string, years array<int>, theta array<double>, cov array<double>, year_sd double, disp_sd double"
+
+
+def fit_all(df: DataFrame, models: list[Model]) -> list[Fit]:
+    """``fitted`` of several models side by side, each in a task of its own from its own aggregates; names have to differ. What comes back is parameters and their covariances."""
+    own = {m.name: m for m in models}
+    if len(own) < len(models):
+        raise ValueError("two models have one name")
+    rows = None
+    for m in models:
+        c = cells(df, m)
+        z = F.array(*[F.col(f"disp_{t}") for t in m.spread]).cast("array<double>")
+        part = c.select(F.lit(m.name).alias("model"), "travel_year", F.array(*[F.col(t) for t in m.terms]).cast("array<double>").alias("x"), z.alias("z"), F.col("n").cast("double").alias("n"), F.col("total").cast("double").alias("total"), F.col("trials").cast("double").alias("trials"), F.lit(None).cast("double").alias("y"))
+        if m.family in COUNTED:
+            h = outcome_counts(df, m)
+            year = F.col("travel_year") if m.dispersion == "iid" else F.lit(0)
+            null = F.lit(None).cast("double")
+            part = part.unionByName(h.select(F.lit(m.name).alias("model"), year.alias("travel_year"), F.lit(None).cast("array<double>").alias("x"), z.alias("z"), F.col("n").cast("double").alias("n"), null.alias("total"), null.alias("trials"), F.col("y").cast("double").alias("y")))
+        rows = part if rows is None else rows.unionByName(part)
+
+    def fit(key, part):
+        import pandas as pd
+
+        if len(part) > 2 * MOST_CELLS:
+            raise ValueError(f"more than {MOST_CELLS} distinct rows to fit: bin the covariates or round the outcomes")
+        m = own[key[0]]
+
+        def table(some, names, column):
+            values = np.array([list(v) for v in some[column]], float).reshape(len(some), len(names))
+            return {c: values[:, i] for i, c in enumerate(names)}
+
+        c, h = part[part["y"].isna()], part[part["y"].notna()]
+        spread = [f"disp_{t}" for t in m.spread]
+        c = pd.DataFrame({"travel_year": c["travel_year"].to_numpy(int), **table(c, list(m.terms), "x"), **table(c, spread, "z"), "n": c["n"].to_numpy(), "total": c["total"].to_numpy(), "trials": c["trials"].to_numpy()})
+        h = pd.DataFrame({**table(h, spread, "z"), "travel_year": h["travel_year"].to_numpy(int), "y": h["y"].to_numpy(), "n": h["n"].to_numpy()})
+        f = fitted_cells(m, c, h)
+        return pd.DataFrame([{"model": m.name, "years": f.years, "theta": f.theta, "cov": f.cov.ravel(), "year_sd": f.year_sd, "disp_sd": f.dispersion_year_sd}])
+
+    found = {r["model"]: r for r in rows.groupBy("model").applyInPandas(fit, _FITTED).collect()}  # a row for each model
+    if len(found) < len(models):
+        raise ValueError("no rows to fit")
+    return [Fit(m, list(r["years"]), np.array(r["theta"]), np.array(r["cov"]).reshape(len(r["theta"]), -1), r["year_sd"], r["disp_sd"]) for m in models for r in [found[m.name]]]
+
+
 def half_normal_scale(squares: float, n: float, scale: float) -> float:
     """The standard deviation of n effects whose expected squares sum to ``squares``, under a half-normal prior of that scale."""
     return math.sqrt((-n + math.sqrt(n * n + 4 * squares / scale**2)) / 2) * scale
@@ -400,11 +444,12 @@ def compared(df: DataFrame, fits: list[Fit], draws: int = 200) -> DataFrame:
 
 def temporal_search(df: DataFrame, outcome: str = "num_docs", covariates: dict[str, str] | None = None) -> tuple[Fit, DataFrame]:
     """(the winner, the comparisons of both stages): the best structure of the mean first, then, on it, the best of the dispersion."""
-    first = [fitted(df, m) for m in over_time(outcome, covariates)]
+    first = fit_all(df, over_time(outcome, covariates))
     mean = compared(df, first)
     winner = mean.filter("rank = 0").first()["model"]
     chosen = next(f for f in first if f.model.name == winner)
-    second = [fitted(df, m) if m.dispersion != "constant" else Fit(m, chosen.years, chosen.theta, chosen.cov, chosen.year_sd, None) for m in with_dispersions(chosen.model)]
+    kinds = with_dispersions(chosen.model)
+    second = [Fit(m, chosen.years, chosen.theta, chosen.cov, chosen.year_sd, None) for m in kinds if m.dispersion == "constant"] + fit_all(df, [m for m in kinds if m.dispersion != "constant"])
     disp = compared(df, second)
     last = disp.filter("rank = 0").first()["model"]
     return next(f for f in second if f.model.name == last), mean.withColumn("stage", F.lit("mean")).unionByName(disp.withColumn("stage", F.lit("dispersion")))

@@ -62,14 +62,14 @@ def corrected_sizes(spark, d):
 def size_models(spark, d):
     """Coefficients of A, A_era, B and C."""
     rows = distinct(dossiers(spark, d))
-    return rounded(S.coefficients(spark, [S.fitted(rows, m) for m in S.by_persons()]), 6)
+    return rounded(S.coefficients(spark, S.fit_all(rows, S.by_persons())), 6)
 
 
 @query("size_models_compared")
 def size_models_compared(spark, d):
     """A, A_era, B, C and the three-group models, by expected log predictive density."""
     rows = distinct(dossiers(spark, d))
-    return rounded(S.compared(rows, [S.fitted(rows, m) for m in [*S.by_persons(), *S.by_age_groups()]]), 6)
+    return rounded(S.compared(rows, S.fit_all(rows, [*S.by_persons(), *S.by_age_groups()])), 6)
 
 
 @query("size_over_time")
@@ -91,14 +91,14 @@ def adults_of_persons(spark, d):
     rows = distinct(dossiers(spark, d))
     models = [m for f in ("binomial", "beta_binomial") for m in S.over_time("num_adults", None, f, "num_persons")]
     named = [S.Model(f"{m.family}_{m.name}", m.outcome, m.terms, m.dispersion, m.family, m.trials) for m in models]
-    return rounded(S.compared(rows, [S.fitted(rows, m) for m in named]), 6)
+    return rounded(S.compared(rows, S.fit_all(rows, named)), 6)
 
 
 @query("corrected_size_models")
 def corrected_size_models(spark, d):
     """The three-group models and the search over time, with expected numbers of documents."""
     rows = distinct(corrected(spark, d))
-    groups = S.compared(rows, [S.fitted(rows, m) for m in S.by_age_groups()]).withColumn("stage", F.lit("groups"))
+    groups = S.compared(rows, S.fit_all(rows, S.by_age_groups())).withColumn("stage", F.lit("groups"))
     return rounded(groups.unionByName(S.temporal_search(rows, covariates=SPLIT)[1]), 6)
 
 
@@ -121,7 +121,7 @@ def _points(spark, d, names=None, by=None):
     columns = ["era", "year_c", "num_persons", "num_adults", "num_minors", "minor_lt16", "preadult_16_17", "adult_18plus", "num_docs", *(by or [])]
     rows = saved(S.reduced(rows, columns))
     models = [m for m in [*S.by_persons(), *S.by_age_groups()] if m.name in (names or _GRID)]
-    return saved(L.pointwise(rows, [S.fitted(rows, m) for m in models], 500, by)), [m.name for m in models]
+    return saved(L.pointwise(rows, S.fit_all(rows, models), 500, by)), [m.name for m in models]
 
 
 @query("size_models_loo")

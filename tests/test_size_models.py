@@ -120,3 +120,18 @@ def test_reduced_rows_give_the_same_fit(spark):
     assert np.allclose(a.theta, b.theta, atol=1e-6) and np.allclose(a.cov, b.cov, atol=1e-6)
     a, b = (S.compared(x, [f], 20).first() for x, f in ((rows, a), (less, a)))
     assert a["n"] == b["n"] == 500 and abs(a["elpd"] - b["elpd"]) < 1e-6
+
+
+def test_fits_side_by_side_are_those_one_by_one(spark):
+    df = dossiers(spark, 1200)
+    plain = S.by_persons()[2]
+    models = [plain, S.by_persons()[3], *S.with_dispersions(S.Model("x", "num_docs", plain.terms))[1:], S.Model("share", "heads", {"trend": "year_c"}, family="beta_binomial", trials="num_persons"),
+              S.Model("odds", "heads", family="binomial", trials="num_persons"), S.Model("some", "num_docs", plain.terms, family="truncated")]
+    for m, f in zip(models, S.fit_all(df, models)):
+        one = S.fitted(df, m)
+        assert f.model == m and f.years == one.years and np.allclose(f.theta, one.theta, atol=1e-5) and np.allclose(f.cov, one.cov, atol=1e-5) and np.isclose(f.year_sd, one.year_sd, atol=1e-5)
+        assert (f.dispersion_year_sd is None) == (one.dispersion_year_sd is None)
+    with pytest.raises(ValueError):
+        S.fit_all(df.filter("false"), models)
+    with pytest.raises(ValueError):
+        S.fit_all(df, [plain, plain])
