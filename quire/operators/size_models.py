@@ -148,12 +148,13 @@ def _slopes(model: Model, eta, la, n, total, trials):
     a = np.exp(la)
     if model.family in COUNTED:
         mu = np.exp(np.clip(eta, -30, 30))
-        share = a / (a + mu)
-        value, d_eta, d_la = (n * a + total) * np.log(share) + total * (eta - la), (total - n * mu) * share, a * (n * (np.log(share) + 1 - share) - total / (a + mu))
+        share, rest, kept = a / (a + mu), mu / (a + mu), np.log1p(mu / a)
+        slack = a * (rest - kept)  # derivative of the log of share ** a by log dispersion
+        value, d_eta, d_la = total * eta - (n * a + total) * kept, (total - n * mu) * share, n * slack + total * rest
         if model.family == "truncated":  # less the log of the probability of a count above 0
-            none = np.minimum(a * np.log(share), -1e-12)
+            none = np.minimum(-a * kept, -1e-12)
             odds = n * np.exp(none) / -np.expm1(none)
-            value, d_eta, d_la = value - n * np.log(-np.expm1(none)), d_eta - odds * a * (1 - share), d_la + odds * a * (np.log(share) + 1 - share)
+            value, d_eta, d_la = value - n * np.log(-np.expm1(none)), d_eta - odds * a * rest, d_la + odds * slack
         return value, d_eta, d_la
     p = 1 / (1 + np.exp(-np.clip(eta, -30, 30)))
     one, two, miss = p * a, (1 - p) * a, trials - total
@@ -162,9 +163,21 @@ def _slopes(model: Model, eta, la, n, total, trials):
     return n * value, n * (d1 - d2) * a * p * (1 - p), n * a * (p * d1 + (1 - p) * d2 + both)
 
 
+def _rising(a, y):
+    """(log gamma(a + y) - log gamma(a) - y log a, its derivative by log a), right to the last digits also where a is so large that the differences nearly vanish."""
+    z = a + 8
+    tail = lambda z: 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - 1 / (1680 * z**7)
+    slope = lambda z: 1 / (12 * z**2) - 1 / (120 * z**4) + 1 / (252 * z**6) - 1 / (240 * z**8)
+    grown = np.log1p(y / z)
+    value = (z + y - 0.5) * grown - y + y * np.log1p(8 / a) + tail(z + y) - tail(z) - sum(np.log1p(y / (a + i)) for i in range(8))
+    d_log = a * grown - y + a * (y / (2 * z * (z + y)) + slope(z) - slope(z + y) + sum(y / ((a + i) * (a + y + i)) for i in range(8)))
+    return value, d_log
+
+
 def _count_part(la, y, n):
-    a = np.exp(la)
-    return n * (log_gamma(y + a) - log_gamma(a) - log_gamma(y + 1)), n * a * (digamma(y + a) - digamma(a))
+    """What counts alone add, less y times the log dispersion, which _slopes leaves out too."""
+    value, d_log = _rising(np.exp(la), y)
+    return n * (value - log_gamma(y + 1)), n * d_log
 
 
 @dataclass

@@ -135,3 +135,14 @@ def test_fits_side_by_side_are_those_one_by_one(spark):
         S.fit_all(df.filter("false"), models)
     with pytest.raises(ValueError):
         S.fit_all(df, [plain, plain])
+
+
+def test_many_counts_close_to_poisson_have_a_mode():
+    """Their dispersion is large, where differences of log gammas lose their digits: the curvature wasn't positive."""
+    years = np.arange(1992, 1999)
+    cells = pd.DataFrame({"travel_year": years, "disp_trend": years - 1995.0, "n": 130_000, "total": 390_000.0, "trials": 0.0})
+    counts = pd.DataFrame([(t - 1995.0, y, 26_000) for t in years for y in range(1, 6)], columns=["disp_trend", "y", "n"])
+    fit = S.fitted_cells(S.Model("m", "y", {}, "trend"), cells, counts)
+    assert np.linalg.eigvalsh(fit.cov).min() > 0 and np.isfinite(fit.draws(5)).all()
+    value, slope = S._rising(np.array([0.5, 1e12]), np.array([3.0, 3.0]))
+    assert value[0] == pytest.approx(math.log(0.5 * 1.5 * 2.5 / 0.125)) and value[1] == pytest.approx(3e-12, rel=0.01) and slope[1] == pytest.approx(-3e-12, rel=0.5)
