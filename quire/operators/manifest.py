@@ -37,6 +37,15 @@ def existing_files(spark, root: str, pattern: str = "*") -> DataFrame:
     return files.select("path", F.col("modificationTime").alias("modified"), "length")
 
 
+def existing_tables(spark, root: str, suffix: str = ".parquet") -> DataFrame:
+    """name, length of all tables below a folder: files with this suffix, and folders with it by the total of such files in them."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    below = F.substring("path", len(whole.rstrip("/")) + 2, 1 << 30)
+    table = F.filter(F.split(below, "/"), lambda x: x.endswith(suffix))[0]  # the outermost
+    return existing_files(spark, root, "*" + suffix).groupBy(table.alias("name")).agg(F.sum("length").alias("length"))
+
+
 def missing_files(df: DataFrame, files: DataFrame, column: str) -> DataFrame:
     """Rows whose path isn't among ``files`` (path); a null path is missing."""
     return df.join(files.select(F.col("path").alias(column)), column, "left_anti")
