@@ -69,10 +69,12 @@ def carry_forward(spark, d):
   CASE WHEN b.predicted_start_page = 'yes' THEN b.predicted_document_type END AS predicted_document_type, CASE WHEN b.predicted_start_page = 'yes' THEN b.document_type_confidence END AS document_type_confidence
   FROM eh a JOIN eh b ON a.dossier = b.dossier AND a.pred_head = b.page_num""")
 def predict_two_stage(spark, d):
-    pages = X.event_pages(spark, d)
+    pages = X.event_pages(spark, d).withColumn("start_score", X.start_score(F.col("predicted_start_page")))
     types = pages.select("dossier", "page_num", "predicted_document_type", "document_type_confidence")
-    base = pages.select("dossier", "page_num", "start_probability")
-    out = segments.predicted_documents(base, "start_probability", lambda heads: heads.select("dossier", "page_num").join(types, ["dossier", "page_num"]))
+    # The probability as given decides; its six digits, which are shown, can be 0.5 on either side.
+    base = pages.select("dossier", "page_num", "start_probability", "start_score")
+    out = segments.predicted_documents(base, "start_score", lambda heads: heads.select("dossier", "page_num").join(types, ["dossier", "page_num"]))
+    out = out.withColumn("start_page_confidence", F.greatest("start_probability", 1 - F.col("start_probability")))
     return rounded(out.select("dossier", "page_num", "predicted_start_page", "start_page_confidence", "predicted_segment_id", "predicted_document_type", "document_type_confidence"), 6)
 
 

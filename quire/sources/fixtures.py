@@ -23,6 +23,12 @@ def u(column: str, salt: str):
     return uniform(column, F.lit(salt))
 
 
+def start_score(pred, row: str = "row_id"):
+    """The probability of a start in all its digits: from 0.5 on where one is predicted."""
+    p = u(row, "sp")
+    return F.when(pred == "yes", 0.5 + 0.5 * p).otherwise(0.5 * p)
+
+
 def event_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's events in time order as a dossier's pages, with noisy predictions and confidences."""
     e = table(spark, sf_dir, "events")
@@ -31,11 +37,10 @@ def event_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     flipped = F.when(start == "yes", "no").otherwise("yes")
     pred = F.when(u(i, "flip") < 0.1, flipped).otherwise(start)
     kind = F.when(u(i, "noise") < 0.15, pick(u(i, "alt"), EVENT_TYPES)).otherwise(F.col("event_type"))
-    p = u(i, "sp")
     return e.select(
         F.col("user_id").cast("string").alias("dossier"), F.row_number().over(Window.partitionBy("user_id").orderBy("ts", i)).alias("page_num"), F.col(i).alias("row_id"),
         F.col("event_type").alias("document_type"), start.alias("start_page"), pred.alias("predicted_start_page"), kind.alias("predicted_document_type"),
-        F.round(0.2 + 0.8 * u(i, "conf"), 6).alias("document_type_confidence"), F.round(F.when(pred == "yes", 0.5 + 0.5 * p).otherwise(0.5 * p), 6).alias("start_probability"),
+        F.round(0.2 + 0.8 * u(i, "conf"), 6).alias("document_type_confidence"), F.round(start_score(pred, i), 6).alias("start_probability"),
         "value", "ts")
 
 

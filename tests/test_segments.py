@@ -115,3 +115,16 @@ def test_empty_tables(spark):
     both = segmetrics.both(empty)
     r = segmetrics.panoptic_quality(segmetrics.stream_quality(both)).first()
     assert (r["pq"], r["n_streams"]) == (0.0, 0)
+
+
+def test_probabilities_that_round_to_a_half_are_no_starts(spark, tmp_path, monkeypatch):
+    from quire import catalog
+    from quire.sources import fixtures
+
+    real = fixtures.u
+    monkeypatch.setattr(fixtures, "u", lambda c, salt: F.lit(0.9999999) if salt == "sp" else real(c, salt))
+    rows = [(i, 1, "view", 1.0, i) for i in range(40)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, ts long").write.parquet(str(tmp_path / "events.parquet"))
+    flags = {r["page_num"]: r["predicted_start_page"] for r in fixtures.event_pages(spark, str(tmp_path)).collect()}
+    got = {r["page_num"]: r["predicted_start_page"] for r in catalog.QUERIES["predict_two_stage"](spark, str(tmp_path)).collect()}
+    assert got == flags and set(flags.values()) == {"yes", "no"}
