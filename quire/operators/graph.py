@@ -1,4 +1,4 @@
-"""Connected components by least labels, with pointer jumping."""
+"""Connected components by contraction: least neighbours, with pointer jumping."""
 
 from __future__ import annotations
 
@@ -22,17 +22,32 @@ def saved(df: DataFrame) -> DataFrame:
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """id, component (the least id reachable) of every id in ``edges`` (src, dst).
+    """id, component (the least id reachable) of every id in ``edges`` (src, dst). An edge with a null end only names its other one.
 
-    A round takes the least label among neighbours, then the label of that label, so long chains need few rounds. Labels only fall, so the rounds end.
+    A round joins every id with its least neighbour; trees of these become one id, their least, and edges between trees the next round's. Each tree has two ids or more, so the ids that still have edges
+    are at most half as many after a round: rounds grow with the logarithm of the ids, and what all of them read with the ids themselves.
     """
-    both = saved(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    state = saved(both.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("m")).select("id", F.least("id", "m").alias("component")))
-    while True:
-        near = both.join(state.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("component").alias("near"))
-        step = state.join(near, "id").select("id", F.col("component").alias("was"), F.least("component", "near").alias("now"))
-        jump = state.select(F.col("id").alias("now"), F.col("component").alias("jump"))
-        step = saved(step.join(jump, "now", "left").select("id", "was", F.least("now", F.coalesce("jump", "now")).alias("component")))
-        if step.filter("was <> component").isEmpty():
-            return step.select("id", "component")
-        state = step.select("id", "component")
+    both = saved(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).filter("src is not null").distinct())
+    ids = both.select(F.col("src").alias("id")).distinct()
+    links, levels = saved(both.filter("src <> dst")), []
+    while not links.isEmpty():
+        up = links.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("up"))
+        # Only two ids can be each other's least neighbour, no more go round in a circle: the lesser is the root.
+        back = up.select(F.col("id").alias("up"), F.col("up").alias("_back"))
+        up = saved(up.join(back, "up").select("id", F.when((F.col("_back") == F.col("id")) & (F.col("id") < F.col("up")), F.col("id")).otherwise(F.col("up")).alias("up")))
+        while True:
+            further = saved(up.join(up.select(F.col("id").alias("up"), F.col("up").alias("_up")), "up").select("id", F.col("_up").alias("up"), (F.col("_up") != F.col("up")).alias("moved")))
+            up = further.select("id", "up")
+            if further.filter("moved").isEmpty():
+                break
+        levels.append(up)
+        ends = links.join(up.select(F.col("id").alias("src"), F.col("up").alias("_src")), "src").join(up.select(F.col("id").alias("dst"), F.col("up").alias("_dst")), "dst")
+        links = saved(ends.select(F.col("_src").alias("src"), F.col("_dst").alias("dst")).filter("src <> dst").distinct())
+    found = None  # of the ids of the rounds after, back to the first
+    for up in reversed(levels):
+        if found is not None:
+            up = up.join(found.select(F.col("id").alias("up"), "component"), "up", "left").select("id", F.coalesce("component", "up").alias("up"))
+        found = saved(up.withColumnRenamed("up", "component"))
+    if found is None:
+        return ids.select("id", F.col("id").alias("component"))
+    return ids.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))

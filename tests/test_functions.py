@@ -182,3 +182,33 @@ def test_fields_of_a_turned_page(spark):
     assert found.filter("page = 1").count() == 4 and found.filter("page = 2").count() == 2
     got = forms.located_fields(found, [("date", 420.0, 90.0, 520.0, 115.0)]).collect()
     assert len(got) == 1 and np.allclose(got[0][2:], [*at(420, 90), *at(520, 115)], atol=1e-6)
+
+
+def test_components_of_long_chains_take_few_rounds(spark, monkeypatch):
+    """Chains in a hashed order: least labels that only spread to neighbours took rounds in proportion to their length."""
+    from pyspark.sql import Window
+
+    from quire.operators import graph
+
+    ids = spark.range(4000).select(F.col("id"), (F.col("id") % 2).alias("g"))
+    chain = ids.select(F.col("id").alias("src"), F.lead("id").over(Window.partitionBy("g").orderBy(F.xxhash64("id"))).alias("dst"))
+    written, save = [], graph.saved
+    monkeypatch.setattr(graph, "saved", lambda df: written.append(1) or save(df))
+    got = {r["id"]: r["component"] for r in graph.connected_components(chain).collect()}
+    assert got == {i: i % 2 for i in range(4000)} and len(written) < 80
+
+
+def test_tables_of_a_folder_are_files_or_folders(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "a.parquet"))
+    spark.range(5).repartition(2).write.parquet(str(tmp_path / "sub" / "b.parquet"))
+    (tmp_path / "c.parquet").write_bytes(b"x")
+    got = {r["name"]: r["length"] > 0 for r in M.existing_tables(spark, str(tmp_path)).collect()}
+    assert got == {"a.parquet": True, "b.parquet": True, "c.parquet": True}
+
+
+def test_page_paths_are_the_statements_beyond_four_digits(spark, tmp_path):
+    from quire import catalog
+
+    spark.createDataFrame([(7, "http://a.b/x"), (12345, "http://a.b/y")], "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["page_id"]: r["path"] for r in catalog.QUERIES["page_paths"](spark, str(tmp_path)).collect()}
+    assert got == {7: "/root/img/a.b/a.b_0007.png", 12345: "/root/img/a.b/a.b_1234.png"}
