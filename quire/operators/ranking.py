@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 from quire.operators.graph import saved
 
 
+def dealt(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """``df`` by ``key``, in so many partitions that each has about ``rows`` rows: what tasks hold for sorts, windows and groups by the key stays bounded, however large the table. ``df`` is counted, so it should be read from files."""
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows))
+    return df.repartition(n, key)
+
+
 def running_total(df: DataFrame, order: list[str], value: Column, out: str, by: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with the sum of ``value`` over all rows before a row in the order (within ``by``), 0 for the first. The order has to be total."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -30,7 +36,8 @@ def least_from_here(df: DataFrame, order: list[str], value: Column, out: str, by
     dealt = saved(df.withColumn("_v", value).repartitionByRange(n, *by, *order).withColumn("_range", F.spark_partition_id()))
     mins = dealt.groupBy(*by, "_range").agg(F.min("_v").alias("_m"))
     after = mins.withColumn("_after", F.min("_m").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(1, Window.unboundedFollowing))).drop("_m")
-    own = F.min("_v").over(Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    # From the end: Spark takes a frame that ends with the partition anew for each row, in quadratic time.
+    own = F.min("_v").over(Window.partitionBy(*by, "_range").orderBy(*[F.col(c).desc() for c in order]).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return dealt.withColumn("_own", own).join(after, [*by, "_range"]).withColumn(out, F.least("_own", "_after")).select(*df.columns, out)
 
 

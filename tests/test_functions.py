@@ -212,3 +212,34 @@ def test_page_paths_are_the_statements_beyond_four_digits(spark, tmp_path):
     spark.createDataFrame([(7, "http://a.b/x"), (12345, "http://a.b/y")], "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
     got = {r["page_id"]: r["path"] for r in catalog.QUERIES["page_paths"](spark, str(tmp_path)).collect()}
     assert got == {7: "/root/img/a.b/a.b_0007.png", 12345: "/root/img/a.b/a.b_1234.png"}
+
+
+def test_hashes_below_a_share_are_their_numbers_below_it(spark):
+    from quire.functions.hashing import below
+
+    shares = [0.0, 0.1, 0.25, 0.5000001, 1.0]
+    rows = spark.range(2000).select(*[(below(p, "id", F.lit("s")) == (uniform("id", F.lit("s")) < p)).alias(f"c{i}") for i, p in enumerate(shares)])
+    assert rows.filter(" AND ".join(rows.columns)).count() == 2000
+
+
+def test_least_values_from_here_look_back_from_the_end(spark):
+    """A frame up to the end of a partition is taken anew for each row, in quadratic time; one from its start isn't."""
+    from quire.operators.ranking import least_from_here
+
+    rows = spark.range(500).select("id", (F.pmod(F.xxhash64("id"), F.lit(1000)) + F.col("id")).alias("x"))
+    found = least_from_here(rows, ["id"], F.col("x"), "m")
+    assert "currentrow$(), unboundedfollowing$()" not in found._jdf.queryExecution().executedPlan().toString().lower().split("_own")[-1]
+    x = {r["id"]: r["x"] for r in rows.collect()}
+    assert {r["id"]: r["m"] for r in found.collect()} == {i: min(x[j] for j in range(i, 500)) for i in x}
+
+
+def test_large_tables_are_dealt_to_more_tasks(spark):
+    from quire.operators.ranking import dealt
+
+    assert dealt(spark.range(1000), "id", 10).rdd.getNumPartitions() == 100 and dealt(spark.range(10), "id", 10).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_draws_of_lines_are_not_shuffled(spark):
+    from quire.queries import sizes
+
+    assert sizes.imputed_line_types(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
