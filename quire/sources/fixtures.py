@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions.hashing import pick, uniform
+from quire.operators.ranking import dealt
 
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 ROLES = ["assistant", "system", "user"]
 LAYOUTS = ["Form", "Letter", "Other"]
 CATEGORIES = ["Administrative", "Medical", "Personal"]
 LANGUAGES = ["de", "en", "es", "fr"]
+#: Rows of these tables that a task windows over.
+EVENTS_A_TASK, LINES_A_TASK = 100_000, 400_000
 ANNOTATORS = ["a1", "a2", "a3", "a4"]
 
 
@@ -31,14 +34,14 @@ def start_score(pred, row: str = "row_id"):
 
 def event_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's events in time order as a dossier's pages, with noisy predictions and confidences."""
-    e = table(spark, sf_dir, "events")
+    e = dealt(table(spark, sf_dir, "events").withColumn("dossier", F.col("user_id").cast("string")), "dossier", EVENTS_A_TASK)
     i = "event_id"
     start = F.when((F.col("event_type") == "signup") | (u(i, "start") < 0.3), "yes").otherwise("no")
     flipped = F.when(start == "yes", "no").otherwise("yes")
     pred = F.when(u(i, "flip") < 0.1, flipped).otherwise(start)
     kind = F.when(u(i, "noise") < 0.15, pick(u(i, "alt"), EVENT_TYPES)).otherwise(F.col("event_type"))
     return e.select(
-        F.col("user_id").cast("string").alias("dossier"), F.row_number().over(Window.partitionBy("user_id").orderBy("ts", i)).alias("page_num"), F.col(i).alias("row_id"),
+        "dossier", F.row_number().over(Window.partitionBy("dossier").orderBy("ts", i)).alias("page_num"), F.col(i).alias("row_id"),
         F.col("event_type").alias("document_type"), start.alias("start_page"), pred.alias("predicted_start_page"), kind.alias("predicted_document_type"),
         F.round(0.2 + 0.8 * u(i, "conf"), 6).alias("document_type_confidence"), F.round(start_score(pred, i), 6).alias("start_probability"),
         "value", "ts")
@@ -56,7 +59,7 @@ def conversation_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order's lines as pages, typed by their flags."""
-    x = table(spark, sf_dir, "lineitem")
+    x = dealt(table(spark, sf_dir, "lineitem"), "l_orderkey", LINES_A_TASK)
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
     key = uniform("l_orderkey", "l_partkey", "l_suppkey", F.lit("start"))
     return x.select(F.col("l_orderkey").alias("dossier"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order)).alias("page_num"),
