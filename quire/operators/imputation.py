@@ -71,7 +71,7 @@ def imputed_types(segs: DataFrame, correction: DataFrame, seed: str, key: list[s
     """A row for each segment and draw: draw, the segment's columns, type as drawn. Boundaries stay."""
     steps = cumulative(correction, by)
     shared = [c for c in by if c in segs.columns]
-    rows = segs.withColumnRenamed("type", "pred").join(steps, [*shared, "pred"])
+    rows = segs.withColumnRenamed("type", "pred").join(F.broadcast(steps), [*shared, "pred"])  # a row for each draw and class
     u = uniform(F.lit(seed), *by, *key)
     return rows.withColumn("type", drawn(F.col("steps"), u)).drop("steps", "pred")
 
@@ -80,7 +80,7 @@ def imputed_starts(pages: DataFrame, correction: DataFrame, seed: str, page: str
     """draw, the page's columns, start: whether a page starts a document in that draw."""
     steps = cumulative(correction, ("draw",))
     flag = F.when(F.col("predicted_start_page") == "yes", "yes").otherwise("no")
-    rows = pages.withColumn("pred", flag).join(steps, "pred")
+    rows = pages.withColumn("pred", flag).join(F.broadcast(steps), "pred")  # two rows for each draw
     u = uniform(F.lit(seed), F.lit("start"), "draw", "dossier", page)
     return rows.withColumn("start", drawn(F.col("steps"), u) == "yes").drop("steps", "pred")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quire.operators import composition as C
 from quire.operators import imputation as I
 from quire.operators import metrics, segments
+from quire.operators.graph import saved
 from quire.queries.reports import grid_sql
 from quire.queries.registry import SQL, labels, query, rounded, types
 from quire.sources import fixture_sql as S
@@ -212,9 +213,9 @@ def impute_joint_counts(spark, d):
   p AS (SELECT k.draw, t.type, count(jc.n) / max(k) AS x FROM k CROSS JOIN t LEFT JOIN jc ON jc.draw = k.draw AND jc.type = t.type GROUP BY 1, 2)
   SELECT type, count(x) AS n, round(avg(x), 8) AS mean, round(stddev_samp(x), 8) AS sd, round(quantile_cont(x, 0.03), 8) AS hdi_3, round(quantile_cont(x, 0.97), 8) AS hdi_97 FROM p GROUP BY 1""")
 def occurrence_corrected(spark, d):
-    counts = impute_joint_counts(spark, d)
+    counts = saved(impute_joint_counts(spark, d))
     dossiers = counts.select("draw", "dossier").distinct()
-    per = C.occurrence(counts, dossiers, types(spark, X.EVENT_TYPES), ("draw",))
+    per = saved(C.occurrence(counts, dossiers, types(spark, X.EVENT_TYPES), ("draw",)))  # the percentiles read it several times
     return rounded(I.pooled(per, ["type"], "prevalence"))
 
 
