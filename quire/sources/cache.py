@@ -41,27 +41,31 @@ def build(pages: DataFrame, folder: str, model: str, make_embedder: Callable, co
     """(keys, pass, v of every row and pass; figures of the build: rows, empty, distinct contents, embedded).
 
     ``make_embedder()`` is made once a task and embeds a pandas frame with ``columns`` and pass, in which an augmentation sees which pass it is. Each distinct content is embedded once a pass; with
-    ``force`` what the cache holds is embedded again and replaced. Contents that are blank are counted, and a warning says when half or more of them are: their vectors would all be alike.
+    ``force`` what the cache holds is embedded again and replaced. ``pages`` is read twice, so it has to give the same rows; its contents are shuffled once, whatever the number of passes, and aren't written: rows go by keys alone. Contents that are blank are counted, and a warning says when half or more of them are: their vectors would all be alike.
     """
     spark = pages.sparkSession
     seen = Observation()
     blank = F.trim(F.concat_ws("", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])) == ""
-    rows = pages.select(*keys, *[c for c in columns if c not in keys], F.explode(F.sequence(F.lit(0), F.lit(passes - 1))).alias("pass"))
-    rows = saved(rows.withColumn("key", content_key(model, F.col("pass"), columns)).observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(blank).alias("empty")))
+    own = F.array(*[content_key(model, F.lit(k), columns) for k in range(passes)])
+    keyed = pages.select(*keys, *[c for c in columns if c not in keys], own.alias("_keys"))
+    rows = saved(keyed.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(blank).alias("empty")).select(*keys, "_keys"))
     known = _held(spark, folder)
-    distinct = rows.groupBy("key", "pass").agg(*[F.first(c).alias(c) for c in columns])
-    wanted = distinct if force else distinct.join(known.select("key"), "key", "left_anti")
+    distinct = rows.select("_keys").distinct().select(F.col("_keys")[0].alias("_content"), F.posexplode("_keys").alias("pass", "key"))
+    lacking = distinct if force else distinct.join(known.select("key"), "key", "left_anti")
+    lacking = lacking.groupBy("_content").agg(F.collect_list(F.struct("key", "pass")).alias("_lacking"))  # a content's passes
+    contents = keyed.groupBy(F.col("_keys")[0].alias("_content")).agg(*[F.first(c).alias(c) for c in columns])
+    wanted = contents.join(lacking, "_content").select(*columns, F.explode("_lacking").alias("_l")).select(*columns, "_l.*")
     new = embed(wanted, make_embedder, [*columns, "pass"], dims, ["key", "pass"])
     generation = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
     placed = saved(new.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int")))
     embedded = placed.count()
     if embedded:
         placed.withColumn("generation", F.lit(generation)).repartition("bucket").write.mode("append").partitionBy("bucket", "generation").parquet(folder)
-    figures = dict(seen.get) | {"distinct": distinct.count(), "embedded": embedded}
+    figures = {k: n * passes for k, n in seen.get.items()} | {"distinct": distinct.count(), "embedded": embedded}
     if figures["rows"] and figures["empty"] / figures["rows"] >= EMPTY_SHARE:
         warnings.warn(f"{figures['empty']} of {figures['rows']} contents are empty: check the columns {columns}", stacklevel=2)
     held = placed.select("key", "v") if force else known.select("key", "v").unionByName(placed.select("key", "v"))
-    return rows.select(*keys, "pass", "key").join(held, "key").select(*keys, "pass", "v"), figures
+    return rows.select(*keys, F.posexplode("_keys").alias("pass", "key")).join(held, "key").select(*keys, "pass", "v"), figures
 
 
 def mean_over_passes(vectors: DataFrame, keys: list[str]) -> DataFrame:

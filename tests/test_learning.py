@@ -235,3 +235,15 @@ def test_a_dead_runners_claim_is_taken_over(spark, tmp_path):
             raise RuntimeError
 
     assert run_jobs(spark, ["y"], twice, str(tmp_path / "ledger"), attempts=2) == {"y": "done"}
+
+
+def test_contents_are_neither_written_nor_multiplied_by_passes(spark, tmp_path, monkeypatch):
+    written, save = [], cache.saved
+    monkeypatch.setattr(cache, "saved", lambda df: written.append(df.columns) or save(df))
+    docs = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b c"), (4, None)], "doc_id long, text string")
+    make = lambda: lambda b: np.stack([b["text"].fillna("").str.len(), b["pass"]], axis=1) if len(b) else np.zeros((0, 2))
+    out, figures = cache.build(docs, str(tmp_path / "c"), "m", make, ["text"], 2, ["doc_id"], 3)
+    assert figures == {"rows": 12, "empty": 3, "distinct": 9, "embedded": 9} and all("text" not in columns for columns in written)
+    got = {(r["doc_id"], r["pass"]): r["v"] for r in out.collect()}
+    assert got == {(i, k): [float(n), float(k)] for i, n in ((1, 1), (2, 1), (3, 3), (4, 0)) for k in range(3)}
+    assert cache.build(docs, str(tmp_path / "c"), "m", make, ["text"], 2, ["doc_id"], 4)[1]["embedded"] == 3
