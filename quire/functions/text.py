@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.parser import HTMLParser
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,59 +51,69 @@ _BLOCKS = {"p", "div", "br", "li", "ul", "ol", "tr", "table", "h1", "h2", "h3",
 _HIDDEN = {"script", "style", "template", "noscript"}
 
 
+class _Reader(HTMLParser):
+    """Made once: a class for each page would stay, with the page's text, until cycles are collected."""
+
+    hidden, link = 0, ""
+
+    def __init__(self, marks: bool):
+        super().__init__(convert_charrefs=True)
+        self.marks, self.out = marks, []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in _HIDDEN:
+            self.hidden += 1
+        if tag in _BLOCKS:
+            self.out.append("\n")
+        if self.marks and not self.hidden:
+            if tag[0] == "h" and tag[1:].isdigit():
+                self.out.append("#" * int(tag[1]) + " ")
+            elif tag == "li":
+                self.out.append("- ")
+            elif tag in ("b", "strong"):
+                self.out.append("**")
+            elif tag in ("i", "em"):
+                self.out.append("*")
+            elif tag == "code":
+                self.out.append("`")
+            elif tag in ("td", "th"):
+                self.out.append("| ")
+            elif tag == "a":
+                self.link = dict(attrs).get("href") or ""
+                self.out.append("[")
+
+    def handle_endtag(self, tag):
+        if tag in _HIDDEN:
+            self.hidden = max(0, self.hidden - 1)
+        if self.marks and not self.hidden:
+            self.out.append({"b": "**", "strong": "**", "i": "*", "em": "*", "code": "`", "td": " ", "th": " "}.get(tag, ""))
+            if tag == "tr":
+                self.out.append("|")
+            if tag == "a":
+                self.out.append(f"]({self.link})")
+        if tag in _BLOCKS:
+            self.out.append("\n")
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.out.append(" ".join(data.split("\n")))
+
+
 def _visible(page: str, marks: bool) -> str:
-    from html.parser import HTMLParser
-
-    out: list[str] = []
-
-    class Reader(HTMLParser):
-        hidden, link = 0, ""
-
-        def handle_starttag(self, tag, attrs):
-            if tag in _HIDDEN:
-                self.hidden += 1
-            if tag in _BLOCKS:
-                out.append("\n")
-            if marks and not self.hidden:
-                if tag[0] == "h" and tag[1:].isdigit():
-                    out.append("#" * int(tag[1]) + " ")
-                elif tag == "li":
-                    out.append("- ")
-                elif tag in ("b", "strong"):
-                    out.append("**")
-                elif tag in ("i", "em"):
-                    out.append("*")
-                elif tag == "code":
-                    out.append("`")
-                elif tag in ("td", "th"):
-                    out.append("| ")
-                elif tag == "a":
-                    self.link = dict(attrs).get("href") or ""
-                    out.append("[")
-
-        def handle_endtag(self, tag):
-            if tag in _HIDDEN:
-                self.hidden = max(0, self.hidden - 1)
-            if marks and not self.hidden:
-                out.append({"b": "**", "strong": "**", "i": "*", "em": "*", "code": "`", "td": " ", "th": " "}.get(tag, ""))
-                if tag == "tr":
-                    out.append("|")
-                if tag == "a":
-                    out.append(f"]({self.link})")
-            if tag in _BLOCKS:
-                out.append("\n")
-
-        def handle_data(self, data):
-            if not self.hidden:
-                out.append(" ".join(data.split("\n")))
-
-    reader = Reader(convert_charrefs=True)
+    reader = _Reader(marks)
     reader.feed(page)
     reader.close()
-    lines = (" ".join(line.split()) for line in "".join(out).split("\n"))
+    lines = (" ".join(line.split()) for line in "".join(reader.out).split("\n"))
     return "\n".join(line for line in lines if line)
 
 
+def small_batches(spark, rows: int = 500) -> None:
+    """Fewer rows in an Arrow batch than the default 10,000, so that a worker holds a few whole pages and their texts at a time; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 @F.pandas_udf(StringType())
 def pagexml_text(documents: pd.Series) -> pd.Series:
     """Of each TextLine the first TextEquiv's Unicode text that isn't empty, trimmed, a line each. Null, empty or broken XML gives ''."""

@@ -243,3 +243,20 @@ def test_draws_of_lines_are_not_shuffled(spark):
     from quire.queries import sizes
 
     assert sizes.imputed_line_types(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_pages_leave_nothing_to_collect(spark):
+    """A class for each page was garbage in cycles, and held the page's text."""
+    import gc
+
+    gc.collect()
+    gc.disable()
+    try:
+        assert [text._visible(f"<p>{i} <b>x</b>", True) for i in range(20)] == [f"{i} **x**" for i in range(20)]
+        assert gc.collect() < 20
+    finally:
+        gc.enable()
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    text.small_batches(spark)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 500
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
