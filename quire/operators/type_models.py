@@ -48,17 +48,40 @@ def type_cells(meta: DataFrame, counts: DataFrame, terms: dict[str, str], by: li
     ``meta``: a row for each dossier (and ``within``, such as a period that it belongs to) with travel_year and covariates; ``counts``: dossier, type, n (above 0) and ``by``, such as a draw. A pair of dossier
     and type without a row counts as 0 in every draw that there is; dossiers with a null year or covariate go. ``part``: 'negative_binomial', 'binomial' (total is the number of dossiers with a document; no outcome counts) or 'truncated' (dossiers with a document alone).
     """
+    return cells_of(joint_cells(meta, counts, terms, by, within), {t: t for t in terms}, by, within, part)
+
+
+def joint_cells(meta: DataFrame, counts: DataFrame, columns: dict[str, str], by: list[str] | tuple = (), within: list[str] | tuple = ()) -> tuple[DataFrame, DataFrame]:
+    """Aggregates, written down, that ``type_cells`` and ``type_scores`` read instead of dossiers: (within, travel_year, ``columns``, n dossiers; the same with by, type and y, n dossiers with y documents).
+
+    One pass over meta and one over counts, whose pairs of by and type are all among the second, with a null year where no dossier of ``meta`` has them.
+    """
+    names = list(columns)
+    d = meta.select("dossier", *within, F.col("travel_year").cast("int").alias("travel_year"), *[F.expr(e).cast("double").alias(c) for c, e in columns.items()]).dropna(subset=["dossier", "travel_year", *names])
+    design = [*within, "travel_year", *names]
+    whole = saved(d.groupBy(*design).agg(F.count(F.lit(1)).alias("n")))
+    met = counts.select("dossier", *by, "type", F.col("n").cast("double").alias("y")).join(d.hint("shuffle_hash"), "dossier", "left")  # of dossiers, a task's share
+    return whole, saved(met.groupBy(*design, *by, "type", "y").agg(F.count(F.lit(1)).alias("n")))
+
+
+def _regrouped(cells: tuple[DataFrame, DataFrame], terms: dict[str, str], by, within) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(whole, met, by and type that there are) by ``terms``, expressions of the columns of ``joint_cells``."""
+    whole, met = cells
+    design = [*within, "travel_year", *[F.expr(e).cast("double").alias(t) for t, e in terms.items()]]
+    kinds = met.select(*by, "type").distinct()
+    return whole.groupBy(*design).agg(F.sum("n").alias("n")), met.filter("travel_year IS NOT NULL AND y > 0").groupBy(*design, *by, "type", "y").agg(F.sum("n").alias("n")), kinds
+
+
+def cells_of(cells: tuple[DataFrame, DataFrame], terms: dict[str, str], by: list[str] | tuple = (), within: list[str] | tuple = (), part: str = "negative_binomial") -> DataFrame:
+    """``type_cells`` from ``joint_cells``, whose columns ``terms`` are expressions of."""
     names = list(terms)
-    d = meta.select("dossier", *within, F.col("travel_year").cast("int").alias("travel_year"), *[F.expr(e).cast("double").alias(t) for t, e in terms.items()]).dropna(subset=["dossier", "travel_year", *names])
+    whole, met, kinds = _regrouped(cells, terms, by, within)
     design, scope = [*within, "travel_year", *names], [*within, *by, "type"]
-    met = counts.filter("n > 0").select("dossier", *by, "type", F.col("n").cast("double").alias("y")).join(d, "dossier")
-    had = met.groupBy(*design, *by, "type").agg(F.sum("y").alias("total"), F.count(F.lit(1)).alias("some"))
-    outcome = met.groupBy(*scope, "y").agg(F.count(F.lit(1)).alias("n"))
+    had = met.groupBy(*design, *by, "type").agg(F.sum(F.col("y") * F.col("n")).alias("total"), F.sum("n").alias("some"))
+    outcome = met.groupBy(*scope, "y").agg(F.sum("n").alias("n"))
     if part == "truncated":
         found = had.select(*scope, "travel_year", *names, F.col("some").alias("n"), "total")
     else:
-        whole = d.groupBy(*design).agg(F.count(F.lit(1)).alias("n"))
-        kinds = counts.select(*by, "type").distinct()
         found = whole.crossJoin(kinds).join(had, [*design, *by, "type"], "left")  # design rows for each type: aggregates both
         total = F.coalesce("some" if part == "binomial" else "total", F.lit(0)).cast("double")
         found = found.select(*scope, "travel_year", *names, "n", total.alias("total"))
@@ -217,14 +240,18 @@ def expected_as_counts(expected: DataFrame, digits: int = 2) -> DataFrame:
 
 def type_scores(meta: DataFrame, counts: DataFrame, fits: DataFrame, terms: dict[str, str], draws: int = 500) -> DataFrame:
     """type, n, elpd, se, p_loo, n_bad: leave-one-out scores of each type's fit over all dossiers, zeros among them; distinct (design, outcome) rows are scored where they lie."""
+    return scores_of(joint_cells(meta, counts, terms), fits, {t: t for t in terms}, draws)
+
+
+def scores_of(cells: tuple[DataFrame, DataFrame], fits: DataFrame, terms: dict[str, str], draws: int = 500) -> DataFrame:
+    """``type_scores`` from ``joint_cells``."""
     from quire.operators.loo import BAD_K, _log_sum, smoothed_weights
     from quire.operators.size_models import likelihoods
 
     names = list(terms)
-    d = meta.select("dossier", F.col("travel_year").cast("int").alias("travel_year"), *[F.expr(e).cast("double").alias(t) for t, e in terms.items()]).dropna()
+    whole, had, kinds = _regrouped(cells, terms, (), ())
     design = ["travel_year", *names]
-    had = counts.filter("n > 0").select("dossier", "type", F.col("n").cast("double").alias("y")).join(d, "dossier").groupBy("type", *design, "y").agg(F.count(F.lit(1)).alias("n"))
-    whole = d.groupBy(*design).agg(F.count(F.lit(1)).alias("n")).crossJoin(counts.select("type").distinct())  # design rows for each type
+    whole = whole.crossJoin(kinds)  # design rows for each type
     left = whole.join(had.groupBy("type", *design).agg(F.sum("n").alias("some")), ["type", *design], "left")
     zeros = left.select("type", *design, F.lit(0.0).alias("y"), (F.col("n") - F.coalesce("some", F.lit(0))).alias("n")).filter("n > 0")
     rows = had.select("type", *design, "y", "n").unionByName(zeros)
