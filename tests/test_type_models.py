@@ -168,3 +168,15 @@ def test_draws_are_fitted_as_each_would_be_alone(spark):
     alone = {r["type"]: r for r in T.fit_types(T.type_cells(meta, counts.filter("draw = 2").drop("draw"), TERMS), TERMS, rounds=3, tolerance=0.0).collect()}
     for t, r in alone.items():
         assert np.allclose(r["theta"], together[2, t]["theta"], atol=1e-6) and np.isclose(r["mu_adult"], together[2, t]["mu_adult"])
+
+
+def test_one_pass_serves_several_designs(spark):
+    """Joint cells, read once, give each design the cells that the dossiers give it, and its zeros; a type that no dossier of meta has stays a type."""
+    meta = spark.createDataFrame([(i, 1990 + i % 2, i % 3) for i in range(30)], "dossier long, travel_year int, k int")
+    counts = spark.createDataFrame([(i, "ab"[i % 2], 1 + i % 4) for i in range(0, 30, 2)] + [(99, "z", 1)], "dossier long, type string, n long")
+    joint = T.joint_cells(meta, counts, {"k": "k"})
+    for terms in ({"x": "k"}, {"x": "CAST(k > 0 AS INT)"}):
+        got = sorted(map(str, T.cells_of(joint, terms).collect()))
+        assert got == sorted(map(str, T.type_cells(meta, counts, terms).collect()))
+    z = T.cells_of(joint, {"x": "k"}).filter("type = 'z'")
+    assert z.filter("y IS NULL").selectExpr("sum(n)", "sum(total)").first()[:] == (30, 0.0) and [r["n"] for r in z.filter("y = 0").collect()] == [30]
