@@ -5,6 +5,11 @@ Posteriors are long tables (draw, true, pred, p), a few classes squared for each
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,6 +104,102 @@ def draw_counts(docs: DataFrame) -> DataFrame:
     return docs.groupBy("draw", "dossier", "type").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Pages times draws that imputed_counts holds at once (a draw of one dossier at least).
+_AT_ONCE = 200_000
+
+
+def imputed_counts(pages: DataFrame, starts: DataFrame, types: DataFrame, seed: str, label: str = "type", conf: str = "document_type_confidence", page: str = "page_num") -> DataFrame:
+    """draw (long), dossier, type, n: the draw_counts of imputed_documents, for many draws. A task takes a dossier's pages once and all draws from them, so no page is copied, sorted or shuffled for each draw.
+
+    Both corrections (draws by classes squared) are read on the driver and sent with the function. Every page needs a number.
+    """
+    rows = pages.select("dossier", F.col("dossier").cast("string").alias("name"), F.col(page).alias("page"), F.col(page).cast("string").alias("number"),
+                        F.when(F.col("predicted_start_page") == "yes", 1).otherwise(0).alias("flag"), F.col(label).alias("type"), F.col(conf).cast("double").alias("conf"))
+    bounds = _start_bounds(cumulative(starts, ("draw",)).collect())
+    count = _counter(bounds, _type_steps(cumulative(types, ("draw",)).collect(), list(bounds)), seed)
+    return rows.groupBy("dossier").applyInArrow(count, f"draw long, dossier {rows.schema['dossier'].dataType.simpleString()}, type string, n long")
+
+
+def _start_bounds(steps) -> dict:
+    """For each draw the numbers from which and below which a page predicted as no or yes starts a document; nan where the correction doesn't know the prediction."""
+    out = {}
+    for r in steps:
+        bounds = out.setdefault(r["draw"], np.full((2, 2), np.nan))
+        names = [s["true"] for s in r["steps"]]
+        if r["pred"] in ("no", "yes"):
+            i = names.index("yes") if "yes" in names else len(names)
+            his = [0.0, *[s["hi"] for s in r["steps"]], np.inf]
+            bounds[int(r["pred"] == "yes")] = (his[i], his[i + 1]) if i < len(names) else (np.inf, np.inf)
+    return dict(sorted(out.items()))
+
+
+def _type_steps(steps, draws: list):
+    """preds, trues, and by draw and pred: the running sums (inf beyond the last) and the places in trues that they belong to."""
+    preds, trues = sorted({r["pred"] for r in steps}), sorted({s["true"] for r in steps for s in r["steps"]})
+    at, place = {d: i for i, d in enumerate(draws)}, {t: i for i, t in enumerate(trues)}
+    hi = np.full((len(draws), len(preds), max((len(r["steps"]) for r in steps), default=1)), np.inf)
+    true = np.zeros(hi.shape, "int64")
+    for r in steps:
+        if r["draw"] in at:
+            for k, s in enumerate(r["steps"]):
+                hi[at[r["draw"]], preds.index(r["pred"]), k], true[at[r["draw"]], preds.index(r["pred"]), k] = s["hi"], place[s["true"]]
+    return preds, trues, hi, true
+
+
+def _uniforms(keys) -> np.ndarray:
+    """``uniform`` of keys that are joined already: the first 52 bits of their md5."""
+    first = np.frombuffer(b"".join([hashlib.md5(k).digest() for k in keys]), ">u8")[::2]
+    return (first >> np.uint64(12)).astype("float64") / float(1 << 52)
+
+
+def _counter(bounds: dict, steps, seed: str):
+    """The function of imputed_counts over a dossier's pages."""
+    preds, trues, hi, true = steps
+    names, limits = list(bounds), np.array(list(bounds.values())).reshape(-1, 2, 2)
+    start_keys, type_keys = ([f"{seed}|{what}|{d}".encode() for d in names] for what in ("start", "type"))
+
+    def some(d0: int, d1: int, tails, flag, code, labels, conf, known):
+        """draw, true type, n of the draws from d0 to d1."""
+        draw, row = np.repeat(np.arange(d0, d1), len(flag)), np.tile(np.arange(len(flag)), d1 - d0)
+        u = np.concatenate([_uniforms([start_keys[d] + t for t in tails]) for d in range(d0, d1)])
+        low, high = limits[draw, flag[row]].T
+        draw, row, start = (x[~np.isnan(low)] for x in (draw, row, (u >= low) & (u < high)))
+        if not len(draw):
+            return draw, draw, draw
+        start |= np.r_[True, draw[1:] != draw[:-1]]
+        seg, heads = np.cumsum(start) - 1, np.flatnonzero(start)
+        pairs, first, inverse = np.unique(seg * (len(labels) + 1) + code[row], return_index=True, return_inverse=True)
+        total = np.bincount(inverse, np.where(known, conf, 0.0)[row])
+        total[np.bincount(inverse, known[row]) == 0] = -np.inf
+        total[np.isnan(total)] = np.inf
+        of = pairs // (len(labels) + 1)
+        order = np.lexsort((first, -total, of))
+        best = order[np.r_[True, np.diff(of[order]) > 0]]  # of each segment
+        at = np.array([preds.index(t) if t in preds else -1 for t in [*labels, None]])[pairs[best] % (len(labels) + 1)]
+        head, draw = row[heads], draw[heads]
+        kept = at >= 0
+        kept[kept] = np.isfinite(hi[draw[kept], at[kept], 0])
+        head, draw, at = head[kept], draw[kept], at[kept]
+        u = _uniforms([type_keys[d] + tails[h] for d, h in zip(draw.tolist(), head.tolist())])
+        drawn = true[draw, at, (hi[draw, at] <= u[:, None]).sum(1)]
+        found, n = np.unique(draw * len(trues) + drawn, return_counts=True)
+        return found // len(trues), found % len(trues), n
+
+    def count(key: tuple, pages: pa.Table) -> pa.Table:
+        pages = pages.sort_by("page")
+        labels = pages["type"].combine_chunks().dictionary_encode()
+        code = labels.indices.fill_null(len(labels.dictionary)).to_numpy().astype("int64")
+        conf, known = pages["conf"].fill_null(0.0).to_numpy(), pc.is_valid(pages["conf"]).to_numpy()
+        tails = ["".join(f"|{x}" for x in pair if x is not None).encode() for pair in zip(pages["name"].to_pylist(), pages["number"].to_pylist())]
+        many = max(1, _AT_ONCE // len(tails))
+        parts = [some(d, min(d + many, len(names)), tails, pages["flag"].to_numpy(), code, labels.dictionary.to_pylist(), conf, known) for d in range(0, len(names), many)]
+        draw, kind, n = (np.concatenate(x) for x in zip(*parts))
+        return pa.table({"draw": pa.array([names[i] for i in draw.tolist()], pa.int64()), "dossier": pa.repeat(key[0], len(draw)), "type": pa.array([trues[i] for i in kind.tolist()], pa.string()),
+                         "n": pa.array(n, pa.int64())})
+
+    return count
+
+
 def long_counts(meta: DataFrame, wide: DataFrame, key: str, types: list[str], rounded: bool = False) -> DataFrame:
     """A row for each dossier of ``meta`` and type: doc_type, doc_count (rounded half to even if asked), and meta's columns."""
     joined = meta.join(wide, key)

@@ -195,25 +195,36 @@ def impute_types(spark, d):
 _STARTS = [("yes", "yes", 0.9), ("yes", "no", 0.1), ("no", "yes", 0.05), ("no", "no", 0.95)]
 
 
-@query("impute_joint_counts", f"""WITH {S.EVENTS}, {_POST}, {_PRIOR}, {_INV}, cu AS (SELECT pred, "true", CASE WHEN row_number() OVER (PARTITION BY pred ORDER BY "true" DESC) = 1 THEN 1 ELSE sum(w) OVER (PARTITION BY pred ORDER BY "true") END AS hi FROM iv),
-  j0 AS (SELECT draw, dossier, page_num, predicted_document_type AS t, document_type_confidence AS c, {S.u("'joint'", "'start'", 'draw', 'dossier', 'page_num')} >= CASE WHEN predicted_start_page = 'yes' THEN 0.1 ELSE 0.95 END AS st FROM ep, range(0, 5) r(draw)),
+DRAWS = 200  # the reference's number of imputations
+
+
+def _joint_sql(draws: int) -> str:
+    return f"""WITH {S.EVENTS}, {_POST}, {_PRIOR}, {_INV}, cu AS (SELECT pred, "true", CASE WHEN row_number() OVER (PARTITION BY pred ORDER BY "true" DESC) = 1 THEN 1 ELSE sum(w) OVER (PARTITION BY pred ORDER BY "true") END AS hi FROM iv),
+  j0 AS (SELECT draw, dossier, page_num, predicted_document_type AS t, document_type_confidence AS c, {S.u("'joint'", "'start'", 'draw', 'dossier', 'page_num')} >= CASE WHEN predicted_start_page = 'yes' THEN 0.1 ELSE 0.95 END AS st FROM ep, range(0, {draws}) r(draw)),
   j1 AS (SELECT *, sum((st OR page_num = 1)::INT) OVER (PARTITION BY draw, dossier ORDER BY page_num) AS seg FROM j0),
   j2 AS (SELECT draw, dossier, seg, t, sum(c) AS s, min(page_num) AS f FROM j1 GROUP BY 1, 2, 3, 4),
   j3 AS (SELECT draw, dossier, seg, first(t ORDER BY s DESC, f) AS t, min(f) AS first_page FROM j2 GROUP BY 1, 2, 3),
   j4 AS (SELECT *, {S.u("'joint|type'", 'draw', 'dossier', 'first_page')} AS x FROM j3)
-  SELECT draw, dossier, type, count(*) AS n FROM (SELECT draw, dossier, seg, min("true") AS type FROM j4 JOIN cu ON j4.t = cu.pred WHERE cu.hi > x GROUP BY 1, 2, 3) GROUP BY 1, 2, 3""")
-def impute_joint_counts(spark, d):
+  SELECT draw, dossier, type, count(*) AS n FROM (SELECT draw, dossier, seg, min("true") AS type FROM j4 JOIN cu ON j4.t = cu.pred WHERE cu.hi > x GROUP BY 1, 2, 3) GROUP BY 1, 2, 3"""
+
+
+def _joint(spark, d, draws):
+    """Pages, and the corrections of starts and types in each draw."""
     pages = X.event_pages(spark, d).withColumn("type", F.col("predicted_document_type"))
-    starts = _draws(spark, 5, _STARTS, "pred string, true string, w double")
-    kinds = spark.range(5).select(F.col("id").alias("draw")).crossJoin(F.broadcast(_correction(spark, d)))
-    return I.draw_counts(I.imputed_documents(pages, starts, kinds, "joint"))
+    kinds = spark.range(draws).select(F.col("id").alias("draw")).crossJoin(F.broadcast(_correction(spark, d)))
+    return pages, _draws(spark, draws, _STARTS, "pred string, true string, w double"), kinds
+
+
+@query("impute_joint_counts", _joint_sql(DRAWS))
+def impute_joint_counts(spark, d):
+    return I.imputed_counts(*_joint(spark, d, DRAWS), "joint")
 
 
-@query("occurrence_corrected", f"""WITH jc AS ({SQL['impute_joint_counts']}), k AS (SELECT draw, count(DISTINCT dossier) AS k FROM jc GROUP BY 1), t AS (SELECT unnest({X.EVENT_TYPES!r}) AS type),
+@query("occurrence_corrected", f"""WITH jc AS ({_joint_sql(5)}), k AS (SELECT draw, count(DISTINCT dossier) AS k FROM jc GROUP BY 1), t AS (SELECT unnest({X.EVENT_TYPES!r}) AS type),
   p AS (SELECT k.draw, t.type, count(jc.n) / max(k) AS x FROM k CROSS JOIN t LEFT JOIN jc ON jc.draw = k.draw AND jc.type = t.type GROUP BY 1, 2)
   SELECT type, count(x) AS n, round(avg(x), 8) AS mean, round(stddev_samp(x), 8) AS sd, round(quantile_cont(x, 0.03), 8) AS hdi_3, round(quantile_cont(x, 0.97), 8) AS hdi_97 FROM p GROUP BY 1""")
 def occurrence_corrected(spark, d):
-    counts = saved(impute_joint_counts(spark, d))
+    counts = saved(I.draw_counts(I.imputed_documents(*_joint(spark, d, 5), "joint")))
     dossiers = counts.select("draw", "dossier").distinct()
     per = saved(C.occurrence(counts, dossiers, types(spark, X.EVENT_TYPES), ("draw",)))  # the percentiles read it several times
     return rounded(I.pooled(per, ["type"], "prevalence"))

@@ -101,6 +101,32 @@ def test_drawing_the_last_class(spark):
     assert tuple(got) == ("a", "b", "b")
 
 
+def test_joint_counts_take_all_draws(spark):
+    """The reference's 200; five were taken, in which a percentile of 3 or 97 is the least or largest."""
+    from quire import catalog
+
+    got = catalog.QUERIES["impute_joint_counts"](spark, "/root/testdata/sf0.001")
+    per = {r["draw"]: r["k"] for r in got.groupBy("draw").agg(F.count_distinct("dossier").alias("k")).collect()}
+    assert sorted(per) == list(range(200)) and len(set(per.values())) == 1
+
+
+def test_counts_of_draws_are_those_of_imputed_documents(spark, monkeypatch):
+    """Ties, one-page dossiers, nulls, types without a correction, draws that lack one, dossiers of more pages than are held at once."""
+    kinds = ["a", "b", "c", "unknown", None]
+    rows = [(None if g == 6 else f"d{g}", p, ["yes", "no", None, "no", "x"][(p * 7 + g) % 5], kinds[(p * p + g) % 5], [0.5, 0.5, None, 0.25, 0.75, float("nan")][(p + g * g) % 6])
+            for g in range(7) for p in range(1, 2 + 6 * g)]
+    pages = spark.createDataFrame(rows[::-1], "dossier string, page_num int, predicted_start_page string, type string, document_type_confidence double")
+    starts = [(d, p, t, w) for d in range(9) for p, t, w in [("yes", "no", 0.2), ("yes", "yes", 0.8), ("no", "no", 0.7), ("no", "yes", 0.3)] if not (d == 3 and p == "no") and not (d == 4 and (p, t) == ("yes", "yes"))]
+    types = [(d, p, t, 0.6 if p == t else 0.2) for d in range(12) for p in "abc" for t in "abc" if d != 5 and not (d == 6 and p == "b")]
+    starts, types = spark.createDataFrame(starts, "draw long, pred string, true string, w double"), spark.createDataFrame(types, "draw long, pred string, true string, w double")
+    want = sorted(map(tuple, imputation.draw_counts(imputation.imputed_documents(pages, starts, types, "s")).collect()), key=str)
+    assert {r[0] for r in want} == {0, 1, 2, 3, 4, 6, 7, 8} and None in {r[1] for r in want}
+    for held in (200_000, 40):
+        monkeypatch.setattr(imputation, "_AT_ONCE", held)
+        assert sorted(map(tuple, imputation.imputed_counts(pages, starts, types, "s").collect()), key=str) == want
+    assert imputation.imputed_counts(pages.filter("page_num < 0"), starts, types, "s").count() == 0
+
+
 def test_page_budget(spark):
     import pytest
 
